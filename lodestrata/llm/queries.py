@@ -5,6 +5,18 @@ from __future__ import annotations
 from lodestrata.llm.corpus import table
 
 
+def op4_quality_fm(spark, sf_dir):
+    from lodestrata.llm.quality_fm import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language_ecoc(spark, sf_dir):
+    from lodestrata.llm.lang_ecoc import predict_languages
+
+    return predict_languages(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark, sf_dir):
     from lodestrata.llm.token_count import token_counts
 
@@ -23,5 +35,5 @@ def op10_simhash(spark, sf_dir):
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_token_counts, op9_byte_shards, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op4_quality_fm, op7_language_ecoc, op8_token_counts, op9_byte_shards, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
