@@ -5,12 +5,24 @@ from __future__ import annotations
 from lodestrata.llm.corpus import table
 
 
+def op1_license_scan(spark, sf_dir):
+    from lodestrata.llm.license_scan import license_spans
+
+    return license_spans(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_fm(spark, sf_dir):
     from lodestrata.llm.quality_fm import quality_scores
 
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_template_decontamination(spark, sf_dir):
+    from lodestrata.llm.template_decon import contaminated_spans
+
+    return contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_language_ecoc(spark, sf_dir):
     from lodestrata.llm.lang_ecoc import predict_languages
 
@@ -35,5 +47,5 @@ def op10_simhash(spark, sf_dir):
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_fm, op7_language_ecoc, op8_token_counts, op9_byte_shards, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op4_quality_fm, op6_template_decontamination, op7_language_ecoc, op8_token_counts, op9_byte_shards, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
