@@ -17,6 +17,12 @@ def op4_quality_fm(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_parity_jaccard(spark, sf_dir):
+    from lodestrata.llm.parity_join import jaccard_classes
+
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op6_template_decontamination(spark, sf_dir):
     from lodestrata.llm.template_decon import contaminated_spans
 
@@ -47,5 +53,5 @@ def op10_simhash(spark, sf_dir):
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op4_quality_fm, op6_template_decontamination, op7_language_ecoc, op8_token_counts, op9_byte_shards, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op4_quality_fm, op5_parity_jaccard, op6_template_decontamination, op7_language_ecoc, op8_token_counts, op9_byte_shards, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
