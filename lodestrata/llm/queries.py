@@ -11,6 +11,12 @@ def op1_license_scan(spark, sf_dir):
     return license_spans(table(spark, sf_dir, "documents"))
 
 
+def op2_piece_lattice(spark, sf_dir):
+    from lodestrata.llm.piece_lattice import sampled_pieces
+
+    return sampled_pieces(table(spark, sf_dir, "documents"))
+
+
 def op3_pii_bootstrap(spark, sf_dir):
     from lodestrata.llm.pii_bootstrap import personal_data
 
@@ -59,5 +65,5 @@ def op10_simhash(spark, sf_dir):
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_pii_bootstrap, op4_quality_fm, op5_parity_jaccard, op6_template_decontamination, op7_language_ecoc, op8_token_counts, op9_byte_shards, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_piece_lattice, op3_pii_bootstrap, op4_quality_fm, op5_parity_jaccard, op6_template_decontamination, op7_language_ecoc, op8_token_counts, op9_byte_shards, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
