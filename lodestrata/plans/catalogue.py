@@ -1,6 +1,8 @@
-"""Named queries over the driver tables, each with its ANSI SQL."""
+"""All named queries, with their ANSI SQL where SQL expresses them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from lodestrata.plans import data_queries, graph_queries, search_queries  # noqa: F401  (they register themselves)
+from lodestrata.plans.adapters import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
