@@ -46,8 +46,11 @@ SMALL = 64
 SHARE_LOW, SHARE_HIGH = 1.0, 0.6
 SKETCH_LONGS = 8
 #: Block sketches handled at once in the counting step, and ids that may be broadcast.
-BUCKET_SKETCHES, BROADCAST_IDS = 1 << 20, 1 << 20
-_SKETCH_BYTES = 6
+BUCKET_SKETCHES, BROADCAST_IDS = 1 << 21, 1 << 20
+#: A sketch is looked up within its bucket only, where so many bytes leave few chance meetings (and those cost
+#: a candidate, never a result).
+_SKETCH_BYTES = 5
+_HEAD = np.dtype([("eid", "<i8"), ("count", "<u2")])
 
 
 def band_of(n: int) -> int:
@@ -108,108 +111,122 @@ def _sets(batch, column: int):
             yield a + k, tokens
 
 
+def entry_id(sid: bytes, band: int) -> int:
+    """A set in a band."""
+    return xxhash.xxh3_64_intdigest(sid, band) - (1 << 63)
+
+
 def memberships(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), sid (digest of the set; null without one)."""
+    """doc_id, n (set size), sid (digest of the set; null without one), and the entry id and q of its one or two bands."""
+    names = ["doc_id", "n", "sid", "e0", "q0", "e1", "q1"]
 
     def run(batches):
         for batch in batches:
-            got = [(len(t), digest(t) if len(t) else None) for _, t in _sets(batch, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary())], ["doc_id", "n", "sid"])
+            rows = []
+            for _, t in _sets(batch, 1):
+                sid = digest(t) if len(t) else None
+                bands = [x for band, s, q in entries_of(t) for x in (entry_id(sid, band), q)] if sid else []
+                rows.append((len(t), sid, *bands, *[None] * (4 - len(bands))))
+            columns = list(zip(*rows)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, kind) for c, kind in zip(columns, [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()])]], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, sid binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, sid binary, e0 long, q0 long, e1 long, q1 long")
 
 
 def packed_sketches(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, chunk): all block sketches, dealt by hash and packed.
 
-    A chunk is, for some sets, their digests, sizes, q and numbers of sketches, and then the sketches; a set that
-    occurs again in the same task is left out, so copies do not add up before the shuffle.
+    A chunk is a table of entry ids with their numbers of sketches, and then the low bytes of the sketches; a
+    set that occurs again in the same task is left out, so copies do not add up before the shuffle.
     """
-    head = np.dtype([("sid", "S16"), ("n", "<i4"), ("band", "<i2"), ("q", "<i4"), ("count", "<i4")])
 
     def run(batches):
         seen: set[bytes] = set()
 
-        def flush(sids, ns, bands, qs, parts):
+        def flush(eids, parts):
             owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
             sketch = np.concatenate(parts)
             bucket = ((sketch >> K.U(32)) * K.U(buckets) >> K.U(32)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            table = np.zeros(len(parts), head)
-            table["sid"], table["n"], table["band"], table["q"] = sids, ns, bands, qs
+            eids = np.array(eids, np.int64)
             ids, blobs = [], []
             for k in np.flatnonzero(np.diff(cuts)):
                 take = order[cuts[k] : cuts[k + 1]]
                 who, count = np.unique(owner[take], return_counts=True)
-                rows = table[who]
-                rows["count"] = count
+                whole = np.repeat(who, -(-count // 65535))  # a very large set takes several lines
+                rows = np.zeros(len(whole), _HEAD)
+                rows["eid"] = eids[whole]
+                rows["count"] = _lines(count)
                 low = np.ascontiguousarray(sketch[take]).view(np.uint8).reshape(-1, 8)[:, :_SKETCH_BYTES]
                 ids.append(int(k))
                 blobs.append(len(rows).to_bytes(4, "little") + rows.tobytes() + low.tobytes())
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "chunk"])
 
-        held, size = ([], [], [], [], []), 0
+        eids, parts, size = [], [], 0
         for batch in batches:
             for _, tokens in _sets(batch, 0):
                 if not len(tokens) or (sid := digest(tokens)) in seen:
                     continue
                 if len(seen) < 1 << 20:
                     seen.add(sid)
-                for band, sketch, q in entries_of(tokens):
-                    for column, x in zip(held, (sid, len(tokens), band, q, sketch)):
-                        column.append(x)
+                for band, sketch, _ in entries_of(tokens):
+                    eids.append(entry_id(sid, band))
+                    parts.append(sketch)
                     size += len(sketch)
                 if size > 1 << 20:
-                    yield flush(*held)
-                    held, size = ([], [], [], [], []), 0
+                    yield flush(eids, parts)
+                    eids, parts, size = [], [], 0
         if size:
-            yield flush(*held)
+            yield flush(eids, parts)
 
     return docs.select("text").mapInArrow(run, "bucket int, chunk binary")
 
 
-def shared_sketches(packed: DataFrame, buckets: int) -> DataFrame:
-    """Block sketches that two or more sets have: sid, n, band, q, sketch, holders."""
-    head = np.dtype([("sid", "S16"), ("n", "<i4"), ("band", "<i2"), ("q", "<i4"), ("count", "<i4")])
-    names = ["sid", "n", "band", "q", "sketch", "holders"]
+def _lines(count: np.ndarray) -> np.ndarray:
+    """Counts cut in lines of at most 65535."""
+    if (count <= 65535).all():
+        return count
+    return np.concatenate([[65535] * (c // 65535) + [c % 65535] * (c % 65535 > 0) for c in count.tolist()])
+
+
+def shared_sketches(packed: DataFrame) -> DataFrame:
+    """Block sketches that two or more sets have: eid, sketch, holders."""
+    names = ["eid", "sketch", "holders"]
 
     def run(table: pa.Table) -> pa.Table:
-        heads, sketches, owners, base = [], [], [], 0
+        sketches, owners = [], []
         bucket = table.column("bucket")[0].as_py()
         for chunk in table.column("chunk"):
             data = chunk.as_buffer()
             n = int.from_bytes(data[:4].to_pybytes(), "little")
-            rows = np.frombuffer(data, head, n, 4)
-            low = np.frombuffer(data, np.uint8, offset=4 + n * head.itemsize).reshape(-1, _SKETCH_BYTES)
+            rows = np.frombuffer(data, _HEAD, n, 4)
+            low = np.frombuffer(data, np.uint8, offset=4 + n * _HEAD.itemsize).reshape(-1, _SKETCH_BYTES)
             full = np.zeros((len(low), 8), np.uint8)
             full[:, :_SKETCH_BYTES] = low
-            heads.append(rows)
-            sketches.append(full.view(np.uint64)[:, 0])
-            owners.append(np.repeat(np.arange(base, base + n), rows["count"]))
-            base += n
-        rows, sketch, owner = np.concatenate(heads), np.concatenate(sketches), np.concatenate(owners)
-        # the bucket is the leading part of a sketch; the low bytes and the bucket together tell sketches apart
+            sketches.append(full.view(np.int64)[:, 0])
+            owners.append(np.repeat(rows["eid"], rows["count"]))
+        sketch, owner = np.concatenate(sketches), np.concatenate(owners)
+        del sketches, owners
         order = np.argsort(sketch, kind="stable")
         sketch, owner = sketch[order], owner[order]
-        fresh = np.concatenate(([True], sketch[1:] != sketch[:-1]))
-        group = np.cumsum(fresh) - 1
-        often = np.bincount(group)[group] > 1
-        sketch, owner, group = sketch[often], owner[often], group[often]
+        same = sketch[1:] == sketch[:-1]
+        often = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        sketch, owner = sketch[often], owner[often]
         # the same set may have come from several tasks
-        _, set_no = np.unique(rows["sid"][owner], return_inverse=True) if len(owner) else (None, owner)
-        _, once = np.unique(group * np.int64(len(rows) + 1) + set_no, return_index=True)
-        sketch, owner, group = sketch[once], owner[once], group[once]
-        holders = np.bincount(group, minlength=1)[group] if len(group) else group
+        order = np.lexsort((owner, sketch))
+        sketch, owner = sketch[order], owner[order]
+        fresh = np.ones(len(sketch), bool)
+        fresh[1:] = (sketch[1:] != sketch[:-1]) | (owner[1:] != owner[:-1])
+        sketch, owner = sketch[fresh], owner[fresh]
+        at = np.flatnonzero(np.concatenate(([True], sketch[1:] != sketch[:-1]))) if len(sketch) else np.zeros(0, np.int64)
+        holders = np.diff(np.append(at, len(sketch)))
+        holders = np.repeat(holders, holders)
         keep = holders > 1
-        sketch, owner, holders = sketch[keep], owner[keep], holders[keep]
-        r = rows[owner]
-        sids = np.frombuffer(r["sid"].tobytes(), np.uint8)
-        sid = pa.Array.from_buffers(pa.binary(), len(r), [None, pa.py_buffer(np.arange(0, 16 * len(r) + 1, 16, dtype=np.int32)), pa.py_buffer(sids)])
-        name = K.mix(sketch ^ K.mix(np.full(1, bucket, np.uint64))).view(np.int64)
-        return pa.Table.from_arrays([sid, pa.array(r["n"].astype(np.int64)), pa.array(r["band"].astype(np.int32)), pa.array(r["q"].astype(np.int64)), pa.array(name), pa.array(holders.astype(np.int64))], names)
+        name = K.mix(sketch[keep].view(K.U) ^ K.mix(np.full(1, bucket, K.U))).view(np.int64)
+        return pa.Table.from_arrays([pa.array(owner[keep]), pa.array(name), pa.array(holders[keep].astype(np.int32))], names)
 
-    return packed.groupBy("bucket").applyInArrow(run, "sid binary, n long, band int, q long, sketch long, holders long")
+    return packed.groupBy("bucket").applyInArrow(run, "eid long, sketch long, holders int")
 
 
 def set_blobs(docs: DataFrame) -> DataFrame:
@@ -253,16 +270,18 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     members = written(memberships(docs), "members")
-    classes = written(members.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
+    ids = ("e0", "q0", "e1", "q1")
+    classes = written(members.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), *[F.max(c).alias(c) for c in ("n", *ids)]), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, -(-int(total) // BUCKET_SKETCHES))
 
-    packed = packed_sketches(docs, buckets).repartition(min(buckets, 1 << 14), "bucket")
-    shared = shared_sketches(packed, buckets)
-    mine = Window.partitionBy("sid", "band")
-    rarest = mine.orderBy("holders", "sketch")
-    looked = shared.withColumn("shared", F.count("*").over(mine)).where("shared >= q").withColumn("rank", F.row_number().over(rarest)).where("rank <= shared - q + 1")
-    entries = written(looked.join(classes.select("sid", "rep"), "sid").select("sketch", "rep", "n"), "entries")
+    shared = shared_sketches(packed_sketches(docs, buckets).repartition(min(buckets, 1 << 14), "bucket"))
+    of = classes.select("rep", "n", F.explode(F.array(F.struct(F.col("e0").alias("eid"), F.col("q0").alias("q")), F.struct(F.col("e1").alias("eid"), F.col("q1").alias("q")))).alias("e"))
+    of = of.select("rep", "n", "e.eid", "e.q").where("eid is not null")
+    mine = Window.partitionBy("eid")
+    looked = shared.join(of, "eid").withColumn("shared", F.count("*").over(mine)).where("shared >= q")
+    looked = looked.withColumn("rank", F.row_number().over(mine.orderBy("holders", "sketch"))).where("rank <= shared - q + 1")
+    entries = written(looked.select("sketch", "rep", "n"), "entries")
 
     involved = written(entries.select(F.col("rep").alias("doc_id")).distinct(), "involved")
     chosen = docs.select("doc_id", "text").join(F.broadcast(involved) if involved.count() <= BROADCAST_IDS else involved, "doc_id")
