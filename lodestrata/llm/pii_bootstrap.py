@@ -171,18 +171,18 @@ def redacted(docs: DataFrame) -> DataFrame:
     """The rows, with all their columns, where [KIND] stands for every span; n_chars is brought up to date."""
     scan = written(scanned(docs), "scanned")
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("digest", F.xxhash64(text)).withColumn("base", F.concat(*[_tagged(base_spans(text, k), k) for k in KINDS]))
-    rows = _with_found(rows, scan).withColumn("all", F.array_sort(F.concat("base", "found")))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("row"), "doc_id", F.xxhash64(text).alias("digest"), F.concat(*[_tagged(base_spans(text, k), k) for k in KINDS]).alias("base"))
+    rows = _with_found(rows, scan).select("row", F.array_sort(F.concat("base", "found")).alias("spans"))
+    text, start = F.col("row.text"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, x):
-        piece = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["s"] - acc["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
+        piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
         return F.when(x["s"] >= acc["at"], F.struct(x["e"].alias("at"), piece.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out")))
 
-    whole = F.aggregate("all", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.lit(2**31 - 1))))
-    fresh = F.when(F.size("all") > 0, whole).otherwise(F.col("text"))
-    columns = [fresh.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    out = rows.select(*columns, F.size("all").alias("_n"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    whole = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.lit(2**31 - 1))))
+    touched = F.size("spans") > 0
+    rows = rows.select("row", touched.alias("touched"), F.when(touched, whole).otherwise(text).alias("fresh"))
+    columns = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("fresh")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("touched"), F.char_length("fresh").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return rows.select(*[c.alias(name) for name, c in columns.items()])
