@@ -412,3 +412,18 @@ def test_stages_take_odd_rows(spark, odd, none, sf):
             assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
             assert out.count() <= docs.count()
         assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == docs.count()
+
+
+# ---- queries with SQL
+def test_queries_equal_sql(spark, sf):
+    import duckdb
+
+    from lodestrata.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    for name, sql in ORACLE_SQL.items():
+        q = con.sql(sql)
+        order = [q.columns.index(c) for c in sorted(q.columns)]
+        df = QUERIES[name](spark, sf)
+        assert sorted(tuple(r[c] for c in sorted(df.columns)) for r in df.collect()) == sorted(tuple(r[i] for i in order) for r in q.fetchall())
