@@ -228,7 +228,7 @@ class Dart(Parser):
                 return (m[1].strip(), m[2]) if m else None
         return None
 
-    _WIDGET = re.compile(r"(?<![\w.])(_?[A-Z]\w*)(?:<[^<>]*>)?(?:\.(\w+))?\s*\(")
+    _WIDGET = re.compile(r"(?:\breturn\s+|=>\s*)?(?<![\w.])(_?[A-Z]\w*)(?:<[^<>]*>)?(?:\.(\w+))?\s*\(")
 
     def widgets(self, a: int, b: int) -> None:
         """UI nodes of a build method; the parent is the last node before with a smaller column."""
@@ -255,7 +255,7 @@ class Dart(Parser):
                     stack.pop()
                 parent = stack[-1][1] if stack else None
                 root = count if parent is None else root
-                self.add("widget", name, start + m.start(), node_id=count, parent_id=parent, root_id=root, depth=len(stack), ord=count, value=next((x for x in detail.groups() if x), None) if detail else None)
+                self.add("widget", name, start + m.start(1), node_id=count, parent_id=parent, root_id=root, depth=len(stack), ord=count, value=next((x for x in detail.groups() if x), None) if detail else None)
                 stack.append((m.start(), count))
                 count += 1
 
