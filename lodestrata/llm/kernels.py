@@ -16,7 +16,7 @@ U = np.uint64
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text handled at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _rng = np.random.default_rng(0x5EED)
 #: A random 64-bit value for each byte; A-Z share those of a-z.

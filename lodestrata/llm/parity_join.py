@@ -174,7 +174,7 @@ def packed_sketches(docs: DataFrame, buckets: int) -> DataFrame:
                     eids.append(entry_id(sid, band))
                     parts.append(sketch)
                     size += len(sketch)
-                if size > 1 << 20:
+                if size > 1 << 19:
                     yield flush(eids, parts)
                     eids, parts, size = [], [], 0
         if size:

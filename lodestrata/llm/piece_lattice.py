@@ -31,7 +31,7 @@ from lodestrata.llm.token_count import tokenizer_path
 
 ALPHA, SEED = 1.0, 20250101
 #: Characters of text handled at once; units longer than this many characters go one by one.
-CHUNK_CHARS, LONG = 3_000_000, 48
+CHUNK_CHARS, LONG = 400_000, 48
 #: A factor for each character: it is the same for all segmentations, and keeps sums in range.
 _SCALE = 300.0
 _MARK, _LITERAL_MARK = "▁", "\udc81"  # a lone surrogate never occurs in a text
