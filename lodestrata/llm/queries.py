@@ -60,9 +60,9 @@ def op9_byte_shards(spark, sf_dir):
 
 
 def op10_simhash(spark, sf_dir):
-    from lodestrata.llm.simhash_fp import edited_fingerprints
+    from lodestrata.llm.simhash_fp import searched_fingerprints
 
-    return edited_fingerprints(table(spark, sf_dir, "documents"))
+    return searched_fingerprints(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_piece_lattice, op3_pii_bootstrap, op4_quality_fm, op5_parity_jaccard, op6_template_decontamination, op7_language_ecoc, op8_token_counts, op9_byte_shards, op10_simhash)}

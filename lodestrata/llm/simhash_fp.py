@@ -14,6 +14,7 @@ an empty result; the one row of a one-row table is its own next document.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -22,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import kernels as K
+from lodestrata.llm.store import written
 
-TERM_WORDS, BITS, RADIUS = 3, 64, 3
+TERM_WORDS, BITS, RADIUS, KEEP = 3, 64, 3, 2
 _SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)[:, ::-1].astype(np.float64) * 2) - 1
 #: Documents in one range of the order that gives each its next one.
 RANGE_ROWS = 4096
@@ -68,7 +70,21 @@ def fingerprint_docs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
-def neighbours(prints: DataFrame, radius: int = RADIUS, keep: int = 3) -> DataFrame:
+def _block(bits, k: int, n: int):
+    lo, hi = round(BITS * k / n), round(BITS * (k + 1) / n)
+    return F.shiftrightunsigned(bits, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
+
+
+def block_tables(prints: DataFrame, radius: int = RADIUS, keep: int = KEEP) -> DataFrame:
+    """(t, k, bits): each distinct fingerprint once in every table, under the key of the table's blocks."""
+    n = radius + keep
+    classes = prints.where("fingerprint is not null").select("fingerprint").distinct()
+    classes = classes.select(F.conv("fingerprint", 16, -10).cast("long").alias("bits"))
+    keys = [F.struct(F.lit(t).cast("byte").alias("t"), F.xxhash64(*[_block(F.col("bits"), k, n) for k in ks]).alias("k")) for t, ks in enumerate(combinations(range(n), keep))]
+    return classes.select("bits", F.explode(F.array(*keys)).alias("key")).select("key.t", "key.k", "bits")
+
+
+def neighbours(prints: DataFrame, radius: int = RADIUS, keep: int = KEEP) -> DataFrame:
     """Pairs a < b of distinct fingerprints (hex) that differ in 1 to ``radius`` bits, with the distance.
 
     Equal fingerprints are one class; their documents are found by equality.  The distance is tested
@@ -76,24 +92,24 @@ def neighbours(prints: DataFrame, radius: int = RADIUS, keep: int = 3) -> DataFr
     table that finds it only.
     """
     n = radius + keep
-    edges = [round(BITS * k / n) for k in range(n + 1)]
-    bits = F.conv("fingerprint", 16, -10).cast("long")
-    classes = prints.where("fingerprint is not null").select("fingerprint").distinct().withColumn("bits", bits)
-    block = lambda c, k: F.shiftrightunsigned(c, edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1))
-    tables = list(combinations(range(n), keep))
-    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64(*[block(F.col("bits"), k) for k in ks]).alias("k")) for t, ks in enumerate(tables)])
-    rows = classes.select("fingerprint", "bits", F.explode(keys).alias("key")).select("fingerprint", "bits", "key.t", "key.k")
-    a, b = (rows.select("t", "k", F.col("fingerprint").alias(x), F.col("bits").alias(f"{x}_bits")) for x in "ab")
+    rows = block_tables(prints, radius, keep)
+    a, b = (rows.select(F.col("t").alias(f"{x}_t"), F.col("k").alias(f"{x}_k"), F.col("bits").alias(f"{x}_bits")) for x in "ab")
     gap = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits")))
-    same = [block(F.col("a_bits"), k) == block(F.col("b_bits"), k) for k in range(n)]
-    first = F.lit(len(tables))
-    for t in reversed(range(len(tables))):
-        agree = same[tables[t][0]]
-        for k in tables[t][1:]:
-            agree = agree & same[k]
-        first = F.when(agree, F.lit(t)).otherwise(first)
-    found = a.join(b, (a["t"] == b["t"]) & (a["k"] == b["k"]) & (F.col("a") < F.col("b")) & (gap <= radius) & (first == a["t"]))
-    return found.select("a", "b", gap.alias("distance"))
+    same = [_block(F.col("a_bits"), k, n) == _block(F.col("b_bits"), k, n) for k in range(n)]
+    first = F.lit(-1)
+    for t, ks in reversed(list(enumerate(combinations(range(n), keep)))):
+        first = F.when(reduce(lambda x, y: x & y, [same[k] for k in ks]), F.lit(t)).otherwise(first)
+    name = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    found = a.join(b, (F.col("a_t") == F.col("b_t")) & (F.col("a_k") == F.col("b_k")) & (name("a_bits") < name("b_bits")) & (gap <= radius) & (first == F.col("a_t")))
+    return found.select(name("a_bits").alias("a"), name("b_bits").alias("b"), gap.alias("distance"))
+
+
+def with_neighbours(prints: DataFrame, radius: int = RADIUS, keep: int = KEEP) -> DataFrame:
+    """fingerprint of those that have another one within the radius: a semi-join, which makes no pairs."""
+    rows = block_tables(prints, radius, keep)
+    a, b = (rows.select(F.col("t").alias(f"{x}_t"), F.col("k").alias(f"{x}_k"), F.col("bits").alias(f"{x}_bits")) for x in "ab")
+    near = (F.col("a_t") == F.col("b_t")) & (F.col("a_k") == F.col("b_k")) & (F.col("a_bits") != F.col("b_bits")) & (F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) <= radius)
+    return a.join(b, near, "left_semi").select(F.lower(F.lpad(F.hex("a_bits"), 16, "0")).alias("fingerprint")).distinct()
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -177,3 +193,10 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
             held = rows[-1:]
 
     return sent.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+def searched_fingerprints(docs: DataFrame) -> DataFrame:
+    """edited_fingerprints() with ``near_other``: another fingerprint of the corpus lies within the radius."""
+    rows = written(edited_fingerprints(docs), "fingerprints")
+    near = with_neighbours(rows).withColumn("near_other", F.lit(True))
+    return rows.join(near, "fingerprint", "left").select(*rows.columns, F.coalesce("near_other", F.lit(False)).alias("near_other"))

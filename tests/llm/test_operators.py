@@ -385,6 +385,17 @@ def test_neighbours_equal_brute_force(spark):
     names = sorted(f"{x:016x}" for x in prints)
     want = [(a, b, d) for k, a in enumerate(names) for b in names[k + 1 :] if (d := bin(int(a, 16) ^ int(b, 16)).count("1")) <= 3]
     assert got == want and len(want) > 50
+    assert {r["fingerprint"] for r in simhash_fp.with_neighbours(df).collect()} == {x for a, b, _ in want for x in (a, b)}
+
+
+def test_search_column(spark, odd, none):
+    plain = {(str(r["doc_id"]), r["n_chars"]): r["fingerprint"] for r in simhash_fp.edited_fingerprints(odd).collect()}
+    rows = simhash_fp.searched_fingerprints(odd).collect()
+    bits = {int(f, 16) for f in plain.values()}
+    assert len(rows) == odd.count() and simhash_fp.searched_fingerprints(none).count() == 0
+    for r in rows:
+        mine = int(r["fingerprint"], 16)
+        assert r["near_other"] == any(0 < bin(mine ^ b).count("1") <= 3 for b in bits)
 
 
 # ---- the pipeline
