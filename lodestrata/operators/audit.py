@@ -276,3 +276,15 @@ def diagnostics(rows: DataFrame, text: str = "text") -> DataFrame:
         parsed = F.when(t.rlike(pattern), s) if parsed is None else parsed.when(t.rlike(pattern), s)
     keep = [c for c in rows.columns if c != text]
     return rows.select(*keep, parsed.alias("d")).where("d is not null").select(*keep, "d.*")
+
+
+def parity_matrix(found: DataFrame, engines: list[str]) -> DataFrame:
+    """(metric, one count per engine) of symbols (engine, metric, name); no engine missing."""
+    m = found.groupBy("metric").pivot("engine", engines).agg(F.countDistinct("name"))
+    return m.select("metric", *[F.coalesce(e, F.lit(0)).alias(e) for e in engines])
+
+
+def only_in(found: DataFrame, engine: str, other: str) -> DataFrame:
+    """Symbols (metric, name) that one engine finds and the other does not."""
+    part = lambda e: found.where(F.col("engine") == e).select("metric", "name").distinct()
+    return part(engine).join(part(other), ["metric", "name"], "left_anti")

@@ -221,3 +221,36 @@ def symbol_graph(files: DataFrame, classes: DataFrame, functions: DataFrame, imp
     made = made.join(mine, ["caller_class", "name"], "left").join(free, "name", "left").withColumn("dst", F.coalesce("m", "f"))
     edges.append(made.where("dst is not null and dst != src").select("src", "dst", F.lit("calls").alias("type")))
     return nodes, reduce(DataFrame.unionByName, edges)
+
+
+def named_entry_points(functions: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, entry) of functions where control enters: main, lifecycle and handler methods, and methods of UI classes.
+
+    node is ``file:Class.member`` or ``file:name``, as calls are resolved to.
+    """
+    ui = classes.where(F.coalesce("extends_class", F.lit("")).rlike(r"Widget|State|Activity|Fragment|Component|Service|Application")).select(F.col("name").alias("parent_class"), F.lit(True).alias("ui")).distinct()
+    hook = F.col("name").isin("build", "initState", "dispose", "onCreate", "onResume", "onStart", "main", "render", "activate") | F.col("name").rlike("^on[A-Z]")
+    rows = functions.join(ui, "parent_class", "left").where(hook | (F.col("ui") & F.col("name").isin("call", "run")) | (F.col("parent_class").isNull() & (F.col("name") == "main")))
+    node = F.concat("path", F.lit(":"), F.concat_ws(".", "parent_class", "name"))
+    return rows.select(node.alias("node"), F.concat_ws(".", "parent_class", "name").alias("entry")).distinct()
+
+
+def impact_flows(calls: DataFrame, changed: DataFrame, entries: DataFrame, most: int = 25, k: int = 50) -> DataFrame:
+    """(entry, hops, flow): calling chains (src calls dst) from entry points down to changed nodes, shortest first, at most k."""
+    reached = _cut(bfs(calls, changed, most, backwards=True))
+    path = chains(reached, most).join(entries, "node").join(reached.select("node", "hops"), "node")
+    return path.select("entry", "hops", F.array_join(F.reverse("chain"), " -> ").alias("flow")).orderBy("hops", "entry", "flow").limit(k)
+
+
+def impact_radius(calls: DataFrame, derived: DataFrame, changed: DataFrame, most: int = 2) -> DataFrame:
+    """(node, hops) of names that use or derive from changed names: calls (src calls dst), derived (src extends, implements, mixes in or is on dst)."""
+    edges = calls.select("src", "dst").unionByName(derived.select("src", "dst"))
+    return bfs(edges, changed, most, backwards=True).where("hops > 0").select("node", "hops")
+
+
+def mermaid(edges: DataFrame, k: int = 500) -> DataFrame:
+    """One row: a diagram of at most k edges, in order."""
+    ident = lambda c: F.regexp_replace(c, r"\W", "_")
+    line = F.concat(F.lit("  "), ident("src"), F.lit('["'), "src", F.lit('"] --> '), ident("dst"), F.lit('["'), "dst", F.lit('"]'))
+    rows = edges.select("src", "dst").distinct().orderBy("src", "dst").limit(k).select(line.alias("line"))
+    return rows.agg(F.concat(F.lit("graph LR\n"), F.array_join(F.array_sort(F.collect_list("line")), "\n")).alias("diagram"))

@@ -173,3 +173,16 @@ def reverse_import_lines(rows: DataFrame, target: str) -> DataFrame:
     name = target.rsplit("/", 1)[-1]
     hit = F.ltrim("text").rlike(r"^(import|export|part) ") & F.contains("text", F.lit(name))
     return rows.where(hit).groupBy("path").agg(F.min("line").alias("line"), F.min_by("text", "line").alias("text"))
+
+
+def with_context(rows: DataFrame, around: int = 1) -> DataFrame:
+    """Lines with ``context``: the lines around each, joined."""
+    w = Window.partitionBy("path").orderBy("line").rowsBetween(-around, around)
+    return rows.withColumn("context", F.array_join(F.collect_list("text").over(w), "\n"))
+
+
+def direct_calls(rows: DataFrame, query: str, k: int = 50) -> DataFrame:
+    """Call sites by pattern, straight from lines: a name that holds the query before an opening parenthesis, and no definition."""
+    name = F.regexp_extract("text", rf"(?i)\b([A-Za-z_]\w*{re.escape(query)}\w*|{re.escape(query)}\w*)\s*\(", 1)
+    defined = F.col("text").rlike(r"\b(class|fun|function|def|enum|mixin)\s")
+    return rows.where(F.contains(F.lower("text"), F.lit(query.lower())) & ~defined & ~_in_comment(F.col("text"))).select("path", "line", name.alias("name")).where("name != ''").orderBy("path", "line").limit(k)

@@ -93,3 +93,23 @@ def propagate_usage(usages: DataFrame, resolved: DataFrame) -> DataFrame:
     direct = usages.select("kind", "name", "def_path", "used_in")
     via = usages.select("kind", "name", "def_path").distinct().join(resolved.where("target is not null").select(F.col("target").alias("def_path"), F.col("path").alias("used_in")), "def_path")
     return direct.unionByName(via.select("kind", "name", "def_path", "used_in")).where("used_in is not null").distinct()
+
+
+def loose_targets(imports: DataFrame, files: DataFrame, bound: int = 200_000) -> DataFrame:
+    """(path, spec, target) by the loose rule: the file's path ends with the specifier, or the specifier holds the file's stem.
+
+    Distinct specifiers are met with distinct stems only.  A substring has no key to join on, so the stems are sent to all
+    specifiers; they must be at most ``bound`` (counted first).
+    """
+    from lodestrata.functions.paths import stem
+
+    specs = imports.select("spec").where("spec is not null and spec != ''").distinct()
+    known = files.select(F.col("path").alias("target"), stem(F.col("path")).alias("stem"))
+    parts = F.split("target", "/")
+    tails = known.select("target", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, -n, n), "/"))).alias("spec"))
+    stems = known.select("stem").where("stem != ''").distinct()
+    if stems.count() > bound:
+        raise ValueError(f"more than {bound} file stems; use resolve_imports")
+    held = specs.join(F.broadcast(stems), F.contains(F.col("spec"), F.col("stem"))).join(known, "stem").select("spec", "target")
+    pairs = tails.join(specs, "spec", "left_semi").select("spec", "target").unionByName(held).distinct()
+    return imports.select("path", "spec").distinct().join(pairs, "spec").where("path != target").select("path", "spec", "target")

@@ -75,3 +75,10 @@ def json_cache(spark: SparkSession, path: str) -> DataFrame:
 def with_fallback(*tables: DataFrame | None) -> DataFrame | None:
     """The first table that is there and not empty."""
     return next((t for t in tables if t is not None and not t.isEmpty()), None)
+
+
+def porcelain_paths(rows: DataFrame, text: str = "text") -> DataFrame:
+    """(path) of changed files from version-control status or name-only lines; a rename counts by its new name."""
+    line = F.regexp_replace(F.col(text), r"^(?:[ MADRCU?!]{2} )", "")
+    path = F.trim(F.regexp_replace(F.element_at(F.split(line, " -> "), -1), '"', ""))
+    return rows.select(path.alias("path")).where("path != ''").distinct()

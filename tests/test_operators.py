@@ -1,4 +1,4 @@
-"""Operators on small literal tables: the cases that the reference's own tests name, and those it lacks."""
+"""Operators on small literal tables, with the cases that FIXTURES.md lists."""
 
 import json
 from datetime import datetime, timedelta
@@ -327,3 +327,43 @@ def test_incremental(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert done == ["z"]
+
+
+# ---- flows, loose matches, reports
+def test_flows_and_radius(spark):
+    calls = spark.createDataFrame([("f:A.build", "f:A.load"), ("f:A.load", "g:get"), ("h:main", "g:get"), ("x:y", "z:w")], "src string, dst string")
+    changed = spark.createDataFrame([("g:get",)], "node string")
+    functions = spark.createDataFrame([("f", "build", "A"), ("f", "load", "A"), ("g", "get", None), ("h", "main", None)], "path string, name string, parent_class string")
+    classes = spark.createDataFrame([("A", "StatelessWidget")], "name string, extends_class string")
+    entries = graph.named_entry_points(functions, classes)
+    assert rows(entries, "node") == [("f:A.build",), ("h:main",)]
+    assert [r["flow"] for r in graph.impact_flows(calls, changed, entries).collect()] == ["h:main -> g:get", "f:A.build -> f:A.load -> g:get"]
+    derived = spark.createDataFrame([("B", "g:get")], "src string, dst string")
+    assert rows(graph.impact_radius(calls, derived, changed, 1), "node") == [("B",), ("f:A.load",), ("h:main",)]
+    assert graph.mermaid(derived).first()["diagram"] == 'graph LR\n  B["B"] --> g_get["g:get"]'
+
+
+def test_loose_targets_usages_and_context(spark):
+    f = spark.createDataFrame([("lib/a.dart", "class Foo {}\nFoo x;"), ("lib/b.dart", "Foo y = Foo();")], "path string, content string")
+    i = spark.createDataFrame([("lib/b.dart", "a.dart"), ("lib/b.dart", "pkg/a_helper"), ("lib/b.dart", "zzz")], "path string, spec string")
+    assert rows(resolve.loose_targets(i, f), "spec", "target") == [("a.dart", "lib/a.dart"), ("pkg/a_helper", "lib/a.dart")]
+    from lodestrata.parse import tables
+
+    u = tables.usages(tables.parsed(f), f).where("name = 'Foo'")
+    assert rows(u, "used_in", "times") == [("lib/a.dart", 1), ("lib/b.dart", 2)]
+    resolved = spark.createDataFrame([("lib/c.dart", "lib/a.dart")], "path string, target string")
+    assert ("lib/c.dart",) in rows(resolve.propagate_usage(u, resolved), "used_in")
+    ls = lines.lines(f)
+    assert lines.with_context(ls).where("path = 'lib/a.dart' and line = 1").first()["context"] == "class Foo {}\nFoo x;"
+    assert rows(lines.direct_calls(ls, "foo"), "path", "name") == [("lib/b.dart", "Foo")]
+    names = spark.createDataFrame([("Foo",), ("Bar",)], "name string")
+    d = spark.createDataFrame([("Foo", "b", 1), ("Foo", "a", 9)], "name string, path string, line int")
+    assert rows(resolve.first_definition(names, d), "name", "def_path") == [("Bar", None), ("Foo", "a")]
+
+
+def test_reports(spark):
+    s = spark.createDataFrame([("x", "class", "A"), ("y", "class", "A"), ("y", "class", "B"), ("x", "enum", "E")], "engine string, metric string, name string")
+    assert rows(audit.parity_matrix(s, ["x", "y"]), "metric", "x", "y") == [("class", 1, 2), ("enum", 1, 0)]
+    assert rows(audit.only_in(s, "y", "x"), "name") == [("B",)]
+    g = spark.createDataFrame([(" M lib/a.dart",), ("R  old.kt -> new.kt",), ("?? x y.ts",), ("lib/b.dart",)], "text string")
+    assert rows(file_sources.porcelain_paths(g), "path") == [("lib/a.dart",), ("lib/b.dart",), ("new.kt",), ("x y.ts",)]
