@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm.corpus import table
+from lodestrata.llm.corpus import bounded, table
 from lodestrata.llm.parity_join import one_of_each
 from lodestrata.llm.piece_lattice import sampled_pieces
 from lodestrata.llm.pii_bootstrap import redacted
@@ -25,6 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return one_of_each(docs)
 
 
@@ -33,10 +34,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return redacted(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return sampled_pieces(docs)
 
 
