@@ -28,9 +28,11 @@ from lodestrata.llm.store import written
 TERM_WORDS, BITS, RADIUS, KEEP = 3, 64, 3, 2
 _SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)[:, ::-1].astype(np.float64) * 2) - 1
 #: Documents in one range of the order that gives each its next one.
-RANGE_ROWS = 4096
+RANGE_ROWS = 1024
 #: Ranges at most; beyond that they get longer (rows stream through them, sorted by Spark).
 MOST_RANGES = 8192
+#: Ranges of one partition on average: several small ones even out; and fingerprints that may be broadcast.
+RANGES_EACH, BROADCAST_PRINTS = 4, 1 << 20
 
 
 def fingerprints(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -112,6 +114,22 @@ def with_neighbours(prints: DataFrame, radius: int = RADIUS, keep: int = KEEP) -
     return a.join(b, near, "left_semi").select(F.lower(F.lpad(F.hex("a_bits"), 16, "0")).alias("fingerprint")).distinct()
 
 
+def _edges_up_to(edges: list[int], x):
+    """How many of the sorted edges are at most x (0 for null), by binary search."""
+    if not edges:
+        return F.lit(0)
+    table = F.lit(edges)
+
+    def halve(acc, _):
+        middle = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        open_ = acc["lo"] < acc["hi"]
+        right = open_ & F.coalesce(F.element_at(table, F.least(middle + 1, F.lit(len(edges)))) <= x, F.lit(False))
+        return F.struct(F.when(right, middle + 1).otherwise(acc["lo"]).alias("lo"), F.when(open_ & ~right, middle).otherwise(acc["hi"]).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(edges)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(edges).bit_length())), start, halve, lambda acc: acc["lo"])
+
+
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, in which the last quarter is replaced by the
     beginning of the next document.
@@ -127,8 +145,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     edges = ids.approxQuantile("doc_id", [k / cuts for k in range(1, cuts)], 0.2 / cuts) if cuts > 1 else []
     edges = sorted({int(x) for x in edges})
     spark = docs.sparkSession
-    width = lambda c: F.size(F.filter(F.lit(edges) if edges else F.array().cast("array<long>"), lambda e: e <= c))
-    rank = F.coalesce(width(F.col("doc_id")), F.lit(0))
+    rank = _edges_up_to(edges, F.col("doc_id"))
     firsts = {r["range"]: r["doc_id"] for r in ids.select("doc_id", rank.alias("range")).groupBy("range").agg(F.min("doc_id").alias("doc_id"), F.max(F.col("doc_id").isNull()).alias("nulls")).select("range", F.when(~F.col("nulls"), F.col("doc_id")).alias("doc_id")).collect()}
     if not firsts:
         return spark.createDataFrame([], f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
@@ -137,7 +154,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     ends = [(firsts[r], order[i - 1]) for i, r in enumerate(order)]
     ends = spark.createDataFrame(ends, f"first {kind}, before int")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), rank.alias("range"))
-    parts = max(2, min(len(order), spark.sparkContext.defaultParallelism * 64))
+    parts = max(2, len(order) // RANGES_EACH)
     marked = rows.join(F.broadcast(ends), F.col("doc_id").eqNullSafe(F.col("first")), "left")
     sent = marked.select("doc_id", "text", F.explode(F.when(F.col("before").isNull(), F.array(F.struct("range", F.lit(False).alias("next")))).otherwise(F.array(F.struct("range", F.lit(False).alias("next")), F.struct(F.col("before").alias("range"), F.lit(True).alias("next"))))).alias("to"))
     sent = sent.select("doc_id", "text", "to.range", "to.next").repartition(parts, "range").sortWithinPartitions("range", "next", "doc_id", "text")
@@ -198,5 +215,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 def searched_fingerprints(docs: DataFrame) -> DataFrame:
     """edited_fingerprints() with ``near_other``: another fingerprint of the corpus lies within the radius."""
     rows = written(edited_fingerprints(docs), "fingerprints")
-    near = with_neighbours(rows).withColumn("near_other", F.lit(True))
-    return rows.join(near, "fingerprint", "left").select(*rows.columns, F.coalesce("near_other", F.lit(False)).alias("near_other"))
+    # written: a join of two plain exchanges can split a fingerprint that very many documents have
+    near = written(with_neighbours(rows).withColumn("near_other", F.lit(True)), "near")
+    side = F.broadcast(near) if near.count() <= BROADCAST_PRINTS else near
+    return rows.join(side, "fingerprint", "left").select(*rows.columns, F.coalesce("near_other", F.lit(False)).alias("near_other"))
