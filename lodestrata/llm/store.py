@@ -13,10 +13,12 @@ _own: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where that is unset (local runs, tests) a folder of this process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        app = spark.sparkContext.applicationId
-        found = _own.setdefault(app, "") or _own.__setitem__(app, tempfile.mkdtemp(prefix="lodestrata-")) or _own[app]
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="lodestrata-")
+    return _own[app]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
