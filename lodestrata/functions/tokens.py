@@ -23,7 +23,7 @@ def _text(c) -> Column:
 
 def ascii_tokens(c) -> Column:
     split = F.regexp_replace(F.regexp_replace(_text(c), "([a-z])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    return F.filter(F.split(F.lower(F.regexp_replace(split, "[^a-zA-Z0-9]", " ")), " +"), lambda t: F.char_length(t) > 1)
+    return F.transform(F.filter(F.split(split, "[^a-zA-Z0-9]+"), lambda t: F.char_length(t) > 1), F.lower)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -78,6 +78,16 @@ def idf_table(docs: DataFrame, dialect: str = "ts") -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", idf(F.lit(float(n)), F.col("df")))
 
 
+#: Input of at most so many bytes is dealt over all cores first.
+SMALL_INPUT = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Small inputs dealt over all cores: a file of one row group is one task however it is split.  Larger ones stay."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_INPUT else df
+
+
 def scored(docs: DataFrame, query: str, dialect: str = "ts", overlap: bool = True) -> DataFrame:
     """(id, name, score, hits) of the candidates: hits is the number of query terms a document has."""
     d, terms = DIALECTS[dialect], query_tokens(query, dialect)
@@ -85,10 +95,18 @@ def scored(docs: DataFrame, query: str, dialect: str = "ts", overlap: bool = Tru
     if not terms:
         return docs.select("id", "name", F.lit(0.0).alias("score"), F.lit(0).alias("hits")).limit(0)
     tokens = {c: f"_{c}" for c in fields}
-    rows = docs.select("id", "name", *[d.tokens(c).alias(a) for c, a in tokens.items()])
     tf = [_total([F.size(F.filter(a, lambda x: x == F.lit(t))) * F.lit(d.weights[c]) for c, a in tokens.items()]) for t in terms]  # noqa: B023
-    rows = rows.select("id", "name", _total([F.size(a) * F.lit(d.weights[c]) for c, a in tokens.items()]).alias("dl"), *[t.alias(f"tf{i}") for i, t in enumerate(tf)])
-    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
+
+    def measured(part: DataFrame) -> DataFrame:
+        rows = spread(part).select("id", "name", *[d.tokens(c).alias(a) for c, a in tokens.items()])
+        m = F.struct(_total([F.size(a) * F.lit(d.weights[c]) for c, a in tokens.items()]).alias("dl"), *[t.alias(f"tf{i}") for i, t in enumerate(tf)])
+        # through a generator of one row, so that filters above are not pushed down with a copy of the tokenizer each
+        return rows.select("id", "name", F.explode(F.array(m)).alias("m")).select("id", "name", "m.*")
+
+    stats = measured(docs).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
+    # a document with a term has it as a substring, so only such ones are taken apart again
+    whole = F.lower(F.concat_ws("\n", *fields))
+    rows = measured(docs.where(reduce(lambda a, b: a | b, [F.contains(whole, F.lit(t)) for t in [*terms, query.strip().lower()]])))
     avg = (stats["avgdl"] or 0.0) + (1e-9 if dialect == "rs" else 0.0)
     norm = F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(avg if avg else 1.0)
     parts = []
