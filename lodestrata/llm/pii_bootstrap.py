@@ -1,8 +1,9 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
-Base entities (e-mail, IP address, card, phone) are found by their forms.  They seed the extraction: the
-words in front of identifier-like tokens are lexical patterns, and a graph joins patterns with the
-values (instances) that stand behind them.  Scores pass between both sides for a few rounds: a
+Base entities (e-mail, IP address, card, phone) are found by their forms.  They seed the extraction: each
+is an instance as a whole, and so is each identifier-like token or spaced group of digits that touches
+none.  The words in front of instances are lexical patterns, and a graph joins patterns with the
+values of the instances that stand behind them.  Scores pass between both sides for a few rounds: a
 pattern is as trustworthy as its instances, an instance as the patterns that name it.  Patterns of
 high confidence and support then yield the identifiers behind them that no form has caught.  Long
 hexadecimal keys seed the kind ``secret``, which has no base form.
@@ -12,8 +13,8 @@ backtracking over long runs: a repetition that nothing can follow differently is
 are entered at their beginning (or where the previous match ended), which gives the same leftmost
 matches.
 
-Defined results: a null text is empty and has no spans; equal rows get equal spans; found spans that touch a
-base span are dropped; other columns are ignored by the report and kept by the redaction, which brings
+Defined results: a null text is empty and has no spans; equal rows get equal spans; what touches a
+base span is not found, nor what lies within a longer found span; other columns are ignored by the report and kept by the redaction, which brings
 ``n_chars`` up to date; an empty table gives an empty result.
 """
 
@@ -34,10 +35,15 @@ FORMS = {
 }
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _TOKEN = "[A-Za-z0-9._@/+-]"
-#: An identifier-like token: six or more such characters, one of them a digit.
-CANDIDATE = rf"(?<!{_TOKEN})(?=[A-Za-z._@/+-]*+[0-9]){_TOKEN}{{6,}}+"
+#: An identifier-like token: six or more such characters, one of them a digit or an inner @.
+CANDIDATE = rf"(?<!{_TOKEN})(?=[A-Za-z._@/+-]*+[0-9]|[A-Za-z._/+-]++@[A-Za-z]){_TOKEN}{{6,}}+"
+#: Digits (with dots and hyphens) in two or more groups that spaces or brackets part, with no token at either end.
+_GROUP = rf"[0-9]++(?:[.-][0-9]++)*+(?![._@/+-]*+{_TOKEN.replace('._@/+-', '_@')})"
+SPACED = rf"(?<!{_TOKEN})[+(]{{0,2}}+{_GROUP}(?:(?:\)[\x20-]?|\x20\(?){_GROUP})++"
 #: Words of a pattern, rounds of scoring, and what a pattern needs to be believed.
 CONTEXT_WORDS, ROUNDS, LEAST_SEEDS, CONFIDENCE = 3, 3, 3, 0.7
+#: Least length of what is no base entity, and characters in front of an instance that hold its context.
+LEAST_LENGTH, CONTEXT_CHARS = 6, 48
 SECRET_LENGTH = 32
 BROADCAST_ROWS = 100_000
 
@@ -45,18 +51,20 @@ _SPANS = "array<struct<s:int,e:int,v:string,before:string>>"
 
 
 def matches(text: Column, form: str) -> Column:
-    """Leftmost non-overlapping matches: s, e, v, and the text between the previous match and this one.
+    """Leftmost non-overlapping matches: s, e, v, and the last CONTEXT_CHARS characters before it.
 
     The parts around the matches come from a split by the same form; both give the positions.
     """
     found, parts = F.regexp_extract_all(text, F.lit(form), F.lit(0)), F.split(text, form, -1)
     both = F.arrays_zip(found.alias("v"), F.slice(parts, 1, F.size(found)).alias("b"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(_SPANS).alias("out"))
+    last = lambda c: F.substring(c, -CONTEXT_CHARS, CONTEXT_CHARS)
 
     def step(acc, m):
         s = acc["at"] + F.char_length(m["b"])
         e = s + F.char_length(m["v"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), m["v"].alias("v"), m["b"].alias("before")))).alias("out"))
+        before = last(F.concat(acc["tail"], last(m["b"])))
+        return F.struct(e.alias("at"), last(F.concat(before, last(m["v"]))).alias("tail"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), m["v"].alias("v"), before.alias("before")))).alias("out"))
 
     return F.aggregate(both, empty, step, lambda acc: acc["out"])
 
@@ -100,29 +108,40 @@ def _listed(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))))
 
 
-def _candidates(text: Column, base: Column) -> Column:
-    """Identifier-like tokens with context, shape and the kind of the base span they touch."""
-    found = F.when(text.rlike("[0-9]"), matches(text, CANDIDATE)).otherwise(_none())
+def _instance(s: Column, e: Column, v: Column, before: Column, seed: Column, base: bool) -> Column:
+    """A value with its pattern: the shape of the value and the words in front of it."""
+    tail = F.regexp_replace(F.lower(before), r"\s+", " ")
+    context = F.regexp_extract(tail, rf"((?:\S+ ){{0,{CONTEXT_WORDS - 1}}}\S* ?)$", 1)
+    shape = F.when(v.rlike(r"^[\x20()0-9+-]+$"), "digits").when(v.rlike("^[0-9a-f]+$"), "hex").when(F.contains(v, F.lit("@")), "mail").otherwise("mixed")
+    seed = F.coalesce(seed, F.when((shape == "hex") & (F.char_length(v) >= SECRET_LENGTH), "secret"))
+    return F.struct(s.alias("s"), e.alias("e"), v.alias("v"), F.concat_ws(" ", shape, context).alias("pattern"), F.trim(context).alias("context"), seed.alias("seed"), F.lit(base).alias("base"))
+
+
+def _seeds(spans: Column, kind: str, base: Column) -> Column:
+    """Instances of the whole base spans of a kind, but of those within a longer base span."""
+    outer = F.filter(spans, lambda m: ~F.exists(base, lambda b: (b["s"] <= m["s"]) & (b["e"] >= m["e"]) & (b["e"] - b["s"] > m["e"] - m["s"])))
+    return F.transform(outer, lambda m: _instance(m["s"], m["e"], m["v"], m["before"], F.lit(kind), True))
+
+
+def _candidates(text: Column, form: str, base: Column) -> Column:
+    """Instances of a form that touch no base span."""
+    found = F.when(text.rlike("[0-9@]"), matches(text, form)).otherwise(_none())
 
     def of(m):
         v = F.regexp_replace(m["v"], "[._@/+-]+$", "")
-        e = m["s"] + F.char_length(v)
-        near = F.filter(base, lambda b: (b["s"] < e) & (b["e"] > m["s"]))
-        tail = F.regexp_replace(F.lower(F.substring(m["before"], -48, 48)), r"\s+", " ")
-        context = F.regexp_extract(tail, rf"((?:\S+ ){{0,{CONTEXT_WORDS - 1}}}\S* ?)$", 1)
-        shape = F.when(v.rlike("^[0-9]+$"), "digits").when(v.rlike("^[0-9a-f]+$"), "hex").when(F.contains(v, F.lit("@")), "mail").otherwise("mixed")
-        seed = F.when(F.size(near) > 0, F.get(near, F.lit(0))["kind"]).when((shape == "hex") & (F.char_length(v) >= SECRET_LENGTH), "secret")
-        return F.struct(m["s"].alias("s"), e.alias("e"), v.alias("v"), F.concat_ws("|", shape, context).alias("pattern"), F.trim(context).alias("context"), seed.alias("seed"), (F.size(near) > 0).alias("base"))
+        return _instance(m["s"], m["s"] + F.char_length(v), v, m["before"], F.lit(None).cast("string"), False)
 
-    return F.filter(F.transform(found, of), lambda c: (F.char_length(c["v"]) >= 6) & (c["context"] != ""))
+    fits = lambda c: (F.char_length(c["v"]) >= LEAST_LENGTH) & ~F.exists(base, lambda b: (b["s"] < c["e"]) & (b["e"] > c["s"]))
+    return F.filter(F.transform(found, of), fits)
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the text, base spans and candidates of every row: one pass, no shuffle."""
+    """doc_id, digest of the text, base spans and instances (``candidates``) of every row: one pass, no shuffle."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumns({f"m_{k}": base_spans(F.col("text"), k) for k in KINDS})
     rows = rows.withColumn("base", F.array_sort(F.concat(*[_tagged(F.col(f"m_{k}"), k) for k in KINDS])))
-    rows = rows.withColumn("candidates", _candidates(F.col("text"), F.col("base")))
+    instances = [*[_seeds(F.col(f"m_{k}"), k, F.col("base")) for k in KINDS], *[_candidates(F.col("text"), form, F.col("base")) for form in (CANDIDATE, SPACED)]]
+    rows = rows.withColumn("candidates", F.filter(F.concat(*instances), lambda c: c["context"] != ""))
     return rows.select("doc_id", F.xxhash64("text").alias("digest"), *[F.size(f"m_{k}").cast("long").alias(f"n_{k}") for k in KINDS], "base", "candidates")
 
 
@@ -148,7 +167,9 @@ def found_spans(scan: DataFrame) -> DataFrame:
     rows = scan.where(F.size("candidates") > 0).select("doc_id", "digest", F.explode("candidates").alias("c")).where("not c.base")
     got = rows.select("doc_id", "digest", "c.s", "c.e", "c.pattern").join(trusted_patterns(scan).select("pattern", "kind"), "pattern")
     span = F.struct(F.col("s"), F.lit(len(KINDS)).alias("k"), F.when(F.col("kind") == "secret", "secret").otherwise(F.concat(F.lit("ctx_"), F.col("kind"))).alias("kind"), F.col("e"))
-    return got.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set(span)).alias("found"))
+    spans = got.groupBy("doc_id", "digest").agg(F.collect_set(span).alias("all"))
+    inner = lambda x: F.exists("all", lambda o: (o["s"] <= x["s"]) & (o["e"] >= x["e"]) & (o["e"] - o["s"] > x["e"] - x["s"]))
+    return spans.select("doc_id", "digest", F.array_sort(F.filter("all", lambda x: ~inner(x))).alias("found"))
 
 
 def _with_found(rows: DataFrame, scan: DataFrame) -> DataFrame:

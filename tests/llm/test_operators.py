@@ -119,6 +119,20 @@ def test_patterns_find_unseen_identifiers(spark):
     assert all(out[i]["n_ip"] == 1 for i in range(6))
 
 
+def test_whole_base_entities_seed_patterns(spark):
+    cards = ["4111 1111 1111 1111", "5555 5555 5555 4444", "4012 8888 8888 1881", "3530 1113 3330 0000"]
+    rows = [(i, f"please write to {name}.doe@example.com now") for i, name in enumerate(["jane", "john", "mary", "ann"])]
+    rows += [(10 + i, f"my bank card {c} is here") for i, c in enumerate(cards)]
+    rows += [(20 + i, f"you may call me at +1 (48{i}) 555-720{i} today") for i in range(4)]
+    unseen = {30: ("please write to ", "jane.doe@localhost", "ctx_email"), 31: ("this is my bank card ", "4111 1111 1111 1112", "ctx_card"), 32: ("or call me at ", "(020) 7946 0958", "ctx_phone")}
+    rows += [(i, f"{before}{v} now") for i, (before, v, _) in unseen.items()]
+    rows += [(40, "we met jane.doe@localhost and 4111 1111 1111 1112 and (020) 7946 0958 there")]
+    out = {r["doc_id"]: r for r in pii_bootstrap.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (before, v, kind) in unseen.items():
+        assert out[i]["spans"] == f"{kind}:{len(before)}:{len(before) + len(v)}"
+    assert out[40]["n_found"] == 0 and out[10]["n_card"] == 1 and out[20]["spans"] == "phone:19:36"
+
+
 def test_redaction_keeps_columns(spark, odd, none):
     out = pii_bootstrap.redacted(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
