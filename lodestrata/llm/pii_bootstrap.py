@@ -2,9 +2,9 @@
 
 Base entities (e-mail, IP address, card, phone) are found by their forms.  They seed the extraction: each
 is an instance as a whole, and so is each identifier-like token or spaced group of digits that touches
-none.  The words in front of instances are lexical patterns, and a graph joins patterns with the
-values of the instances that stand behind them.  Scores pass between both sides for a few rounds: a
-pattern is as trustworthy as its instances, an instance as the patterns that name it.  Patterns of
+none.  The last one, two and three words in front of instances are lexical patterns, and a graph joins
+patterns with the values of the instances that stand behind them.  Scores pass between both sides for a few rounds: a
+pattern is as trustworthy as its instances, an instance as the patterns that name it (of patterns that end in the same word, the best one).  Patterns of
 high confidence and support then yield the identifiers behind them that no form has caught.  Long
 hexadecimal keys seed the kind ``secret``, which has no base form.
 
@@ -40,7 +40,7 @@ CANDIDATE = rf"(?<!{_TOKEN})(?=[A-Za-z._@/+-]*+[0-9]|[A-Za-z._/+-]++@[A-Za-z]){_
 #: Digits (with dots and hyphens) in two or more groups that spaces or brackets part, with no token at either end.
 _GROUP = rf"[0-9]++(?:[.-][0-9]++)*+(?![._@/+-]*+{_TOKEN.replace('._@/+-', '_@')})"
 SPACED = rf"(?<!{_TOKEN})[+(]{{0,2}}+{_GROUP}(?:(?:\)[\x20-]?|\x20\(?){_GROUP})++"
-#: Words of a pattern, rounds of scoring, and what a pattern needs to be believed.
+#: Words of a pattern at most, rounds of scoring, and what a pattern needs to be believed.
 CONTEXT_WORDS, ROUNDS, LEAST_SEEDS, CONFIDENCE = 3, 3, 3, 0.7
 #: Least length of what is no base entity, and characters in front of an instance that hold its context.
 LEAST_LENGTH, CONTEXT_CHARS = 6, 48
@@ -109,12 +109,13 @@ def _listed(spans: Column) -> Column:
 
 
 def _instance(s: Column, e: Column, v: Column, before: Column, seed: Column, base: bool) -> Column:
-    """A value with its pattern: the shape of the value and the words in front of it."""
+    """A value with its patterns: the shape of the value and the last words in front of it, one up to CONTEXT_WORDS."""
     tail = F.regexp_replace(F.lower(before), r"\s+", " ")
-    context = F.regexp_extract(tail, rf"((?:\S+ ){{0,{CONTEXT_WORDS - 1}}}\S* ?)$", 1)
+    contexts = F.array(*[F.regexp_extract(tail, rf"((?:\S+ ){{0,{n}}}\S* ?)$", 1) for n in range(CONTEXT_WORDS)])
+    contexts = F.array_distinct(F.filter(contexts, lambda c: F.trim(c) != ""))
     shape = F.when(v.rlike(r"^[\x20()0-9+-]+$"), "digits").when(v.rlike("^[0-9a-f]+$"), "hex").when(F.contains(v, F.lit("@")), "mail").otherwise("mixed")
     seed = F.coalesce(seed, F.when((shape == "hex") & (F.char_length(v) >= SECRET_LENGTH), "secret"))
-    return F.struct(s.alias("s"), e.alias("e"), v.alias("v"), F.concat_ws(" ", shape, context).alias("pattern"), F.trim(context).alias("context"), seed.alias("seed"), F.lit(base).alias("base"))
+    return F.struct(s.alias("s"), e.alias("e"), v.alias("v"), F.transform(contexts, lambda c: F.concat_ws(" ", shape, c)).alias("patterns"), seed.alias("seed"), F.lit(base).alias("base"))
 
 
 def _seeds(spans: Column, kind: str, base: Column) -> Column:
@@ -141,23 +142,31 @@ def scanned(docs: DataFrame) -> DataFrame:
     rows = rows.withColumns({f"m_{k}": base_spans(F.col("text"), k) for k in KINDS})
     rows = rows.withColumn("base", F.array_sort(F.concat(*[_tagged(F.col(f"m_{k}"), k) for k in KINDS])))
     instances = [*[_seeds(F.col(f"m_{k}"), k, F.col("base")) for k in KINDS], *[_candidates(F.col("text"), form, F.col("base")) for form in (CANDIDATE, SPACED)]]
-    rows = rows.withColumn("candidates", F.filter(F.concat(*instances), lambda c: c["context"] != ""))
+    rows = rows.withColumn("candidates", F.filter(F.concat(*instances), lambda c: F.size(c["patterns"]) > 0))
     return rows.select("doc_id", F.xxhash64("text").alias("digest"), *[F.size(f"m_{k}").cast("long").alias(f"n_{k}") for k in KINDS], "base", "candidates")
 
 
+def _small(side: DataFrame) -> DataFrame:
+    """A written table that is sent to all if it is small, and shuffled if not."""
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+
 def trusted_patterns(scan: DataFrame) -> DataFrame:
     """pattern, kind, confidence of the patterns that the graph of patterns and instances supports."""
-    rows = scan.where(F.size("candidates") > 0).select(F.explode("candidates").alias("c")).select("c.pattern", "c.v", "c.seed")
+    rows = scan.where(F.size("candidates") > 0).select(F.explode("candidates").alias("c")).select(F.explode("c.patterns").alias("pattern"), "c.v", "c.seed")
     edges = written(rows.groupBy("pattern", "v").agg(F.max("seed").alias("seed")), "pattern-instances")
     # only patterns that seeds induce can gain confidence
     induced = edges.where("seed is not null").groupBy("pattern").agg(F.count("*").alias("seeds"), F.mode("seed", deterministic=True).alias("kind")).where(F.col("seeds") >= LEAST_SEEDS)
-    edges = written(edges.join(induced, "pattern"), "induced")
+    # patterns of the same last word tell the same of a value, so the best of them counts
+    edges = edges.join(_small(written(induced, "induced-patterns")), "pattern").withColumn("root", F.regexp_extract("pattern", r"(\S* ?)$", 1))
+    edges = written(edges, "induced")
     score = edges.select("v", F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0).alias("score")).groupBy("v").agg(F.max("score").alias("score"))
     trust = None
     for _ in range(ROUNDS):
         trust = edges.join(score, "v").groupBy("pattern", "kind", "seeds").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"))
         trust = written(trust, "trust")
-        named = edges.join(trust.select("pattern", "confidence"), "pattern").groupBy("v").agg(F.max(F.col("seed").isNotNull()).alias("sure"), (1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("named"))
+        named = edges.join(_small(trust.select("pattern", "confidence")), "pattern").groupBy("v", "root").agg(F.max(F.col("seed").isNotNull()).alias("sure"), F.max("confidence").alias("confidence"))
+        named = named.groupBy("v").agg(F.max("sure").alias("sure"), (1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("named"))
         score = named.select("v", F.when(F.col("sure"), 1.0).otherwise(F.col("named")).alias("score"))
     return trust.where(F.col("confidence") >= CONFIDENCE).select("pattern", "kind", "confidence")
 
@@ -165,7 +174,10 @@ def trusted_patterns(scan: DataFrame) -> DataFrame:
 def found_spans(scan: DataFrame) -> DataFrame:
     """doc_id, digest, found: what trusted patterns yield beyond the base spans."""
     rows = scan.where(F.size("candidates") > 0).select("doc_id", "digest", F.explode("candidates").alias("c")).where("not c.base")
-    got = rows.select("doc_id", "digest", "c.s", "c.e", "c.pattern").join(trusted_patterns(scan).select("pattern", "kind"), "pattern")
+    rows = rows.select("doc_id", "digest", "c.s", "c.e", F.explode("c.patterns").alias("pattern"))
+    # the kind is that of the most trusted pattern, of equal ones the longest
+    by = F.struct(F.round("confidence", 9), F.char_length("pattern"), "pattern")
+    got = rows.join(_small(trusted_patterns(scan)), "pattern").groupBy("doc_id", "digest", "s", "e").agg(F.max_by("kind", by).alias("kind"))
     span = F.struct(F.col("s"), F.lit(len(KINDS)).alias("k"), F.when(F.col("kind") == "secret", "secret").otherwise(F.concat(F.lit("ctx_"), F.col("kind"))).alias("kind"), F.col("e"))
     spans = got.groupBy("doc_id", "digest").agg(F.collect_set(span).alias("all"))
     inner = lambda x: F.exists("all", lambda o: (o["s"] <= x["s"]) & (o["e"] >= x["e"]) & (o["e"] - o["s"] > x["e"] - x["s"]))

@@ -119,6 +119,14 @@ def test_patterns_find_unseen_identifiers(spark):
     assert all(out[i]["n_ip"] == 1 for i in range(6))
 
 
+def test_patterns_back_off_to_fewer_words(spark):
+    rows = [(i, f"some words, server address {10 + i}.20.30.{i} was used") for i in range(6)]
+    rows += [(50, "today the server address AB12-99X7 was used"), (51, "server address is not AB12-99X7"), (52, "address AB12-99X8")]
+    out = {r["doc_id"]: r for r in pii_bootstrap.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[50]["spans"] == "ctx_ip:25:34" and out[50]["n_found"] == 1
+    assert out[51]["n_found"] == 0 and out[52]["spans"] == "ctx_ip:8:17"
+
+
 def test_whole_base_entities_seed_patterns(spark):
     cards = ["4111 1111 1111 1111", "5555 5555 5555 4444", "4012 8888 8888 1881", "3530 1113 3330 0000"]
     rows = [(i, f"please write to {name}.doe@example.com now") for i, name in enumerate(["jane", "john", "mary", "ann"])]
