@@ -5,7 +5,9 @@ values canonicalises to the same template.  Windows of ``WINDOW`` canonical toke
 are hashed; each document's windows are looked up by hash, hits on one diagonal (document position
 less item position) are joined to runs, and each run is confirmed on the tokens themselves: literal
 tokens must be equal, and the slots must be consistent: one value of the item always corresponds to
-one value of the document, and the reverse.
+one value of the document (two values of the item may fall together).  A run with a conflict is
+split: of its longest consistent parts, those with the fewest disputed changes come first, the others
+give way where they overlap, and each part that still holds a window is confirmed.
 
 The benchmark is the small side.  It goes to the executors in blocks of at most ``BLOCK_WINDOWS``
 windows (its size is counted first); a larger benchmark takes more passes, so nothing that grows is
@@ -158,26 +160,53 @@ class Block:
             key, a, b = (int(text[k]), int(item[k]), int(diagonal[k])), int(hits[k, 0]), int(hits[k, 0] + width[k])
             if run and run[0] == key and a <= run[2]:
                 run[2] = max(run[2], b)
+                run[3].append((a, b))
             else:
                 if run:
                     yield from self._confirmed(run, tokens, value)
-                run = [key, a, b]
+                run = [key, a, b, [(a, b)]]
         yield from self._confirmed(run, tokens, value)
 
     def _confirmed(self, run, tokens, value):
-        (text, item, diagonal), a, b = run
-        there, back, slots, other = {}, {}, 0, 0
+        (text, item, diagonal), a, b, hits = run
+        parts, lo, seen, other, disputed = [], a, {}, {}, set()
         for k in range(a, b):
             x, y = value(k), self.values(k - diagonal)
-            if tokens["kind"][k] == LITERAL:
-                if x != y:
-                    return  # a hash met by chance
-                continue
-            slots += 1
-            other += x != y
-            if there.setdefault(y, x) != x or back.setdefault(x, y) != y:
-                return
-        yield text, item, a, b, a - diagonal, slots, other, int(tokens["s"][a]), int(tokens["e"][b - 1])
+            slot = tokens["kind"][k] != LITERAL
+            if x != y:
+                other[k] = y
+            first = lo
+            if x != y and not slot:
+                first = k + 1  # a hash met by chance
+            elif slot:
+                # the last place of this item value's last value, and of its values before
+                was, at, before = seen.get(y, (x, -1, -1))
+                if was != x:
+                    before = at
+                    disputed.add(y)
+                seen[y] = x, k, before
+                first = max(lo, before + 1)
+            if first > lo:
+                parts.append((lo, k))
+                lo = first
+        parts.append((lo, b))
+        if len(parts) > 1:
+            parts = self._apart(parts, hits, [k for k, y in other.items() if y in disputed])
+        for a, b in parts:
+            slots = int((tokens["kind"][a:b] != LITERAL).sum())
+            yield text, item, a, b, a - diagonal, slots, sum(a <= k < b for k in other), int(tokens["s"][a]), int(tokens["e"][b - 1])
+
+    @staticmethod
+    def _apart(parts, hits, disputed):
+        """Parts that do not overlap and hold a window: few disputed changes first, then long ones."""
+        holds = lambda p: any(p[0] <= a and b <= p[1] for a, b in hits)
+        taken: list[tuple[int, int]] = []
+        for p in sorted(filter(holds, parts), key=lambda p: (sum(p[0] <= k < p[1] for k in disputed), p[0] - p[1], p[0])):
+            free = [p]
+            for a, b in taken:
+                free = [q for lo, hi in free for q in ((lo, min(hi, a)), (max(lo, b), hi)) if q[0] < q[1]]
+            taken += filter(holds, free)
+        return sorted(taken)
 
 
 def blocks(benchmark: DataFrame, most: int = BLOCK_WINDOWS):

@@ -272,6 +272,22 @@ def test_templates_catch_other_values(spark, odd, none):
     assert {r["doc_id"] for r in template_decon.decontaminated(docs, bench).collect()} == {4, 5, 6} | ({3} if not any(r["doc_id"] == 3 for r in rows) else set())
 
 
+def test_a_slot_conflict_splits_the_run(spark):
+    fill = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
+    item = " ".join([*fill[:6], "12", *fill[6:56], "12", *fill[56:]])
+    near = "Some 5 words. " + item.replace("12", "13", 1) + " and more"
+    sum_ = "if he has 3 apples and she has 5 apples then how many are there"
+    docs = [(1, near), (2, sum_.replace("3", "4").replace("5", "4")), (3, item)]
+    bench = spark.createDataFrame([(1, item), (2, sum_)], "item_id long, text string")
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = collections.defaultdict(list)
+    for r in template_decon.contaminated_spans(docs, bench).collect():
+        rows[r["doc_id"]].append(r)
+    assert max(r["n_tokens"] for r in rows[1]) == 55 and any(r["verbatim"] for r in rows[1])
+    assert [(r["coverage"], r["slots_changed"]) for r in rows[2]] == [(1.0, 2)] and [r["coverage"] for r in rows[3]] == [1.0]
+    assert template_decon.decontaminated(docs, bench).count() == 0
+
+
 def test_decontamination_equals_brute_force(spark, sf):
     docs, bench = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     words = lambda t: [w for w in (x.strip("".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "%$")).lower() for x in (t or "").split()) if w]
