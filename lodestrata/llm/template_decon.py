@@ -15,8 +15,11 @@ broadcast, and the documents are not shuffled at all.
 
 Tokens are words without the ASCII punctuation at their ends, lower-cased (A-Z).  A number is a token
 of digits and ``.,:/-`` that begins with a digit; a unit is one of ``UNITS``; a name is a capitalised
-token that does not begin a sentence or line.  A window with fewer than ``LITERALS`` literal tokens is no
-evidence and is not used; an item shorter than a window is one window, if it has as many literals.
+token that does not begin a sentence or line.  As text is re-wrapped and quoted, windows are also hashed with
+every capitalised token as a name; what begins a sentence on both sides is still compared as it is.
+A window with fewer than ``LITERALS`` literal tokens is no evidence for a template and is used as it
+stands only: the tokens themselves are hashed too, so verbatim windows are found whatever they are
+made of.  An item shorter than a window is one window, if it has at least ``LITERALS`` tokens.
 
 Defined results: null and empty texts match nothing; null or too short items match nothing; repeated
 items and rows are each reported; other columns are ignored by the report and kept by the filter; empty
@@ -62,8 +65,8 @@ _UNIT_HASH = _unit_hashes()
 
 
 def canonical(buf: np.ndarray, offs: np.ndarray) -> dict:
-    """Tokens of a chunk: starts, ends, kind, hash of the token itself, hash of the canonical token, and
-    the number of the first token of each text."""
+    """Tokens of a chunk: starts, ends, kind, kind with every capitalised token as a name, hash of the
+    token itself, and the number of the first token of each text."""
     starts, ends, _ = K.words(buf, offs)
     n = len(buf)
     where = np.arange(n, dtype=np.int64)
@@ -89,18 +92,27 @@ def canonical(buf: np.ndarray, offs: np.ndarray) -> dict:
         capital = (head >= 65) & (head <= 90) & (next_ >= 97) & (e - s > 1)
         kind[capital & ~opens] = NAME
         kind[np.isin(own, _UNIT_HASH)] = UNIT
-    return {"s": s, "e": e, "kind": kind, "own": own, "hash": np.where(kind == LITERAL, own, _PLACEHOLDER[kind]), "first": np.searchsorted(s, offs)}
+    named = np.where(capital & (kind == LITERAL), NAME, kind).astype(np.uint8) if len(s) else kind
+    return {"s": s, "e": e, "kind": kind, "named": named, "own": own, "first": np.searchsorted(s, offs)}
 
 
 def windows(tokens: dict, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the windows with enough literals that lie within one text."""
-    h = K.run_hash(tokens["hash"], width)
-    if not len(h):
-        return np.zeros(0, np.int64), h
-    literal = np.concatenate(([0], np.cumsum(tokens["kind"] == LITERAL)))
+    """Positions and hashes of the windows that lie within one text: of the tokens themselves, and, where
+    they differ and have enough literals, of the two canonical forms."""
+    exact = K.run_hash(tokens["own"], width)
+    if not len(exact):
+        return np.zeros(0, np.int64), exact
     text = np.searchsorted(tokens["first"], np.arange(len(tokens["s"])), "right")
-    fits = (literal[width:] - literal[:-width] >= LITERALS) & (text[width - 1 :] == text[: len(h)])
-    return np.flatnonzero(fits), h[fits]
+    within = text[width - 1 :] == text[: len(exact)]
+    at, hashes, last = [np.flatnonzero(within)], [exact[within]], exact
+    for kind in (tokens["kind"], tokens["named"]):
+        h = K.run_hash(np.where(kind == LITERAL, tokens["own"], _PLACEHOLDER[kind]), width)
+        literal = np.concatenate(([0], np.cumsum(kind == LITERAL)))
+        fits = within & (literal[width:] - literal[:-width] >= LITERALS) & (h != exact) & (h != last)
+        at.append(np.flatnonzero(fits))
+        hashes.append(h[fits])
+        last = h
+    return np.concatenate(at), np.concatenate(hashes)
 
 
 class Block:
@@ -116,8 +128,10 @@ class Block:
         width = np.full(len(at), WINDOW)
         for k in np.flatnonzero(np.diff(first) < WINDOW):  # a short item is one window
             a, b = int(first[k]), int(first[k + 1])
-            if b > a and (self.tokens["kind"][a:b] == LITERAL).sum() >= LITERALS:
-                at, h, width = np.append(at, a), np.append(h, K.run_hash(self.tokens["hash"][a:b], b - a)), np.append(width, b - a)
+            if b - a >= LITERALS:
+                one = {c: self.tokens[c][a:b] for c in ("s", "kind", "named", "own")} | {"first": np.array([0, b - a])}
+                short, hashes = windows(one, b - a)
+                at, h, width = np.append(at, short + a), np.append(h, hashes), np.append(width, np.full(len(short), b - a))
         order = np.argsort(h, kind="stable")
         self.at, self.hash, self.width = at[order], h[order], width[order]
         self.item = np.searchsorted(first, self.at, "right") - 1
@@ -172,7 +186,8 @@ class Block:
         parts, lo, seen, other, disputed = [], a, {}, {}, set()
         for k in range(a, b):
             x, y = value(k), self.values(k - diagonal)
-            slot = tokens["kind"][k] != LITERAL
+            kind, kind_there = tokens["named"][k], self.tokens["named"][k - diagonal]
+            slot = kind == kind_there != LITERAL and not tokens["kind"][k] == self.tokens["kind"][k - diagonal] == LITERAL
             if x != y:
                 other[k] = y
             first = lo
@@ -193,7 +208,7 @@ class Block:
         if len(parts) > 1:
             parts = self._apart(parts, hits, [k for k, y in other.items() if y in disputed])
         for a, b in parts:
-            slots = int((tokens["kind"][a:b] != LITERAL).sum())
+            slots = int((tokens["kind"][a:b] != LITERAL).sum()) + sum(a <= k < b and tokens["kind"][k] == LITERAL for k in other)
             yield text, item, a, b, a - diagonal, slots, sum(a <= k < b for k in other), int(tokens["s"][a]), int(tokens["e"][b - 1])
 
     @staticmethod

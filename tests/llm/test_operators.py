@@ -288,6 +288,18 @@ def test_a_slot_conflict_splits_the_run(spark):
     assert template_decon.decontaminated(docs, bench).count() == 0
 
 
+def test_verbatim_windows_need_no_literals(spark):
+    items = ["12 + 7 = 19, 30 - 4 = 26, 5 * 5 = 25", "Alice 12 Bob 40 Carol 7 Dave 99 Erin 3", "What is the name of the longest river", "1914 Sarajevo 1918 Versailles 1929"]
+    items.append("Then Carol took the bus home with 30 heavy old books")
+    docs = [(k, f"some words and {t} and more") for k, t in enumerate(items)]
+    docs += [(10, "we saw that then\nAlice took the bus home with 40 heavy old books"), (11, "some words and 1914 Sarajevo 1918 and more"), (12, "What was the name of a long river")]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["verbatim"], r["coverage"]) for r in template_decon.contaminated_spans(docs, bench).collect()}
+    assert got == {(k, k, True, 1.0) for k in range(5)} | {(10, 4, False, 1.0)}
+    assert sorted(r["doc_id"] for r in template_decon.decontaminated(docs, bench).collect()) == [11, 12]
+
+
 def test_decontamination_equals_brute_force(spark, sf):
     docs, bench = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     words = lambda t: [w for w in (x.strip("".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "%$")).lower() for x in (t or "").split()) if w]
