@@ -9,13 +9,15 @@ and reported.  A template's name says which license it stands for.
 One pass without a shuffle; templates are a fixed, small list.
 
 Defined results: null texts and texts without a candidate give no rows; a block that no template
-explains gives none; of equally good templates the one with fewer differences, then the first by name, wins;
+explains gives none; of templates that overlap the one with more of its words there, then the one with fewer
+differences, then the one that saves more, wins; what is left of a block before and after a match is scanned again;
 repeated rows are each reported; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -106,39 +108,53 @@ def wording(block: str, words: list[str]) -> tuple[list[str], list[str], tuple[i
     return [w for k, w in enumerate(words) if k not in covered], [have[k] for k in range(a, b) if k not in used], (found[a].start(), found[b - 1].end())
 
 
-def scan_text(text: str) -> list[dict]:
-    """Confirmed licenses of a text, in the order they stand."""
-    models, out = _compressors(), {}
-    for start, end in candidates(text):
-        block = text[start:end]
-        data = block.encode()
-        alone = len(models[""][0].compress(data))
-        ranked = sorted(((1 - len(c.compress(data)) / alone, name) for name, (c, _) in models.items() if name), key=lambda x: (-x[0], x[1]))
-        best = None
-        for rank, (gain, name) in enumerate(ranked[:BEST]):
-            lacks, more, (a, b) = wording(block, models[name][1])
-            n = len(models[name][1])
-            # a long block around a short notice saves little of its size; its own words decide
-            own = 1 - len(models[name][0].compress(block[a:b].encode())) / max(1, len(models[""][0].compress(block[a:b].encode()))) if b > a else 0
-            if max(gain, own) < LEAST_GAIN or n - len(lacks) < LEAST_WORDS * n or len(more) > max(1, n // 10):
-                continue
-            # more of the template's words first: a short notice is also part of a longer header
-            key = (len(lacks) + len(more) > 0, -(n - len(lacks)), len(lacks) + len(more), rank)
-            if best is None or key < best[0]:
-                best = key, {"start": start + a, "end": start + b, "license": name.split("/")[0], "template": name, "rank": rank + 1, "saved": round(max(gain, own), 6), "lacks": " ".join(lacks), "adds": " ".join(more), "exact": not lacks and not more}
-        if best:
-            found = best[1]
-            same = out.get(found["start"])  # a line and the run of lines it stands in: the longer wording
-            if same is None or same["end"] < found["end"]:
-                out[found["start"]] = found
-    spans = sorted(out.values(), key=lambda r: (r["start"], -r["end"]))
+def _best(block: str) -> dict | None:
+    """The license whose wording explains most words of a block."""
+    models = _compressors()
+    data = block.encode()
+    alone = len(models[""][0].compress(data))
+    ranked = sorted(((1 - len(c.compress(data)) / alone, name) for name, (c, _) in models.items() if name), key=lambda x: (-x[0], x[1]))
+    best = None
+    for rank, (gain, name) in enumerate(ranked[:BEST]):
+        lacks, more, (a, b) = wording(block, models[name][1])
+        n = len(models[name][1])
+        # a long block around a short notice saves little of its size; its own words decide
+        own = 1 - len(models[name][0].compress(block[a:b].encode())) / max(1, len(models[""][0].compress(block[a:b].encode()))) if b > a else 0
+        if max(gain, own) < LEAST_GAIN or n - len(lacks) < LEAST_WORDS * n or len(more) > max(1, n // 10):
+            continue
+        # more of the template's words first: a short notice is also part of a longer header
+        key = (-(n - len(lacks)), len(lacks) + len(more), rank)
+        if best is None or key < best["key"]:
+            best = {"key": key, "start": a, "end": b, "license": name.split("/")[0], "template": name, "rank": rank + 1, "saved": round(max(gain, own), 6), "lacks": " ".join(lacks), "adds": " ".join(more), "exact": not lacks and not more}
+    return best
+
+
+def _all_in(text: str, start: int, end: int):
+    """Matches of a block: the best one, and those of what is left before and after it."""
+    left = [(start, end)]
+    while left:
+        start, end = left.pop()
+        if re.search(CUE, text[start:end]) and (found := _best(text[start:end])):
+            found |= {"start": start + found["start"], "end": start + found["end"]}
+            yield found
+            left += [(start, found["start"]), (found["end"], end)]
+
+
+def _apart(matches: list[dict]) -> list[dict]:
+    """Matches that do not overlap, those of most words first, in the order they stand."""
     kept: list[dict] = []
-    for r in spans:
-        if not kept or r["start"] >= kept[-1]["end"]:
-            kept.append(r)
+    for r in sorted(matches, key=lambda r: (r["key"], r["start"], r["end"])):
+        at = bisect(kept, r["start"], key=lambda k: k["start"])
+        if (not at or kept[at - 1]["end"] <= r["start"]) and (at == len(kept) or kept[at]["start"] >= r["end"]):
+            kept.insert(at, r)
     return kept
 
 
+def scan_text(text: str) -> list[dict]:
+    """Confirmed licenses of a text, in the order they stand."""
+    return _apart([found for start, end in candidates(text) for found in _all_in(text, start, end)])
+
+
 def license_spans(docs: DataFrame) -> DataFrame:
     """doc_id, block number, start, end (code points), license, template, rank, saved, lacks, adds, exact."""
     names = ["start", "end", "license", "template", "rank", "saved", "lacks", "adds", "exact"]

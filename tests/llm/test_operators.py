@@ -36,6 +36,16 @@ def test_license_scan_equals_brute_force(spark, sf):
     assert got == want
 
 
+def test_every_license_of_a_block():
+    apache, mit, header = (license_scan.TEMPLATES[k] for k in ("Apache-2.0/notice", "MIT/notice", "Apache-2.0/header"))
+    names = lambda text: [(r["template"], text[r["start"] : r["end"]]) for r in license_scan.scan_text(text)]
+    a, m = ("Apache-2.0/notice", apache[:-1]), ("MIT/notice", mit[:-1])
+    assert names(f"{apache} {mit}") == [a, m] and names(f"{mit} or {mit} or {apache}") == [m, m, a]
+    wrapped = re.sub(r"((?:\S+ ){9}\S+) ", "\\1\n", f"{header} {header}")
+    assert [t for t, _ in names(wrapped)] == ["Apache-2.0/header"] * 2
+    assert [t for t, _ in names(header.replace("specific", "exact"))] == ["Apache-2.0/header"]
+
+
 # ---- 2: sampled pieces
 def test_pieces_round_trip_and_repeat(spark, sf, odd, none):
     docs = table(spark, sf, "documents").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
