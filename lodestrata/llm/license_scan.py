@@ -1,10 +1,10 @@
 """License scans by conditional compression.
 
 Blocks of a text (lines, and runs of lines between blank ones) that mention a license at all are
-candidates.  Each is compressed by itself and with each template as raw zstandard dictionary; the
-templates are ranked by how much of the compressed size they save.  The best ones are confirmed by
-their exact wording: the words of block and template are aligned, and the differences are counted
-and reported.  A template's name says which license it stands for.
+candidates.  Around each mention, every template that can have enough of its words there is confirmed by
+its exact wording: the words of the stretch and the template are aligned, and the differences are counted
+and reported.  A confirmed stretch is compressed by itself and with each template as raw zstandard
+dictionary; the template must save enough of the compressed size, and is ranked by it among all.  A template's name says which license it stands for.
 
 One pass without a shuffle; templates are a fixed, small list.
 
@@ -17,7 +17,8 @@ repeated rows are each reported; other columns are ignored; an empty table gives
 from __future__ import annotations
 
 import re
-from bisect import bisect
+from bisect import bisect, bisect_left
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -49,9 +50,9 @@ TEMPLATES = {
 }
 #: What any candidate has, in the regular expressions of Java, Python and RE2 alike.
 CUE = r"(?i)licen[sc]e|permission|copyright|redistribut|public domain"
-#: Templates that are confirmed for each block; least part of the compressed size a template must save;
-#: least part of the template's words that the block must have, in order.
-BEST, LEAST_GAIN, LEAST_WORDS = 4, 0.2, 0.85
+#: Least part of the compressed size of its match a template must save; least part of the template's words that
+#: the match must have, in order.
+LEAST_GAIN, LEAST_WORDS = 0.2, 0.85
 
 _WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
 _models: dict = {}
@@ -86,10 +87,8 @@ def _compressors():
     return _models
 
 
-def wording(block: str, words: list[str]) -> tuple[list[str], list[str], tuple[int, int]]:
-    """Words that the block lacks, words it has between the template's, and the span of the match."""
-    found = list(_WORD.finditer(block))
-    have = [m[0].lower() for m in found]
+def wording(have: list[str], words: list[str]) -> tuple[list[str], list[str], tuple[int, int]]:
+    """Words that ``have`` lacks, words it has between the template's, and the range of the match."""
     same = [m for m in SequenceMatcher(None, have, words, autojunk=False).get_matching_blocks() if m.size]
     if not same:
         return words, [], (0, 0)
@@ -105,39 +104,57 @@ def wording(block: str, words: list[str]) -> tuple[list[str], list[str], tuple[i
     covered = {k for m in kept for k in range(m.b, m.b + m.size)}
     used = {k for m in kept for k in range(m.a, m.a + m.size)}
     a, b = kept[0].a, kept[-1].a + kept[-1].size
-    return [w for k, w in enumerate(words) if k not in covered], [have[k] for k in range(a, b) if k not in used], (found[a].start(), found[b - 1].end())
+    return [w for k, w in enumerate(words) if k not in covered], [have[k] for k in range(a, b) if k not in used], (a, b)
 
 
-def _best(block: str) -> dict | None:
-    """The license whose wording explains most words of a block."""
-    models = _compressors()
-    data = block.encode()
+def _saved(stretch: str) -> list[tuple[float, str]]:
+    """Part of the compressed size that each template saves, and its name: the most first."""
+    models, data = _compressors(), stretch.encode()
     alone = len(models[""][0].compress(data))
-    ranked = sorted(((1 - len(c.compress(data)) / alone, name) for name, (c, _) in models.items() if name), key=lambda x: (-x[0], x[1]))
-    best = None
-    for rank, (gain, name) in enumerate(ranked[:BEST]):
-        lacks, more, (a, b) = wording(block, models[name][1])
-        n = len(models[name][1])
-        # a long block around a short notice saves little of its size; its own words decide
-        own = 1 - len(models[name][0].compress(block[a:b].encode())) / max(1, len(models[""][0].compress(block[a:b].encode()))) if b > a else 0
-        if max(gain, own) < LEAST_GAIN or n - len(lacks) < LEAST_WORDS * n or len(more) > max(1, n // 10):
-            continue
-        # more of the template's words first: a short notice is also part of a longer header
-        key = (-(n - len(lacks)), len(lacks) + len(more), rank)
-        if best is None or key < best["key"]:
-            best = {"key": key, "start": a, "end": b, "license": name.split("/")[0], "template": name, "rank": rank + 1, "saved": round(max(gain, own), 6), "lacks": " ".join(lacks), "adds": " ".join(more), "exact": not lacks and not more}
-    return best
+    return sorted(((1 - len(c.compress(data)) / alone, name) for name, (c, _) in models.items() if name), key=lambda x: (-x[0], x[1]))
+
+
+def _around(text: str, found: list, have: list[str], cues: list[int], lo: int, hi: int):
+    """Matches within the words lo to hi of a block, the best one of each template around each cue."""
+    known: dict[tuple[int, int], list] = {}
+    for name, (_, words) in _compressors().items():
+        n, want, last = len(words), Counter(words), None
+        reach = n + max(1, n // 10)
+        for cue in cues if name else []:
+            a, b = max(lo, cue - reach), min(hi, cue + reach + 1)
+            if (a, b) == last or (Counter(have[a:b]) & want).total() < LEAST_WORDS * n:
+                continue
+            last = a, b
+            lacks, more, (x, y) = wording(have[a:b], words)
+            if n - len(lacks) < LEAST_WORDS * n or len(more) > max(1, n // 10):
+                continue
+            x, y = a + x, a + y
+            start, end = found[x].start(), found[y - 1].end()
+            if (x, y) not in known:
+                known[x, y] = _saved(text[start:end])
+            ranked = known[x, y]
+            rank, gain = next((k, gain) for k, (gain, of) in enumerate(ranked) if of == name)
+            if gain < LEAST_GAIN:
+                continue
+            # more of the template's words first: a short notice is also part of a longer header
+            key = (-(n - len(lacks)), len(lacks) + len(more), rank)
+            yield {"key": key, "words": (x, y), "start": start, "end": end, "license": name.split("/")[0], "template": name, "rank": rank + 1, "saved": round(gain, 6), "lacks": " ".join(lacks), "adds": " ".join(more), "exact": not lacks and not more}
 
 
 def _all_in(text: str, start: int, end: int):
-    """Matches of a block: the best one, and those of what is left before and after it."""
-    left = [(start, end)]
+    """Matches of a block, and those of what is left before, between and after them."""
+    found = list(_WORD.finditer(text, start, end))
+    have, ends = [m[0].lower() for m in found], [m.end() for m in found]
+    at = sorted({bisect(ends, start + m.start()) for m in re.finditer(CUE, text[start:end])})
+    left = [(0, len(found))]
     while left:
-        start, end = left.pop()
-        if re.search(CUE, text[start:end]) and (found := _best(text[start:end])):
-            found |= {"start": start + found["start"], "end": start + found["end"]}
-            yield found
-            left += [(start, found["start"]), (found["end"], end)]
+        lo, hi = left.pop()
+        if cues := at[bisect_left(at, lo) : bisect_left(at, hi)]:
+            matches = _apart(list(_around(text, found, have, cues, lo, hi)))
+            yield from matches
+            if matches:
+                edges = [lo, *[w for r in matches for w in r["words"]], hi]
+                left += [(a, b) for a, b in zip(edges[::2], edges[1::2]) if a < b]
 
 
 def _apart(matches: list[dict]) -> list[dict]:

@@ -46,6 +46,18 @@ def test_every_license_of_a_block():
     assert [t for t, _ in names(header.replace("specific", "exact"))] == ["Apache-2.0/header"]
 
 
+def test_short_notices_in_long_lines():
+    rng = random.Random(4)
+    common = "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has when who will no more if out so".split()
+    prose = " ".join(rng.choice(common) if rng.random() < 0.5 else "".join(rng.choices("aeioulnrst", k=6)) for _ in range(4000))
+    for name in ("MIT/notice", "CC-BY-4.0/notice", "GPL-3.0/notice", "Apache-2.0/notice"):
+        notice = license_scan.TEMPLATES[name]
+        text = f"{prose} {notice} {prose} {notice}"
+        got = [(r["template"], r["start"], r["exact"]) for r in license_scan.scan_text(text)]
+        assert got == [(name, len(prose) + 1, True), (name, len(text) - len(notice), True)]
+    assert license_scan.scan_text(f"{prose} license {prose}") == []
+
+
 # ---- 2: sampled pieces
 def test_pieces_round_trip_and_repeat(spark, sf, odd, none):
     docs = table(spark, sf, "documents").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
