@@ -3,7 +3,7 @@
 A document is the set of its distinct five-word shingles; two link at a Jaccard similarity of at least
 ``NUM / DEN``.  All links that matter for the connected classes are found exactly:
 
-1. Documents of equal sets form one class (128-bit digest of the set); one document represents it.
+1. Documents of equal sets form one class (128-bit digest of the set), which has a number of its own.
 2. Sketch.  A set's tokens are dealt by hash into ``p`` blocks and each block is the XOR of its tokens'
    hashes, so that the number of blocks in which two sets differ is a lower bound of their symmetric
    difference.  ``p`` belongs to a band of set sizes; a set takes part in its own band and, where a partner
@@ -14,14 +14,22 @@ A document is the set of its distinct five-word shingles; two link at a Jaccard
    only under the (shared - q + 1) rarest of them: two linked sets have one of these in common, since
    the order by rarity is the same for both.  A passage that very many documents have is therefore
    looked up only by those that consist of it for the most part.
-4. Verify.  First every member of a bucket against the bucket's least member, which is linear in the
-   bucket.  Where that leaves several classes in a bucket, the members outside its main class against
-   all members of other classes: in the join itself a pair must pass the size filter and the Hamming
-   distance of two 512-bit parity sketches, which again bounds the symmetric difference.  Pairs
+4. Verify.  First every member of a bucket against its most central member (the one whose sketches are
+   the most common), then the members outside the bucket's main class against one member of it and
+   one of their own, which each of some buckets draws by another hash, for as long as such rounds join many; a round is
+   linear in the buckets.  What is still in several classes is compared in full: in the join itself a pair must pass the size filter and
+   the Hamming distance of two 512-bit parity sketches, which again bounds the symmetric
+   difference, and is left out where a smaller sketch that both have is seen (among the ``LOW`` smallest of each).  Pairs
    within one class are never made.
 
-Sets of fewer than ``SMALL`` tokens use their tokens as blocks.  Larger ones have so many blocks that a
-set without q >= 1 is out of reach of chance (its expected number is over 6 standard deviations off).
+Holders of a sketch are counted in parts: where a task meets a sketch ``HOT`` times or more, it sends the
+number to the sketch's bucket and the holders elsewhere, so that a passage which a third of all documents
+have does not fill one bucket; the sum is joined back.  Sums of parts may count copies of a set again, which changes
+the order by rarity for all alike and nothing else.
+
+A set whose tokens meet in so few blocks that q < 1 (out of reach of chance, as sets of fewer than
+``SMALL`` tokens use their tokens as blocks) is looked up by its tokens: linked sets have one in common among
+the quarter of least hash, of both (``token_pairs``).
 
 Defined results: a text without words, or null, has no set and links with nothing; repeated doc_ids are
 one document each by its text and share the id; other columns are ignored by the join and kept by the
@@ -38,7 +46,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import kernels as K
 from lodestrata.llm.components import components
-from lodestrata.llm.store import written
+from lodestrata.llm.store import dropped, written
 
 NUM, DEN, WIDTH = 3, 4, 5
 SMALL = 64
@@ -51,6 +59,10 @@ BUCKET_SKETCHES, BROADCAST_IDS = 1 << 21, 1 << 20
 #: a candidate, never a result).
 _SKETCH_BYTES = 5
 _HEAD = np.dtype([("eid", "<i8"), ("count", "<u2")])
+_SUM = np.dtype([("sketch", "<i8"), ("count", "<u4")])
+#: Holders of a sketch in one task from which on only their number goes to the bucket; rounds of drawn heads, one in so
+#: many buckets that draws; and sketches of a set that tell whether a pair is made elsewhere.
+HOT, ROUNDS, DRAWN, LOW = 16, 4, 8, 32
 
 
 def band_of(n: int) -> int:
@@ -90,7 +102,7 @@ def entries_of(tokens: np.ndarray):
     n = len(tokens)
     for band in range(band_of(least_partner(n)), band_of(n) + 1):
         s = block_sketches(tokens, band)
-        yield band, s, max(1, len(s) - most_apart(n, band))
+        yield band, s, len(s) - most_apart(n, band)
 
 
 def digest(tokens: np.ndarray) -> bytes:
@@ -116,29 +128,34 @@ def entry_id(sid: bytes, band: int) -> int:
     return xxhash.xxh3_64_intdigest(sid, band) - (1 << 63)
 
 
-def memberships(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), sid (digest of the set; null without one), and the entry id and q of its one or two bands."""
-    names = ["doc_id", "n", "sid", "e0", "q0", "e1", "q1"]
+def memberships(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, the columns ``more``, n (set size), sid (digest of the set; null without one), and the entry id and q of its one or two bands."""
+    names = ["doc_id", *more, "n", "sid", "e0", "q0", "e1", "q1"]
 
     def run(batches):
         for batch in batches:
             rows = []
-            for _, t in _sets(batch, 1):
+            for _, t in _sets(batch, len(more) + 1):
                 sid = digest(t) if len(t) else None
                 bands = [x for band, s, q in entries_of(t) for x in (entry_id(sid, band), q)] if sid else []
                 rows.append((len(t), sid, *bands, *[None] * (4 - len(bands))))
             columns = list(zip(*rows)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, kind) for c, kind in zip(columns, [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()])]], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(more) + 1], *[pa.array(c, kind) for c, kind in zip(columns, [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()])]], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, sid binary, e0 long, q0 long, e1 long, q1 long")
+    taken = docs.select("doc_id", *more, "text")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-1])
+    return taken.mapInArrow(run, f"{kinds}, n long, sid binary, e0 long, q0 long, e1 long, q1 long")
 
 
 def packed_sketches(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, chunk): all block sketches, dealt by hash and packed.
+    """(bucket, heads, low, sums): all block sketches, dealt by hash and packed.
 
-    A chunk is a table of entry ids with their numbers of sketches, and then the low bytes of the sketches; a
-    set that occurs again in the same task is left out, so copies do not add up before the shuffle.
+    ``heads`` has entry ids with their numbers of sketches, ``low`` the low bytes of the sketches and ``sums`` the
+    sketches of which only the number of holders is sent; buckets from ``buckets`` on hold these holders (entry
+    ids and names of sketches), dealt evenly.  A set that occurs again in the same task is left out, so
+    copies do not add up before the shuffle.
     """
+    names, most = ["bucket", "heads", "low", "sums"], HOT
 
     def run(batches):
         seen: set[bytes] = set()
@@ -147,21 +164,31 @@ def packed_sketches(docs: DataFrame, buckets: int) -> DataFrame:
             owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
             sketch = np.concatenate(parts)
             bucket = ((sketch >> K.U(32)) * K.U(buckets) >> K.U(32)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            order = np.argsort(sketch, kind="stable")  # buckets grow with the sketch
+            owner, sketch, bucket = owner[order], sketch[order], bucket[order]
+            low = np.ascontiguousarray(sketch).view(np.uint8).reshape(-1, 8)[:, :_SKETCH_BYTES]
+            at = np.flatnonzero(np.concatenate(([True], sketch[1:] != sketch[:-1])))
+            often = np.diff(np.append(at, len(sketch)))
+            hot = np.repeat(often >= most, often)
+            sums = np.zeros((often >= most).sum(), _SUM)
+            sums["sketch"], sums["count"] = _widened(low[at[often >= most]]), often[often >= most]
+            of_sums = bucket[at[often >= most]]
             eids = np.array(eids, np.int64)
-            ids, blobs = [], []
-            for k in np.flatnonzero(np.diff(cuts)):
-                take = order[cuts[k] : cuts[k + 1]]
-                who, count = np.unique(owner[take], return_counts=True)
-                whole = np.repeat(who, -(-count // 65535))  # a very large set takes several lines
-                rows = np.zeros(len(whole), _HEAD)
-                rows["eid"] = eids[whole]
-                rows["count"] = _lines(count)
-                low = np.ascontiguousarray(sketch[take]).view(np.uint8).reshape(-1, 8)[:, :_SKETCH_BYTES]
-                ids.append(int(k))
-                blobs.append(len(rows).to_bytes(4, "little") + rows.tobytes() + low.tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "chunk"])
+            rows = []
+            if hot.any():
+                name = _named(_widened(low[hot]), bucket[hot])
+                rows.append((buckets + int(eids[0] % buckets), eids[owner[hot]].tobytes(), name.tobytes(), None))
+            owner, low, bucket = owner[~hot], low[~hot], bucket[~hot]
+            cuts, ends = np.searchsorted(bucket, np.arange(buckets + 1)), np.searchsorted(of_sums, np.arange(buckets + 1))
+            for k in np.flatnonzero(np.diff(cuts) + np.diff(ends)).tolist():
+                mine = slice(cuts[k], cuts[k + 1])
+                by = np.argsort(owner[mine], kind="stable")
+                who, count = np.unique(owner[mine], return_counts=True)
+                heads = np.zeros((-(-count // 65535)).sum(), _HEAD)  # a very large set takes several lines
+                heads["eid"] = eids[np.repeat(who, -(-count // 65535))]
+                heads["count"] = _lines(count)
+                rows.append((k, heads.tobytes(), low[mine][by].tobytes(), sums[ends[k] : ends[k + 1]].tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), [pa.int32(), pa.binary(), pa.binary(), pa.binary()])], names)
 
         eids, parts, size = [], [], 0
         for batch in batches:
@@ -180,7 +207,7 @@ def packed_sketches(docs: DataFrame, buckets: int) -> DataFrame:
         if size:
             yield flush(eids, parts)
 
-    return docs.select("text").mapInArrow(run, "bucket int, chunk binary")
+    return docs.select("text").mapInArrow(run, "bucket int, heads binary, low binary, sums binary")
 
 
 def _lines(count: np.ndarray) -> np.ndarray:
@@ -190,28 +217,41 @@ def _lines(count: np.ndarray) -> np.ndarray:
     return np.concatenate([[65535] * (c // 65535) + [c % 65535] * (c % 65535 > 0) for c in count.tolist()])
 
 
-def shared_sketches(packed: DataFrame) -> DataFrame:
-    """Block sketches that two or more sets have: eid, sketch, holders."""
+def _widened(low: np.ndarray) -> np.ndarray:
+    """The low bytes of sketches as numbers."""
+    full = np.zeros((len(low), 8), np.uint8)
+    full[:, :_SKETCH_BYTES] = low
+    return full.view(np.int64)[:, 0]
+
+
+def _named(low: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """The sketches of a bucket by names that differ from those of other buckets."""
+    return K.mix(low.view(K.U) ^ K.mix(bucket.astype(K.U))).view(np.int64)
+
+
+def shared_sketches(packed: DataFrame, buckets: int) -> DataFrame:
+    """Block sketches that two or more sets have: eid, sketch, holders.
+
+    Where numbers of holders came, a row without eid has the sum, and rows without ``holders`` have those who hold the sketch.
+    """
     names = ["eid", "sketch", "holders"]
 
     def run(table: pa.Table) -> pa.Table:
-        sketches, owners = [], []
         bucket = table.column("bucket")[0].as_py()
-        for chunk in table.column("chunk"):
-            data = chunk.as_buffer()
-            n = int.from_bytes(data[:4].to_pybytes(), "little")
-            rows = np.frombuffer(data, _HEAD, n, 4)
-            low = np.frombuffer(data, np.uint8, offset=4 + n * _HEAD.itemsize).reshape(-1, _SKETCH_BYTES)
-            full = np.zeros((len(low), 8), np.uint8)
-            full[:, :_SKETCH_BYTES] = low
-            sketches.append(full.view(np.int64)[:, 0])
-            owners.append(np.repeat(rows["eid"], rows["count"]))
-        sketch, owner = np.concatenate(sketches), np.concatenate(owners)
-        del sketches, owners
+        joined = lambda name, kind: np.frombuffer(b"".join(x.as_buffer() for x in table.column(name) if x.is_valid), kind)
+        if bucket >= buckets:
+            owner, name = joined("heads", np.int64), joined("low", np.int64)
+            return pa.Table.from_arrays([pa.array(owner), pa.array(name), pa.nulls(len(owner), pa.int64())], names)
+        heads, sums = joined("heads", _HEAD), joined("sums", _SUM)
+        sketch = _widened(joined("low", np.uint8).reshape(-1, _SKETCH_BYTES))
+        owner = np.repeat(heads["eid"], heads["count"])
+        hot, where = np.unique(sums["sketch"], return_inverse=True)
+        total = np.bincount(where, sums["count"], len(hot)).astype(np.int64)
         order = np.argsort(sketch, kind="stable")
         sketch, owner = sketch[order], owner[order]
         same = sketch[1:] == sketch[:-1]
-        often = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        often = np.concatenate(([False], same)) | np.concatenate((same, [False])) if len(sketch) else np.zeros(0, bool)
+        often |= np.isin(sketch, hot)
         sketch, owner = sketch[often], owner[often]
         # the same set may have come from several tasks
         order = np.lexsort((owner, sketch))
@@ -221,35 +261,52 @@ def shared_sketches(packed: DataFrame) -> DataFrame:
         sketch, owner = sketch[fresh], owner[fresh]
         at = np.flatnonzero(np.concatenate(([True], sketch[1:] != sketch[:-1]))) if len(sketch) else np.zeros(0, np.int64)
         holders = np.diff(np.append(at, len(sketch)))
-        holders = np.repeat(holders, holders)
-        keep = holders > 1
-        name = K.mix(sketch[keep].view(K.U) ^ K.mix(np.full(1, bucket, K.U))).view(np.int64)
-        return pa.Table.from_arrays([pa.array(owner[keep]), pa.array(name), pa.array(holders[keep].astype(np.int32))], names)
-
-    return packed.groupBy("bucket").applyInArrow(run, "eid long, sketch long, holders int")
-
-
-def set_blobs(docs: DataFrame) -> DataFrame:
-    """rep, sid, tokens (packed set), and the 512-bit sketch of given documents."""
+        also = np.searchsorted(sketch[at], hot)
+        met = np.append(sketch[at], -1)[also] == hot
+        total[met] += holders[also[met]]
+        summed = np.zeros(len(at), bool)
+        summed[also[met]] = True
+        holders, summed = np.repeat(holders, holders), np.repeat(summed, holders)
+        keep = summed | (holders > 1)
+        name = _named(np.concatenate([sketch[keep], hot]), np.full(1, bucket))
+        eid = pa.concat_arrays([pa.array(owner[keep]), pa.nulls(len(hot), pa.int64())])
+        count = pa.concat_arrays([pa.array(holders[keep], mask=summed[keep]), pa.array(total)])
+        return pa.Table.from_arrays([eid, pa.array(name), count], names)
+
+    return packed.groupBy("bucket").applyInArrow(run, "eid long, sketch long, holders long")
+
+
+def counted(docs: DataFrame, sketches: int) -> DataFrame:
+    """eid, sketch, holders of all shared block sketches, once each."""
+    buckets = max(8, -(-sketches // BUCKET_SKETCHES))
+    shared = written(shared_sketches(packed_sketches(docs, buckets).repartition(min(2 * buckets, 1 << 14), "bucket"), buckets), "shared")
+    sums = written(shared.where("eid is null").select("sketch", "holders"), "sums")
+    some = sums.count()
+    if not some:
+        return shared
+    hot = shared.where("holders is null").select("eid", "sketch").distinct().join(F.broadcast(sums) if some <= BROADCAST_IDS else sums, "sketch")
+    return shared.where("eid is not null and holders is not null").unionByName(hot)
+
+
+def set_blobs(chosen: DataFrame) -> DataFrame:
+    """node, tokens (packed set) and the 512-bit sketch of the rows (doc_id, text, node, sid) that have the set ``sid``."""
     sketch = [f"k{i}" for i in range(SKETCH_LONGS)]
 
     def run(batches):
         for batch in batches:
-            got = [t for _, t in _sets(batch, 1)]
-            bits = np.array([parity_sketch(t) for t in got], np.int64).reshape(-1, SKETCH_LONGS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(t) for t in got], pa.binary()), pa.array([t.tobytes() for t in got], pa.binary()), *[pa.array(bits[:, i]) for i in range(SKETCH_LONGS)]], ["rep", "sid", "tokens", *sketch])
+            got = [(k, t) for k, t in _sets(batch, 0) if len(t) and digest(t) == batch.column(2)[k].as_py()]
+            bits = np.array([parity_sketch(t) for _, t in got], np.int64).reshape(-1, SKETCH_LONGS)
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array([k for k, _ in got], pa.int64())), pa.array([t.tobytes() for _, t in got], pa.binary()), *[pa.array(bits[:, i]) for i in range(SKETCH_LONGS)]], ["node", "tokens", *sketch])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"rep {kind}, sid binary, tokens binary, " + ", ".join(f"{c} long" for c in sketch))
+    return chosen.select("text", "node", "sid").mapInArrow(run, "node long, tokens binary, " + ", ".join(f"{c} long" for c in sketch))
 
 
 def linked(pairs: DataFrame, blobs: DataFrame, salt_rows: int = 4096) -> DataFrame:
     """Those of the pairs (u, v) that link.  v should be spread; a u that very many pairs have is salted."""
-    kind = pairs.schema["u"].dataType.simpleString()
     many = pairs.groupBy("u").agg(F.ceil(F.count("*") / F.lit(salt_rows)).cast("int").alias("salts"))
-    left = many.join(blobs.select(F.col("rep").alias("u"), F.col("tokens").alias("a")), "u").select("u", "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    left = many.join(blobs.select(F.col("node").alias("u"), F.col("tokens").alias("a")), "u").select("u", "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     salted = pairs.join(many, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int").alias("salt"))
-    right = salted.join(blobs.select(F.col("rep").alias("v"), F.col("tokens").alias("b")), "v")
+    right = salted.join(blobs.select(F.col("node").alias("v"), F.col("tokens").alias("b")), "v")
     both = right.join(left, ["u", "salt"]).select("u", "v", "a", "b")
 
     def run(batches):
@@ -262,61 +319,168 @@ def linked(pairs: DataFrame, blobs: DataFrame, salt_rows: int = 4096) -> DataFra
                 keep[k] = DEN * same >= NUM * (len(a) + len(b) - same)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep))
 
-    return both.mapInArrow(run, f"u {kind}, v {kind}")
+    return both.mapInArrow(run, "u long, v long")
 
 
-def jaccard_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row; component_id is the least doc_id reachable by links."""
-    spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    members = written(memberships(docs), "members")
-    ids = ("e0", "q0", "e1", "q1")
-    classes = written(members.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), *[F.max(c).alias(c) for c in ("n", *ids)]), "classes")
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    buckets = max(8, -(-int(total) // BUCKET_SKETCHES))
-
-    shared = shared_sketches(packed_sketches(docs, buckets).repartition(min(buckets, 1 << 14), "bucket"))
-    of = classes.select("rep", "n", F.explode(F.array(F.struct(F.col("e0").alias("eid"), F.col("q0").alias("q")), F.struct(F.col("e1").alias("eid"), F.col("q1").alias("q")))).alias("e"))
-    of = of.select("rep", "n", "e.eid", "e.q").where("eid is not null")
-    mine = Window.partitionBy("eid")
-    looked = shared.join(of, "eid").withColumn("shared", F.count("*").over(mine)).where("shared >= q")
-    looked = looked.withColumn("rank", F.row_number().over(mine.orderBy("holders", "sketch"))).where("rank <= shared - q + 1")
-    entries = written(looked.select("sketch", "rep", "n"), "entries")
-
-    involved = written(entries.select(F.col("rep").alias("doc_id")).distinct(), "involved")
-    chosen = docs.select("doc_id", "text").join(F.broadcast(involved) if involved.count() <= BROADCAST_IDS else involved, "doc_id")
-    blobs = written(set_blobs(chosen), "sets")
-    if not blobs.groupBy("rep").count().where("count > 1").isEmpty():  # ids that repeat: the rows with the class's own set
-        blobs = written(blobs.join(classes.select("sid", "rep"), ["sid", "rep"]).dropDuplicates(["sid", "rep"]), "sets")
-
-    sizes = lambda a, b: (F.col(a) * NUM <= F.col(b) * DEN) & (F.col(b) * NUM <= F.col(a) * DEN)
-    heads = entries.groupBy("sketch").agg(F.min(F.struct("rep", "n")).alias("head")).select("sketch", F.col("head.rep").alias("u"), F.col("head.n").alias("un"))
-    stars = entries.withColumnRenamed("rep", "v").join(heads, "sketch").where((F.col("u") != F.col("v")) & sizes("un", "n")).select("u", "v").distinct()
-    links = written(linked(written(stars, "stars"), blobs), "links-star")
-    found = written(components(links), "found")
-
-    labelled = entries.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("sketch", "rep", "n", F.coalesce("component", "rep").alias("class"))
-    labelled = written(labelled, "labelled")
-    main = labelled.groupBy("sketch").agg(F.min(F.struct("rep", "class")).getField("class").alias("main"), F.max("class").alias("hi"), F.min("class").alias("lo")).where("hi != lo").select("sketch", "main")
-    rest = labelled.join(main, "sketch")
-    full = rest.join(blobs.drop("tokens", "sid"), "rep")
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _rows_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """doc_id, text, node, sid: the rows that may have the sets of classes (node, rep, sid)."""
+    side = nodes.select(F.col("rep").alias("_rep"), F.col("node"), F.col("sid"))
+    side = F.broadcast(side) if nodes.count() <= BROADCAST_IDS else side
+    return docs.select("doc_id", "text").join(side, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("doc_id", "text", "node", "sid")
+
+
+def token_pairs(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Pairs (u, v) of classes that may link, where q < 1 for one of them; None without such a class.
+
+    By a prefix filter on the tokens: in the order of their hashes, linked sets of sizes a and b have a token in common
+    among the first a - ceil(3a/4) + 1 and b - ceil(3b/4) + 1.
+    """
+    few = classes.where("q0 < 1 or q1 < 1")
+    if few.isEmpty():
+        return None
+    few = written(few.select("node", "rep", "sid", "n"), "few-blocks")
+    sizes = few.select(F.explode(F.sequence(F.ceil(F.col("n") * NUM / DEN), F.floor(F.col("n") * DEN / NUM))).alias("n")).distinct()
+    near = written(classes.join(sizes, "n", "left_semi").select("node", "rep", "sid"), "near-sizes")
+
+    def run(batches):
+        for batch in batches:
+            for k, t in _sets(batch, 0):
+                if len(t) and digest(t) == batch.column(2)[k].as_py():
+                    first = t[: len(t) - least_partner(len(t)) + 1].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), batch.column(1)[k].as_py())), pa.array(first)], ["node", "token"])
+
+    tokens = lambda nodes: _rows_of(docs, nodes).select("text", "node", "sid").mapInArrow(run, "node long, token long")
+    met = tokens(few).withColumnRenamed("node", "u").join(tokens(near).withColumnRenamed("node", "v"), "token").where("u != v")
+    return written(_ordered(met.select("u", "v")), "token-pairs")
+
+
+def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label (node, class) after the classes that links (u, v) join have become one."""
+    side = lambda c: label.select(F.col("node").alias(c), F.col("class").alias(f"{c}_class"))
+    between = links.join(side("u"), "u").join(side("v"), "v").where("u_class != v_class")
+    found = components(between.select(F.col("u_class").alias("u"), F.col("v_class").alias("v"))).withColumnsRenamed({"id": "class"})
+    return written(label.join(found, "class", "left").select("node", F.coalesce("component", "class").alias("class")), "label")
+
+
+def _sizes(a: str, b: str):
+    return (F.col(a) * NUM <= F.col(b) * DEN) & (F.col(b) * NUM <= F.col(a) * DEN)
+
+
+def _mixed(entries: DataFrame, label: DataFrame) -> DataFrame:
+    """Entries, with their class, of the buckets that hold several classes, and the bucket's largest class (``main``)."""
+    rows = entries.select("sketch", "node", "n").join(label, "node")
+    main = rows.groupBy("sketch", "class").agg(F.count("*").alias("k")).groupBy("sketch").agg(F.max(F.struct("k", "class")).getField("class").alias("main"), F.count("*").alias("some"))
+    return rows.join(main.where("some > 1").select("sketch", "main"), "sketch")
+
+
+def _unlike(mixed: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Pairs of different classes that share a bucket and that no bound tells apart."""
     keys = [f"k{i}" for i in range(SKETCH_LONGS)]
-    a = full.where("class != main").select("sketch", F.col("rep").alias("u"), F.col("n").alias("un"), F.col("class").alias("uc"), *[F.col(k).alias(f"u{k}") for k in keys])
-    b = full.select(F.col("sketch").alias("sketch2"), F.col("rep").alias("v"), F.col("n").alias("vn"), F.col("class").alias("vc"), F.col("main"), *[F.col(k).alias(f"v{k}") for k in keys])
+    low = mixed.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("sketch")), 1, LOW).alias("low"))
+    full = mixed.join(low.join(blobs.drop("tokens"), "node"), "node")
+    side = lambda rows, x: rows.select(F.col("sketch").alias(f"{x}_sketch"), F.col("main").alias(f"{x}_main"), *[F.col(c).alias(f"{x}{c}") for c in ("node", "n", "class", "low", *keys)])
+    u, v = side(full.where("class != main"), "u"), side(full, "v")
     apart = sum((F.bit_count(F.col(f"u{k}").bitwiseXOR(F.col(f"v{k}"))) for k in keys[1:]), F.bit_count(F.col("uk0").bitwiseXOR(F.col("vk0"))))
     # two outsiders meet twice: keep one order
-    near = (F.col("sketch") == F.col("sketch2")) & (F.col("uc") != F.col("vc")) & ((F.col("vc") == F.col("main")) | (F.col("u") < F.col("v"))) & sizes("un", "vn") & (apart * (NUM + DEN) <= F.col("un") + F.col("vn"))
-    pairs = written(a.join(b, near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-    final = found if pairs.isEmpty() else components(links.unionByName(linked(pairs, blobs)))
+    near = (F.col("uclass") != F.col("vclass")) & ((F.col("vclass") == F.col("v_main")) | (F.col("unode") < F.col("vnode"))) & _sizes("un", "vn") & (apart * (NUM + DEN) <= F.col("un") + F.col("vn"))
+    least = F.array_min(F.array_intersect("ulow", "vlow"))
+    first = F.coalesce(least, F.col("u_sketch")) >= F.col("u_sketch")
+    return _ordered(u.join(v, (F.col("u_sketch") == F.col("v_sketch")) & near & first).select(F.col("unode").alias("u"), F.col("vnode").alias("v")))
 
-    least = members.where("sid is not null").select("doc_id", "n", "sid")
-    named = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("sid", F.coalesce("component", "rep").alias("component_id"))
-    out = least.join(named, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = members.where("sid is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return out.unionByName(alone).select(F.col("doc_id").cast(kind), "n_shingles", "component_id")
+
+def set_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, class of the sets that may link with others, after all links."""
+    total = int(classes.agg(F.sum("n")).first()[0] or 0)
+    of = classes.select("node", "n", F.explode(F.array(F.struct(F.col("e0").alias("eid"), F.col("q0").alias("q")), F.struct(F.col("e1").alias("eid"), F.col("q1").alias("q")))).alias("e"))
+    of = of.select("node", "n", "e.eid", "e.q").where("eid is not null")
+    mine = Window.partitionBy("eid")
+    looked = counted(docs, total).join(of, "eid").withColumn("shared", F.count("*").over(mine)).where("shared >= q")
+    looked = looked.withColumn("central", F.sum(F.log2("holders")).over(mine) / F.col("n"))
+    looked = looked.withColumn("rank", F.row_number().over(mine.orderBy("holders", "sketch"))).where("rank <= shared - greatest(q, 1) + 1")
+    # the order of centrality is that of a number that also holds the node
+    entries = written(looked.select("sketch", "node", "n", F.struct((F.col("central") * 1000).cast("long").alias("by"), F.col("node")).alias("central")), "entries")
+    extra = token_pairs(docs, classes)
+
+    nodes = entries.select("node")
+    nodes = nodes if extra is None else nodes.union(extra.select("u")).union(extra.select("v"))
+    involved = written(classes.select("node", "rep", "sid").join(nodes.distinct(), "node", "left_semi"), "involved")
+    blobs = written(set_blobs(_rows_of(docs, involved)), "sets")
+    if not blobs.groupBy("node").count().where("count > 1").isEmpty():  # rows that repeat
+        blobs, every = written(blobs.dropDuplicates(["node"]), "sets"), blobs
+        dropped(every)
+
+    label = involved.select("node", F.col("node").alias("class"))
+    heads = entries.groupBy("sketch").agg(F.max("central").getField("node").alias("u"))
+    stars = written(entries.select("sketch", F.col("node").alias("v")).join(heads, "sketch").where("u != v").select("u", "v").distinct(), "stars")
+    links = written(linked(stars, blobs), "links-star")
+    label = _merged(label, links)
+    dropped(stars, links)
+    mixed = written(_mixed(entries, label), "mixed")
+    for turn in range(ROUNDS):
+        some = mixed.where(F.pmod(F.xxhash64("sketch", F.lit(turn)), F.lit(DRAWN)) == 0)
+        drawn = lambda rows, turn=turn: rows.groupBy("sketch").agg(F.min(F.struct(F.xxhash64("node", "sketch", F.lit(turn)), "node")).getField("node").alias("u"))
+        out = some.where("class != main")
+        heads = drawn(some.where("class = main")).unionByName(drawn(out))
+        pairs = written(out.select("sketch", F.col("node").alias("v")).join(heads, "sketch").where("u != v").select("u", "v").distinct(), "pairs-drawn")
+        links = written(linked(pairs, blobs), "links-drawn")
+        asked, joined = pairs.select("v").distinct().count(), links.select("v").distinct().count()
+        if joined:
+            dropped(mixed)
+            label, before = _merged(label, links), label
+            mixed = written(_mixed(entries, label), "mixed")
+            dropped(before)
+        dropped(pairs, links)
+        if 10 * joined < asked or not asked:
+            break
+    pairs = _unlike(mixed, blobs)
+    pairs = written(pairs if extra is None else _ordered(pairs.unionByName(extra)), "pairs")
+    links = written(linked(pairs, blobs), "links-rest")
+    if not links.isEmpty():
+        label = _merged(label, links)
+    dropped(mixed, pairs, links, entries, blobs)
+    return label
+
+
+def jaccard_rows(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, the columns ``more``, n_shingles, component_id of every row, and ``class``, which is equal for linked rows (null without a set)."""
+    members = written(memberships(docs, *more), "members")
+    classes = members.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *[F.max(c).alias(c) for c in ("n", "e0", "q0", "e1", "q1")])
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    label = set_classes(docs, classes)
+    named = classes.select("sid", "node", "rep", "copies").join(label, "node", "left")
+    least = named.where("class is not null").groupBy("class").agg(F.min("rep").alias("least"))
+    # a set that one row has and that links with nothing needs no lookup
+    several = named.where("class is not null or copies > 1").join(least, "class", "left").select("sid", F.coalesce("least", "rep").alias("component_id"), F.coalesce("class", "node").alias("class"))
+    several = written(several, "several")
+    side = F.broadcast(several) if several.count() <= BROADCAST_IDS else several
+    dropped(classes, label)
+    out = members.join(side, "sid", "left")
+    return out.select("doc_id", *more, F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "sid", "class")
+
+
+def jaccard_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row; component_id is the least doc_id reachable by links."""
+    return jaccard_rows(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows, with all their columns, that are the least document of their class, or have no set."""
-    copies = written(jaccard_classes(docs).where("doc_id != component_id").select("doc_id").distinct(), "copies")
-    return docs.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "doc_id", "left_anti").select(*docs.columns)
+    """The rows, with all their columns: of each class one row of the least doc_id (of its texts the one of least hash; of rows equal in
+    doc_id and text any one), and all rows without a set."""
+    keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"))
+    rows = jaccard_rows(keyed, "_text").where("sid is not null")
+    many = written(rows.where("class is not null").select("class", "doc_id", "_text"), "copies")
+    kept = many.groupBy("class").agg(F.min(F.struct("doc_id", "_text")).alias("kept"))
+    gone = many.join(kept, "class").where(~F.struct("doc_id", "_text").eqNullSafe(F.col("kept"))).select("doc_id", "_text").distinct()
+    gone = written(gone.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_of")), "gone")
+    again = written(many.groupBy("doc_id", "_text").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("_text").alias("_of")), "again")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_of"))
+    some = gone.count()
+    left = docs.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit("")))).join(F.broadcast(gone) if some <= BROADCAST_IDS else gone, same, "left_anti")
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    twice = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "_text"])
+    return left.join(again, same, "left_anti").unionByName(twice).select(*docs.columns)

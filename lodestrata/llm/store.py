@@ -11,10 +11,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset (local runs, tests) a folder of this process."""
+    """spark.checkpoint.dir; where that is unset a folder of this process, in local runs (tests) only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="lodestrata-")
@@ -31,9 +33,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete a written table that nothing reads any more."""
-    spark, path = df.sparkSession, getattr(df, "_written_to", None)
-    if path:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def dropped(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more; others are left alone."""
+    for df in tables:
+        if path := getattr(df, "_written_to", None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

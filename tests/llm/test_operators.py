@@ -220,7 +220,7 @@ def _classes(sets):
     ids = sorted(sets)
     for a in ids:
         for b in ids:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and sets[b] and 3 * max(len(sets[a]), len(sets[b])) <= 4 * min(len(sets[a]), len(sets[b])) and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {i: find(i) for i in ids}
@@ -263,6 +263,69 @@ def test_jaccard_classes_equal_brute_force(spark, odd, none):
     assert kept.columns == odd.columns and kept.where("doc_id = 6").count() == 0
 
 
+def _edited_copies(rng, words, size, copies, most):
+    base = [rng.choice(words) for _ in range(size)]
+    for _ in range(copies):
+        t = list(base)
+        for _ in range(rng.randint(0, most)):
+            t[rng.randrange(size)] = rng.choice(words)
+        yield " ".join(t)
+
+
+def _equal_to_brute_force(spark, texts):
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in parity_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = _sets(rows)
+    want = _classes(sets)
+    assert got == {i: (len(sets[i]), want[i]) for i in sets}
+    return want
+
+
+def test_a_phrase_in_every_document(spark, monkeypatch):
+    monkeypatch.setattr(parity_join, "HOT", 4)  # holders are counted in parts
+    monkeypatch.setattr(parity_join, "BUCKET_SKETCHES", 2000)
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    phrase = " ".join(rng.choice(words) for _ in range(40))
+    texts = [f"{phrase} " + " ".join(rng.choice(words) for _ in range(rng.choice([0, 2, 5, 6, 8, 9, 12, 20, 100]))) for _ in range(90)]
+    texts += [t + " " + phrase for t in _edited_copies(rng, words, 120, 60, 8)] + list(_edited_copies(rng, words, 60, 40, 3))
+    want = _equal_to_brute_force(spark, texts)
+    assert len(set(want.values())) < len(texts) - 60
+
+
+def test_very_large_sets(spark):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(9000)]
+    texts = [t for most in (0, 150, 400) for t in _edited_copies(rng, words, 6000, 4, most)] + [" ".join(rng.choice(words) for _ in range(5200)) for _ in range(3)]
+    want = _equal_to_brute_force(spark, texts)
+    assert 3 < len(set(want.values())) < len(texts)
+
+
+def test_sets_in_few_blocks_are_looked_up_by_tokens(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    rows = list(enumerate(t for size in (5, 62, 90, 200, 300) for t in _edited_copies(rng, words, size, 8, size // 50)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = parity_join.memberships(docs).groupBy("sid").agg(F.min("doc_id").alias("rep"), *[F.max(c).alias(c) for c in ("n", "q0", "q1")]).withColumn("node", F.col("rep"))
+    assert parity_join.token_pairs(docs, classes) is None
+    few = F.col("node") % 3 == 0  # as if their tokens met in few blocks
+    pairs = {(r["u"], r["v"]) for r in parity_join.token_pairs(docs, classes.withColumn("q0", F.when(few, 0).otherwise(F.col("q0")))).collect()}
+    sets, ids = _sets(rows), [r["node"] for r in classes.collect()]
+    want = {(a, b) for a in ids for b in ids if a < b and (a % 3 == 0 or b % 3 == 0) and 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])}
+    assert len(want) > 20 and want <= pairs
+
+
+def test_one_of_each_loses_no_text(spark, odd):
+    a, b, c = ("one two three four five six seven", "eight nine ten eleven twelve thirteen", "a b c d e f g h i j k l m n o p q r s t u v")
+    rows = [(1, a), (2, a), (2, b), (3, b), (7, c), (7, c), (8, c + " w"), (9, None), (9, None), (None, "alone in the world of words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = collections.Counter(map(tuple, parity_join.one_of_each(df).collect()))
+    assert kept == collections.Counter([(1, a), (2, b), (7, c), (9, None), (9, None), (None, "alone in the world of words")])
+    two = spark.createDataFrame([(2, a), (2, b)], "doc_id long, text string")
+    assert parity_join.one_of_each(two).count() == 2
+    assert sorted(r["doc_id"] or 0 for r in parity_join.one_of_each(odd).collect()) == [0, 1, 2, 3, 4, 5, 7, 8]
+
+
 def test_parity_sketch_bounds_the_difference():
     np = parity_join.np
     rng = np.random.default_rng(1)
