@@ -11,7 +11,9 @@ hexadecimal keys seed the kind ``secret``, which has no base form.
 Spans are half-open ranges of code points.  The forms are written so that Java's matcher needs no
 backtracking over long runs: a repetition that nothing can follow differently is possessive, and runs
 are entered at their beginning (or where the previous match ended), which gives the same leftmost
-matches.
+matches.  Positions, containment and overlaps come from running totals over arrays, which are made chunk by
+chunk (``running``), and pieces of a text from its blocks (``cut``), so the work grows with the text and its matches
+and not with their product.
 
 Defined results: a null text is empty and has no spans; equal rows get equal spans; what touches a
 base span is not found, nor what lies within a longer found span; other columns are ignored by the report and kept by the redaction, which brings
@@ -46,27 +48,84 @@ CONTEXT_WORDS, ROUNDS, LEAST_SEEDS, CONFIDENCE = 3, 3, 3, 0.7
 LEAST_LENGTH, CONTEXT_CHARS = 6, 48
 SECRET_LENGTH = 32
 BROADCAST_ROWS = 100_000
+#: Items in a chunk of a running total, and code points in a block of a text.
+CHUNK, BLOCK_CHARS = 128, 2048
 
 _SPANS = "array<struct<s:int,e:int,v:string,before:string>>"
 
 
-def matches(text: Column, form: str) -> Column:
+def let(value: Column, use) -> Column:
+    """use(value), where value is computed once for each row however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(items: Column, measure, both, zero: Column) -> Column:
+    """[(at, x)] for the items x: ``at`` is ``both`` over the measures of all items before x.
+
+    Totals of chunks come first, then those before each chunk, then those within the chunks.
+    """
+
+    def over(items, at, value, keep):
+        start = F.struct(at.alias("at"), F.transform(F.slice(items, 1, 0), lambda x: keep(at, x)).alias("out"))
+        step = lambda acc, x: F.struct(both(acc["at"], value(x)).alias("at"), F.concat(acc["out"], F.array(keep(acc["at"], x))).alias("out"))
+        return F.aggregate(items, start, step, lambda acc: acc["out"])
+
+    pair = lambda at, x: F.struct(at.alias("at"), x.alias("x"))
+
+    def of(items):
+        last = F.ceil(F.size(items) / CHUNK).cast("int") - 1
+        chunks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * CHUNK + 1, F.lit(CHUNK)))
+        total = lambda c: F.aggregate(c, zero, lambda acc, x: both(acc, measure(x)))
+        before = lambda chunks: over(F.transform(chunks, total), zero, lambda t: t, lambda at, _: at)
+        several = let(chunks, lambda chunks: F.flatten(F.zip_with(chunks, before(chunks), lambda c, at: over(c, at, measure, pair))))
+        return F.when(F.size(items) > CHUNK, several).otherwise(over(items, zero, measure, pair))
+
+    return let(items, of)
+
+
+def blocks(text: Column) -> Column:
+    """A text in pieces of BLOCK_CHARS code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK_CHARS}}}"), F.lit(0))
+
+
+def cut(parts: Column, s: Column, e: Column) -> Column:
+    """The code points s to e of a text in blocks."""
+    first = F.floor(s / BLOCK_CHARS).cast("int")
+    some = F.slice(parts, first + 1, F.floor((e - 1) / BLOCK_CHARS).cast("int") - first + 1)
+    return F.when(e > s, F.substring(F.array_join(some, ""), s - first * BLOCK_CHARS + 1, e - s)).otherwise("")
+
+
+def matches(text: Column, parts: Column, form: str) -> Column:
     """Leftmost non-overlapping matches: s, e, v, and the last CONTEXT_CHARS characters before it.
 
-    The parts around the matches come from a split by the same form; both give the positions.
+    The lengths around the matches come from a split by the same form; both give the positions.
     """
-    found, parts = F.regexp_extract_all(text, F.lit(form), F.lit(0)), F.split(text, form, -1)
-    both = F.arrays_zip(found.alias("v"), F.slice(parts, 1, F.size(found)).alias("b"))
-    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(_SPANS).alias("out"))
-    last = lambda c: F.substring(c, -CONTEXT_CHARS, CONTEXT_CHARS)
+    found, around = F.regexp_extract_all(text, F.lit(form), F.lit(0)), F.split(text, form, -1)
+    both = let(found, lambda found: F.zip_with(found, F.slice(around, 1, F.size(found)), lambda v, b: F.struct(v.alias("v"), F.char_length(b).alias("b"))))
+    placed = running(both, lambda m: m["b"] + F.char_length(m["v"]), lambda a, n: a + n, F.lit(0))
+
+    def span(at, v):
+        return F.struct(at.alias("s"), (at + F.char_length(v)).alias("e"), v.alias("v"), cut(parts, F.greatest(at - CONTEXT_CHARS, F.lit(0)), at).alias("before"))
+
+    return F.transform(placed, lambda m: span(m["at"] + m["x"]["b"], m["x"]["v"]))
+
 
-    def step(acc, m):
-        s = acc["at"] + F.char_length(m["b"])
-        e = s + F.char_length(m["v"])
-        before = last(F.concat(acc["tail"], last(m["b"])))
-        return F.struct(e.alias("at"), last(F.concat(before, last(m["v"]))).alias("tail"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), m["v"].alias("v"), before.alias("before")))).alias("out"))
+def outer(spans: Column) -> Column:
+    """Those of the spans (structs with s and e) that no longer one contains, by start."""
+    by = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("less"), x.alias("x"))))
+    # the greater end, of equal ones the lesser start
+    code = lambda m: F.shiftleft(-m["less"].cast("long"), 31) - m["s"]
+    first = running(by, code, lambda a, b: F.greatest(a, b), F.lit(-(1 << 62)))
+    return F.transform(F.filter(first, lambda m: m["at"] <= code(m["x"])), lambda m: m["x"]["x"])
 
-    return F.aggregate(both, empty, step, lambda acc: acc["out"])
+
+def apart(spans: Column, base: Column) -> Column:
+    """Those of the spans (s, e, v, before) that overlap no base span: none that begins before their end ends after their start."""
+    mark = lambda at, kind, s, e, v, before: F.struct(at.alias("at"), F.lit(kind).alias("kind"), s.alias("s"), e.alias("e"), v.alias("v"), before.alias("before"))
+    none = F.lit("")
+    all_ = F.array_sort(F.concat(F.transform(spans, lambda m: mark(m["e"], 0, m["s"], m["e"], m["v"], m["before"])), F.transform(base, lambda b: mark(b["s"], 1, b["s"], b["e"], none, none))))
+    ends = running(all_, lambda x: F.when(x["kind"] == 1, x["e"]).otherwise(0), lambda a, b: F.greatest(a, b), F.lit(0))
+    return F.transform(F.filter(ends, lambda m: (m["x"]["kind"] == 0) & (m["at"] <= m["x"]["s"])), lambda m: m["x"])
 
 
 def _digits(v: Column) -> Column:
@@ -93,9 +152,9 @@ def _none() -> Column:
     return F.array().cast(_SPANS)
 
 
-def base_spans(text: Column, kind: str) -> Column:
+def base_spans(text: Column, parts: Column, kind: str) -> Column:
     valid = _VALID[kind]
-    return F.when(_MAY[kind](text), F.filter(matches(text, FORMS[kind]), lambda m: valid(m["v"]))).otherwise(_none())
+    return F.when(_MAY[kind](text), F.filter(matches(text, parts, FORMS[kind]), lambda m: valid(m["v"]))).otherwise(_none())
 
 
 def _tagged(spans: Column, kind: str) -> Column:
@@ -118,30 +177,29 @@ def _instance(s: Column, e: Column, v: Column, before: Column, seed: Column, bas
     return F.struct(s.alias("s"), e.alias("e"), v.alias("v"), F.transform(contexts, lambda c: F.concat_ws(" ", shape, c)).alias("patterns"), seed.alias("seed"), F.lit(base).alias("base"))
 
 
-def _seeds(spans: Column, kind: str, base: Column) -> Column:
-    """Instances of the whole base spans of a kind, but of those within a longer base span."""
-    outer = F.filter(spans, lambda m: ~F.exists(base, lambda b: (b["s"] <= m["s"]) & (b["e"] >= m["e"]) & (b["e"] - b["s"] > m["e"] - m["s"])))
-    return F.transform(outer, lambda m: _instance(m["s"], m["e"], m["v"], m["before"], F.lit(kind), True))
+def _seeds(spans: dict[str, Column]) -> Column:
+    """Instances of the whole base spans by kind, but of those within a longer base span."""
+    named = lambda kind: lambda m: m.withField("kind", F.lit(kind))
+    every = F.concat(*[F.transform(found, named(kind)) for kind, found in spans.items()])
+    return F.transform(outer(every), lambda m: _instance(m["s"], m["e"], m["v"], m["before"], m["kind"], True))
 
 
-def _candidates(text: Column, form: str, base: Column) -> Column:
+def _candidates(text: Column, parts: Column, form: str, base: Column) -> Column:
     """Instances of a form that touch no base span."""
-    found = F.when(text.rlike("[0-9@]"), matches(text, form)).otherwise(_none())
-
-    def of(m):
-        v = F.regexp_replace(m["v"], "[._@/+-]+$", "")
-        return _instance(m["s"], m["s"] + F.char_length(v), v, m["before"], F.lit(None).cast("string"), False)
-
-    fits = lambda c: (F.char_length(c["v"]) >= LEAST_LENGTH) & ~F.exists(base, lambda b: (b["s"] < c["e"]) & (b["e"] > c["s"]))
-    return F.filter(F.transform(found, of), fits)
+    found = F.when(text.rlike("[0-9@]"), matches(text, parts, form)).otherwise(_none())
+    ended = F.transform(found, lambda m: m.withField("v", F.regexp_replace(m["v"], "[._@/+-]+$", "")))
+    ended = F.transform(ended, lambda m: m.withField("e", m["s"] + F.char_length(m["v"])))
+    fits = F.filter(ended, lambda m: F.char_length(m["v"]) >= LEAST_LENGTH)
+    return F.transform(apart(fits, base), lambda m: _instance(m["s"], m["e"], m["v"], m["before"], F.lit(None).cast("string"), False))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, digest of the text, base spans and instances (``candidates``) of every row: one pass, no shuffle."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumns({f"m_{k}": base_spans(F.col("text"), k) for k in KINDS})
+    rows = rows.withColumn("parts", blocks(F.col("text")))
+    rows = rows.withColumns({f"m_{k}": base_spans(F.col("text"), F.col("parts"), k) for k in KINDS})
     rows = rows.withColumn("base", F.array_sort(F.concat(*[_tagged(F.col(f"m_{k}"), k) for k in KINDS])))
-    instances = [*[_seeds(F.col(f"m_{k}"), k, F.col("base")) for k in KINDS], *[_candidates(F.col("text"), form, F.col("base")) for form in (CANDIDATE, SPACED)]]
+    instances = [_seeds({k: F.col(f"m_{k}") for k in KINDS}), *[_candidates(F.col("text"), F.col("parts"), form, F.col("base")) for form in (CANDIDATE, SPACED)]]
     rows = rows.withColumn("candidates", F.filter(F.concat(*instances), lambda c: F.size(c["patterns"]) > 0))
     return rows.select("doc_id", F.xxhash64("text").alias("digest"), *[F.size(f"m_{k}").cast("long").alias(f"n_{k}") for k in KINDS], "base", "candidates")
 
@@ -180,8 +238,7 @@ def found_spans(scan: DataFrame) -> DataFrame:
     got = rows.join(_small(trusted_patterns(scan)), "pattern").groupBy("doc_id", "digest", "s", "e").agg(F.max_by("kind", by).alias("kind"))
     span = F.struct(F.col("s"), F.lit(len(KINDS)).alias("k"), F.when(F.col("kind") == "secret", "secret").otherwise(F.concat(F.lit("ctx_"), F.col("kind"))).alias("kind"), F.col("e"))
     spans = got.groupBy("doc_id", "digest").agg(F.collect_set(span).alias("all"))
-    inner = lambda x: F.exists("all", lambda o: (o["s"] <= x["s"]) & (o["e"] >= x["e"]) & (o["e"] - o["s"] > x["e"] - x["s"]))
-    return spans.select("doc_id", "digest", F.array_sort(F.filter("all", lambda x: ~inner(x))).alias("found"))
+    return spans.select("doc_id", "digest", F.array_sort(outer(F.col("all"))).alias("found"))
 
 
 def _with_found(rows: DataFrame, scan: DataFrame) -> DataFrame:
@@ -204,15 +261,15 @@ def redacted(docs: DataFrame) -> DataFrame:
     """The rows, with all their columns, where [KIND] stands for every span; n_chars is brought up to date."""
     scan = written(scanned(docs), "scanned")
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("row"), "doc_id", F.xxhash64(text).alias("digest"), F.concat(*[_tagged(base_spans(text, k), k) for k in KINDS]).alias("base"))
-    rows = _with_found(rows, scan).select("row", F.array_sort(F.concat("base", "found")).alias("spans"))
-    text, start = F.col("row.text"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, x):
-        piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        return F.when(x["s"] >= acc["at"], F.struct(x["e"].alias("at"), piece.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out")))
-
-    whole = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.lit(2**31 - 1))))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("row"), "doc_id", text.alias("whole"), F.xxhash64(text).alias("digest"), blocks(text).alias("parts"))
+    rows = rows.select("row", "doc_id", "digest", "parts", F.concat(*[_tagged(base_spans(F.col("whole"), F.col("parts"), k), k) for k in KINDS]).alias("base"))
+    rows = _with_found(rows, scan).select("row", "parts", F.array_sort(F.concat("base", "found")).alias("spans"))
+    text, parts = F.col("row.text"), F.col("parts")
+    # of spans that overlap the first one gives the name; what is left of the text runs from the furthest end so far
+    ends = running(F.col("spans"), lambda x: x["e"], lambda a, b: F.greatest(a, b), F.lit(0))
+    pieces = F.transform(F.filter(ends, lambda m: m["x"]["s"] >= m["at"]), lambda m: F.concat(cut(parts, m["at"], m["x"]["s"]), F.lit("["), F.upper(m["x"]["kind"]), F.lit("]")))
+    furthest = F.array_max(F.transform("spans", lambda x: x["e"]))
+    whole = F.array_join(F.concat(pieces, F.array(cut(parts, furthest, F.char_length(text)))), "")
     touched = F.size("spans") > 0
     rows = rows.select("row", touched.alias("touched"), F.when(touched, whole).otherwise(text).alias("fresh"))
     columns = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("fresh")}

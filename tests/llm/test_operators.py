@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -171,6 +172,39 @@ def test_redaction_keeps_columns(spark, odd, none):
     assert texts[1]["text"] is None and pii_bootstrap.redacted(none).count() == 0
 
 
+def test_dense_texts(spark):
+    """Tens of thousands of matches in one text, in time that grows with them."""
+    rng = random.Random(12)
+    part = lambda i: rng.choice([f"user{i}@mail.example", f"10.{i % 256}.0.{i % 99}", "4111 1111 1111 1111", f"+1 (487) 555-{i % 10000:04d}", f"AB-{i:07d}", "plain é words"])
+    rows = [(1, " ; ".join(part(i) for i in range(40_000))), (2, "a@b.c," * 3000), (3, "x" * 2047 + " a@b.c " + "é" * 4096 + " 10.0.0.1"), (4, "short a@b.c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    out = {r["doc_id"]: r for r in pii_bootstrap.personal_data(docs).collect()}
+    clean = {r["doc_id"]: r["text"] for r in pii_bootstrap.redacted(docs).collect()}
+    assert time.time() - began < 120
+    for i, text in rows:
+        base = _plain_base(text)
+        assert out[i]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        at, want = 0, []
+        for kind, s, e in sorted((x.split(":") for x in out[i]["spans"].split(",")), key=lambda x: int(x[1])):
+            if int(s) >= at:
+                want += [text[at : int(s)], f"[{kind.upper()}]"]
+            at = max(at, int(e))
+        assert clean[i] == "".join(want) + text[at:]
+
+
+def test_running_totals(spark, monkeypatch):
+    monkeypatch.setattr(pii_bootstrap, "CHUNK", 3)
+    rng = random.Random(13)
+    rows = [(k, [(s := rng.randrange(40), s + rng.randrange(1, 9)) for _ in range(n)]) for k, n in enumerate([0, 1, 2, 3, 4, 7, 30])]
+    df = spark.createDataFrame(rows, "k long, spans array<struct<s:int,e:int>>")
+    got = {r["k"]: r for r in df.select("k", pii_bootstrap.running(F.col("spans"), lambda x: x["e"], lambda a, b: F.greatest(a, b), F.lit(0)).alias("r"), pii_bootstrap.outer(F.col("spans")).alias("o")).collect()}
+    for k, spans in rows:
+        assert [m["at"] for m in got[k]["r"]] == [max([0, *(e for _, e in spans[:i])]) for i in range(len(spans))]
+        keep = [(s, e) for s, e in spans if not any(a <= s and b >= e and b - a > e - s for a, b in spans)]
+        assert [tuple(x) for x in got[k]["o"]] == sorted(keep, key=lambda x: (x[0], -x[1]))
+
+
 # ---- 4: quality
 def test_quality_is_learnt(spark, sf, odd, none):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
