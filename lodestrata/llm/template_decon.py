@@ -9,9 +9,10 @@ one value of the document (two values of the item may fall together).  A run wit
 split: of its longest consistent parts, those with the fewest disputed changes come first, the others
 give way where they overlap, and each part that still holds a window is confirmed.
 
-The benchmark is the small side.  It goes to the executors in blocks of at most ``BLOCK_WINDOWS``
-windows (its size is counted first); a larger benchmark takes more passes, so nothing that grows is
-broadcast, and the documents are not shuffled at all.
+A benchmark of at most ``BLOCK_WINDOWS`` windows (its size is counted first) goes to the executors whole, and the
+documents are not shuffled at all.  A larger one stays in Spark: the windows of both sides are joined by
+their hashes, and each pair of a document and an item that share one is confirmed by itself, so neither the driver nor
+a broadcast holds what grows, and the documents are read a bounded number of times.
 
 Tokens are words without the ASCII punctuation at their ends, lower-cased (A-Z).  A number is a token
 of digits and ``.,:/-`` that begins with a digit; a unit is one of ``UNITS``; a name is a capitalised
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import kernels as K
+from lodestrata.llm.store import written
 
 WINDOW, LITERALS, BLOCK_WINDOWS = 8, 5, 1 << 20
 # fixed values: words that are units of measure
@@ -136,8 +138,9 @@ class Block:
         self.at, self.hash, self.width = at[order], h[order], width[order]
         self.item = np.searchsorted(first, self.at, "right") - 1
         self.widths = sorted(set(width.tolist()))
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[(self.hash >> K.U(44)).astype(np.int64)] = True
+        self.shift = K.U(44 if len(items) > 1 else 54)
+        self.seen = np.zeros(1 << 64 - int(self.shift), bool)
+        self.seen[(self.hash >> self.shift).astype(np.int64)] = True
         self.values = self._values(self.tokens, self.buf)
 
     @staticmethod
@@ -152,7 +155,7 @@ class Block:
         hits = []
         for width in self.widths:
             at, h = windows(tokens, width)
-            maybe = self.seen[(h >> K.U(44)).astype(np.int64)]
+            maybe = self.seen[(h >> self.shift).astype(np.int64)]
             at, h = at[maybe], h[maybe]
             lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
             n = hi - lo
@@ -224,61 +227,119 @@ class Block:
         return sorted(taken)
 
 
-def blocks(benchmark: DataFrame, most: int = BLOCK_WINDOWS):
-    """The benchmark in blocks of about ``most`` tokens each."""
-    items = benchmark.where("text is not null").select("item_id", "text")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-int(size) // (most * 4)))
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        rows = part.orderBy("item_id", "text").collect()  # bounded: one block
-        if rows:
-            yield Block([(r[0], r[1]) for r in rows])
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.where("text is not null").select("item_id", "text")
+
+
+def whole(benchmark: DataFrame) -> Block | None:
+    """The benchmark as one block; None where it is too large for that."""
+    items = _items(benchmark)
+    if (items.agg(F.sum(F.length("text"))).first()[0] or 0) > 4 * BLOCK_WINDOWS:
+        return None
+    return Block([(r[0], r[1]) for r in items.orderBy("item_id", "text").collect()])  # bounded: one block
+
+
+def _schemas(docs: DataFrame, benchmark: DataFrame) -> tuple[str, list[str]]:
+    id_type, item_type = (t.schema[c].dataType.simpleString() for t, c in ((docs, "doc_id"), (benchmark, "item_id")))
+    schema = f"doc_id {id_type}, item_id {item_type}, start long, end long, n_tokens long, coverage double, slots long, slots_changed long, verbatim boolean"
+    return schema, [x.split()[0] for x in schema.split(", ")]
+
+
+def _spans(block: Block, part: np.ndarray, at: np.ndarray):
+    """Confirmed runs of some texts: (text, item number, start, end, n_tokens, coverage, slots, slots_changed, verbatim)."""
+    sizes, lead = np.diff(block.tokens["first"]), None
+    for t, i, p, q, _, slots, other, x, y in block.matches(part, at):
+        if lead is None:
+            lead = np.concatenate(([0], np.cumsum((part & 0xC0) != 0x80)))
+        yield t, i, int(lead[x] - lead[at[t]]), int(lead[y] - lead[at[t]]), q - p, float((q - p) / sizes[i]), slots, other, other == 0
+
+
+def _batch(rows: list, ids: pa.DataType, items: pa.DataType | None, names: list[str]) -> pa.RecordBatch:
+    kinds = [ids, items, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names)
+
+
+def _window_hashes(rows: DataFrame, widths: list[int], short: bool) -> DataFrame:
+    """(key, h): hashes of the windows of rows (key, text), once each; ``short``: of whole short items too."""
+
+    def run(batches):
+        for batch in batches:
+            buf, offs = K.utf8(batch.column(1))
+            for k in range(batch.num_rows):
+                part = buf[offs[k] : offs[k + 1]]
+                at = np.array([0, len(part)])
+                if short:
+                    h = Block([(0, batch.column(1)[k].as_py())]).hash
+                else:
+                    tokens = canonical(part, at)
+                    h = np.concatenate([windows(tokens, w)[1] for w in widths])
+                h = np.unique(h).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), batch.column(0)[k].as_py(), np.int64)), pa.array(h)], ["key", "h"])
+
+    return rows.select("key", "text").mapInArrow(run, "key long, h long")
+
+
+def _by_join(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """contaminated_spans() by an equi-join of window hashes, with ``_text`` (a hash of the text); for any size of the benchmark."""
+    schema, names = _schemas(docs, benchmark)
+    items = written(_items(benchmark).withColumn("key", F.monotonically_increasing_id()), "items")
+    texts = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("key"))
+    hashes = lambda rows, short: _window_hashes(rows, list(range(LITERALS, WINDOW + 1)), short)
+    met = hashes(texts, False).join(hashes(items, True).withColumnRenamed("key", "item"), "h").select("key", "item").distinct()
+    pairs = texts.join(met, "key").join(items.select(F.col("key").alias("item"), "item_id", F.col("text").alias("item_text")), "item")
+
+    def run(batches):
+        made: dict = {}
+        for batch in batches:
+            buf, offs = K.utf8(batch.column(1))
+            rows = []
+            for k, (i, t) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                if (i, t) not in made:
+                    if len(made) >= 512:
+                        made.clear()
+                    made[i, t] = Block([(i, t)])
+                rows += [(batch.column(0)[k].as_py(), i, *r[2:], batch.column(4)[k].as_py()) for r in _spans(made[i, t], buf[offs[k] : offs[k + 1]], np.array([0, offs[k + 1] - offs[k]]))]
+            if rows:
+                plain = _batch([r[:-1] for r in rows], batch.schema.field(0).type, batch.schema.field(2).type, names)
+                yield pa.RecordBatch.from_arrays([*plain.columns, pa.array([r[-1] for r in rows], pa.int64())], [*names, "_text"])
+
+    return pairs.select("doc_id", "text", "item_id", "item_text", "key").mapInArrow(run, f"{schema}, _text long")
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each confirmed run of each document: doc_id, item_id, start and end (code points),
     n_tokens, coverage of the item's tokens, slots, slots_changed, verbatim."""
-    id_type, item_type = (t.schema[c].dataType.simpleString() for t, c in ((docs, "doc_id"), (benchmark, "item_id")))
-    schema = f"doc_id {id_type}, item_id {item_type}, start long, end long, n_tokens long, coverage double, slots long, slots_changed long, verbatim boolean"
-    names = [x.split()[0] for x in schema.split(", ")]
-    out = None
-    for block in blocks(benchmark):
-
-        def run(batches, block=block):
-            sizes = np.diff(block.tokens["first"])
-            for batch in batches:
-                buf, offs = K.utf8(batch.column(1))
-                ids = batch.column(0)
-                for a, b in K.chunks(offs):
-                    part, at = buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
-                    found = list(block.matches(part, at))
-                    if found:
-                        lead = np.concatenate(([0], np.cumsum((part & 0xC0) != 0x80)))
-                        rows = [
-                            (ids[a + t].as_py(), block.ids[i], int(lead[x] - lead[at[t]]), int(lead[y] - lead[at[t]]), q - p, float((q - p) / sizes[i]), slots, other, other == 0)
-                            for t, i, p, q, _, slots, other, x, y in found
-                        ]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), [batch.schema.field(0).type, None, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()])], names)
-
-        one = docs.select("doc_id", "text").mapInArrow(run, schema)
-        out = one if out is None else out.unionByName(one)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+    schema, names = _schemas(docs, benchmark)
+    block = whole(benchmark)
+    if block is None:
+        return _by_join(docs, benchmark).drop("_text")
+
+    def run(batches):
+        for batch in batches:
+            buf, offs = K.utf8(batch.column(1))
+            ids = batch.column(0)
+            for a, b in K.chunks(offs):
+                rows = [(ids[a + r[0]].as_py(), block.ids[r[1]], *r[2:]) for r in _spans(block, buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])]
+                if rows:
+                    yield _batch(rows, batch.schema.field(0).type, None, names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows, with all their columns, in which no run of a benchmark item is confirmed."""
-    at = docs.columns.index("text")
-    for block in blocks(benchmark):
-
-        def run(batches, block=block):
-            for batch in batches:
-                buf, offs = K.utf8(batch.column(at))
-                keep = np.ones(batch.num_rows, bool)
-                for a, b in K.chunks(offs):
-                    for match in block.matches(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]):
-                        keep[a + match[0]] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    at, block = docs.columns.index("text"), whole(benchmark)
+    if block is None:
+        found = _by_join(docs, benchmark).select(F.col("_text")).distinct()
+        return docs.withColumn("_text", F.xxhash64("text")).join(found, "_text", "left_anti").select(*docs.columns)
+
+    def run(batches):
+        for batch in batches:
+            buf, offs = K.utf8(batch.column(at))
+            keep = np.ones(batch.num_rows, bool)
+            for a, b in K.chunks(offs):
+                for match in block.matches(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]):
+                    keep[a + match[0]] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

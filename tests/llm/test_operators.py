@@ -432,12 +432,17 @@ def test_decontamination_equals_brute_force(spark, sf):
     assert want <= got
 
 
-def test_benchmark_in_blocks(spark, sf, monkeypatch):
+def test_large_benchmarks_by_join(spark, sf, odd, none, monkeypatch):
     docs, bench = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    whole = sorted(map(tuple, template_decon.contaminated_spans(docs, bench).collect()))
-    real = template_decon.blocks
-    monkeypatch.setattr(template_decon, "blocks", lambda b: real(b, 300))
-    assert sorted(map(tuple, template_decon.contaminated_spans(docs, bench).collect())) == whole
+    docs = docs.unionByName(docs.limit(20))  # repeated rows
+    more = spark.createDataFrame([(900, "What is the name of the longest river"), (901, None), (902, "too short"), (903, "")], "item_id long, text string")
+    bench = bench.unionByName(more).unionByName(bench.limit(2))
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(5000, "some words and What is the name of the longest river and more"), (5001, None)], "doc_id long, text string"))
+    spans, kept = (lambda: sorted(map(tuple, template_decon.contaminated_spans(docs, bench).collect()))), (lambda: sorted(r["doc_id"] for r in template_decon.decontaminated(docs, bench).collect()))
+    whole, left = spans(), kept()
+    monkeypatch.setattr(template_decon, "BLOCK_WINDOWS", 10)
+    assert spans() == whole and kept() == left and any(r[1] == 900 for r in whole) and len(left) < docs.count()
+    assert template_decon.contaminated_spans(odd, bench).count() == 0 and template_decon.decontaminated(none, bench).count() == 0
 
 
 # ---- 7: languages
