@@ -25,16 +25,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# fixed values: usual wordings of license notices
+# fixed values: usual wordings of license notices; what two licenses share is named for neither
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_TWO = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_THREE = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
 TEMPLATES = {
     "Apache-2.0/notice": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0/header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "MIT/notice": "Released under the MIT License.",
     "MIT/text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
-    "BSD-3-Clause/notice": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "BSD/opening": _BSD,
+    "BSD-2-Clause/text": f"{_BSD} {_BSD_TWO}",
+    "BSD-3-Clause/text": f"{_BSD} {_BSD_TWO} 3. {_BSD_THREE}",
+    "BSD-3-Clause/condition": _BSD_THREE,
     "GPL-3.0/notice": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0/header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "GPL-2.0/header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "GPL-3.0-or-later/header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-3.0-only/header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation.",
+    "GPL-2.0-only/header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "GPL-2.0-or-later/header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "GPL-2.0/notice": "This work is licensed under the GNU General Public License, version 2.",
     "LGPL-3.0/notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "AGPL-3.0/notice": "This work is licensed under the GNU Affero General Public License, version 3.",
@@ -46,6 +54,8 @@ TEMPLATES = {
     "CC-BY-NC-4.0/text": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "CC0-1.0/notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "ISC/text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "0BSD/text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "EPL-2.0/notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
     "Unlicense/text": "This is free and unencumbered software released into the public domain.",
 }
 #: What any candidate has, in the regular expressions of Java, Python and RE2 alike.

@@ -47,6 +47,32 @@ def test_every_license_of_a_block():
     assert [t for t, _ in names(header.replace("specific", "exact"))] == ["Apache-2.0/header"]
 
 
+def test_wordings_that_licenses_share():
+    t = license_scan.TEMPLATES
+    names = lambda text: [(r["license"], r["exact"]) for r in license_scan.scan_text(text)]
+    assert names(t["BSD-2-Clause/text"]) == [("BSD-2-Clause", True)] and names(t["BSD-3-Clause/text"]) == [("BSD-3-Clause", True)]
+    assert names(t["BSD/opening"]) == [("BSD", True)] and names(t["BSD-3-Clause/condition"]) == [("BSD-3-Clause", True)]
+    for version in "23":
+        for rest in ("or-later", "only"):
+            assert names(t[f"GPL-{version}.0-{rest}/header"]) == [(f"GPL-{version}.0-{rest}", True)]
+    assert names(t["0BSD/text"]) == [("0BSD", True)] and names(t["ISC/text"]) == [("ISC", True)] and names(t["EPL-2.0/notice"]) == [("EPL-2.0", True)]
+
+
+def test_every_notice_at_every_place():
+    """Planted notices, verbatim, in lines and paragraphs of any length: all are found where they stand, and nothing else."""
+    rng = random.Random(11)
+    for _ in range(60):
+        text, want = "", []
+        for _ in range(rng.randint(1, 6)):
+            text += " ".join("".join(rng.choices("aeioulnrst", k=rng.randint(2, 9))) for _ in range(rng.choice([0, 1, 3, 40, 700]))) + rng.choice([" ", "\n", "\n\n"])
+            name, notice = rng.choice(list(license_scan.TEMPLATES.items()))
+            want.append((len(text), name.split("/")[0]))
+            text += notice + rng.choice([". ", "\n", "\n\n"])
+        got = [(r["start"], r["license"]) for r in license_scan.scan_text(text) if r["exact"]]
+        starts = [(at + (len(x) - len(x.lstrip('"'))), name) for (at, name), x in zip(want, (text[at:] for at, _ in want))]
+        assert got == starts
+
+
 def test_short_notices_in_long_lines():
     rng = random.Random(4)
     common = "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has when who will no more if out so".split()
