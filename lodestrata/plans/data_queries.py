@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestrata.functions.icu import brace_balance, icu_parse, lacks_other, placeholders
+from lodestrata.functions.icu import brace_balance, icu_parse, lacks_other
 from lodestrata.operators import audit as A
 from lodestrata.operators import edits as E
 from lodestrata.operators import l10n as T
@@ -35,23 +35,6 @@ def hardcoded_values(spark, sf_dir):
     return A.hardcoded_values(L.lines(f))
 
 
-@query("SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, lower(unnest(regexp_extract_all(html, '<([A-Za-z][A-Za-z0-9]*)', 1))) AS tag FROM pages) GROUP BY page_id, tag")
-def tag_counts(spark, sf_dir):
-    tags = _pages(spark, sf_dir).select("page_id", F.explode(F.regexp_extract_all("content", F.lit("<([A-Za-z][A-Za-z0-9]*)"), F.lit(1))).alias("tag"))
-    return tags.groupBy("page_id", F.lower("tag").alias("tag")).agg(F.count("*").alias("n"))
-
-
-@query("SELECT name, count(*) AS n, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(html, '\\s([a-z-]+)=\"', 1)) AS name FROM pages) GROUP BY name")
-def tag_attributes(spark, sf_dir):
-    names = _pages(spark, sf_dir).select("page_id", F.explode(F.regexp_extract_all("content", F.lit(r'\s([a-z-]+)="'), F.lit(1))).alias("name"))
-    return names.groupBy("name").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages"))
-
-
-@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<h[1-6][^>]*>')) AS INTEGER) AS headings FROM pages")
-def outline(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", F.regexp_extract("content", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("content", F.lit("<h[1-6][^>]*>"), F.lit(0))).alias("headings"))
-
-
 @query("""WITH b AS (SELECT doc_id, md5(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', '', 'g')) AS fingerprint, length(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', '', 'g')) AS length FROM documents),
     r AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY fingerprint) AS n FROM b WHERE length >= 50)
     SELECT fingerprint, any_value(n) AS n, CAST(max(length) AS INTEGER) AS length, min(doc_id) AS first, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) FILTER (r BETWEEN 2 AND 4) AS others FROM r WHERE n > 1 GROUP BY fingerprint""")
@@ -75,25 +58,6 @@ def duplicate_signatures(spark, sf_dir):
     return A.duplicate_subtrees(_trees(spark, sf_dir), 3, "ts")
 
 
-@query("SELECT doc_id AS path, CAST(max(depth) + 1 AS INTEGER) AS depth FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS depth FROM documents) GROUP BY doc_id HAVING max(depth) + 1 > 5")
-def widget_depth(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.posexplode(F.split("text", "\n")).alias("depth", "text"))
-    return A.depth_violations(d, 5)
-
-
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'F')")
-def leak_candidates(spark, sf_dir):
-    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    closed = li.where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
-    return o.join(closed, "o_orderkey", "left_anti").select("o_orderkey", "o_totalprice")
-
-
-@query("SELECT p_partkey AS path, p_size AS size FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40 AND l_discount > 0.05)")
-def unused_assets(spark, sf_dir):
-    p, li = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem").where("l_quantity > 40 and l_discount > 0.05")
-    return St.deleted(p.select(F.col("p_partkey").alias("path"), F.col("p_size").alias("size")), li.select(F.col("l_partkey").alias("path")), ["path"])
-
-
 @query(f"""WITH l AS (SELECT path, line, trim(replace(replace(text, 'Th', 'if '), 'Er', 'return ')) AS t FROM {lines_sql("(SELECT conv_id || chr(47) || turn AS path, text AS content FROM conversations)")}),
     k AS (SELECT path, line, t, CASE WHEN t = '' OR starts_with(t, '//') THEN NULL WHEN starts_with(t, 'if ') OR starts_with(t, 'else if') OR starts_with(t, 'switch') THEN CASE WHEN contains(t, '.isEmpty') THEN 'validation' ELSE 'conditional' END
       WHEN starts_with(t, 'for ') OR starts_with(t, 'while ') THEN 'loop' WHEN starts_with(t, 'try') OR starts_with(t, 'catch') OR starts_with(t, 'throw ') OR contains(t, ' catch ') THEN 'error_handling' WHEN starts_with(t, 'return ') THEN 'return' END AS kind FROM l)
@@ -117,33 +81,24 @@ def diagnostics_parse(spark, sf_dir):
     return A.diagnostics(e.select("event_id", text.alias("text"))).select("event_id", "severity", "file", "line", "col")
 
 
-@query("SELECT p_name AS name, p_brand AS version FROM part WHERE p_type = 'ECONOMY' AND p_size < 10")
-def package_filter(spark, sf_dir):
-    return table(spark, sf_dir, "part").where("p_type = 'ECONOMY' and p_size < 10").select(F.col("p_name").alias("name"), F.col("p_brand").alias("version"))
+@query("SELECT metric, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'es') AS es, count(*) FILTER (lang = 'fr') AS fr FROM (SELECT lang, CASE WHEN length(text) < 500 THEN 'short' WHEN length(text) < 2000 THEN 'middle' ELSE 'long' END AS metric FROM documents) GROUP BY metric")
+def parity_pivot(spark, sf_dir):
+    size = F.when(F.char_length("text") < 500, "short").when(F.char_length("text") < 2000, "middle").otherwise("long")
+    return A.parity_matrix(table(spark, sf_dir, "documents").select(F.col("lang").alias("engine"), size.alias("metric"), F.col("doc_id").alias("name")), ["de", "en", "es", "fr"])
 
 
-@query("""SELECT count(*) AS files, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS lines, CAST(sum(length(text)) AS BIGINT) AS chars, count(DISTINCT source) AS folders, count(*) FILTER (lang = 'en') AS english,
-    (SELECT count(*) FROM conversations) AS turns, (SELECT count(DISTINCT conv_id) FROM conversations) AS conversations FROM documents""")
-def stats_global(spark, sf_dir):
-    d, c = table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations")
-    a = d.agg(F.count("*").alias("files"), F.sum(F.size(F.split("text", "\n"))).alias("lines"), F.sum(F.char_length("text")).alias("chars"), F.countDistinct("source").alias("folders"), F.count_if(F.col("lang") == "en").alias("english"))
-    return a.join(c.agg(F.count("*").alias("turns"), F.countDistinct("conv_id").alias("conversations")))
+@query("SELECT DISTINCT l_orderkey AS path, CAST(3 AS INTEGER) AS depth FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey")
+def widget_depth(spark, sf_dir):
+    return A.depth_violations(_trees(spark, sf_dir), 2)
 
 
 @query("""WITH f AS (SELECT CASE event_type WHEN 'error' THEN 'async' WHEN 'click' THEN 'callback' WHEN 'view' THEN 'widget' ELSE 'data' END AS category FROM events)
-    SELECT c.category, count(f.category) AS n FROM (SELECT unnest(['comment', 'callback', 'widget', 'data', 'async', 'state']) AS category) c LEFT JOIN f ON f.category = c.category GROUP BY c.category""")
+    SELECT c.category, count(f.category) AS n FROM (SELECT unnest(['comment', 'callback', 'widget', 'data', 'async', 'input']) AS category) c LEFT JOIN f ON f.category = c.category GROUP BY c.category""")
 def category_breakdown_zero_fill(spark, sf_dir):
     kind = F.when(F.col("event_type") == "error", "async").when(F.col("event_type") == "click", "callback").when(F.col("event_type") == "view", "widget").otherwise("data")
     return A.category_breakdown(table(spark, sf_dir, "events").select(kind.alias("category")))
 
 
-@query("SELECT lang, count(*) FILTER (length(text) < 500) AS short, count(*) FILTER (length(text) BETWEEN 500 AND 1999) AS middle, count(*) FILTER (length(text) >= 2000) AS long FROM documents GROUP BY lang")
-def parity_pivot(spark, sf_dir):
-    size = F.when(F.char_length("text") < 500, "short").when(F.char_length("text") < 2000, "middle").otherwise("long")
-    p = table(spark, sf_dir, "documents").withColumn("size", size).groupBy("lang").pivot("size", ["short", "middle", "long"]).agg(F.count(F.lit(1)))
-    return p.select("lang", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("short", "middle", "long")])
-
-
 @query("""WITH f AS (SELECT doc_id FROM documents WHERE contains(text, '!!') OR contains(text, '|') OR contains(text, '***')), t AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0),
     c AS (SELECT count(*) FILTER (f.doc_id IS NOT NULL AND t.doc_id IS NOT NULL) AS tp, count(*) FILTER (t.doc_id IS NULL) AS fp, count(*) FILTER (f.doc_id IS NULL) AS fn FROM f FULL JOIN t ON f.doc_id = t.doc_id)
     SELECT tp, fp, fn, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn), 4) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 4) AS f1 FROM c""")
@@ -154,15 +109,25 @@ def precision_recall(spark, sf_dir):
 
 
 # ---- localisation: documents as entries (key = source, locale = lang, the least doc_id counts) ----------------
-_ENTRIES = "(SELECT lang || '.arb' AS path, lang AS locale, source || '_' || (doc_id % 7) AS key, arg_min(text, doc_id) AS value FROM documents WHERE length(text) < 1500 GROUP BY ALL)"
+_ENTRIES = "(SELECT lang || '.arb' AS path, lang AS locale, source || '_' || (doc_id % 7) AS key, arg_min(text, doc_id) AS value FROM documents WHERE text IS NOT NULL GROUP BY ALL)"
 
 
 def _entries(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(F.char_length("text") < 1500)
+    d = table(spark, sf_dir, "documents").where("text is not null")
     key = F.concat("source", F.lit("_"), (F.col("doc_id") % 7).cast("string"))
     return d.groupBy(F.concat("lang", F.lit(".arb")).alias("path"), F.col("lang").alias("locale"), key.alias("key")).agg(F.min_by("text", "doc_id").alias("value"))
 
 
+_MESSAGE = "replace(replace(value, 'The ', '{the} '), ' to ', ' {to, number} ')"
+
+
+@query(f"""WITH p AS (SELECT path, key, list_sort(list_distinct(regexp_extract_all({_MESSAGE}, '\\{{\\s*([A-Za-z_]\\w*)\\s*[,}}]', 1))) AS names FROM {_ENTRIES})
+    SELECT p.path, p.key FROM p JOIN p b ON b.key = p.key AND b.path = (SELECT min(path) FROM p) WHERE p.names <> b.names""")
+def placeholder_mismatch(spark, sf_dir):
+    v = F.replace(F.replace("value", F.lit("The "), F.lit("{the} ")), F.lit(" to "), F.lit(" {to, number} "))
+    return T.message_issues(_entries(spark, sf_dir).withColumn("value", v), "rs").where("issue = 'placeholder_mismatch'").select("path", "key")
+
+
 @query(f"WITH t AS (SELECT * FROM {_ENTRIES}) SELECT f.path, k.key FROM (SELECT DISTINCT path FROM t) f, (SELECT DISTINCT key FROM t) k WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.path = f.path AND t.key = k.key)")
 def missing_keys(spark, sf_dir):
     return T.missing_keys(_entries(spark, sf_dir)).select("path", "key")
@@ -180,18 +145,6 @@ def unused_keys(spark, sf_dir):
     return T.unused_keys(keys, files(spark, sf_dir))
 
 
-_MESSAGE = "replace(replace(value, 'The ', '{the} '), ' to ', ' {to, number} ')"
-
-
-@query(f"""WITH t AS (SELECT path, key, {_MESSAGE} AS v FROM {_ENTRIES}), p AS (SELECT path, key, list_sort(list_distinct(regexp_extract_all(v, '\\{{\\s*([A-Za-z_]\\w*)\\s*[,}}]', 1))) AS names FROM t)
-    SELECT p.path, p.key, array_to_string(p.names, ',') AS names, array_to_string(b.names, ',') AS expected FROM p JOIN p b ON b.key = p.key AND b.path = 'de.arb' WHERE p.names <> b.names""")
-def placeholder_mismatch(spark, sf_dir):
-    v = F.replace(F.replace("value", F.lit("The "), F.lit("{the} ")), F.lit(" to "), F.lit(" {to, number} "))
-    p = _entries(spark, sf_dir).select("path", "key", placeholders(v).alias("names"))
-    b = p.where("path = 'de.arb'").select("key", F.col("names").alias("expected"))
-    return p.join(b, "key").where("names != expected").select("path", "key", F.array_join("names", ",").alias("names"), F.array_join("expected", ",").alias("expected"))
-
-
 @query("SELECT event_id, CAST(length(replace(m, '}', '')) - length(replace(m, '{', '')) AS INTEGER) AS balance, (contains(m, ', plural,') AND NOT contains(m, 'other{')) AS lacks_other FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '{n, plural, one{' || event_type || '}' ELSE props END AS m FROM events)")
 def icu_balance(spark, sf_dir):
     m = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("{n, plural, one{"), "event_type", F.lit("}"))).otherwise(F.col("props"))
@@ -275,28 +228,3 @@ def code_block_slices(spark, sf_dir):
     f = files(spark, sf_dir)
     symbols = f.select("path", F.lit("function").alias("kind"), F.lit("f").alias("name"), F.lit(None).cast("string").alias("parent"), F.lit(2).alias("line"), (2 + F.char_length("path") % 3).alias("line_end"))
     return L.code_blocks(symbols, L.lines(f), "f").select("path", F.md5("source").alias("digest"))
-
-
-@query("""WITH s AS (SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'class' WHEN o_orderkey % 4 = 1 THEN 'method' WHEN o_orderkey % 4 = 2 THEN 'function' ELSE 'enum' END AS kind, o_orderkey % 4 AS p, 'fn' || o_custkey AS name, o_orderkey AS path FROM orders)
-    SELECT name, arg_min(path, p * 1000000000 + path) AS path, arg_min(kind, p * 1000000000 + path) AS kind FROM s GROUP BY name""")
-def fragment_priority(spark, sf_dir):
-    k = F.col("o_orderkey") % 4
-    kind = F.when(k == 0, "class").when(k == 1, "method").when(k == 2, "function").otherwise("enum")
-    s = table(spark, sf_dir, "orders").select(kind.alias("kind"), F.concat(F.lit("fn"), F.col("o_custkey").cast("string")).alias("name"), F.col("o_orderkey").alias("path"))
-    rank = F.array_position(F.array(*map(F.lit, L.KIND_PRIORITY)), F.col("kind"))
-    return s.groupBy("name").agg(F.min(F.struct(rank.alias("r"), "path", "kind")).alias("b")).select("name", "b.path", "b.kind")
-
-
-@query("""WITH c AS (SELECT o_custkey AS path, o_orderkey AS line FROM orders WHERE o_orderstatus = 'P'), d AS (SELECT o_custkey AS path, o_orderkey AS line FROM orders WHERE o_totalprice > 300000), w AS (SELECT o_custkey AS path, o_orderkey AS line FROM orders WHERE o_orderpriority = '1-URGENT')
-    SELECT path, line, arg_min(kind, r) AS kind FROM (SELECT *, 'call' AS kind, 0 AS r FROM c UNION ALL SELECT *, 'derives', 1 FROM d UNION ALL SELECT *, 'word', 2 FROM w) GROUP BY path, line""")
-def reference_union_dedup(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    part = lambda where, kind, r: o.where(where).select(F.col("o_custkey").alias("path"), F.col("o_orderkey").alias("line"), F.lit(kind).alias("kind"), F.lit(r).alias("r"))
-    both = part("o_orderstatus = 'P'", "call", 0).unionByName(part("o_totalprice > 300000", "derives", 1)).unionByName(part("o_orderpriority = '1-URGENT'", "word", 2))
-    return both.groupBy("path", "line").agg(F.min_by("kind", "r").alias("kind"))
-
-
-@query(f"SELECT path, min(line) AS line FROM {LINES} WHERE regexp_matches(ltrim(text), '^(The|De|La) ') AND contains(text, 'en') GROUP BY path")
-def reverse_deps_lines(spark, sf_dir):
-    hit = F.ltrim("text").rlike("^(The|De|La) ") & F.contains("text", F.lit("en"))
-    return L.lines(files(spark, sf_dir)).where(hit).groupBy("path").agg(F.min("line").alias("line"))

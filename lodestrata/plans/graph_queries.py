@@ -23,11 +23,6 @@ def _seed(spark, *names):
     return spark.createDataFrame([(n,) for n in names], "node string")
 
 
-@query(f"WITH {TRADE} SELECT src, dst FROM trade")
-def trade_graph(spark, sf_dir):
-    return trade_edges(spark, sf_dir)
-
-
 @query(f"WITH RECURSIVE {TRADE}, {_reach(_START, True, 25)} SELECT node, min(hops) AS hops FROM reach GROUP BY node HAVING min(hops) > 0")
 def impact_bfs(spark, sf_dir):
     return G.impact(trade_edges(spark, sf_dir), "NATION_0").select("node", "hops")
@@ -59,11 +54,6 @@ def adjacency(spark, sf_dir):
     return G.adjacency(trade_edges(spark, sf_dir))
 
 
-@query(f"WITH {TRADE} SELECT dst AS node, count(*) AS n FROM trade GROUP BY dst ORDER BY n DESC, dst LIMIT 1")
-def most_imported(spark, sf_dir):
-    return trade_edges(spark, sf_dir).groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "node").limit(1)
-
-
 @query(f"""WITH RECURSIVE {TRADE}, both_ways AS (SELECT src AS a, dst AS b FROM trade UNION SELECT dst, src FROM trade),
     reach AS (SELECT 'NATION_3' AS node, 0 AS hops UNION SELECT b, hops + 1 FROM reach JOIN both_ways ON a = node WHERE hops < 2)
     SELECT src, dst FROM trade WHERE src IN (SELECT node FROM reach) AND dst IN (SELECT node FROM reach)""")
@@ -137,7 +127,7 @@ def layer_report(spark, sf_dir):
 
 @query(f"WITH {_LAYERED} SELECT layer, count(*) AS n FROM layered GROUP BY layer")
 def layer_counts(spark, sf_dir):
-    return _layered(spark, sf_dir).groupBy("layer").agg(F.count("*").alias("n"))
+    return A.layer_report(_layered(spark, sf_dir), trade_edges(spark, sf_dir), "ts").select("layer", F.col("files").alias("n"))
 
 
 @query(f"WITH {_LAYER_EDGES} SELECT src, dst, src_layer, dst_layer FROM edges WHERE (src_layer = 'domain' AND dst_layer IN ('data', 'presentation')) OR (src_layer = 'data' AND dst_layer = 'presentation')")
@@ -165,21 +155,6 @@ def import_resolve_candidates(spark, sf_dir):
     return R.resolve_imports(asked, files)
 
 
-@query("""WITH c AS (SELECT o_orderkey AS call, o_custkey % 40 AS k FROM orders), h AS (
-      SELECT call, 1 AS p, 'customer' AS how, c_name AS target FROM c JOIN customer ON c_custkey = k AND c_nationkey < 8
-      UNION ALL SELECT call, 2, 'supplier', s_name FROM c JOIN supplier ON s_suppkey = k AND s_nationkey < 12
-      UNION ALL SELECT call, 3, 'nation', n_name FROM c JOIN nation ON n_nationkey = k)
-    SELECT c.call, how, target FROM c LEFT JOIN (SELECT call, arg_min(how, p) AS how, arg_min(target, p) AS target FROM h GROUP BY call) b ON b.call = c.call""")
-def call_resolution_priority(spark, sf_dir):
-    c = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call"), (F.col("o_custkey") % 40).alias("k"))
-    steps = [("customer", "c_custkey", "c_name", "c_nationkey < 8"), ("supplier", "s_suppkey", "s_name", "s_nationkey < 12"), ("nation", "n_nationkey", "n_name", "true")]
-    out = c
-    for name, key, label, where in steps:
-        out = out.join(table(spark, sf_dir, name).where(where).select(F.col(key).cast("long").alias("k"), F.col(label).alias(f"q_{name}")), "k", "left")
-    how = F.when(F.col("q_customer").isNotNull(), "customer").when(F.col("q_supplier").isNotNull(), "supplier").when(F.col("q_nation").isNotNull(), "nation")
-    return out.select("call", how.alias("how"), F.coalesce("q_customer", "q_supplier", "q_nation").alias("target"))
-
-
 @query("""WITH s AS (SELECT o_custkey AS path, 'order' AS kind, CAST(epoch(o_orderdate) // 86400 AS BIGINT) AS first, CAST(epoch(o_orderdate) // 86400 AS BIGINT) + 30 + o_orderkey % 40 AS last, o_orderkey AS ord FROM orders),
     q AS (SELECT DISTINCT o_custkey AS path, CAST(epoch(l_shipdate) // 86400 AS BIGINT) AS at FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
     SELECT q.path, q.at, arg_min(CAST(s.ord AS VARCHAR), (s.last - s.first) * 1000000000 + s.ord) AS name, arg_min(s.first, (s.last - s.first) * 1000000000 + s.ord) AS line FROM q JOIN s ON q.path = s.path AND q.at BETWEEN s.first AND s.last GROUP BY q.path, q.at""")

@@ -99,7 +99,7 @@ _SYMBOLS = """(SELECT 'p' || p_partkey AS id, 'part' AS kind, p_name AS name, CA
 
 @query(f"SELECT kind, id, name FROM {_SYMBOLS} WHERE contains(lower(name), 'er#0000001')")
 def search_kinds_union(spark, sf_dir):
-    return _symbols(spark, sf_dir).where(F.contains(F.lower("name"), F.lit("er#0000001"))).select("kind", "id", "name")
+    return S.rerank(_symbols(spark, sf_dir), "er#0000001", 2**31 - 1).select("kind", "id", "name")
 
 
 @query(f"""SELECT id, kind, name, usage_count FROM {_SYMBOLS} WHERE contains(lower(name), 'red')
@@ -146,13 +146,6 @@ def package_search_limited(spark, sf_dir):
     return L.search_text(L.lines(p), "<title>The", k=50).select("path", "line")
 
 
-@query(f"""WITH l AS (SELECT path, line, text FROM {_PAGE_LINES}), h AS (SELECT path, line, 'variable' AS kind, regexp_extract(text, '\\b(?:final|const|var|val|let)\\s+(?:[A-Za-z_][\\w<>?]*\\s+)?([A-Za-z_]\\w*)\\s*=', 1) AS name FROM l WHERE contains(lower(text), 't'))
-    SELECT path, line, kind, name FROM h WHERE name <> '' AND contains(lower(name), 't') ORDER BY path, line, kind LIMIT 50""")
-def direct_search_defs(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.col("html").alias("content"))
-    return L.direct_definitions(L.lines(p), "t").where("kind = 'variable'")
-
-
 @query(f"SELECT doc_id, CAST(len({_tok('text')}) AS INTEGER) AS n FROM documents")
 def token_counts_ascii(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(ascii_tokens("text")).alias("n"))

@@ -172,10 +172,24 @@ def test_mockups(spark):
     f = spark.createDataFrame([("lib/a.dart", t), ("test/a_test.dart", "final mockUsers = [];")], "path string, content string")
     got = audit.mockups(lines.lines(f))
     assert rows(got, "path", "line", "category") == sorted([("lib/a.dart", n, c) for n, c in ((1, "comment"), (2, "callback"), (3, "callback"), (4, "widget"), (5, "data"), (6, "data"), (7, "data"), (11, "async"))], key=str)
-    assert {r["category"]: r["n"] for r in audit.category_breakdown(got).collect()} == {"comment": 1, "callback": 2, "widget": 1, "data": 3, "async": 1, "state": 0}
+    assert {r["category"]: r["n"] for r in audit.category_breakdown(got).collect()} == {"comment": 1, "callback": 2, "widget": 1, "data": 3, "async": 1, "input": 0}
     assert rows(audit.rule_hits(lines.lines(f)), "line", "mark") == [(1, "TODO"), (2, "onPressed: () {}"), (4, "Placeholder(")]
 
 
+def test_mockup_forms(spark):
+    hit = {
+        "callback": ["onTap: () {}", "onClick={() => {}}", "onPressed: () async { print('x'); },", "button.setOnClickListener { }", "onClick = { v -> }", "setOnClickListener { Log.d(TAG) }", "onPressed : null,"],
+        "widget": ["throw UnimplementedError();", "throw new UnsupportedOperationException(x)", "TODO('later')"],
+        "data": ["val dummyUser = 1", "final List<User> fakeUsers = []", "object MockApi", "img('https://picsum.photos/200')", 'name = "Jane Doe"', "'Lorem ipsum dolor'"],
+        "comment": ["x(); // fixme later", "<!-- HACK -->"], "async": ["Thread.sleep(300)"],
+    }
+    clean = ["onTap: () { go(); }", "final mockupTool = 1", "// the todo list", "onPressed: save", "final users = load()", "callback(delayed)", "onTap: handler"]
+    texts = [(c, t) for c, ts in hit.items() for t in ts] + [(None, t) for t in clean]
+    f = spark.createDataFrame([(f"lib/f{k}.kt", t) for k, (_, t) in enumerate(texts)], "path string, content string")
+    got = {r["path"]: r["category"] for r in audit.mockups(lines.lines(f)).collect()}
+    assert [got.get(f"lib/f{k}.kt") for k in range(len(texts))] == [c for c, _ in texts]
+
+
 def test_leaks_and_assets(spark):
     f = [("a.dart", "class S extends State<W> {\n final TextEditingController name = TextEditingController();\n late ScrollController s;\n void dispose() { s.dispose(); }\n}"), ("b.dart", "x = FocusNode();"), ("c.dart", "load('assets/a.png'); icon('b.png');")]
     files = spark.createDataFrame(f, "path string, content string")
