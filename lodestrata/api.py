@@ -216,8 +216,10 @@ class Corpus:
         return audit.unused_assets(assets, self.files)
 
     def logic_flow(self, function: str, parent: str | None = None) -> DataFrame:
-        s = spans.with_ends(self.spans.where(F.col("name") == function), self.dialect)
+        s = self.spans.where((F.col("name") == function) & F.col("kind").isin("method", "function"))
         s = s.where(F.col("parent") == parent) if parent else s
+        # the first method of the name, then the first function
+        s = spans.with_ends(s.orderBy(F.desc("kind"), "path", "line").limit(1), self.dialect, lines.FLOW_LINES)
         body = s.select(F.col("path").alias("p"), F.col("line").alias("a"), "line_end").join(self.lines, (F.col("p") == F.col("path")) & F.col("line").between(F.col("a"), F.col("line_end")))
         return lines.logic_flow(body, ("path", "a"))
 

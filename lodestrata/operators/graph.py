@@ -21,6 +21,8 @@ def _cut(df: DataFrame) -> DataFrame:
     spark: SparkSession = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_dirs:
             _own_dirs[app] = tempfile.mkdtemp(prefix="lodestrata-graph-")
@@ -100,10 +102,9 @@ def reach_pairs(edges: DataFrame, most: int = 64) -> DataFrame:
     return reach
 
 
-def nodes_on_cycles(edges: DataFrame, skip_loops: bool = True) -> DataFrame:
-    """Nodes that reach themselves.  What cannot lie on a cycle is peeled off first, so the closure is of the rest only."""
-    e = edges.where("src != dst") if skip_loops else edges
-    e = _cut(e.select("src", "dst").distinct())
+def _peeled(e: DataFrame) -> DataFrame:
+    """Written edges without those that cannot lie on a cycle: from nodes that no edge enters, or to nodes that none leaves."""
+    e = _cut(e)
     n = e.count()
     while n:
         e = _cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
@@ -111,7 +112,41 @@ def nodes_on_cycles(edges: DataFrame, skip_loops: bool = True) -> DataFrame:
         if m == n:
             break
         n = m
-    return reach_pairs(e).where("src = dst").select(F.col("src").alias("node")).distinct()
+    return e
+
+
+def _least_reaching(e: DataFrame) -> DataFrame:
+    """(node, label) for the nodes of edges: the least node that reaches it, itself included."""
+    label = _cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().select("node", F.col("node").alias("label")))
+    while True:
+        sent = e.join(label.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("new"))
+        moved = label.join(sent, "node", "left").select("node", F.least("label", "new").alias("label"), F.coalesce(F.col("new") < F.col("label"), F.lit(False)).alias("moved"))
+        moved = _cut(moved)
+        label = moved.select("node", "label")
+        if moved.where("moved").isEmpty():
+            return label
+
+
+def nodes_on_cycles(edges: DataFrame, skip_loops: bool = True) -> DataFrame:
+    """Nodes that reach themselves: those of strongly connected components of two nodes or more, and loops if asked.
+
+    Components are found by colouring, without the pairs of the closure: every node takes the least node that reaches it as
+    its colour; what reaches that node within the colour is a component; components are taken out, what is left is peeled and
+    coloured again.  Each step is linear in the edges left.
+    """
+    found = edges.where("src = dst").select(F.col("src").alias("node"))
+    found = found.limit(0) if skip_loops else found.distinct()
+    e = _peeled(edges.where("src != dst").select("src", "dst").distinct())
+    while not e.isEmpty():
+        label = _least_reaching(e)
+        a, b = (label.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")) for c in ("src", "dst"))
+        inside = e.join(a, "src").join(b, "dst").where("src_label = dst_label").select("src", "dst")
+        reached = _cut(bfs(inside, label.where("node = label").select("node"), 1 << 30, backwards=True).join(label, "node"))
+        several = reached.where("hops > 0")
+        found = found.union(several.select("node")).union(several.select("label"))
+        gone = reached.select("node")
+        e = _peeled(e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+    return found.distinct()
 
 
 def cycle_list(edges: DataFrame, dialect: str = "ts", most: int = 50, bound: int = 50_000) -> DataFrame:

@@ -102,7 +102,9 @@ def fragment(symbols: DataFrame, rows: DataFrame, name: str, kind: str | None =
     return doc.unionByName(body).select("path", "kind", "line", part.alias("part"), "text").orderBy("line")
 
 
-#: A step's kind is the first rule that fits the trimmed line: (kind, how, needles).
+#: Lines of a body whose end is unknown.
+FLOW_LINES = {"method": 35, "function": 35}
+# fixed values: what marks a step.  A step's kind is the first rule that fits the trimmed line: (kind, how, needles).
 _STEPS = (
     ("loop", "starts", ("for ", "for(", "while ")),
     ("state_update", "has", ("setState", "emit(", "state =", "notifyListeners()")),

@@ -1,8 +1,9 @@
 """Ranked search: BM25 over weighted fields, name boosts, and the orders of result lists.
 
-Scoring needs no inverted index and no shuffle of the corpus: a document's length and the frequencies of the few
+Without an index scoring needs no shuffle of the corpus: a document's length and the frequencies of the few
 query terms are row-local; one aggregation brings the corpus statistics, and the best rows are taken
-with a bounded sort.  ``postings`` gives the inverted index as a table where one is wanted.
+with a bounded sort.  ``indexed`` makes an inverted index as two tables, which ``reindexed`` and ``unindexed`` keep up to date
+and ``search_index`` reads: the rows of the query's terms and the table of lengths, not the corpus.
 """
 
 from __future__ import annotations
@@ -78,16 +79,6 @@ def idf_table(docs: DataFrame, dialect: str = "ts") -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", idf(F.lit(float(n)), F.col("df")))
 
 
-#: Input of at most so many bytes is dealt over all cores first.
-SMALL_INPUT = 1 << 30
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Small inputs dealt over all cores: a file of one row group is one task however it is split.  Larger ones stay."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_INPUT else df
-
-
 def scored(docs: DataFrame, query: str, dialect: str = "ts", overlap: bool = True) -> DataFrame:
     """(id, name, score, hits) of the candidates: hits is the number of query terms a document has."""
     d, terms = DIALECTS[dialect], query_tokens(query, dialect)
@@ -98,7 +89,7 @@ def scored(docs: DataFrame, query: str, dialect: str = "ts", overlap: bool = Tru
     tf = [_total([F.size(F.filter(a, lambda x: x == F.lit(t))) * F.lit(d.weights[c]) for c, a in tokens.items()]) for t in terms]  # noqa: B023
 
     def measured(part: DataFrame) -> DataFrame:
-        rows = spread(part).select("id", "name", *[d.tokens(c).alias(a) for c, a in tokens.items()])
+        rows = part.select("id", "name", *[d.tokens(c).alias(a) for c, a in tokens.items()])
         m = F.struct(_total([F.size(a) * F.lit(d.weights[c]) for c, a in tokens.items()]).alias("dl"), *[t.alias(f"tf{i}") for i, t in enumerate(tf)])
         # through a generator of one row, so that filters above are not pushed down with a copy of the tokenizer each
         return rows.select("id", "name", F.explode(F.array(m)).alias("m")).select("id", "name", "m.*")
@@ -107,6 +98,12 @@ def scored(docs: DataFrame, query: str, dialect: str = "ts", overlap: bool = Tru
     # a document with a term has it as a substring, so only such ones are taken apart again
     whole = F.lower(F.concat_ws("\n", *fields))
     rows = measured(docs.where(reduce(lambda a, b: a | b, [F.contains(whole, F.lit(t)) for t in [*terms, query.strip().lower()]])))
+    return _ranked(rows, stats, terms, query, dialect, overlap)
+
+
+def _ranked(rows: DataFrame, stats, terms: list[str], query: str, dialect: str, overlap: bool) -> DataFrame:
+    """(id, name, score, hits) of rows (id, name, dl, tf0, tf1, ...) by the corpus statistics n, avgdl, df0, df1, ..."""
+    d = DIALECTS[dialect]
     avg = (stats["avgdl"] or 0.0) + (1e-9 if dialect == "rs" else 0.0)
     norm = F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(avg if avg else 1.0)
     parts = []
@@ -130,6 +127,40 @@ def search(docs: DataFrame, query: str, dialect: str = "ts", k: int = 50) -> Dat
     return best.select("id", "name", F.round("score", 3).alias("score") if dialect == "rs" else "score")
 
 
+def indexed(docs: DataFrame, dialect: str = "ts") -> tuple[DataFrame, DataFrame]:
+    """The inverted index of documents: postings (term, id, tf) and documents (id, name, dl).
+
+    Write the postings sorted or bucketed by term, so that a search reads the files of its terms only.
+    """
+    d = DIALECTS[dialect]
+    dl = _total([F.size(d.tokens(c)) * F.lit(d.weights[c]) for c in _present(docs)])
+    return weighted_terms(docs, dialect).select("term", "id", "tf"), docs.select("id", "name", dl.alias("dl"))
+
+
+def unindexed(index: tuple[DataFrame, DataFrame], ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The index without some documents (id)."""
+    return tuple(part.join(ids.select("id").distinct(), "id", "left_anti").select(*part.columns) for part in index)
+
+
+def reindexed(index: tuple[DataFrame, DataFrame], docs: DataFrame, dialect: str = "ts") -> tuple[DataFrame, DataFrame]:
+    """The index after documents were added or changed: their old rows go, only they are tokenised."""
+    return tuple(old.unionByName(new) for old, new in zip(unindexed(index, docs), indexed(docs, dialect)))
+
+
+def search_index(index: tuple[DataFrame, DataFrame], query: str, dialect: str = "ts", k: int = 50) -> DataFrame:
+    """search() by an index: one filter on the postings' terms and one pass over the lengths."""
+    (postings, documents), terms = index, query_tokens(query, dialect)
+    if not terms:
+        return documents.select("id", "name", F.lit(0.0).alias("score")).limit(0)
+    met = postings.where(F.col("term").isin(*terms)).groupBy("id").agg(*[F.coalesce(F.sum(F.when(F.col("term") == t, F.col("tf"))), F.lit(0.0)).alias(f"tf{i}") for i, t in enumerate(terms)])
+    rows = documents.join(met, "id", "left" if dialect == "rs" else "inner").na.fill(0.0, [f"tf{i}" for i in range(len(terms))])
+    totals = documents.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    have = {r["term"]: r["df"] for r in postings.where(F.col("term").isin(*terms)).groupBy("term").agg(F.countDistinct("id").alias("df")).collect()}  # one row for each term of the query
+    stats = {"n": totals["n"], "avgdl": totals["avgdl"], **{f"df{i}": have.get(t, 0) for i, t in enumerate(terms)}}
+    best = _ranked(rows, stats, terms, query, dialect, True).orderBy(F.desc("score"), "id").limit(k)
+    return best.select("id", "name", F.round("score", 3).alias("score") if dialect == "rs" else "score")
+
+
 def symbol_search(symbols: DataFrame, query: str, k: int = 50) -> DataFrame:
     """Symbols whose name contains the query: best score first, then names that begin with it, then by name.
 

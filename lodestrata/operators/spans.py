@@ -12,9 +12,10 @@ FALLBACK = {
 }
 
 
-def with_ends(symbols: DataFrame, dialect: str = "rs") -> DataFrame:
+def with_ends(symbols: DataFrame, dialect: str = "rs", more: dict | None = None) -> DataFrame:
+    """Symbols with their ends; unknown ones by kind, where ``more`` may say so otherwise."""
     extra = F.lit(0)
-    for kind, n in FALLBACK[dialect].items():
+    for kind, n in {**FALLBACK[dialect], **(more or {})}.items():
         extra = F.when(F.col("kind") == kind, n).otherwise(extra)
     return symbols.withColumn("line_end", F.coalesce("line_end", F.col("line") + extra))
 

@@ -53,6 +53,19 @@ def bm25_topk_ts(spark, sf_dir):
     return _top(S.search(_docs(spark, sf_dir), "erly oued", "ts", 50))
 
 
+@query(_bm25_sql(_DOCS, {"name": 4.0, "comments": 0.3}, ["erly", "oued"], "erly oued", (10, 5, 2), 1, 50))
+def bm25_incremental_index(spark, sf_dir):
+    """The index of two thirds of the documents, of which some are then dropped, brought up to date."""
+    d = _docs(spark, sf_dir)
+    old = S.unindexed(S.indexed(d.where("id % 3 != 0")), d.where("id % 3 = 1"))
+    return _top(S.search_index(S.reindexed(old, d.where("id % 3 != 2")), "erly oued", "ts", 50))
+
+
+@query(_bm25_sql(_PARTS, _PART_FIELDS, ["blue", "bolt"], "blue bolt", (10, 4, 1.5), 1, 50, tok=_rs_tok, eps=1e-9, places=3, contains_too=True))
+def bm25_index_rs(spark, sf_dir):
+    return S.search_index(S.indexed(part_docs(spark, sf_dir), "rs"), "blue bolt", "rs", 50)
+
+
 @query(_bm25_sql(_DOCS, {"name": 4.0, "comments": 0.3}, ["thing", "enst", "heble"], "thing enst heble", (10, 5, 2), 2, 50))
 def bm25_overlap2(spark, sf_dir):
     return _top(S.search(_docs(spark, sf_dir), "thing enst heble", "ts", 50))

@@ -104,6 +104,8 @@ def test_graph_searches(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("s", "s")], "src string, dst string")
     assert rows(graph.nodes_on_cycles(e), "node") == [("a",), ("b",), ("c",)]
     assert rows(graph.nodes_on_cycles(e, skip_loops=False), "node") == [("a",), ("b",), ("c",), ("s",)]
+    two = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("d", "e"), ("e", "f"), ("f", "d"), ("f", "g"), ("x", "y"), ("y", "x"), ("g", "h")], "src string, dst string")
+    assert rows(graph.nodes_on_cycles(two), "node") == [(n,) for n in "bcdefxy"]
     assert rows(graph.cycle_list(e), "nodes", "length") == [(["a", "b", "c", "a"], 3)]
     assert rows(graph.cycle_list(e, "rs"), "nodes") == [(["a", "b", "c", "a"],), (["s", "s"],)]
     got = graph.impact(e, "e")
