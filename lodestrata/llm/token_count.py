@@ -1,7 +1,8 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
-Texts are encoded in batches of about equal bytes.  A long text is split at safe boundaries: at a
-single space between two non-space characters.  The encoder puts its word mark in front of every
+Texts are encoded in batches of about equal UTF-8 bytes.  A long text is split at safe boundaries: at a
+single space between two non-space characters (a stretch without one is encoded whole, as no other place is safe
+for every vocabulary).  The encoder puts its word mark in front of every
 part, which takes the place of that space, and no piece of the vocabulary has the word mark after
 another character (checked when the encoder is loaded), so the counts of the parts add up to the
 count of the whole.
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import kernels as K
 
-#: Bytes of a batch, and of the longest part that is encoded at once.
-BATCH_BYTES, PART_BYTES = 256 << 10, 64 << 10
+#: UTF-8 bytes of a batch, and code points from which on a text is split.
+BATCH_BYTES, PART_CHARS = 256 << 10, 64 << 10
 _encoders: dict = {}
 
 
@@ -43,7 +44,7 @@ def encoder(model: str):
     return _encoders[model]
 
 
-def safe_parts(text: str, size: int = PART_BYTES) -> list[str]:
+def safe_parts(text: str, size: int = PART_CHARS) -> list[str]:
     """Parts of about ``size`` characters; the single space between two parts is left out."""
     parts, a, n = [], 0, len(text)
     while n - a > size:
@@ -73,12 +74,13 @@ def lengths(texts: list[str], model: str, batch_bytes: int = BATCH_BYTES) -> np.
             batch.clear(), owners.clear()
 
     for i, text in enumerate(texts):
-        for part in safe_parts(text) if splits and len(text) > PART_BYTES else (text,):
-            if size + len(part) > batch_bytes:
+        for part in safe_parts(text) if splits and len(text) > PART_CHARS else (text,):
+            more = len(part) if part.isascii() else len(part.encode())
+            if size + more > batch_bytes:
                 flush()
                 size = 0
             batch.append(part), owners.append(i)
-            size += len(part)
+            size += more
     flush()
     return out
 
