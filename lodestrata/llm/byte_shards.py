@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from lodestrata.llm.store import written
 
 _ROW = (1 << 33) - 1
+#: A text of more than 1 / HOT of all rows meets its rows by a broadcast (there are fewer than HOT such texts).
+HOT = 64
 
 
 def byte_shards(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFrame:
@@ -76,8 +78,7 @@ def byte_shards(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFr
     base = F.broadcast(spark.createDataFrame(lines, "part long, base long"))
     rows = rows.join(base, "part").select("doc_id", "size", "text_crc32", "digest", (F.col("base") + F.col("row")).alias("number"))
     place = place.join(base, "part").select("digest", "shard", (F.col("slot0") - F.col("base") - F.col("row")).alias("shift"))
-    out = rows.join(place, "digest").select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("number") + F.col("shift")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
-    )
-
-    return out
+    hot = [g["digest"] for g in groups.where(F.col("n") * HOT > row).select("digest").collect()]
+    often = F.col("digest").isin(hot)
+    met = rows.where(~often).join(place.where(~often), "digest").unionByName(rows.where(often).join(F.broadcast(place.where(often)), "digest")) if hot else rows.join(place, "digest")
+    return met.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("number") + F.col("shift")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
