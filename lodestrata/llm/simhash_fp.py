@@ -1,8 +1,8 @@
 """Document fingerprints: SimHash with permuted block tables.
 
 Terms are runs of three lower-cased words (all words as one term, where a text has fewer).  Each distinct term
-votes with weight 1 + log2(occurrences) for the bits of its hash; a bit is set where the signed sum
-of the votes is positive.  ``neighbours`` finds all pairs of distinct fingerprints within a Hamming
+votes with weight 1 + log2(occurrences), in whole units so that sums are exact and a tie is a tie on every machine, for
+the bits of its hash; a bit is set where the signed sum of the votes is positive.  ``neighbours`` finds all pairs of distinct fingerprints within a Hamming
 radius: the 64 bits are cut in radius + keep blocks, and two fingerprints within the radius agree on
 at least ``keep`` of these whole, so each table is keyed by one choice of ``keep`` blocks.
 
@@ -26,6 +26,8 @@ from lodestrata.llm import kernels as K
 from lodestrata.llm.store import written
 
 TERM_WORDS, BITS, RADIUS, KEEP = 3, 64, 3, 2
+#: Units of a vote of weight 1.
+UNIT = 1024
 _SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)[:, ::-1].astype(np.float64) * 2) - 1
 #: Documents in one range of the order that gives each its next one.
 RANGE_ROWS = 1024
@@ -49,7 +51,7 @@ def fingerprints(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
                 continue
             terms = runs[i : j - TERM_WORDS + 1] if j - i >= TERM_WORDS else K.run_hash(h[i:j], j - i)
             terms, n = np.unique(terms, return_counts=True)
-            weight = 1 + np.log2(n)
+            weight = np.round((1 + np.log2(n)) * UNIT)
             votes = np.empty(BITS)
             for k, column in enumerate(terms.view(np.uint8).reshape(-1, 8).T):
                 votes[8 * k : 8 * k + 8] = np.bincount(column, weight, 256) @ _SIGNS
