@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import time
@@ -10,7 +11,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.llm import byte_shards, lang_ecoc, license_scan, parity_join, pii_bootstrap, piece_lattice, quality_fm, simhash_fp, template_decon, token_count
+from lodestrata.llm import byte_shards, kernels as K, lang_ecoc, license_scan, parity_join, pii_bootstrap, piece_lattice, quality_fm, queries, simhash_fp, template_decon, token_count
 from lodestrata.llm.corpus import table
 
 
@@ -254,6 +255,63 @@ def test_factorisation_identity():
         assert got[d] == pytest.approx(0.3 + (model["w"][index[a:b]] * value[a:b]).sum() + pairs)
 
 
+def _plain_hash(word: bytes) -> int:
+    """The hash of a word, one byte after the other."""
+    h, up = 0, 1
+    for b in word:
+        h, up = (h + int(K.BYTE_VALUE[b]) * up) % 2**64, up * K._BASE % 2**64
+    return _plain_mix((h + len(word) * K._STEP) % 2**64)
+
+
+def _plain_mix(x: int) -> int:
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def _plain_words(text: str) -> list[bytes]:
+    return re.findall(rb"[^ \t-\r]+", text.encode())
+
+
+def _plain_features(text: str) -> dict:
+    """Feature number -> value, by loops over words and characters."""
+    data, words, out = text.encode(), _plain_words(text), collections.Counter()
+    cells = collections.Counter(_plain_hash(w) >> 64 - quality_fm.WORD_BITS for w in words)
+    norm = max(1, sum(n * n for n in cells.values())) ** 0.5
+    for c, n in cells.items():
+        out[c] = n / norm
+    kind = collections.Counter(int(quality_fm._CLASS[b]) for b in data)
+    low = [w.lower() for w in words]
+    unit = lambda x, top: min(1, math.log1p(x) / math.log1p(top))
+    of, many = max(1, len(data)), max(1, len(words))
+    stats = [kind[k] / of for k in range(1, 9)] + [unit(len(data), 1e6), unit(len(words), 1e5), min(1, len(data) / many / 20)]
+    stats += [sum(a == b for a, b in zip(low, low[1:])) / many, len(cells) / many, unit(data.count(b"\n"), 1e4)]
+    stats += [sum(quality_fm._CLASS[w[-1]] >= 7 for w in words) / many, sum(quality_fm._CLASS[w[min(1, len(w) - 1)]] == 1 for w in words) / many]
+    for k, x in enumerate(stats):
+        place = min(1, max(0, x)) ** 0.5 * (quality_fm.KNOTS - 1)
+        at = min(int(place), quality_fm.KNOTS - 2)
+        for j, share in ((at, 1 - (place - at)), (at + 1, place - at)):
+            out[quality_fm.N_WORDS + k * quality_fm.KNOTS + j] += share
+    return out
+
+
+def test_scores_equal_brute_force(spark, sf):
+    """The registered query against a model evaluated pair by pair."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = quality_fm.fit(docs, labels)
+    got = {r["doc_id"]: r for r in queries.op4_quality_fm(spark, sf).collect()}
+    assert len(got) == docs.count()
+    for doc, text in docs.select("doc_id", "text").collect():
+        x = [(i, v) for i, v in _plain_features(text or "").items() if v]
+        at = [i for i, _ in x]
+        scaled = model["v"][at].astype(float) * quality_fm.np.array([[v] for _, v in x])
+        products = scaled @ scaled.T
+        pairs = sum(products[i, j] for i in range(len(x)) for j in range(i + 1, len(x))) if len(x) < 60 else quality_fm.np.triu(products, 1).sum()
+        z = model["bias"] + sum(float(model["w"][i]) * v for i, v in x) + pairs
+        score = 1 / (1 + math.exp(-max(-30, min(30, z))))
+        assert got[doc]["score"] == pytest.approx(score, abs=2e-4) and got[doc]["predicted"] == int(got[doc]["score"] >= 0.7)
+
+
 def test_held_out_is_the_named_quarter(spark, sf):
     for r in quality_fm.quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels")).collect():
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
@@ -487,6 +545,47 @@ def test_codewords_differ():
         assert len({tuple(r) for r in c.tolist()}) == n and (abs(c.sum(0)) < n).all()
 
 
+def _plain_grams(text: str):
+    """Hash cells of the n-grams: lower-cased bytes, gaps as one blank, none over two gaps."""
+    data = bytearray(text.encode())
+    letter = [bool(lang_ecoc._LETTER[b]) for b in data]
+    low = []
+    for k, b in enumerate(data):
+        latin = k and data[k - 1] == 0xC3 and 0x80 <= b <= 0x9E
+        low.append((b + 32 if latin or 65 <= b <= 90 else b) if letter[k] else 32)
+    for n in lang_ecoc.LENGTHS:
+        for k in range(len(low) - n + 1):
+            if not any(not letter[j] and not letter[j + 1] for j in range(k, k + n - 1)):
+                code = 0
+                for b in low[k : k + n]:
+                    code = (code * 257 + b) % 2**32
+                h = (code * 0x9E3779B1 % 2**32) ^ (n * 0x85EBCA6B % 2**32)
+                yield (h * 0xC2B2AE35 % 2**32) >> 32 - lang_ecoc.HASH_BITS
+
+
+def test_decoding_equals_brute_force(spark, sf):
+    """The registered query against bits and codewords evaluated one by one."""
+    docs = table(spark, sf, "documents")
+    model = lang_ecoc.fit(docs)
+    got = {r["doc_id"]: r for r in queries.op7_language_ecoc(spark, sf).collect()}
+    assert len(got) == docs.count()
+    for doc, text in docs.select("doc_id", "text").collect():
+        if not any(c.isalpha() for c in text or ""):
+            assert (got[doc]["lang_pred"], got[doc]["score"]) == ("und", 0)
+            continue
+        grams = list(_plain_grams(text))
+        losses = []
+        for word in model["code"]:
+            loss = 0.0
+            for k, bit in enumerate(word):
+                margin = sum(model["odds"][g][k] for g in grams) / max(1, len(grams)) * min(len(grams), lang_ecoc.EVIDENCE)
+                loss += model["weight"][k] * math.log1p(math.exp(-margin * bit)) if -margin * bit < 30 else model["weight"][k] * -margin * bit
+            losses.append(loss)
+        best = losses.index(min(losses))
+        score = 1 / sum(math.exp(losses[best] - x) for x in losses)
+        assert got[doc]["lang_pred"] == model["langs"][best] and got[doc]["score"] == pytest.approx(score, abs=1e-6)
+
+
 # ---- 8: token counts
 def test_token_counts(spark, sf, odd, none):
     docs = table(spark, sf, "documents").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
@@ -525,6 +624,45 @@ def test_shards(spark, odd, none):
     assert byte_shards.byte_shards(odd, 4).count() == odd.count() and byte_shards.byte_shards(none, 4).count() == 0
 
 
+def _plain_shards(rows, shards):
+    """(doc_id, size, crc, shard, slot) by running sums over all rows in one list."""
+    groups = collections.defaultdict(list)
+    for doc, text in rows:
+        data = (text or "").encode()
+        groups[hashlib.sha256(data).hexdigest()].append((doc, len(data) + 16, zlib.crc32(data)))
+    weight = {d: sum(r[1] for r in g) for d, g in groups.items()}
+    own: list = []
+    while True:
+        rest, left = sum(weight.values()) - sum(weight[d] for d in own), shards - len(own)
+        found = [d for d in weight if weight[d] * left > rest] if left > 1 else []
+        if len(found) == len(own) or len(found) >= shards:
+            break
+        own = found
+    own.sort(key=lambda d: (-weight[d], d))
+    out, before, slots = [], 0, collections.Counter()
+    target = max(1, rest) / max(1, shards - len(own))
+    for d in sorted(groups):
+        if d in own:
+            shard = own.index(d)
+        else:
+            shard = len(own) + min(shards - len(own) - 1, int((before + weight[d] / 2) // target))
+            before += weight[d]
+        for doc, size, crc in sorted(groups[d], key=lambda r: (r[0] is not None, r[0] or 0)):
+            out.append((doc, size, crc, shard, slots[shard]))
+            slots[shard] += 1
+    return out
+
+
+def test_shards_equal_running_sums(spark, sf, odd):
+    """The registered query, odd rows, and a text of a third of all rows, against one list."""
+    key = lambda r: (str(r[0]), *r[1:])
+    plain = lambda df: [(r["doc_id"], r["text"]) for r in df.collect()]
+    short = spark.createDataFrame([(i, None if i % 3 == 0 else f"text {i % 50} " * 9) for i in range(600)], "doc_id long, text string")
+    for got, docs, n in ((queries.op9_byte_shards(spark, sf), table(spark, sf, "documents"), 40), (byte_shards.byte_shards(odd, 4), odd, 4), (byte_shards.byte_shards(short, 8), short, 8)):
+        got = [(r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in got.collect()]
+        assert sorted(got, key=key) == sorted(_plain_shards(plain(docs), n), key=key)
+
+
 def test_a_giant_group_has_a_shard(spark):
     rows = [(i, "same text " * 20 if i % 3 == 0 else f"text number {i} " * (i % 7 + 1)) for i in range(900)]
     out = byte_shards.byte_shards(spark.createDataFrame(rows, "doc_id long, text string"), 10).collect()
@@ -560,6 +698,35 @@ def test_edited_fingerprints(spark, sf, monkeypatch, none):
     assert simhash_fp.edited_fingerprints(none).count() == 0
 
 
+def _plain_run(hashes) -> int:
+    h = 0
+    for x in hashes:
+        h = (h * K._BASE + x) % 2**64
+    return _plain_mix((h + len(hashes) * K._STEP) % 2**64)
+
+
+def _plain_print(text: str) -> str:
+    """The fingerprint by a vote of every term on every bit."""
+    h = [_plain_hash(w) for w in _plain_words(text)]
+    width = min(simhash_fp.TERM_WORDS, len(h))
+    terms = collections.Counter(_plain_run(h[k : k + width]) for k in range(len(h) - width + 1)) if h else {}
+    bits = 0
+    for bit in range(64):
+        votes = sum(round((1 + math.log2(n)) * simhash_fp.UNIT) * (1 if t >> bit & 1 else -1) for t, n in terms.items())
+        bits |= (votes > 0) << bit
+    return f"{bits:016x}"
+
+
+def test_query_equals_votes(spark, sf):
+    """The registered query's fingerprints, of texts and of edited texts, against votes bit by bit."""
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in table(spark, sf, "documents").collect()), key=lambda r: r[0])
+    got = {r["doc_id"]: r for r in queries.op10_simhash(spark, sf).collect()}
+    assert len(got) == len(rows)
+    for (doc, t), (_, u) in zip(rows, rows[1:] + rows[:1]):
+        k = len(t) // 4
+        assert got[doc]["fingerprint"] == _plain_print(t) and got[doc]["edited_fingerprint"] == _plain_print(t[: len(t) - k] + u[:k] if k else t)
+
+
 def test_fingerprints_of_odd_rows(spark, odd):
     one = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
     rows = simhash_fp.edited_fingerprints(one).collect()
