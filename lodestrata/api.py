@@ -83,7 +83,7 @@ class Corpus:
         return search.search(docs, query, "rs", k) if self.dialect == "rs" else search.symbol_search(docs, query, k)
 
     def direct_search(self, query: str, k: int = 50) -> DataFrame:
-        return lines.direct_definitions(self.lines, query, k)
+        return lines.direct_definitions(lines.lines(sources.direct_search_files(self.files), self.dialect), query, k)
 
     def search_text(self, query: str, regex: bool = False, case_sensitive: bool = False, k: int = 100) -> DataFrame:
         return lines.search_text(self.lines, query, regex, case_sensitive, k, per_match=self.dialect == "ts")
@@ -158,6 +158,22 @@ class Corpus:
     def dependencies(self, path: str) -> DataFrame:
         return self.imports.where(F.col("path") == path).select("spec", "line", "target", F.col("target").isNull().alias("external"))
 
+    @cached_property
+    def usages(self) -> DataFrame:
+        return tables.usages(self.symbols, self.files)
+
+    def users_of(self, name: str, kind: str, parent: str | None = None) -> DataFrame:
+        return tables.users_of(self.symbols, self.usages, name, kind, parent)
+
+    def quick_search(self, query: str = "", k: int = 150) -> DataFrame:
+        """The interactive list: definitions in the order of rerank(), by how many files use them."""
+        named = tables.search_docs(self.symbols).select("id", "kind", "name", "path")
+        counts = tables.usage_counts(self.symbols, self.files).withColumnRenamed("def_path", "path")
+        return search.rerank(named.join(counts, ["kind", "name", "path"], "left").na.fill(0, ["usage_count"]), query, k)
+
+    def graph_stats(self) -> DataFrame:
+        return graph.graph_stats(*self.detailed_graph())
+
     def reverse_deps(self, path: str) -> DataFrame:
         return self.import_edges.where(F.col("dst") == path).select(F.col("src").alias("path")) if self.dialect == "ts" else lines.reverse_import_lines(self.lines, path)
 
@@ -183,12 +199,21 @@ class Corpus:
     def layer_violations(self) -> DataFrame:
         return audit.layer_violations(self._layered_edges(), self.dialect)
 
-    def validate_architecture(self, rules=audit.RULES) -> DataFrame:
-        return audit.rule_violations(self._layered_edges(), rules)
+    def validate_architecture(self, rules=None) -> DataFrame:
+        if self.dialect == "rs":
+            return audit.rule_violations(self._layered_edges(), rules or audit.RULES)
+        # an import that names no file counts by what it says
+        edges = self.imports.select(F.col("path").alias("src"), F.coalesce("target", "spec").alias("dst"))
+        return audit.segment_violations(edges, rules or audit.RULES_TS)
 
     # ---- audits
-    def code_warnings(self) -> DataFrame:
-        return audit.hardcoded_values(self.lines)
+    def code_warnings(self, kind: str | None = None, text: str | None = None, path: str | None = None) -> DataFrame:
+        """(path, line, type, value), by kind, text and path; ts has the mock-ups among them."""
+        found = audit.hardcoded_values(self.lines, self.dialect)
+        if self.dialect == "ts":
+            made = audit.mockups(self.lines).join(self.lines, ["path", "line"]).select("path", "line", "type", F.trim("text").alias("value"))
+            found = found.unionByName(made)
+        return audit.warnings_where(found, kind, text, path)
 
     def detect_mockups(self) -> DataFrame:
         return audit.rule_hits(self.lines) if self.dialect == "rs" else audit.mockups(self.lines)
@@ -201,7 +226,7 @@ class Corpus:
         return tables.of_kind(self.symbols, "widget").select("path", "node_id", "parent_id", "root_id", "ord", "depth", "name", "line")
 
     def widget_depth(self, most: int = 5) -> DataFrame:
-        return audit.depth_violations(self._ui(), most, self.dialect)
+        return audit.deepest_paths(self._ui(), most, self.dialect)
 
     def duplicate_widgets(self, least: int = 3) -> DataFrame:
         return audit.duplicate_subtrees(self._ui(), least, self.dialect)
@@ -210,10 +235,16 @@ class Corpus:
         return self._ui().orderBy("path", "ord")
 
     def memory_leaks(self) -> DataFrame:
-        return audit.leak_candidates(self.files)
+        if self.dialect == "rs":
+            return audit.leak_candidates(self.files)
+        return audit.leaking_fields(tables.of_kind(self.symbols, "property"), tables.of_kind(self.symbols, "function"), self.files)
 
     def unused_assets(self, assets: DataFrame) -> DataFrame:
-        return audit.unused_assets(assets, self.files)
+        return audit.unused_assets(assets, self.files) if self.dialect == "rs" else audit.unnamed_assets(audit.declared_assets(assets, self.files), self.files)
+
+    def asset_report(self, assets: DataFrame) -> DataFrame:
+        found = assets if self.dialect == "rs" else audit.declared_assets(assets, self.files)
+        return audit.asset_report(found, self.unused_assets(assets))
 
     def logic_flow(self, function: str, parent: str | None = None) -> DataFrame:
         s = self.spans.where((F.col("name") == function) & F.col("kind").isin("method", "function"))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.operators.graph import coupling
+from lodestrata.operators.graph import _cut, coupling
 
 # ---- hard-coded values: what may hold one, by file family -------------------------------------------------
 # fixed values: names of calls, attributes and properties
@@ -70,8 +70,15 @@ def code_lines(rows: DataFrame) -> DataFrame:
     return rows.where((F.col("shown") != "") & ~comment).withColumn("code", F.substring_index("shown", "//", 1)).drop("shown")
 
 
-def hardcoded_values(rows: DataFrame) -> DataFrame:
-    """(path, line, type, value) of hard-coded texts and colours, by file extension."""
+# fixed values: ts does not report texts with these near by, and no colours of files whose path names them
+LOCALISED, COLOR_FILES, NEAR = (".tr", "S.of", "Intl.message"), ("theme", "color"), 40
+
+
+def hardcoded_values(rows: DataFrame, dialect: str = "rs") -> DataFrame:
+    """(path, line, type, value) of hard-coded texts and colours, by file extension.
+
+    ts takes one colour of a line, none in files of themes and colours, and no text that is looked up in a translation.
+    """
     ext = F.lower(F.element_at(F.split("path", r"\."), -1))
     letters = lambda c: (F.char_length(F.trim(c)) > 1) & c.rlike(r"\p{L}")
     several = lambda c, p, g, kind: F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(g)), lambda v: F.struct(F.lit(kind).alias("type"), F.trim(v).alias("value")))
@@ -82,10 +89,35 @@ def hardcoded_values(rows: DataFrame) -> DataFrame:
     code = code_lines(rows.where(~ext.isin("xml", "ts", "tsx", "js", "jsx")))
     colors = F.filter(several(F.col("code"), _COLOR, 0, "hardcoded_color"), lambda x: x["value"] != "Colors.transparent")
     texts = F.filter(first(several(F.col("code"), _TEXT, 1, "hardcoded_text")), lambda x: letters(x["value"]))
+    if dialect == "ts":
+        themed = reduce(lambda a, b: a | b, [F.contains(F.lower("path"), F.lit(w)) for w in COLOR_FILES])
+        context = F.regexp_extract("code", rf"{_TEXT}.{{0,{NEAR}}}", 0)
+        colors, texts = F.when(themed, F.slice(colors, 1, 0)).otherwise(first(colors)), F.when(_holds(context, LOCALISED), F.slice(texts, 1, 0)).otherwise(texts)
     rest = code.select("path", "line", F.concat(colors, texts).alias("found"))
     return reduce(DataFrame.unionByName, [xml, web, rest]).select("path", "line", F.explode("found").alias("f")).select("path", "line", "f.type", "f.value")
 
 
+# fixed values: short names of kinds of warnings; a kind that ends in _ means all that begin so
+WARNING_KINDS = {"text": "hardcoded_text", "color": "hardcoded_color", "mockup": "mockup_"}
+
+
+def warnings_where(found: DataFrame, kind: str | None = None, text: str | None = None, path: str | None = None) -> DataFrame:
+    """Warnings (path, line, type, value) of a kind or its short name, with a text in the value and in the path, in any case."""
+    if kind and kind != "all":
+        kind = WARNING_KINDS.get(kind, kind)
+        found = found.where(F.startswith("type", F.lit(kind)) if kind.endswith("_") else F.col("type") == kind)
+    for column, part in (("value", text), ("path", path)):
+        if part:
+            found = found.where(F.contains(F.lower(column), F.lit(part.lower())))
+    return found
+
+
+def warnings_by_file(found: DataFrame) -> DataFrame:
+    """(path, n, by_type) of warnings: counts by type."""
+    per = found.groupBy("path", "type").agg(F.count("*").alias("n"))
+    return per.groupBy("path").agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_list(F.concat("type", F.lit("="), F.col("n").cast("string")))), ",").alias("by_type"))
+
+
 def rule_hits(rows: DataFrame, marks: tuple = MOCKUP_MARKS) -> DataFrame:
     """(path, line, mark): one row for each mark that a line contains; row-local."""
     found = F.filter(F.array(*map(F.lit, marks)), lambda m: F.contains(F.col("text"), m))
@@ -212,7 +244,8 @@ def tree_signatures(nodes: DataFrame, ordered: bool = True) -> DataFrame:
         else:
             here = here.withColumn("inner", F.lit(None).cast("string")).withColumn("sub", F.lit(None).cast("long"))
         signature = F.when(F.col("inner").isNull(), F.col("name")).otherwise(F.concat("name", F.lit("("), "inner", F.lit(")")))
-        below = here.select("path", "node_id", "parent_id", "ord", "depth", signature.alias("signature"), (F.coalesce("sub", F.lit(0)) + 1).alias("size"))
+        # written, so that a level's plan does not hold those below it again
+        below = _cut(here.select("path", "node_id", "parent_id", "ord", "depth", signature.alias("signature"), (F.coalesce("sub", F.lit(0)) + 1).alias("size")))
         done = below if done is None else done.unionByName(below)
     return done.drop("parent_id", "ord")
 
@@ -230,6 +263,45 @@ def depth_violations(nodes: DataFrame, most: int = 5, dialect: str = "rs") -> Da
     return nodes.groupBy(*keys).agg((F.max("depth") + 1).alias("depth")).where(F.col("depth") > most)
 
 
+def deepest_paths(nodes: DataFrame, most: int = 5, dialect: str = "rs") -> DataFrame:
+    """depth_violations() with ``deepest``, the names from the root to the deepest node, and ``deepest_line``.
+
+    The deepest node (of equals the first) of each tree is found by a combined aggregate; then all trees climb one parent per
+    step by an equi-join.  nodes needs line, too.
+    """
+    keys = ["path"] if dialect == "rs" else ["path", "root_id"]
+    sign = F.lit(" > " if dialect == "rs" else " -> ")
+    place = F.struct((-F.col("depth")).alias("d"), F.col("ord"), F.col("node_id"))
+    best = nodes.groupBy(*keys).agg((F.max("depth") + 1).alias("depth"), F.min_by(F.struct("parent_id", "name", "line"), place).alias("n")).where(F.col("depth") > most)
+    climb = _cut(best.select(*keys, "depth", F.col("n.name").alias("deepest"), F.col("n.line").alias("deepest_line"), F.col("n.parent_id").alias("up")))
+    above = _cut(nodes.join(climb.select("path").distinct(), "path", "left_semi").select("path", F.col("node_id").alias("up"), F.col("parent_id").alias("next"), F.col("name").alias("upper")))
+    steps = climb.agg(F.max("depth")).first()[0] or 1
+    for step in range(1, steps):
+        climb = climb.join(above, ["path", "up"], "left").select(*keys, "depth", F.coalesce(F.concat("upper", sign, "deepest"), "deepest").alias("deepest"), "deepest_line", F.col("next").alias("up"))
+        if step % 8 == 0:
+            climb = _cut(climb)
+    return climb.select(*keys, "depth", "deepest", "deepest_line")
+
+
+# fixed values: types and parts of names of fields that a class must release, whatever their case
+HELD_TYPES = ("TextEditingController", "AnimationController", "ScrollController", "TabController", "PageController", "StreamSubscription", "FocusNode", "ChangeNotifier", "Timer")
+HELD_NAMES = ("controller", "subscription")
+
+
+def leaking_fields(properties: DataFrame, functions: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, parent, name, type, has_release): the second dialect's leaks, by the fields of classes.
+
+    properties: path, parent, name, type; functions: path, parent, name.  A field that must be released leaks where its class has
+    no releasing method, or where no code of the file releases it.
+    """
+    either = F.lower(F.concat_ws(" ", "type", "name"))
+    fields = properties.where("parent is not null").where(_holds(either, [t.lower() for t in HELD_TYPES]) | _holds(F.lower("name"), HELD_NAMES)).select("path", "parent", "name", F.coalesce("type", F.lit("Controller")).alias("type"))
+    able = functions.where(F.col("name").isin(*RELEASES) & F.col("parent").isNotNull()).select("path", "parent", F.lit(True).alias("able")).distinct()
+    done = files.select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(rf"\b(\w+)\s*\.\s*{_one_of(RELEASES)}\s*\("), F.lit(1)))).alias("name"), F.lit(True).alias("done"))
+    j = fields.join(able, ["path", "parent"], "left").join(done, ["path", "name"], "left")
+    return j.where("able is null or done is null").select("path", "parent", "name", "type", F.col("able").isNotNull().alias("has_release"))
+
+
 def leak_candidates(files: DataFrame) -> DataFrame:
     """(path, name, type) of resources that a stateful file makes and never releases."""
     asked = files.where(F.contains("content", F.lit("State<")))
@@ -260,6 +332,54 @@ def unused_assets(assets: DataFrame, files: DataFrame) -> DataFrame:
     return assets.join(used, "path", "left_anti")
 
 
+# fixed values: endings of assets and of the code that may name them, in the second dialect
+ASSET_ENDINGS, NAMING_CODE = ("png", "jpg", "jpeg", "svg", "webp", "gif", "json", "riv", "ttf", "otf", "mp3", "wav", "flac"), ("dart", "ts", "tsx", "js", "jsx", "kt", "java")
+_GRAM, _STEM = 4, 5
+
+
+def declared_paths(files: DataFrame) -> DataFrame:
+    """(declared): files and folders of the asset list of the manifest."""
+    from lodestrata.operators.lines import lines
+
+    rows = lines(files.where(F.col("path") == "pubspec.yaml"))
+    section = F.last(F.nullif(F.regexp_extract("text", r"^\s*([\w-]+):", 1), F.lit("")), True).over(Window.partitionBy("path").orderBy("line"))
+    item = F.regexp_extract("text", r"^\s*-\s*([^\s#]+)", 1)
+    return rows.select(section.alias("section"), item.alias("item")).where("section = 'assets' and item != ''").select(F.rtrim(F.lit("/"), F.col("item")).alias("declared")).distinct()
+
+
+def declared_assets(assets: DataFrame, files: DataFrame) -> DataFrame:
+    """Assets (path, size) that the manifest lists or has in a listed folder; all below assets/ where there are none."""
+    known = assets.where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*ASSET_ENDINGS))
+    parts = F.split("path", "/")
+    tops = known.select("path", "size", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("declared"))
+    listed = tops.join(declared_paths(files), "declared", "left_semi").select("path", "size").distinct()
+    return known.where(F.startswith("path", F.lit("assets/"))).select("path", "size") if listed.isEmpty() else listed
+
+
+def unnamed_assets(assets: DataFrame, files: DataFrame) -> DataFrame:
+    """The second dialect's unused assets (path, size): no code holds the file's name, or its stem if that has 5 characters or more.
+
+    Text that holds the path or the name holds the stem as well, so one key is asked for each asset.  A substring has no key to
+    join on, but its first four characters are one: code meets the keys that begin with one of its own runs of four, and
+    the match is confirmed in the code.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    bare = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
+    keys = assets.select("path", "size", F.when(F.char_length(bare) >= _STEM, bare).otherwise(name).alias("key"))
+    asked = keys.select("key", F.substring("key", 1, _GRAM).alias("gram")).distinct()
+    code = files.where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*NAMING_CODE) & F.col("path").rlike("^(lib|src)/"))
+    lines = code.select(F.explode(F.split("content", "\n")).alias("text")).distinct()
+    grams = lines.select("text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("text") - (_GRAM - 1), F.lit(1))), lambda k: F.substring(F.col("text"), k, F.lit(_GRAM))))).alias("gram"))
+    used = grams.join(asked, "gram").where(F.contains("text", F.col("key"))).select("key").distinct()
+    return keys.join(used, "key", "left_anti").select("path", "size")
+
+
+def asset_report(found: DataFrame, unused: DataFrame) -> DataFrame:
+    """One row: the number of assets, of unused ones, and the bytes of these."""
+    total = found.agg(F.count("*").alias("assets"))
+    return total.join(unused.agg(F.count("*").alias("unused"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes")))
+
+
 # ---- architecture layers: fixed values, first fitting layer wins ----------------------------------------
 LAYERS = {
     "rs": (
@@ -314,6 +434,21 @@ def rule_violations(edges: DataFrame, rules=RULES) -> DataFrame:
     return edges.select(F.explode(F.array_compact(F.array(*found))).alias("rule"), "src", "dst")
 
 
+# fixed values: default dependency rules of the second dialect
+RULES_TS = (
+    ("Domain Layer Isolation", "domain", ("data", "presentation", "ui")),
+    ("Core Isolation", "core", ("features", "modules", "pages", "screens")),
+    ("Clean Presentation", "presentation", ("data/datasources", "data/models")),
+)
+
+
+def segment_violations(edges: DataFrame, rules=RULES_TS) -> DataFrame:
+    """(rule, src, dst, forbidden): edges from a rule's folder to a forbidden one; names must be whole folders of the path."""
+    inside = lambda c, name: F.contains(F.concat(F.lit("/"), F.lower(F.replace(F.col(c), F.lit("\\"), F.lit("/"))), F.lit("/")), F.lit(f"/{name.lower()}/"))
+    found = [F.when(inside("src", layer) & inside("dst", x), F.struct(F.lit(name).alias("rule"), F.lit(x).alias("forbidden"))) for name, layer, forbidden in rules for x in forbidden]
+    return edges.select("src", "dst", F.explode(F.array_compact(F.array(*found))).alias("f")).select("f.rule", "src", "dst", "f.forbidden")
+
+
 def layer_report(nodes: DataFrame, edges: DataFrame, dialect: str = "rs") -> DataFrame:
     """(layer, files, instability): counts and mean instability (rs rounds the mean to 2 places, ts all to 3)."""
     digits = 3 if dialect == "ts" else 12

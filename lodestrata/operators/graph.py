@@ -277,6 +277,30 @@ def impact_flows(calls: DataFrame, changed: DataFrame, entries: DataFrame, most:
     return path.select("entry", "hops", F.array_join(F.reverse("chain"), " -> ").alias("flow")).orderBy("hops", "entry", "flow").limit(k)
 
 
+def forward_flows(calls: DataFrame, entries: DataFrame, targets: DataFrame, most: int = 5) -> DataFrame:
+    """(entry, hops, flow): for each entry point (node, entry) the shortest calling chain of at most ``most`` nodes to a target (node).
+
+    Searched from the targets back, all at once: a node's least distance to any target and the next node on the way are what a
+    search from each entry would find, without a frontier for every entry.
+    """
+    reached = _cut(bfs(calls, targets, most - 1, backwards=True))
+    path = chains(reached, most - 1).join(entries, "node").join(reached.select("node", "hops"), "node")
+    return path.select("entry", "hops", F.array_join(F.reverse("chain"), " -> ").alias("flow"))
+
+
+def folder_groups(nodes: DataFrame) -> DataFrame:
+    """Nodes (id, type, path) with ``group``: the folder of a file, else the type."""
+    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    return nodes.withColumn("group", F.when(F.col("type") == "file", F.when(folder == "", "root").otherwise(folder)).otherwise(F.col("type")))
+
+
+def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: total_files, total_edges, most_imported (of equals the first)."""
+    counts = edges.where("type = 'imports'").groupBy("dst").agg(F.count("*").alias("n"))
+    first = counts.agg(F.min_by(F.regexp_replace("dst", "^file:", ""), F.struct(-F.col("n"), F.col("dst"))).alias("most_imported"))
+    return nodes.agg(F.count_if(F.col("type") == "file").alias("total_files")).join(edges.agg(F.count("*").alias("total_edges"))).join(first)
+
+
 def impact_radius(calls: DataFrame, derived: DataFrame, changed: DataFrame, most: int = 2) -> DataFrame:
     """(node, hops) of names that use or derive from changed names: calls (src calls dst), derived (src extends, implements, mixes in or is on dst)."""
     edges = calls.select("src", "dst").unionByName(derived.select("src", "dst"))

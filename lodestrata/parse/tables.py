@@ -73,17 +73,47 @@ def search_docs(symbols: DataFrame) -> DataFrame:
     return named.select(key.alias("id"), "kind", "name", "path", F.col("extends_class").alias("superclass"), F.col("comment").alias("comments"))
 
 
+def _named(symbols: DataFrame) -> DataFrame:
+    return symbols.where("kind in ('class', 'function', 'enum', 'mixin', 'extension', 'typedef', 'variable', 'property') and name != ''").select("kind", "name", F.col("path").alias("def_path"), F.col("line").alias("def_line")).distinct()
+
+
 def usages(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """(kind, name, def_path, used_in, times): whole-word uses of defined names, other than on their own lines."""
     from lodestrata.operators.lines import lines
 
     words = lines(files).select(F.col("path").alias("used_in"), "line", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z_$][\w$]*"), F.lit(0))).alias("name"))
     words = words.groupBy("used_in", "line", "name").agg(F.count("*").alias("times"))
-    named = symbols.where("kind in ('class', 'function', 'enum', 'mixin', 'extension', 'typedef', 'variable', 'property') and name != ''").select("kind", "name", F.col("path").alias("def_path"), F.col("line").alias("def_line")).distinct()
+    named = _named(symbols)
     hit = words.join(named, "name").where("not (used_in = def_path and line = def_line)")
     return hit.groupBy("kind", "name", "def_path", "used_in").agg(F.sum("times").alias("times"))
 
 
+def usage_counts(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(kind, name, def_path, usage_count): how many files have the name on another line than the definition's.
+
+    Counted by name, without the pairs of definitions and uses: all files that have the name, less the definition's own file
+    where only the defining line has it.
+    """
+    from lodestrata.operators.lines import lines
+
+    words = lines(files).select("path", "line", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z_$][\w$]*"), F.lit(0)))).alias("name"))
+    own = words.groupBy("path", "name").agg(F.count("*").alias("n"), F.min("line").alias("first"))
+    total = own.groupBy("name").agg(F.count("*").alias("files"))
+    named = _named(symbols).groupBy("kind", "name", "def_path").agg(F.min("def_line").alias("def_line"))
+    j = named.join(total, "name", "left").join(own.withColumnRenamed("path", "def_path"), ["def_path", "name"], "left")
+    alone = F.coalesce((F.col("n") == 1) & (F.col("first") == F.col("def_line")), F.lit(False)).cast("long")
+    return j.select("kind", "name", "def_path", (F.coalesce("files", F.lit(0)) - alone).alias("usage_count"))
+
+
+def users_of(symbols: DataFrame, found: DataFrame, name: str, kind: str, parent: str | None = None) -> DataFrame:
+    """(def_path, used_in, times): files that use an element of a kind, from usages(); a parent class narrows functions and properties."""
+    mine = symbols.where((F.col("kind") == kind) & (F.col("name") == name))
+    if kind in ("function", "property", "constructor"):
+        mine = mine.where(F.col("parent").isNull() if parent is None else F.col("parent") == parent)
+    places = mine.select(F.col("path").alias("def_path")).distinct()
+    return found.where((F.col("kind") == kind) & (F.col("name") == name)).join(places, "def_path", "left_semi").select("def_path", "used_in", "times")
+
+
 def global_stats(symbols: DataFrame, files: DataFrame, dialect: str = "rs") -> DataFrame:
     """One row of counts."""
     n = lambda c: F.count_if(F.expr(c))

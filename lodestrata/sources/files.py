@@ -57,6 +57,18 @@ def mode_files(files: DataFrame, mode: str) -> DataFrame:
     return files.where(F.col("path").rlike(roots[mode])) if mode in roots else files
 
 
+# fixed values: where a search without an index looks, and the scripts of the top folder that count
+SEARCH_FOLDERS, SEARCHED = ("lib", "android/app/src/main", "src", "app"), ("dart", "kt", "java", "ts", "tsx", "js", "jsx")
+TOP_SCRIPTS, SCRIPTS = ("App", "index", "main"), ("ts", "tsx", "js", "jsx")
+
+
+def direct_search_files(files: DataFrame) -> DataFrame:
+    """The files that a search without an index reads."""
+    ext = F.element_at(F.split("path", r"\."), -1)
+    below = F.col("path").rlike(rf"^({'|'.join(SEARCH_FOLDERS)})/") & ext.isin(*SEARCHED) & F.contains("path", F.lit("."))
+    return files.where(below | F.col("path").isin(*[f"{n}.{e}" for n in TOP_SCRIPTS for e in SCRIPTS]))
+
+
 def under(files: DataFrame, path: str | None) -> DataFrame:
     """A file, or all files below a folder; all without a path."""
     if not path:

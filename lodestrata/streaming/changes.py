@@ -8,11 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-THROTTLE_MS, DEBOUNCE_MS, GENERATE_MS, REVERSE_MS, BUFFER = 120, 300, 1500, 2000, 50
+THROTTLE_MS, DEBOUNCE_MS, GENERATE_MS, REVERSE_MS, POLL_MS, BUFFER = 120, 300, 1500, 2000, 250, 50
 # fixed values: extensions of watched files
 WATCHED = ("dart", "kt", "java", "xml", "gradle", "kts", "ts", "tsx", "js", "jsx", "arb")
 
@@ -31,26 +32,31 @@ def file_events(events: DataFrame, present: Column | None = None) -> DataFrame:
     return events.where(ext.isin(*WATCHED)).withColumn("op", F.when(gone, "Removed").otherwise("Modified"))
 
 
-def _accepted(times: Column, ms: int) -> Column:
-    """Leading-edge throttle of a sorted array of epoch milliseconds: a time counts if the last that counted is ``ms`` back."""
-    start = F.array().cast("array<bigint>")
-    far = lambda acc, t: (F.size(acc) == 0) | (t - F.element_at(acc, -1) >= F.lit(ms))
-    return F.aggregate(times, start, lambda acc, t: F.when(far(acc, t), F.concat(acc, F.array(t))).otherwise(acc))
-
-
 def throttled(events: DataFrame, keys: list[str], ms: int = THROTTLE_MS, ts: str = "ts") -> DataFrame:
-    """(keys, at): accepted event times.  Whether one counts depends on the last that did, so a key's times are folded in order.
+    """(keys, at): accepted event times.  Whether one counts depends on the last that did, so a run's times are taken in order.
 
-    Runs of events further apart than ``ms`` cannot influence each other: they are found first with a lag window and
-    folded one by one, so even a very busy key is folded in short pieces.
+    Runs of events further apart than ``ms`` cannot influence each other: they are found first with a lag window and dealt out
+    by key and run.  A run streams through its task sorted by Spark, which can spill; only the last accepted time is held.
     """
     from pyspark.sql import Window
 
     w = Window.partitionBy(*keys).orderBy("t")
     rows = events.select(*keys, F.unix_millis(F.col(ts).cast("timestamp")).alias("t"))
     rows = rows.withColumn("begins", F.coalesce((F.col("t") - F.lag("t").over(w) >= ms).cast("int"), F.lit(1))).withColumn("run", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = rows.groupBy(*keys, "run").agg(F.array_sort(F.collect_list("t")).alias("times"))
-    return runs.select(*keys, F.explode(_accepted(F.col("times"), ms)).alias("t")).select(*keys, F.timestamp_millis("t").alias("at"))
+    rows = rows.drop("begins").repartition(*keys, "run").sortWithinPartitions(*keys, "run", "t")
+
+    def accept(batches):
+        last_run, last = None, None
+        for batch in batches:
+            runs, keep = list(zip(*(batch.column(c).to_pylist() for c in (*keys, "run")))), []
+            for run, t in zip(runs, batch.column("t").to_pylist()):
+                fits = run != last_run or t - last >= ms
+                keep.append(fits)
+                if fits:
+                    last_run, last = run, t
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(accept, rows.schema).select(*keys, F.timestamp_millis("t").alias("at"))
 
 
 class Throttle(StatefulProcessor):
@@ -123,13 +129,17 @@ def incremental(stored: DataFrame, changes: DataFrame) -> DataFrame:
     return j.withColumn("action", action).drop("old")
 
 
-def maintain(stream: DataFrame, read: Callable[[], DataFrame], apply: Callable[[DataFrame, int], None], checkpoint: str):
-    """Run incremental() on each micro-batch and hand the work to ``apply(work, batch_id)``, which must be idempotent."""
+def maintain(stream: DataFrame, read: Callable[[], DataFrame], apply: Callable[[DataFrame, int], None], checkpoint: str, every: str = f"{POLL_MS} milliseconds", once: bool = False):
+    """Run incremental() on each micro-batch, every so often, and hand the work to ``apply(work, batch_id)``, which must be idempotent.
+
+    once: take what there is and stop.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
         apply(incremental(read(), df).where("action != 'skip'"), number)
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
+    writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
 def runtime_errors(events: DataFrame, size: int = BUFFER) -> DataFrame:
