@@ -41,7 +41,7 @@ def throttled(events: DataFrame, keys: list[str], ms: int = THROTTLE_MS, ts: str
     from pyspark.sql import Window
 
     w = Window.partitionBy(*keys).orderBy("t")
-    rows = events.select(*keys, F.unix_millis(F.col(ts).cast("timestamp")).alias("t"))
+    rows = events.select(*keys, F.unix_millis(F.col(ts).cast("timestamp")).alias("t")).where("t is not null")
     rows = rows.withColumn("begins", F.coalesce((F.col("t") - F.lag("t").over(w) >= ms).cast("int"), F.lit(1))).withColumn("run", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.drop("begins").repartition(*keys, "run").sortWithinPartitions(*keys, "run", "t")
 
