@@ -383,3 +383,18 @@ def test_reports(spark):
     assert rows(audit.only_in(s, "y", "x"), "name") == [("B",)]
     g = spark.createDataFrame([(" M lib/a.dart",), ("R  old.kt -> new.kt",), ("?? x y.ts",), ("lib/b.dart",)], "text string")
     assert rows(file_sources.porcelain_paths(g), "path") == [("lib/a.dart",), ("lib/b.dart",), ("new.kt",), ("x y.ts",)]
+
+
+def test_second_dialect(spark):
+    fields = spark.createDataFrame([("a", "A", "timer", "Timer"), ("a", "A", "myController", None), ("a", "A", "n", "int"), ("b", "B", "sub", "StreamSubscription<int>")], "path string, parent string, name string, type string")
+    methods = spark.createDataFrame([("a", "A", "dispose"), ("b", None, "close")], "path string, parent string, name string")
+    files = spark.createDataFrame([("a", "timer?.x(); this.myController . dispose();"), ("b", "sub.cancel();")], "path string, content string")
+    assert {(r["name"], r["has_release"]) for r in audit.leaking_fields(fields, methods, files).collect()} == {("timer", True), ("sub", False)}
+    edges = spark.createDataFrame([("lib/domain/a", "lib/metadata/x"), ("domain/a", "x/Data"), ("lib/core/a", "lib/pages/b")], "src string, dst string")
+    assert {(r["src"], r["forbidden"]) for r in audit.segment_violations(edges).collect()} == {("domain/a", "data"), ("lib/core/a", "pages")}
+    assets = spark.createDataFrame([(f"assets/{n}", 1) for n in ("picture.png", "ab.png", "long_name.svg", "note.txt")], "path string, size int")
+    code = spark.createDataFrame([("lib/a.dart", "use('my_picture_2');\nx('ab.pn');"), ("test/a.dart", "long_name")], "path string, content string")
+    found = audit.declared_assets(assets, code)
+    assert found.count() == 3 and {r["path"] for r in audit.unnamed_assets(found, code).collect()} == {"assets/ab.png", "assets/long_name.svg"}
+    times = spark.createDataFrame([("k", None), ("k", "2024-01-01 00:00:00"), ("k", "2024-01-01 00:00:00.05")], "key string, ts string")
+    assert changes.throttled(times, ["key"]).count() == 1
