@@ -88,6 +88,9 @@ class Corpus:
     def search_text(self, query: str, regex: bool = False, case_sensitive: bool = False, k: int = 100) -> DataFrame:
         return lines.search_text(self.lines, query, regex, case_sensitive, k, per_match=self.dialect == "ts")
 
+    def tool_search(self, query: str, kind: str | None = None, mode: str = "both", direct: bool = False, k: int = 50) -> DataFrame:
+        return search.tool_search(self.symbols, self.files, query, kind, mode, k, direct)
+
     def find_references(self, symbol: str) -> DataFrame:
         if self.dialect == "rs":
             return lines.word_references(self.lines, symbol)
@@ -107,7 +110,9 @@ class Corpus:
         return lines.fragment(self.spans, self.lines, name, kind, parent, context, self.dialect)
 
     def file_info(self, path: str) -> DataFrame:
-        return self.symbols.where(F.col("path") == path).groupBy("kind").agg(F.count("*").alias("n"))
+        """(kind, n) of a file; ts takes the end of a path, in any case."""
+        mine = F.endswith(F.lower("path"), F.lit(path.lower())) if self.dialect == "ts" else F.col("path") == path
+        return self.symbols.where(mine).groupBy("kind").agg(F.count("*").alias("n"))
 
     def outline(self) -> DataFrame:
         return tables.quick_outline(self.symbols)
@@ -211,12 +216,16 @@ class Corpus:
         """(path, line, type, value), by kind, text and path; ts has the mock-ups among them."""
         found = audit.hardcoded_values(self.lines, self.dialect)
         if self.dialect == "ts":
-            made = audit.mockups(self.lines).join(self.lines, ["path", "line"]).select("path", "line", "type", F.trim("text").alias("value"))
+            made = audit.mockups(self.lines, True).unionByName(audit.unbound_inputs(self.files)).join(self.lines, ["path", "line"]).select("path", "line", "type", F.trim("text").alias("value"))
             found = found.unionByName(made)
         return audit.warnings_where(found, kind, text, path)
 
     def detect_mockups(self) -> DataFrame:
-        return audit.rule_hits(self.lines) if self.dialect == "rs" else audit.mockups(self.lines)
+        return audit.rule_hits(self.lines) if self.dialect == "rs" else audit.mockups(self.lines, True).unionByName(audit.unbound_inputs(self.files))
+
+    def duplicate_warnings(self) -> DataFrame:
+        s = self.symbols.where(F.col("kind").isin("class", "function"))
+        return audit.duplicate_warnings(s.select("path", "line", "name", "parent", F.col("kind").alias("type"), "body_hash", "body_length"))
 
     def duplicate_logic(self, least: int = 50) -> DataFrame:
         f = tables.of_kind(self.symbols, "function").where(F.col("body_length") >= least)
@@ -254,9 +263,11 @@ class Corpus:
         body = s.select(F.col("path").alias("p"), F.col("line").alias("a"), "line_end").join(self.lines, (F.col("p") == F.col("path")) & F.col("line").between(F.col("a"), F.col("line_end")))
         return lines.logic_flow(body, ("path", "a"))
 
-    def diagnostics(self, output: DataFrame, target: str | None = None, k: int = 100) -> DataFrame:
-        d = audit.diagnostics(output)
-        return (d.where(F.endswith("file", F.lit(target))) if target else d).orderBy("file", "line", "col").limit(k)
+    def diagnostics(self, output: DataFrame, target: str | None = None, k: int = 100, severity: str | None = None) -> DataFrame:
+        return audit.diagnostics_where(audit.diagnostics(output), target, severity).orderBy("file", "line", "col").limit(k)
+
+    def analysis_report(self, output: DataFrame, exit_code: int | None = 0, target: str | None = None, timed_out: bool = False) -> DataFrame:
+        return audit.diagnostics_report(audit.diagnostics(output), exit_code, target, timed_out)
 
     # ---- localisation
     def list_translations(self, locale: str | None = None) -> DataFrame:
@@ -283,7 +294,23 @@ class Corpus:
     def generate_messages(self) -> DataFrame:
         return l10n.generated_source(self.translations)
 
+    def message_members(self, locale: str = "en") -> DataFrame:
+        return l10n.message_members(self.locale_files, locale)
+
+    def locales(self) -> DataFrame:
+        return l10n.locale_names(self.locale_files)
+
+    def remove_locale(self, locale: str, main: str = "en") -> Corpus:
+        return Corpus(l10n.without_locale(self.files, locale, main), self.dialect, self.package, self.aliases)
+
     # ---- edits give a new corpus
+    def rewrite_files(self, fresh: DataFrame) -> Corpus:
+        """Put JSON contents in place in the style of the old files, which are kept beside them."""
+        return Corpus(edits.rewritten(self.files, fresh), self.dialect, self.package, self.aliases)
+
+    def without_excluded(self) -> Corpus:
+        return Corpus(sources.without_excluded(self.files), self.dialect, self.package, self.aliases)
+
     def edit_file(self, path: str, old: str, new: str, replace_all: bool = False, expected: int | None = None) -> DataFrame:
         return edits.replaced(self.files.where(F.col("path") == path), old, new, replace_all, expected)
 

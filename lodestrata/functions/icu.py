@@ -135,3 +135,40 @@ def brace_balance(c: Column) -> Column:
 
 def lacks_other(c: Column) -> Column:
     return c.rlike(r", ?(plural|select),") & ~c.rlike(r"other ?\{")
+
+
+_CASE = T.StructType([T.StructField("name", T.StringType()), T.StructField("text", T.StringType())])
+BRANCHES = T.StructType([T.StructField("variable", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("cases", T.ArrayType(_CASE))])
+
+
+def branches_of(text: str) -> tuple[str, str, dict[str, str]] | None:
+    """Variable, kind and cases of a message that is one plural, select or gender as a whole; None for any other."""
+    s = text.strip()
+    head = re.match(r"\{(\w+)\s*,\s*(plural|select|gender)\s*,", s)
+    if head is None:
+        return None
+    cases: dict[str, str] = {}
+    begin, depth, name = head.end(), 0, ""
+    for m in re.compile(r"[{}]").finditer(s, head.end()):
+        if m[0] == "{":
+            if depth == 0:
+                name, begin = s[begin : m.start()].strip(), m.end()
+            depth += 1
+        elif depth == 0:
+            break
+        else:
+            depth -= 1
+            if depth == 0:
+                if name:
+                    cases[name] = s[begin : m.start()]
+                begin = m.end()
+    return head[1], head[2], cases
+
+
+@F.pandas_udf(BRANCHES)
+def icu_branches(text: pd.Series) -> pd.DataFrame:
+    found = [None if t is None else branches_of(t) for t in text]
+    return pd.DataFrame({
+        "variable": [f and f[0] for f in found], "kind": [f and f[1] for f in found],
+        "cases": [None if f is None else [{"name": k, "text": v} for k, v in f[2].items()] for f in found],
+    })

@@ -182,20 +182,94 @@ MOCKUP_RULES = (
 )
 
 
+UI_FOLDERS = ("pages", "screens", "widgets", "presentation", "ui", "compose", "activities", "fragments")
+#: Input controls: their names, the sign of an argument, the argument of the state and those of the handler, and what an idle handler is.
+TOGGLES = (
+    (("Checkbox", "Switch", "Radio", "CupertinoSwitch"), ":", ("value",), ("onChanged",), "null"),
+    (("Checkbox", "Switch", "RadioButton", "TriStateCheckbox"), "=", ("checked", "selected"), ("onCheckedChange", "onClick"), "{}"),
+)
+
+
+def unbound_inputs(files: DataFrame) -> DataFrame:
+    """(path, line, type, category, severity) of input controls with a constant state and an idle handler, over several lines.
+
+    The arguments are read up to the first closing bracket.  Lines are numbered by a running total of the line ends before each
+    control, within files that have one.
+    """
+    form = rf"\b({_one_of(sorted({n for t in TOGGLES for n in t[0]}))})\s*\(([^)]+)\)"
+    rows = files.where(F.col("content").rlike(form))
+    breaks = lambda c: F.char_length(c) - F.char_length(F.replace(c, F.lit("\n"), F.lit("")))
+    whole, names, bodies = (F.regexp_extract_all("content", F.lit(form), F.lit(g)) for g in (0, 1, 2))
+    x = rows.select("path", F.posexplode(F.arrays_zip(F.split("content", form).alias("before"), whole.alias("control"), names.alias("name"), bodies.alias("body"))).alias("n", "x")).select("path", "n", "x.*")
+    upto = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    line = F.sum(breaks(F.col("before")) + F.coalesce(breaks(F.col("control")), F.lit(0))).over(upto) - breaks(F.col("control")) + 1
+    x = x.withColumn("line", line.cast("int")).where("control is not null")
+    # one literal for each argument: no white space, no parameters of a handler
+    given = F.transform(F.split("body", ","), lambda a: F.regexp_replace(F.regexp_replace(a, r"\s", ""), r"\{[\w?]+->\}", "{}"))
+    idle = F.lit(False)
+    for owners, sign, states, handlers, nothing in TOGGLES:
+        fixed = F.array(*[F.lit(f"{s}{sign}{v}") for s in states for v in ("true", "false")])
+        empty = F.array(*[F.lit(f"{h}{sign}{nothing}") for h in handlers])
+        idle = idle | (F.col("name").isin(*owners) & F.arrays_overlap(given, fixed) & F.arrays_overlap(given, empty))
+    return x.where(idle).select("path", "line", F.lit("mockup_unbound_input").alias("type"), F.lit("input").alias("category"), F.lit("warning").alias("severity"))
+
+
+def duplicate_warnings(bodies: DataFrame, least: int = 50, least_in_file: int = 80) -> DataFrame:
+    """(path, line, name, scope, n, others) of bodies (path, line, name, parent, type, body_hash, body_length) that occur more than once.
+
+    scope ``project``: at least ``least`` long, up to three others by ``name in file``; scope ``file``: at least ``least_in_file``
+    long, all others of the file by ``owner.name (line n)``.  Of a group the project keeps its first four members only: they are
+    found by a ranked aggregate that each task cuts to four before the shuffle.
+    """
+    b = bodies.where(F.col("body_hash").isNotNull() & (F.col("body_length") >= least)).select("path", "line", "name", "parent", "type", "body_hash", "body_length")
+    me = F.struct("path", "line", "name")
+    n = b.groupBy("body_hash").agg(F.count("*").alias("n")).where("n > 1")
+    few = b.withColumn("r", F.row_number().over(Window.partitionBy("body_hash").orderBy("path", "line", "name"))).where("r <= 4")
+    few = few.groupBy("body_hash").agg(F.array_sort(F.collect_list(me)).alias("few"))
+    base = lambda p: F.element_at(F.split(p, "/"), -1)
+    rest = F.slice(F.filter("few", lambda o: o != me), 1, 3)
+    said = F.array_join(F.transform(rest, lambda o: F.concat(o["name"], F.lit(" in "), base(o["path"]))), ", ")
+    project = b.join(n.join(few, "body_hash"), "body_hash").select("path", "line", "name", F.lit("project").alias("scope"), "n", said.alias("others"))
+    same = b.where(F.col("body_length") >= least_in_file).groupBy("path", "body_hash").agg(F.array_sort(F.collect_list(F.struct("line", F.concat_ws(".", "parent", "name").alias("label"), "name"))).alias("all")).where("size(all) > 1")
+    same = same.select("path", "all", F.explode("all").alias("m"))
+    other = F.filter("all", lambda o: o != F.col("m"))
+    listed = F.array_join(F.transform(other, lambda o: F.concat(o["label"], F.lit(" (line "), o["line"].cast("string"), F.lit(")"))), ", ")
+    return project.unionByName(same.select("path", "m.line", "m.name", F.lit("file").alias("scope"), F.size("all").cast("long").alias("n"), listed.alias("others")))
+
+
+def diagnostics_where(found: DataFrame, path: str | None = None, severity: str | None = None) -> DataFrame:
+    """Diagnostics of a file (the end of its path) and of a severity, in any case."""
+    if path:
+        found = found.where(F.endswith(F.lower(F.replace("file", F.lit("\\"), F.lit("/"))), F.lit(path.lower())))
+    return found.where(F.lower("severity") == severity.lower()) if severity else found
+
+
+def diagnostics_report(found: DataFrame, exit_code: int | None = 0, target: str | None = None, timed_out: bool = False) -> DataFrame:
+    """One row: success, n, errors.  A run that fails without a diagnostic is no success."""
+    if target and target != ".":
+        place, file = target.rstrip("/"), F.replace("file", F.lit("\\"), F.lit("/"))
+        found = found.where((file == place) | F.startswith(file, F.lit(place + "/")))
+    row = found.agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "error").alias("errors"))
+    failed = F.lit(timed_out or exit_code is None) | ((F.col("n") == 0) & F.lit(exit_code != 0))
+    return row.select((~failed & (F.col("errors") == 0)).alias("success"), "n", "errors")
+
+
 def _in_test(path: Column) -> Column:
     parts = F.split(path, "/")
     name = F.split(F.lower(F.element_at(parts, -1)), "[._-]")
     return F.arrays_overlap(parts, F.array(*map(F.lit, TEST_FOLDERS))) | F.arrays_overlap(F.slice(name, 2, F.greatest(F.size(name) - 2, F.lit(0))), F.array(*map(F.lit, TEST_ENDINGS)))
 
 
-def mockups(rows: DataFrame) -> DataFrame:
-    """(path, line, type, category, severity): rules per line, and delays without a timer within two lines."""
+def mockups(rows: DataFrame, ui_only: bool = False) -> DataFrame:
+    """(path, line, type, category, severity): rules per line, and delays without a timer within two lines
+    (ui_only: delays in folders of the user interface alone)."""
     test, slow = _in_test(F.col("path")), _holds(_tight(F.col("text")), [f"{c}(" for c in SLOW_CALLS])
     found = [F.when(rule(F.col("text")) & (F.lit(anywhere) | ~test), F.struct(F.lit(t).alias("type"), F.lit(c).alias("category"), F.lit(s).alias("severity"))) for t, c, s, rule, anywhere in MOCKUP_RULES]
+    placed = _holds(F.col("path"), [f"/{f}/" for f in UI_FOLDERS]) if ui_only else F.lit(True)
     near = Window.partitionBy("path").orderBy("line").rowsBetween(-2, 2)
     # the window is over files that have a delay at all
     around = rows.join(rows.where(slow).select("path").distinct(), "path", "left_semi").withColumn("near", F.lower(F.concat_ws("\n", F.collect_list("text").over(near))))
-    delays = around.where(slow & ~_holds(F.col("near"), TIMER_WORDS) & ~test).select("path", "line", F.lit("mockup_fake_delay").alias("type"), F.lit("async").alias("category"), F.lit("info").alias("severity"))
+    delays = around.where(slow & placed & ~_holds(F.col("near"), TIMER_WORDS) & ~test).select("path", "line", F.lit("mockup_fake_delay").alias("type"), F.lit("async").alias("category"), F.lit("info").alias("severity"))
     hits = rows.select("path", "line", F.explode(F.array_distinct(F.array_compact(F.array(*found)))).alias("f")).select("path", "line", "f.type", "f.category", "f.severity")
     return hits.unionByName(delays)
 

@@ -43,3 +43,29 @@ def lines_replaced(files: DataFrame, start: int, end: int, text: str, guard: str
 def written_files(files: DataFrame, fresh: DataFrame) -> DataFrame:
     """files with whole contents (path, content) put in place of or beside the old ones."""
     return files.join(fresh.select("path"), "path", "left_anti").select("path", "content").unionByName(fresh.select("path", "content"))
+
+
+def text_style(content: Column) -> Column:
+    """indent (its unit, two spaces where no line shows one), eol, and whether the last line ends, of a JSON text."""
+    first = F.regexp_extract(content, r'(?m)^([ \t]+)"', 1)
+    unit = F.when(first == "", "  ").when(F.contains(first, F.lit("\t")), "\t").otherwise(first)
+    eol = F.when(F.contains(content, F.lit("\r\n")), "\r\n").otherwise("\n")
+    return F.struct(unit.alias("indent"), eol.alias("eol"), ((content == "") | F.endswith(content, F.lit("\n"))).alias("ended"))
+
+
+def styled(text: Column, style: Column) -> Column:
+    """A text with two spaces a level and plain line ends, in the style of another one."""
+    level = lambda line: (F.char_length(F.regexp_extract(line, "^ *", 0)) / 2).cast("int")
+    lines = F.transform(F.split(F.regexp_replace(text, "\\n+$", ""), "\n"), lambda line: F.concat(F.repeat(style["indent"], level(line)), F.regexp_replace(line, "^ +", "")))
+    whole = F.concat(F.array_join(lines, "\n"), F.when(style["ended"], "\n").otherwise(""))
+    return F.replace(whole, F.lit("\n"), style["eol"])
+
+
+def rewritten(files: DataFrame, fresh: DataFrame, suffix: str = ".bak") -> DataFrame:
+    """files with JSON contents (path, content) put in place in the style of the old file, whose text is kept under path + suffix."""
+    old = files.join(fresh.select("path", F.col("content").alias("_new")), "path")
+    done = old.select("path", styled(F.col("_new"), text_style(F.col("content"))).alias("content"))
+    kept = old.select(F.concat("path", F.lit(suffix)).alias("path"), "content")
+    added = fresh.join(files.select("path"), "path", "left_anti").select("path", "content")
+    both = done.unionByName(kept).unionByName(added)
+    return files.join(both.select("path"), "path", "left_anti").select("path", "content").unionByName(both)

@@ -271,9 +271,11 @@ def named_entry_points(functions: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def impact_flows(calls: DataFrame, changed: DataFrame, entries: DataFrame, most: int = 25, k: int = 50) -> DataFrame:
-    """(entry, hops, flow): calling chains (src calls dst) from entry points down to changed nodes, shortest first, at most k."""
-    reached = _cut(bfs(calls, changed, most, backwards=True))
-    path = chains(reached, most).join(entries, "node").join(reached.select("node", "hops"), "node")
+    """(entry, hops, flow): calling chains (src calls dst) from entry points down to changed nodes, of at most ``most`` nodes, shortest first, at most k.
+
+    A caller is reached once, by a shortest chain, so each entry point has one flow."""
+    reached = _cut(bfs(calls, changed, most - 1, backwards=True))
+    path = chains(reached, most - 1).join(entries, "node").join(reached.select("node", "hops"), "node")
     return path.select("entry", "hops", F.array_join(F.reverse("chain"), " -> ").alias("flow")).orderBy("hops", "entry", "flow").limit(k)
 
 

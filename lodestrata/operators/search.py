@@ -172,6 +172,40 @@ def symbol_search(symbols: DataFrame, query: str, k: int = 50) -> DataFrame:
     return ranked.orderBy(F.desc("score"), F.desc(F.startswith(F.lower("name"), F.lit(q))), F.lower("name"), "name", "id").limit(k)
 
 
+# fixed values: other names of kinds, and the kinds that a search by kind takes
+KIND_ALIASES = {"ext": "extension", "type": "typedef", "vars": "variable", "call": "function", "extensionType": "extension_type"}
+NAMED_KINDS = ("class", "function", "enum", "mixin", "extension", "extension_type", "typedef", "variable", "constructor", "property", "annotation")
+
+
+def tool_search(symbols: DataFrame, files: DataFrame, query: str, kind: str | None = None, mode: str = "both", k: int = 50, direct: bool = False) -> DataFrame:
+    """(name, type, path, line) of definitions, calls (mode ``definitions``, ``calls`` or ``both``) and files whose name contains a
+    query, in any case; with ``direct``, or where nothing is found, definitions and calls by pattern from the lines."""
+    from lodestrata.operators import lines as L
+
+    q, want = query.lower(), KIND_ALIASES.get(kind, kind)
+    held = lambda c: F.contains(F.lower(c), F.lit(q))
+    name = F.when(F.col("kind") == "constructor", F.concat_ws(".", "parent", "name")).when(F.col("kind") == "annotation", F.concat(F.lit("@"), "name")).otherwise(F.col("name"))
+    kinds = [c for c in NAMED_KINDS if want in (None, c)] + (["class"] if want == "widget" else [])
+    parts = []
+    if mode in ("definitions", "both") and kinds:
+        rows = symbols.where(F.col("kind").isin(*kinds))
+        rows = rows.where(F.col("type") != "plain") if want == "widget" else rows
+        parts.append(rows.where(held(name)).select(name.alias("name"), F.concat("kind", F.lit("_definition")).alias("type"), "path", "line"))
+    if mode in ("calls", "both") and want in (None, "function"):
+        parts.append(symbols.where((F.col("kind") == "call") & held("name")).select("name", F.lit("function_call").alias("type"), "path", "line"))
+    if want in (None, "file"):
+        base = F.element_at(F.split("path", "/"), -1)
+        parts.append(files.where(held(base)).select(base.alias("name"), F.lit("file").alias("type"), "path", F.lit(None).cast("int").alias("line")))
+    found = reduce(DataFrame.unionByName, parts) if parts else None
+    if direct or found is None or found.isEmpty():
+        rows = L.lines(files)
+        defined = L.direct_definitions(rows, query, k).where(F.col("kind") == want if want in NAMED_KINDS else F.lit(True)).select("name", F.concat("kind", F.lit("_definition")).alias("type"), "path", "line")
+        called = L.direct_calls(rows, query, k).select("name", F.lit("function_call").alias("type"), "path", "line")
+        found = {"definitions": defined, "calls": called}.get(mode, defined.unionByName(called))
+    begins = F.startswith(F.lower("name"), F.lit(q))
+    return found.orderBy(F.desc(begins), F.lower("name"), "name", "type", "path", "line").limit(k)
+
+
 def rerank(symbols: DataFrame, query: str, k: int = 150) -> DataFrame:
     """Order of the interactive list: exact, prefix, usage count, length, name; without a query usage count and name."""
     q = query.strip().lower()

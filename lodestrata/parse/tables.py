@@ -73,6 +73,23 @@ def search_docs(symbols: DataFrame) -> DataFrame:
     return named.select(key.alias("id"), "kind", "name", "path", F.col("extends_class").alias("superclass"), F.col("comment").alias("comments"))
 
 
+def translation_docs(translations: DataFrame) -> DataFrame:
+    """search_docs() of locale entries: the key is the name, the first 100 characters of the value the comment."""
+    none = F.lit(None).cast("string")
+    return translations.select(F.concat_ws(":", "path", F.lit("translation"), "key").alias("id"), F.lit("translation").alias("kind"), F.col("key").alias("name"), "path", none.alias("superclass"), F.substring("value", 1, 100).alias("comments"))
+
+
+def symbol_counts(symbols: DataFrame, files: DataFrame, translations: DataFrame | None = None) -> DataFrame:
+    """One row of counters of the second dialect; methods count as functions."""
+    several = {"classes": "class", "functions": "function", "widgets": "widget", "enums": "enum", "mixins": "mixin", "calls": "call", "extensions": "extension", "typedefs": "typedef", "variables": "variable", "constructors": "constructor", "properties": "property", "annotations": "annotation", "extension_types": "extension_type"}
+    roots = lambda kind: F.col("depth") == 0 if kind == "widget" else F.lit(True)
+    row = symbols.agg(*[F.count_if((F.col("kind") == kind) & roots(kind)).alias(c) for c, kind in several.items()])
+    entries = F.lit(0).cast("long") if translations is None else None
+    total = files.agg(F.count("*").alias("files"))
+    out = total.join(row)
+    return out.withColumn("translations", entries) if translations is None else out.join(translations.agg(F.count("*").alias("translations")))
+
+
 def _named(symbols: DataFrame) -> DataFrame:
     return symbols.where("kind in ('class', 'function', 'enum', 'mixin', 'extension', 'typedef', 'variable', 'property') and name != ''").select("kind", "name", F.col("path").alias("def_path"), F.col("line").alias("def_line")).distinct()
 

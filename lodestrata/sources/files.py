@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.paths import CODE_EXTENSIONS, excluded, extension
@@ -94,3 +94,33 @@ def porcelain_paths(rows: DataFrame, text: str = "text") -> DataFrame:
     line = F.regexp_replace(F.col(text), r"^(?:[ MADRCU?!]{2} )", "")
     path = F.trim(F.regexp_replace(F.element_at(F.split(line, " -> "), -1), '"', ""))
     return rows.select(path.alias("path")).where("path != ''").distinct()
+
+
+def analysis_excludes(files: DataFrame) -> DataFrame:
+    """(path, line, glob) that an analysis_options.yaml excludes: the items of ``exclude:`` within its section ``analyzer:``, in
+    a block or in brackets.  A block ends at a line that is no item and stands no deeper than its key."""
+    from lodestrata.operators.lines import lines
+
+    t = F.trim("text")
+    rows = lines(files.where(F.col("path").rlike(r"(^|/)analysis_options\.yaml$"))).where((t != "") & ~F.startswith(t, F.lit("#")))
+    upto = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    indent = F.char_length(F.regexp_extract("text", r"^\s*", 0))
+    head = F.when(F.startswith(t, F.lit("analyzer:")), True).when(indent == 0, False)
+    rows = rows.select("path", "line", t.alias("t"), indent.alias("indent"), F.last(head, True).over(upto).alias("inside")).where("inside")
+    key = F.startswith("t", F.lit("exclude:"))
+    rows = rows.withColumn("key", F.last(F.when(key, F.struct("line", "indent")), True).over(upto)).where("key is not null")
+    item = F.startswith("t", F.lit("-"))
+    ends = ~key & ~item & (F.col("indent") <= F.col("key.indent"))
+    rows = rows.withColumn("ended", F.coalesce(F.last(F.when(ends, F.col("line")), True).over(upto), F.lit(0)))
+    listed = F.regexp_extract("t", r"^exclude:\s*\[(.*)\]", 1)
+    open_block = item & (F.col("ended") < F.col("key.line")) & ~F.col("bracketed")
+    rows = rows.withColumn("bracketed", F.last(F.when(key, listed != ""), True).over(upto))
+    found = F.when(key & (listed != ""), F.split(listed, ",")).when(open_block, F.array(F.substring("t", 2, 1 << 30)))
+    plain = F.regexp_replace(F.trim(F.col("g")), "^['\"]|['\"]$", "")
+    return rows.select("path", "line", F.explode(found).alias("g")).select("path", "line", plain.alias("glob")).where("glob != ''")
+
+
+def without_excluded(files: DataFrame) -> DataFrame:
+    """files less those that the project's own analysis options exclude (one small configuration file, read on the driver)."""
+    globs = [r["glob"] for r in analysis_excludes(files.where(F.col("path") == "analysis_options.yaml")).orderBy("line").collect()]
+    return files.where(~excluded(F.col("path"), globs))

@@ -87,3 +87,16 @@ def read_package_uri(config: DataFrame, files: DataFrame, uri: str) -> DataFrame
 def manifest_warnings(packages: DataFrame) -> DataFrame:
     """(name, warning) of dependencies without a version bound."""
     return packages.where("version is null or version in ('any', '*', 'latest')").select("name", F.lit("unbounded version").alias("warning"))
+
+
+def manifest_report(files: DataFrame) -> DataFrame:
+    """(path, warning, name) of pubspec.yaml: dependencies of any version, no description, no SDK constraint."""
+    own = files.where(F.col("path").rlike(r"(^|/)pubspec\.yaml$"))
+    rows = lines(own)
+    w = Window.partitionBy("path").orderBy("line")
+    rows = rows.withColumn("section", F.last(F.nullif(F.regexp_extract("text", r"^(\w+):", 1), F.lit("")), True).over(w))
+    entry = F.col("section").isin("dependencies", "dev_dependencies") & F.col("text").rlike(r"^  [A-Za-z_]\w*\s*:\s*(any\s*)?$")
+    loose = rows.where(entry).select("path", F.lit("any version").alias("warning"), F.regexp_extract("text", r"^  (\w+)", 1).alias("name"))
+    said = rows.groupBy("path").agg(F.bool_or(F.col("text").rlike(r"^description:\s*\S")).alias("described"), F.bool_or((F.col("section") == "environment") & F.col("text").rlike(r"^\s+sdk:\s*\S")).alias("bounded"))
+    lacks = F.array_compact(F.array(F.when(~F.coalesce("described", F.lit(False)), F.lit("no description")), F.when(~F.coalesce("bounded", F.lit(False)), F.lit("no sdk constraint"))))
+    return loose.unionByName(own.select("path").join(said, "path", "left").select("path", F.explode(lacks).alias("warning"), F.lit(None).cast("string").alias("name")))

@@ -44,3 +44,20 @@ def ring_buffer(rows: DataFrame, keys: list[str], order: list[str], size: int =
     """The newest ``size`` rows of each key."""
     w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
     return rows.withColumn("slot", F.row_number().over(w)).where(F.col("slot") <= size)
+
+
+def counted(tables: dict[str, DataFrame], name: str) -> DataFrame:
+    """(name, n): rows of one of the named tables; any other name is an error."""
+    if name not in tables:
+        raise ValueError(f"unknown table {name!r}; known: {', '.join(sorted(tables))}")
+    return tables[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+
+
+def metadata_set(table: DataFrame, entries: DataFrame) -> DataFrame:
+    """A new version of a table of (key, value): the entries in place of old ones, of equal keys the greatest value."""
+    fresh = entries.groupBy("key").agg(F.max("value").alias("value"))
+    return deleted(table.select("key", "value"), fresh, ["key"]).unionByName(fresh)
+
+
+def metadata_get(table: DataFrame, *keys: str) -> DataFrame:
+    return table.where(F.col("key").isin(*keys))

@@ -102,6 +102,27 @@ def debounced(events: DataFrame, keys: list[str], ms: int = DEBOUNCE_MS, ts: str
     return rows.groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n")).select(*keys, F.col("w.start").alias("began"), F.col("w.end").alias("fires"), "n")
 
 
+def debounced_changes(events: DataFrame, keys: list[str], ms: int = DEBOUNCE_MS, ts: str = "ts", op: str = "op", span_ms: int = 86_400_000) -> DataFrame:
+    """(keys, at, op): runs for changed and removed paths, times in ms.
+
+    A change runs ``ms`` later unless another event of the key comes before that; a removal cancels what is pending and runs at
+    once.  The next event is looked up within spans of time, and beyond a span's end by the first event of the next, so that
+    a key with very many events is not one group.
+    """
+    from pyspark.sql import Window
+
+    rows = events.select(*keys, F.unix_millis(F.col(ts).cast("timestamp")).alias("t"), F.col(op).alias("op")).where("t is not null")
+    rows = rows.withColumn("span", F.floor(F.col("t") / span_ms))
+    first = rows.groupBy(*keys, "span").agg(F.min("t").alias("first"))
+    after = first.withColumn("after", F.lead("first").over(Window.partitionBy(*keys).orderBy("span"))).drop("first")
+    # of equal times the removal is last, so it cancels
+    w = Window.partitionBy(*keys, "span").orderBy("t", F.col("op") == "Removed")
+    rows = rows.withColumn("next", F.lead("t").over(w)).join(after, [*keys, "span"]).withColumn("next", F.coalesce("next", "after"))
+    gone = F.col("op") == "Removed"
+    quiet = F.col("next").isNull() | (F.col("next") - F.col("t") >= ms)
+    return rows.where(gone | quiet).select(*keys, F.when(gone, F.col("t")).otherwise(F.col("t") + ms).alias("at"), "op")
+
+
 def single_flight(requests: DataFrame, run_ms: int, ts: str = "ts") -> list[tuple[int, int]]:
     """Begin and end (epoch ms) of runs of a job that takes run_ms: requests during a run cause one more run after it.
 

@@ -398,3 +398,51 @@ def test_second_dialect(spark):
     assert found.count() == 3 and {r["path"] for r in audit.unnamed_assets(found, code).collect()} == {"assets/ab.png", "assets/long_name.svg"}
     times = spark.createDataFrame([("k", None), ("k", "2024-01-01 00:00:00"), ("k", "2024-01-01 00:00:00.05")], "key string, ts string")
     assert changes.throttled(times, ["key"]).count() == 1
+
+
+def test_project_files(spark):
+    text = "analyzer:\n  exclude:\n    - '**/*.g.dart'\n  strong: true\n    - 'lib/kept/**'\nother:\n  exclude:\n    - lib/**\n"
+    f = spark.createDataFrame([("analysis_options.yaml", text), ("lib/a.g.dart", ""), ("lib/kept/b.dart", ""), ("pubspec.yaml", "name: x\ndependencies:\n  a: any\n  b: ^1\n")], "path string, content string")
+    assert rows(file_sources.analysis_excludes(f), "line", "glob") == [(3, "**/*.g.dart")]
+    assert rows(file_sources.without_excluded(f), "path") == [("analysis_options.yaml",), ("lib/kept/b.dart",), ("pubspec.yaml",)]
+    assert file_sources.without_excluded(f.where("path != 'analysis_options.yaml'")).count() == 3
+    assert rows(packages.manifest_report(f), "warning", "name") == sorted([("any version", "a"), ("no description", None), ("no sdk constraint", None)], key=str)
+    with pytest.raises(ValueError):
+        store.counted({"t": f}, "u")
+    m = store.metadata_set(spark.createDataFrame([("a", "1"), ("b", "2")], "key string, value string"), spark.createDataFrame([("b", "3")], "key string, value string"))
+    assert rows(store.metadata_get(m, "a", "b", "c"), "key", "value") == [("a", "1"), ("b", "3")]
+    old = spark.createDataFrame([("a", '{\r\n\t"x": 1\r\n}'), ("b", "plain")], "path string, content string")
+    new = spark.createDataFrame([("a", '{\n  "x": {\n    "y": "  two"\n  }\n}\n'), ("c", "{}\n")], "path string, content string")
+    assert {r["path"]: r["content"] for r in edits.rewritten(old, new).collect()} == {"a": '{\r\n\t"x": {\r\n\t\t"y": "  two"\r\n\t}\r\n}', "a.bak": '{\r\n\t"x": 1\r\n}', "b": "plain", "c": "{}\n"}
+
+
+def test_message_branches(spark):
+    from lodestrata.functions.icu import branches_of
+
+    assert branches_of("a {n, plural, other{x}}") is None and branches_of("{n}") is None
+    assert branches_of(" {n, plural, one {a {b {c}}} other{} one{z}}") == ("n", "plural", {"one": "z", "other": ""})
+    assert branches_of("{n, select, a{x} b") == ("n", "select", {"a": "x"})
+    f = spark.createDataFrame([("l/intl_en.arb", '{"n": "{n, plural, one{a}}", "@n": {"placeholders": {"k": {}, "n": {"type": "int"}}}, "g": "{s, gender, male{he\'s}}"}')], "path string, content string")
+    got = {r["key"]: r["member"].splitlines() for r in l10n.message_members(f).collect()}
+    assert got["n"][:5] == ["  String n(int n, String k) {", "    return Intl.plural(", "      n,", "      one: 'a',", "      other: 'a',"]
+    assert got["g"][1:4] == ["    return Intl.gender(", "      s,", "      male: 'he\\'s',"]
+    with pytest.raises(ValueError):
+        l10n.without_locale(f, "en")
+    with pytest.raises(ValueError):
+        l10n.added_locale_path(f, "en")
+    assert l10n.added_locale_path(f.limit(0), "de").first()["path"] == "lib/l10n/intl_de.arb"
+
+
+def test_reports_by_mode(spark):
+    b = [("a.dart", k, f"f{k}", "C" if k else None, "method", "h", 90) for k in range(3)] + [(f"{c}.dart", 1, "g", None, "function", "h", 90) for c in "bc"] + [("z", 1, "z", None, "function", None, None)]
+    got = audit.duplicate_warnings(spark.createDataFrame(b, "path string, line int, name string, parent string, type string, body_hash string, body_length int"))
+    one = {(r["scope"], r["path"], r["line"]): (r["n"], r["others"]) for r in got.collect()}
+    assert len(one) == 8 and one["project", "c.dart", 1] == (5, "f0 in a.dart, f1 in a.dart, f2 in a.dart")
+    assert one["file", "a.dart", 1] == (3, "f0 (line 0), C.f2 (line 2)")
+    e = spark.createDataFrame([("k", 0, "Modified"), ("k", 100, "Removed"), ("k", 200, "Modified"), ("k", 500, "Modified"), ("j", 0, "Modified"), ("k", None, "Modified")], "k string, t long, op string").withColumn("ts", F.timestamp_millis("t"))
+    for span in (150, 86_400_000):  # spans of time cut the events of a key, not the results
+        assert rows(changes.debounced_changes(e, ["k"], span_ms=span), "k", "at", "op") == sorted([("k", 100, "Removed"), ("k", 500, "Modified"), ("k", 800, "Modified"), ("j", 300, "Modified")], key=str)
+    none = spark.createDataFrame([], "severity string, file string")
+    assert [audit.diagnostics_report(none, code).first()["success"] for code in (0, 1, None)] == [True, False, False]
+    delay = spark.createDataFrame([("lib/pages/a.dart", 1, "await Future.delayed(x);"), ("lib/a.dart", 1, "await Future.delayed(x);")], "path string, line int, text string")
+    assert rows(audit.mockups(delay, True), "path") == [("lib/pages/a.dart",)]
