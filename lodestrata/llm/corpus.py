@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch: whole texts go to Python, and the default of 10,000 rows would make batches of tens of MB.
+#: Spark itself cuts a batch at 64 MB (spark.sql.execution.arrow.maxBytesPerBatch).
 BATCH_ROWS = 1000
 _KEY, _DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 

@@ -10,7 +10,8 @@ Fitted on at most ``TRAIN_ROWS`` documents that are not held out; predictions ta
 pass without a shuffle.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter, or where no document
-teaches a language; documents with a null language teach nothing; ties go to the first language by
+teaches a language; documents with a null language teach nothing, and
+of rows with the same id the least by language and n-grams does; ties go to the first language by
 name; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -25,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import kernels as K
-from lodestrata.llm.labelled import held_out, sample
+from lodestrata.llm.labelled import held_out, one_each, sample
+from lodestrata.llm.store import dropped, written
 
 TRAIN_ROWS, HASH_BITS, UNDECIDED, MARGIN = 4000, 15, "und", 0.15
 N_CELLS = 1 << HASH_BITS
@@ -107,25 +109,31 @@ def fit(docs: DataFrame, most: int = TRAIN_ROWS) -> dict | None:
                     counts.append(found.astype(np.int32).tobytes() + times.astype(np.int32).tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(counts, pa.binary())], ["doc_id", "lang", "counts"])
 
-    got = rows.mapInArrow(count, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, counts binary").orderBy("doc_id", "counts").limit(2 * most).collect()
-    langs = sorted({r["lang"] for r in got})
+    got = rows.mapInArrow(count, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, counts binary")
+    kept = written(one_each(got, "lang", "counts"), "language-sample")
+    langs = sorted(r["lang"] for r in kept.select("lang").distinct().collect())
     if not langs:
+        dropped(kept)
         return None
     code = codewords(len(langs))
     table = np.zeros((len(langs), N_CELLS))
-    read = []
-    for r in got:
-        pair = np.frombuffer(r["counts"], np.int32).reshape(2, -1)
-        read.append((langs.index(r["lang"]), pair[0], pair[1]))
+
+    def read():
+        """Language number, cells and counts of each document; the driver holds one partition of the sample at a time."""
+        for r in kept.orderBy("doc_id").toLocalIterator():
+            yield langs.index(r["lang"]), *np.frombuffer(r["counts"], np.int32).reshape(2, -1)
+
+    for k, cell, n in read():
         # a document teaches frequencies, not more the longer it is
-        table[read[-1][0]][pair[0]] += pair[1] / max(1, pair[1].sum()) * 200
+        table[k][cell] += n / max(1, n.sum()) * 200
     share = (table + 0.02) / (table + 0.02).sum(1, keepdims=True)
     one = code.T[:, :, None] > 0
     p1 = (share * one).sum(1) / np.maximum(1, one.sum(1))
     p0 = (share * ~one).sum(1) / np.maximum(1, (~one).sum(1))
     odds = np.log(p1 + 1e-12) - np.log(p0 + 1e-12) if len(langs) > 1 else np.zeros((1, N_CELLS))
-    m = np.array([[(odds[k][c] * t).sum() / max(1, t.sum()) for k in range(len(odds))] for _, c, t in read])
-    right = ((m > 0) == (code[[x[0] for x in read]] > 0)).mean(0)
+    hits = [(odds[:, c] @ t / max(1, t.sum()) > 0) == (code[k] > 0) for k, c, t in read()]
+    dropped(kept)
+    right = np.mean(hits, 0)
     weight = np.log(np.clip(right, 0.51, 0.999) / (1 - np.clip(right, 0.51, 0.999)))
     return {"langs": langs, "code": code, "odds": np.ascontiguousarray(odds.T), "weight": weight / weight.sum()}
 

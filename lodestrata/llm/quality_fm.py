@@ -11,7 +11,7 @@ without a shuffle.
 
 Defined results: null and empty texts are scored by their (zero) features; several labels of a
 document count by their mean, null labels not at all; without any labels to learn from every score
-is 1; repeated rows are scored alike; other columns are ignored by the query and kept by the
+is 1; of rows with the same id the least by its features teaches, and repeated rows are scored alike; other columns are ignored by the query and kept by the
 filter; an empty table gives an empty result.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import kernels as K
-from lodestrata.llm.labelled import held_out, sample
+from lodestrata.llm.labelled import held_out, one_each, sample
 
 TRAIN_ROWS, RANK, EPOCHS, ACCEPT = 6000, 8, 12, 0.7
 WORD_BITS = 13
@@ -112,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, seed: int =
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("quality"))
     ids = sample(known, most)  # bounded, so it may be broadcast
     # the ids of a sample may miss in docs (a stage gets what its predecessors kept)
-    rows = _sparse(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")).orderBy("doc_id", "i", "v").limit(2 * most).collect()
+    rows = one_each(_sparse(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")), "quality", "i", "v").orderBy("doc_id").collect()
     if not rows:
         return None
     first = np.cumsum([0] + [len(r["i"]) // 4 for r in rows])

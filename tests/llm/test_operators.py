@@ -244,6 +244,18 @@ def test_quality_is_learnt(spark, sf, odd, none):
     assert kept.columns == odd.columns
 
 
+def test_repeated_rows_teach_once(spark, sf):
+    docs, labels = (table(spark, sf, t) for t in ("documents", "labels"))
+    few = docs.where("doc_id < 120")
+    again = few.unionByName(few).unionByName(few.where("doc_id % 3 = 0").selectExpr("doc_id", *[c for c in few.columns if c not in ("doc_id", "text")], "concat('~', text) AS text"))
+    same = lambda df, cols: sorted({tuple(r[c] for c in cols) for r in df.join(few.select("doc_id", "text"), ["doc_id"]).collect()}, key=str)
+    kept = quality_fm.keep_good(few.unionByName(few), labels).groupBy("doc_id").count().collect()
+    assert {r["count"] for r in kept} == {2} and {r["doc_id"] for r in kept} == {r["doc_id"] for r in quality_fm.keep_good(few, labels).collect()}
+    for f, cols in ((lambda d: quality_fm.quality_scores(d, labels), ("doc_id", "score")), (lang_ecoc.predict_languages, ("doc_id", "lang_pred", "score"))):
+        assert same(f(few.unionByName(few)), cols) == same(f(few), cols)
+    assert lang_ecoc.predict_languages(again).count() == again.count()
+
+
 def test_factorisation_identity():
     np = quality_fm.np
     rng = np.random.default_rng(0)
