@@ -1,35 +1,18 @@
 """Graph queries over an edge table (src, dst): neighbourhoods, impact, cycles, ancestors, coupling.
 
 Searches advance a whole frontier per step with an equi-join and an anti-join against what has been reached; every
-step is written (or checkpointed) so that the lineage stays short and lost executors cost one step.
+step is written so that the lineage stays short and lost executors cost one step, and is deleted when the next one stands.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_own_dirs: dict[str, str] = {}
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """A written copy in the shared checkpoint folder."""
-    spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _own_dirs:
-            _own_dirs[app] = tempfile.mkdtemp(prefix="lodestrata-graph-")
-        base = _own_dirs[app]
-    path = f"{base}/frontier-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from lodestrata.operators.components import cyclic_nodes
+from lodestrata.sources.shared import dropped, written
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, most: int = 25, backwards: bool = False, both: bool = False) -> DataFrame:
@@ -41,21 +24,26 @@ def bfs(edges: DataFrame, seeds: DataFrame, most: int = 25, backwards: bool = Fa
     steps = edges.select(F.col(a).alias("parent"), F.col(b).alias("node"))
     if both:
         steps = steps.unionByName(edges.select(F.col(b).alias("parent"), F.col(a).alias("node")))
-    steps = _cut(steps.distinct())
+    steps = written(steps.distinct())
     start = seeds.select("node").distinct()
-    levels = [_cut(start.select("node", F.lit(0).alias("hops"), F.lit(None).cast(steps.schema["parent"].dataType).alias("parent")))]
+    levels = [written(start.select("node", F.lit(0).alias("hops"), F.lit(None).cast(steps.schema["parent"].dataType).alias("parent")))]
     for hop in range(1, most + 1):
         near = steps.join(levels[-1].select(F.col("node").alias("parent")), "parent").groupBy("node").agg(F.min("parent").alias("parent"))
         fresh = near
         for level in levels:  # a node of an earlier level keeps its distance
             fresh = fresh.join(level.select("node"), "node", "left_anti")
-        fresh = _cut(fresh.select("node", F.lit(hop).alias("hops"), "parent"))
+        fresh = written(fresh.select("node", F.lit(hop).alias("hops"), "parent"))
         if fresh.isEmpty():
+            dropped(fresh)
             break
         levels.append(fresh)
         if len(levels) > 8:  # one table of what is settled, so plans do not grow with the depth
-            levels = [_cut(reduce(DataFrame.unionByName, levels[:-1])), levels[-1]]
-    return reduce(DataFrame.unionByName, levels)
+            settled = written(reduce(DataFrame.unionByName, levels[:-1]))
+            dropped(*levels[:-1])
+            levels = [settled, levels[-1]]
+    out = written(reduce(DataFrame.unionByName, levels), "reached")
+    dropped(steps, *levels)
+    return out
 
 
 def impact(imports: DataFrame, target: str, entry_points: DataFrame | None = None, most: int = 25) -> DataFrame:
@@ -70,12 +58,16 @@ def impact(imports: DataFrame, target: str, entry_points: DataFrame | None = Non
 
 def chains(reached: DataFrame, most: int = 25) -> DataFrame:
     """(node, chain) from the seed to each node along the parents of bfs()."""
-    out = reached.where("hops = 0").select("node", "hops", F.array("node").alias("chain"))
-    step = out
+    steps = [written(reached.where("hops = 0").select("node", "hops", F.array("node").alias("chain")))]
     for hop in range(1, most + 1):
-        step = reached.where(F.col("hops") == hop).join(step.select(F.col("node").alias("parent"), "chain"), "parent").select("node", "hops", F.concat("chain", F.array("node")).alias("chain"))
-        out = out.unionByName(step)
-    return out.select("node", "chain")
+        near = reached.where(F.col("hops") == hop).join(steps[-1].select(F.col("node").alias("parent"), "chain"), "parent")
+        step = written(near.select("node", "hops", F.concat("chain", F.array("node")).alias("chain")))
+        steps.append(step)
+        if step.isEmpty():
+            break
+    out = written(reduce(DataFrame.unionByName, steps).select("node", "chain"), "chains")
+    dropped(*steps)
+    return out
 
 
 def risk_level(impacted: Column) -> Column:
@@ -84,69 +76,34 @@ def risk_level(impacted: Column) -> Column:
 
 def ego_graph(edges: DataFrame, focus: DataFrame, depth: int = 1) -> DataFrame:
     """Edges between nodes within ``depth`` undirected steps of the focus nodes."""
-    near = _cut(bfs(edges, focus, depth, both=True).select("node"))
+    near = bfs(edges, focus, depth, both=True).select("node")
     return edges.join(near.withColumnRenamed("node", "src"), "src", "left_semi").join(near.withColumnRenamed("node", "dst"), "dst", "left_semi")
 
 
-def reach_pairs(edges: DataFrame, most: int = 64) -> DataFrame:
-    """(src, dst) of all pairs with a directed path: doubling joins, to the fixed point. For graphs whose closure is wanted."""
-    reach = _cut(edges.select("src", "dst").distinct())
-    n = reach.count()
-    for _ in range(most):
-        further = reach.alias("a").join(reach.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        reach = _cut(reach.unionByName(further).distinct())
-        m = reach.count()
-        if m == n:
-            break
-        n = m
-    return reach
-
-
-def _peeled(e: DataFrame) -> DataFrame:
-    """Written edges without those that cannot lie on a cycle: from nodes that no edge enters, or to nodes that none leaves."""
-    e = _cut(e)
-    n = e.count()
-    while n:
-        e = _cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
-        m = e.count()
-        if m == n:
-            break
-        n = m
-    return e
+def impacted_counts(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node, impacted) for the asked nodes (node): how many others reach each, in full.
 
-
-def _least_reaching(e: DataFrame) -> DataFrame:
-    """(node, label) for the nodes of edges: the least node that reaches it, itself included."""
-    label = _cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().select("node", F.col("node").alias("label")))
+    One search back from all asked nodes at once, as pairs of an asked node and what reaches it; for a level of risk alone, ``risk_of``
+    needs no pairs.
+    """
+    steps = written(edges.where("src != dst").select("src", "dst").distinct())
+    pairs = fresh = written(asked.select("node", F.col("node").alias("src")).distinct())
     while True:
-        sent = e.join(label.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("new"))
-        moved = label.join(sent, "node", "left").select("node", F.least("label", "new").alias("label"), F.coalesce(F.col("new") < F.col("label"), F.lit(False)).alias("moved"))
-        moved = _cut(moved)
-        label = moved.select("node", "label")
-        if moved.where("moved").isEmpty():
-            return label
+        sent = fresh.select("node", F.col("src").alias("dst")).join(steps, "dst").select("node", "src").distinct()
+        before, fresh = fresh, written(sent.join(pairs, ["node", "src"], "left_anti"))
+        if fresh.isEmpty():
+            break
+        grown = written(pairs.unionByName(fresh))
+        dropped(pairs, before)
+        pairs = grown
+    out = written(pairs.groupBy("node").agg((F.count("*") - 1).alias("impacted")), "impacted")
+    dropped(pairs, fresh, steps)
+    return out
 
 
 def nodes_on_cycles(edges: DataFrame, skip_loops: bool = True) -> DataFrame:
-    """Nodes that reach themselves: those of strongly connected components of two nodes or more, and loops if asked.
-
-    Components are found by colouring, without the pairs of the closure: every node takes the least node that reaches it as
-    its colour; what reaches that node within the colour is a component; components are taken out, what is left is peeled and
-    coloured again.  Each step is linear in the edges left.
-    """
-    found = edges.where("src = dst").select(F.col("src").alias("node"))
-    found = found.limit(0) if skip_loops else found.distinct()
-    e = _peeled(edges.where("src != dst").select("src", "dst").distinct())
-    while not e.isEmpty():
-        label = _least_reaching(e)
-        a, b = (label.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")) for c in ("src", "dst"))
-        inside = e.join(a, "src").join(b, "dst").where("src_label = dst_label").select("src", "dst")
-        reached = _cut(bfs(inside, label.where("node = label").select("node"), 1 << 30, backwards=True).join(label, "node"))
-        several = reached.where("hops > 0")
-        found = found.union(several.select("node")).union(several.select("label"))
-        gone = reached.select("node")
-        e = _peeled(e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
-    return found.distinct()
+    """Nodes that reach themselves: those of strongly connected components of two nodes or more, and loops if asked."""
+    return cyclic_nodes(edges, skip_loops)
 
 
 def cycle_list(edges: DataFrame, dialect: str = "ts", most: int = 50, bound: int = 50_000) -> DataFrame:
@@ -193,14 +150,15 @@ def cycle_list(edges: DataFrame, dialect: str = "ts", most: int = 50, bound: int
 
 def ancestors(parents: DataFrame, most: int = 64) -> DataFrame:
     """(node, ancestor, depth) of a hierarchy given as (child, parent); least depth of each."""
-    step = _cut(parents.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct())
+    step = written(parents.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct())
     out = step
     for depth in range(2, most + 1):
         up = step.join(parents.select(F.col("child").alias("ancestor"), "parent"), "ancestor").select("node", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
-        step = _cut(up.join(out.select("node", "ancestor"), ["node", "ancestor"], "left_anti").where("node != ancestor"))
+        last, step = step, written(up.join(out.select("node", "ancestor"), ["node", "ancestor"], "left_anti").where("node != ancestor"))
         if step.isEmpty():
             break
-        out = _cut(out.unionByName(step))
+        out, before = written(out.unionByName(step)), out
+        dropped(before, last)
     return out
 
 
@@ -228,10 +186,11 @@ def bubbled_edges(edges: DataFrame, contains: DataFrame, visible: DataFrame) ->
     return edges.join(s, "src").join(d, "dst").where("s != d").select(F.col("s").alias("src"), F.col("d").alias("dst"), "type").distinct()
 
 
-def symbol_graph(files: DataFrame, classes: DataFrame, functions: DataFrame, imports: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
+def symbol_graph(files: DataFrame, classes: DataFrame, functions: DataFrame, imports: DataFrame, calls: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, name, type, path, line; the first of an id wins) and edges (src, dst, type) of a parsed corpus.
 
-    imports needs a resolved ``target``; calls are matched to functions by name, methods of the caller's class first.
+    imports needs a resolved ``target``; calls are matched to functions by name, methods of the caller's class first (``call_edges`` looks through receivers and
+    the hierarchy).
     """
     fid = lambda c: F.concat(F.lit("file:"), F.col(c))
     cid = lambda c: F.concat(F.lit("class:"), F.col(c))
@@ -249,6 +208,8 @@ def symbol_graph(files: DataFrame, classes: DataFrame, functions: DataFrame, imp
         classes.where("extends_class is not null").select(cid("name").alias("src"), cid("extends_class").alias("dst"), F.lit("extends").alias("type")),
         several("implements", "implements"), several("mixins", "mixes_in"),
     ]
+    if calls is None:
+        return nodes, reduce(DataFrame.unionByName, edges)
     caller = F.when(F.col("caller_class").isNotNull(), F.concat(F.lit("method:"), "caller_class", F.lit("."), "caller_function")).otherwise(F.concat(F.lit("func:"), "caller_function"))
     made = calls.where("caller_function is not null").withColumn("src", caller)
     mine = own.where("parent_class is not null").select(F.col("parent_class").alias("caller_class"), "name", F.col("id").alias("m")).distinct()
@@ -258,6 +219,51 @@ def symbol_graph(files: DataFrame, classes: DataFrame, functions: DataFrame, imp
     return nodes, reduce(DataFrame.unionByName, edges)
 
 
+def hierarchy(classes: DataFrame) -> DataFrame:
+    """(node, ancestor, depth) of classes (name, extends_class, implements, mixins) by name; a class is its own ancestor at depth 0."""
+    none = F.array().cast("array<string>")
+    over = F.array_compact(F.concat(F.array("extends_class"), F.coalesce("mixins", none), F.coalesce("implements", none)))
+    above = classes.select(F.col("name").alias("child"), F.explode(F.transform(over, lambda p: F.trim(F.substring_index(p, "<", 1)))).alias("parent")).where("child != parent").distinct()
+    own = classes.select(F.col("name").alias("node"), F.col("name").alias("ancestor"), F.lit(0).alias("depth")).distinct()
+    return own.unionByName(ancestors(above))
+
+
+def call_edges(calls: DataFrame, functions: DataFrame, classes: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """(src, dst, type) of calls (path, name, receiver, caller_class, caller_function), each to the owner of the method that it reaches.
+
+    A receiver names a class, a mixin or an enum, or is a variable whose name with a capital is a class; a method belongs to the nearest class of the hierarchy
+    that has it, of equally near ones the least name.  Without a receiver that names one, the call's own name may be a class, mixin or enum, else the caller's
+    class and its ancestors are searched, else it is a function.  ``others``: (name, kind) of mixins and enums.
+    """
+    kinds = classes.select("name", F.lit("class").alias("kind"))
+    kinds = kinds if others is None else kinds.unionByName(others.select("name", "kind"))
+    rank = F.array_position(F.array(*map(F.lit, ("class", "mixin", "enum"))), F.col("kind"))
+    kinds = kinds.groupBy("name").agg(F.min_by("kind", rank).alias("kind"))
+    own = functions.where("parent_class is not null").select(F.col("parent_class").alias("ancestor"), F.col("name").alias("m")).distinct()
+    call = written(calls.select("path", "name", "receiver", "caller_class", "caller_function").withColumn("call", F.monotonically_increasing_id()), "calls")
+    variable = F.when(~F.col("receiver").isin("this", "super"), F.concat(F.upper(F.substring("receiver", 1, 1)), F.substring("receiver", 2, 1 << 20)))
+    call_ = call.withColumn("typed", variable)
+    starts = call_.select("call", F.col("name").alias("m"), F.posexplode(F.array("receiver", "typed", "caller_class")).alias("form", "node")).where("node is not null")
+    owner = starts.join(hierarchy(classes), "node").join(own, ["ancestor", "m"]).groupBy("call").agg(*[F.min(F.when(F.col("form") == k, F.struct("depth", "ancestor"))).getField("ancestor").alias(f"owner{k}") for k in range(3)])
+    for c in ("receiver", "typed", "name"):
+        call_ = call_.join(kinds.select(F.col("name").alias(c), F.col("kind").alias(f"{c}_kind")), c, "left")
+    call_ = call_.join(owner, "call", "left")
+    method = lambda c: F.concat(F.lit("method:"), c, F.lit("."), "name")
+    by_receiver = F.when(F.col("receiver_kind") == "class", F.coalesce(method("owner0"), F.concat(F.lit("class:"), "receiver")))
+    by_receiver = by_receiver.when(F.col("receiver_kind").isNotNull(), F.concat("receiver_kind", F.lit(":"), "receiver")).when(F.col("typed_kind") == "class", F.coalesce(method("owner1"), method("typed")))
+    by_name = F.when(F.col("name_kind").isNotNull(), F.concat("name_kind", F.lit(":"), "name"))
+    dst = F.coalesce(by_receiver, by_name, method("owner2"), F.concat(F.lit("func:"), "name"))
+    src = F.when(F.col("caller_class").isNotNull() & F.col("caller_function").isNotNull(), F.concat(F.lit("method:"), "caller_class", F.lit("."), "caller_function"))
+    src = F.coalesce(src, F.concat(F.lit("func:"), "caller_function"), F.concat(F.lit("class:"), "caller_class"), F.concat(F.lit("file:"), "path"))
+    return call_.select(src.alias("src"), dst.alias("dst"), F.lit("calls").alias("type")).where("src != dst").distinct()
+
+
+def usage_edges(usages: DataFrame) -> DataFrame:
+    """(src, dst, type) of uses of classes and variables (kind, name, def_path, used_in) in other files than their own."""
+    rows = usages.where(F.col("kind").isin("class", "variable") & (F.col("used_in") != F.col("def_path")))
+    return rows.select(F.concat(F.lit("file:"), "used_in").alias("src"), F.concat("kind", F.lit(":"), "name").alias("dst"), F.concat(F.lit("uses_"), "kind").alias("type")).distinct()
+
+
 def named_entry_points(functions: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, entry) of functions where control enters: main, lifecycle and handler methods, and methods of UI classes.
 
@@ -274,18 +280,55 @@ def impact_flows(calls: DataFrame, changed: DataFrame, entries: DataFrame, most:
     """(entry, hops, flow): calling chains (src calls dst) from entry points down to changed nodes, of at most ``most`` nodes, shortest first, at most k.
 
     A caller is reached once, by a shortest chain, so each entry point has one flow."""
-    reached = _cut(bfs(calls, changed, most - 1, backwards=True))
+    reached = bfs(calls, changed, most - 1, backwards=True)
     path = chains(reached, most - 1).join(entries, "node").join(reached.select("node", "hops"), "node")
     return path.select("entry", "hops", F.array_join(F.reverse("chain"), " -> ").alias("flow")).orderBy("hops", "entry", "flow").limit(k)
 
 
+def all_flows(calls: DataFrame, entries: DataFrame, targets: DataFrame, most: int = 25, k: int = 50, limit: int | None = 50) -> DataFrame:
+    """(entry, node, target, hops, flow): every way of at most ``most`` nodes from entry points (node, entry) down to targets (node) that visits no node
+    twice, shortest first, then by entry and flow; at most ``limit`` of them.
+
+    Partial ways are grown from the targets back, a level at a time; of the partial ways from one node to one target, of one length, the k least go on (a ranked aggregate that each
+    task cuts before the shuffle), so a level has at most k rows for each node and target, and the result is whole wherever no more than k of them meet.
+    Levels stop when ``limit`` flows are found.
+    """
+    steps = written(calls.where("src != dst").select("src", "dst").distinct())
+    first = Window.partitionBy("node", "target").orderBy("flow")
+    level = written(targets.select("node", F.col("node").alias("target"), F.array("node").alias("way"), F.col("node").cast("string").alias("flow")).distinct())
+    levels, found = [level], 0
+    for _ in range(1, most):
+        if limit is not None:
+            found += level.join(entries.select("node", "entry").distinct(), "node").count()
+            if found >= limit:
+                break
+        grown = level.join(steps.withColumnRenamed("dst", "node"), "node").where(~F.array_contains("way", F.col("src")))
+        grown = grown.select(F.col("src").alias("node"), "target", F.concat(F.array("src"), "way").alias("way"), F.concat(F.col("src").cast("string"), F.lit(" -> "), "flow").alias("flow"))
+        level = written(grown.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k).drop("r"))
+        if level.isEmpty():
+            break
+        levels.append(level)
+    ways = reduce(DataFrame.unionByName, levels).join(entries.select("node", "entry").distinct(), "node")
+    ways = ways.select("entry", "node", "target", (F.size("way") - 1).alias("hops"), "flow")
+    out = written(ways.orderBy("hops", "entry", "flow").limit(limit) if limit is not None else ways, "flows")
+    dropped(steps, *levels)
+    return out
+
+
+def flows_by_file(calls: DataFrame, entries: DataFrame, symbols: DataFrame, changed: DataFrame, most: int = 25, k: int = 50) -> DataFrame:
+    """(entry, flow, hops, path) of flows into symbols (node, path) of changed files (path); a flow that several files cause names the first."""
+    targets = symbols.join(changed.select("path").distinct(), "path", "left_semi").select("node", "path")
+    flows = all_flows(calls, entries, targets.select("node").distinct(), most, k, None)
+    return flows.join(targets.withColumnRenamed("node", "target"), "target").groupBy("entry", "flow", "hops").agg(F.min("path").alias("path"))
+
+
 def forward_flows(calls: DataFrame, entries: DataFrame, targets: DataFrame, most: int = 5) -> DataFrame:
     """(entry, hops, flow): for each entry point (node, entry) the shortest calling chain of at most ``most`` nodes to a target (node).
 
     Searched from the targets back, all at once: a node's least distance to any target and the next node on the way are what a
     search from each entry would find, without a frontier for every entry.
     """
-    reached = _cut(bfs(calls, targets, most - 1, backwards=True))
+    reached = bfs(calls, targets, most - 1, backwards=True)
     path = chains(reached, most - 1).join(entries, "node").join(reached.select("node", "hops"), "node")
     return path.select("entry", "hops", F.array_join(F.reverse("chain"), " -> ").alias("flow"))
 

@@ -44,8 +44,8 @@ def blast_radius_multi(spark, sf_dir):
     n AS (SELECT n_name AS node, count(src) AS impacted FROM nation LEFT JOIN pairs ON dst = n_name AND src <> n_name GROUP BY n_name)
     SELECT node, impacted, CASE WHEN impacted > 15 THEN 'critical' WHEN impacted > 5 THEN 'high' WHEN impacted > 0 THEN 'medium' ELSE 'low' END AS risk FROM n""")
 def risk_level(spark, sf_dir):
-    pairs = G.reach_pairs(trade_edges(spark, sf_dir)).where("src != dst").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("impacted"))
-    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("node")).join(pairs, "node", "left").withColumn("impacted", F.coalesce("impacted", F.lit(0)))
+    asked = table(spark, sf_dir, "nation").select(F.col("n_name").alias("node"))
+    n = G.impacted_counts(trade_edges(spark, sf_dir), asked)
     return n.withColumn("risk", G.risk_level(F.col("impacted")))
 
 
