@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.operators.lexical import block_ends, matches
 from lodestrata.operators.spans import with_ends
 
 
@@ -37,8 +38,15 @@ def pattern_or_literal(query: str, regex: bool) -> str:
         return re.escape(query)
 
 
-def search_text(rows: DataFrame, query: str, regex: bool = False, case_sensitive: bool = False, k: int = 100, per_match: bool = False) -> DataFrame:
-    """Lines (or matches) with a text or pattern, in order of path and line, at most k."""
+def search_text(rows: DataFrame, query: str, regex: bool = False, case_sensitive: bool = False, k: int = 100, per_match: bool = False, comments: bool = True, strings: bool = True) -> DataFrame:
+    """Lines (or matches) with a text or pattern, in order of path and line, at most k.
+
+    Without comments or strings the matches outside them, by the state of the lines (``lexical.matches``), with the place of each.
+    """
+    if not (comments and strings):
+        found = matches(rows, ("" if case_sensitive else "(?i)") + pattern_or_literal(query, regex), comments, strings)
+        found = found if per_match else found.select("path", "line").distinct().join(rows, ["path", "line"]).select(*rows.columns)
+        return found.orderBy("path", "line", *(["n"] if per_match else [])).limit(k)
     p = ("" if case_sensitive else "(?i)") + pattern_or_literal(query, regex)
     if not regex:
         hit = F.contains("text", F.lit(query)) if case_sensitive else F.contains(F.lower("text"), F.lit(query.lower()))
@@ -74,8 +82,15 @@ def references(calls: DataFrame, classes: DataFrame, rows: DataFrame, symbol: st
 
 
 def code_blocks(symbols: DataFrame, rows: DataFrame, name: str, dialect: str = "rs") -> DataFrame:
-    """Source of every symbol of a name: its lines, joined on the path and cut to its span."""
-    s = with_ends(symbols, dialect).where(F.col("name") == name).select(F.col("path").alias("p"), "kind", "name", "parent", F.col("line").alias("first"), "line_end")
+    """Source of every symbol of a name: its lines, joined on the path and cut to its span.
+
+    An unknown end is that of the symbol's kind (rs), or found by the balance of braces in code (ts, which gives no block where that finds none).
+    """
+    named = symbols.where(F.col("name") == name)
+    if dialect == "ts":
+        ends = block_ends(named.where("line_end is null"), rows).withColumnRenamed("line_end", "found")
+        named = named.join(ends, ["path", "line"], "left").withColumn("line_end", F.coalesce("line_end", "found")).drop("found").where("line_end is not null")
+    s = with_ends(named, dialect).select(F.col("path").alias("p"), "kind", "name", "parent", F.col("line").alias("first"), "line_end")
     joined = s.join(rows, (F.col("p") == rows["path"]) & rows["line"].between(F.col("first"), F.col("line_end")))
     return joined.groupBy("path", "kind", "name", "parent", "first", "line_end").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("source"))
 
@@ -162,9 +177,29 @@ DEFINITIONS = (
 )
 
 
-def direct_definitions(rows: DataFrame, query: str, k: int = 50) -> DataFrame:
-    """Definitions by pattern, straight from lines: (path, line, kind, name)."""
-    found = F.array(*[F.struct(F.lit(kind).alias("kind"), F.regexp_extract("text", p, 1).alias("name")) for kind, p in DEFINITIONS])
+#: Words that stand before a parenthesis or a name without being a type.
+_NO_TYPES = ("return", "new", "await", "throw", "else", "case", "in", "is", "as", "if", "for", "while", "switch", "catch", "import", "export", "typedef", "class", "enum", "mixin", "extension", "fun", "function", "yield", "assert", "delete", "typeof", "instanceof")
+_MODIFIERS = ("static", "public", "private", "protected", "internal", "export", "default", "abstract", "external", "override", "final", "const", "late", "synchronized", "async", "open", "inline", "suspend")
+
+
+def _typed_function(text: Column) -> Column:
+    """The name of a function that a line declares by a type in front of it, as ``void helper() {``: two words or more before a parenthesis, of which the one in front of
+    the name is a type, and no statement's word; empty without one."""
+    head = F.trim(F.substring_index(text, "(", 1))
+    words = F.filter(F.split(F.regexp_replace(head, "<.*>", ""), r"[\s?]+"), lambda w: (w != "") & ~w.isin(*_MODIFIERS))
+    name, kind = F.try_element_at(words, F.lit(-1)), F.try_element_at(words, F.lit(-2))
+    plain = F.forall(words, lambda w: w.rlike(r"^[A-Za-z_][\w.\[\],]*$") & ~w.isin(*_NO_TYPES))
+    fits = F.contains(text, F.lit("(")) & plain & kind.isNotNull() & name.rlike(r"^[A-Za-z_]\w*$")
+    return F.when(F.coalesce(fits, F.lit(False)), name).otherwise("")
+
+
+def direct_definitions(rows: DataFrame, query: str, k: int = 50, kind: str | None = None) -> DataFrame:
+    """Definitions by pattern, straight from lines: (path, line, kind, name), of one kind where it is named."""
+    kinds = [F.struct(F.lit(name).alias("kind"), F.regexp_extract("text", p, 1).alias("name")) for name, p in DEFINITIONS if kind in (None, name)]
+    kinds += [F.struct(F.lit("function").alias("kind"), _typed_function(F.col("text")).alias("name"))] if kind in (None, "function") else []
+    if not kinds:
+        return rows.select("path", "line", F.lit("").alias("kind"), F.lit("").alias("name")).limit(0)
+    found = F.array_distinct(F.array(*kinds))
     rows = rows.where(F.contains(F.lower("text"), F.lit(query.lower())))
     hits = rows.select("path", "line", F.explode(found).alias("d")).select("path", "line", "d.kind", "d.name")
     return hits.where((F.col("name") != "") & F.contains(F.lower("name"), F.lit(query.lower()))).orderBy("path", "line", "kind").limit(k)
