@@ -8,37 +8,97 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.operators.graph import _cut, coupling
+from lodestrata.operators.graph import coupling
+from lodestrata.operators.substrings import keys_within
+from lodestrata.sources.shared import written
 
 # ---- hard-coded values: what may hold one, by file family -------------------------------------------------
 # fixed values: names of calls, attributes and properties
-COLOR_CALLS, COLOR_CLASS, TEXT_CALL = (("Color", "0x"), ("Color.parseColor", "#")), "Colors", "Text"
-XML_TEXTS, XML_COLORS = ("text", "hint", "contentDescription"), ("background", "textColor", "tint", "backgroundTint")
+COLOR_CALL, COLOR_PARSER, COLOR_MEMBERS, TEXT_CALL, TEXT_ARGUMENT = "Color", ".parse", "s.", "Text", "text"
+XML_PREFIX, XML_TEXTS, XML_COLORS = "android:", ("text", "hint", "contentDescription"), ("background", "textColor", "tint", "backgroundTint")
 STYLE_COLORS = ("color", "backgroundColor", "borderColor", "fill", "stroke")
-_HEX, _QUOTE = "[0-9a-fA-F]{6,8}", """["']"""
+_QUOTE, _WORD = """["']""", "abcdefghijklmnopqrstuvwxyz0123456789_"
 
 
 def _one_of(words) -> str:
     return f"(?:{'|'.join(map(re.escape, words))})"
 
 
-def _color_calls() -> str:
-    """A colour as code writes it: a call with a hexadecimal number or string, or a member of the class of colours."""
-    number = [rf"{re.escape(name)}\({mark}{_HEX}\)" if mark == "0x" else rf"{re.escape(name)}\(\s*{_QUOTE}{mark}{_HEX}{_QUOTE}\s*\)" for name, mark in COLOR_CALLS]
-    return "|".join([*number, rf"{COLOR_CLASS}\.\w+"])
+def _only(c: Column, letters: str) -> Column:
+    """Nothing but these characters, in any case."""
+    return F.translate(F.lower(c), letters, "") == ""
 
 
-def _set_to(names, value: str, sign: str, prefix: str = "") -> str:
-    """``name <sign> "value"`` for any of the names; the group is the value."""
-    return rf"{prefix}{_one_of(names)}\s*{sign}\s*{_QUOTE}({value}){_QUOTE}"
+def _hex(c: Column) -> Column:
+    return F.char_length(c).between(6, 8) & _only(c, "0123456789abcdef")
+
+
+def _without_end(c: Column, end: str) -> Column:
+    """A text less its ending and the white space around that; null where it ends otherwise."""
+    bare = F.rtrim(c)
+    return F.when(F.endswith(bare, F.lit(end)), F.rtrim(F.substring(bare, F.lit(1), F.char_length(bare) - len(end))))
+
+
+def _quoted_values(text: Column) -> Column:
+    """The quoted pieces of a line, each with what stands before and behind it."""
+    pieces = F.split(text, _QUOTE, -1)
+    inner = F.when(F.size(pieces) > 2, F.sequence(F.lit(1), F.size(pieces) - 2)).otherwise(F.array().cast("array<int>"))
+    rest = lambda k: F.char_length(F.array_join(F.slice(pieces, 1, k + 1), " ")) + 2
+    return F.transform(inner, lambda k: F.struct(F.get(pieces, k - 1).alias("front"), F.get(pieces, k).alias("value"), F.substring(text, rest(k), F.lit(1 << 30)).alias("behind")))
+
+
+def _set_to(text: Column, names, sign: str, fits) -> Column:
+    """Quoted values of a line that one of the names is set to and that fit."""
+    named = lambda front: F.coalesce(reduce(lambda x, y: x | y, [F.endswith(_without_end(front, sign), F.lit(n)) for n in names]), F.lit(False))
+    return F.transform(F.filter(_quoted_values(text), lambda q: named(q["front"]) & fits(q["value"])), lambda q: q["value"])
+
+
+def _hash_color(c: Column) -> Column:
+    return F.startswith(c, F.lit("#")) & _hex(F.substring(c, 2, 1 << 30))
+
+
+def _resource_free(c: Column) -> Column:
+    """A text that is no reference to a resource, an attribute or a binding."""
+    return (c != "") & ~_holds(c, ("@", "?", "{"))
+
+
+def _code_colors(code: Column) -> Column:
+    """Colours as code writes them: what stands behind each mention of the call's name decides."""
+    pieces = F.split(code, COLOR_CALL, -1)
+    after = F.when(F.size(pieces) > 1, F.sequence(F.lit(1), F.size(pieces) - 1)).otherwise(F.array().cast("array<int>"))
+
+    def written_color(k: Column) -> Column:
+        piece, follows = F.get(pieces, k), F.coalesce(F.get(pieces, k + 1), F.lit(""))
+        number, argument = (F.substring_index(c, ")", 1) for c in (piece, follows))
+        told = F.trim(F.substring(argument, 2, 1 << 30))
+        string = F.startswith(argument, F.lit("(")) & F.substring(told, 1, 1).isin("'", '"') & F.substring(told, -1, 1).isin("'", '"') & _hash_color(F.substring(told, F.lit(2), F.char_length(told) - 2))
+        member = F.substring(piece, 3, 1 << 30)
+        name = F.substring_index(F.translate(F.regexp_replace(member, r"\W", " "), "\t", " "), " ", 1)
+        return (
+            F.when(F.startswith(piece, F.lit("(0x")) & F.contains(piece, F.lit(")")) & _hex(F.substring(number, 4, 1 << 30)), F.concat(F.lit(COLOR_CALL), number, F.lit(")")))
+            .when((piece == COLOR_PARSER) & F.contains(follows, F.lit(")")) & string, F.concat(F.lit(COLOR_CALL + COLOR_PARSER + COLOR_CALL), argument, F.lit(")")))
+            .when(F.startswith(piece, F.lit(COLOR_MEMBERS)) & (name != ""), F.concat(F.lit(COLOR_CALL + COLOR_MEMBERS), name))
+        )
+
+    return F.array_compact(F.transform(after, written_color))
+
+
+def _code_texts(code: Column) -> Column:
+    """Texts (value, around) that are the first argument, or the one named text, of their call, without interpolation or escapes; ``around`` is the value with what follows."""
+
+    call = f"{TEXT_CALL}("
+
+    def opens(front: Column) -> Column:
+        bare = F.coalesce(_without_end(_without_end(front, "="), TEXT_ARGUMENT), F.rtrim(front))
+        before = F.when(F.char_length(bare) > len(call), F.substring(bare, F.char_length(bare) - len(call), F.lit(1))).otherwise(" ")
+        return F.endswith(bare, F.lit(call)) & ~_only(before, _WORD)  # no word goes on into the call's name
+
+    plain = lambda v: (v != "") & ~_holds(v, ("$", "\\"))
+    ends = lambda c: F.substring(F.ltrim(c), 1, 1).isin(",", ")")
+    found = F.filter(_quoted_values(code), lambda q: opens(q["front"]) & plain(q["value"]) & ends(q["behind"]))
+    return F.transform(found, lambda q: F.struct(q["value"].alias("value"), F.concat(q["value"], F.substring(F.ltrim(q["behind"]), F.lit(1), F.lit(1 + NEAR))).alias("around")))
 
 
-_COLOR = _color_calls()
-#: A text as the first argument (or the one named text) of its call, without interpolation or escapes, up to a comma or bracket.
-_TEXT = rf"\b{TEXT_CALL}\(\s*(?:text\s*=\s*)?{_QUOTE}([^$\\\\\"']+){_QUOTE}\s*[,)]"
-_XML_TEXT = _set_to(XML_TEXTS, "[^@?{\"']+", "=", "android:")
-_XML_COLOR = _set_to(XML_COLORS, f"#{_HEX}", "=", "android:")
-_STYLE_COLOR = _set_to(STYLE_COLORS, f"#{_HEX}", ":")
 # fixed values: literal marks of unfinished code
 MOCKUP_MARKS = (
     "TODO", "FIXME", "Lorem ipsum", "setState(() {})", "onPressed: () {}", "onClick = {}", "setOnClickListener {}",
@@ -81,18 +141,21 @@ def hardcoded_values(rows: DataFrame, dialect: str = "rs") -> DataFrame:
     """
     ext = F.lower(F.element_at(F.split("path", r"\."), -1))
     letters = lambda c: (F.char_length(F.trim(c)) > 1) & c.rlike(r"\p{L}")
-    several = lambda c, p, g, kind: F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(g)), lambda v: F.struct(F.lit(kind).alias("type"), F.trim(v).alias("value")))
+    marked = lambda values, kind: F.transform(values, lambda v: F.struct(F.lit(kind).alias("type"), F.trim(v).alias("value")))
     first = lambda found: F.slice(found, 1, 1)
     t = F.trim("text")
-    xml = rows.where((ext == "xml") & ~F.startswith(t, F.lit("<!--"))).select("path", "line", F.concat(F.filter(first(several(t, _XML_TEXT, 1, "hardcoded_text")), lambda x: letters(x["value"])), first(several(t, _XML_COLOR, 1, "hardcoded_color"))).alias("found"))
-    web = rows.where(ext.isin("ts", "tsx", "js", "jsx") & ~t.rlike(r"^(//|/\*|\*)")).select("path", "line", first(several(t, _STYLE_COLOR, 1, "hardcoded_color")).alias("found"))
+    of_xml = lambda names: [f"{XML_PREFIX}{n}" for n in names]
+    xml_texts, xml_colors = _set_to(t, of_xml(XML_TEXTS), "=", _resource_free), _set_to(t, of_xml(XML_COLORS), "=", _hash_color)
+    xml = rows.where((ext == "xml") & ~F.startswith(t, F.lit("<!--"))).select("path", "line", F.concat(marked(F.filter(first(xml_texts), letters), "hardcoded_text"), marked(first(xml_colors), "hardcoded_color")).alias("found"))
+    web = rows.where(ext.isin("ts", "tsx", "js", "jsx") & ~t.rlike(r"^(//|/\*|\*)")).select("path", "line", marked(first(_set_to(t, STYLE_COLORS, ":", _hash_color)), "hardcoded_color").alias("found"))
     code = code_lines(rows.where(~ext.isin("xml", "ts", "tsx", "js", "jsx")))
-    colors = F.filter(several(F.col("code"), _COLOR, 0, "hardcoded_color"), lambda x: x["value"] != "Colors.transparent")
-    texts = F.filter(first(several(F.col("code"), _TEXT, 1, "hardcoded_text")), lambda x: letters(x["value"]))
+    colors = F.filter(marked(_code_colors(F.col("code")), "hardcoded_color"), lambda x: x["value"] != "Colors.transparent")
+    said = first(_code_texts(F.col("code")))
+    texts = F.filter(said, lambda x: letters(x["value"]))
     if dialect == "ts":
         themed = reduce(lambda a, b: a | b, [F.contains(F.lower("path"), F.lit(w)) for w in COLOR_FILES])
-        context = F.regexp_extract("code", rf"{_TEXT}.{{0,{NEAR}}}", 0)
-        colors, texts = F.when(themed, F.slice(colors, 1, 0)).otherwise(first(colors)), F.when(_holds(context, LOCALISED), F.slice(texts, 1, 0)).otherwise(texts)
+        colors, texts = F.when(themed, F.slice(colors, 1, 0)).otherwise(first(colors)), F.filter(texts, lambda x: ~_holds(x["around"], LOCALISED))
+    texts = marked(F.transform(texts, lambda x: x["value"]), "hardcoded_text")
     rest = code.select("path", "line", F.concat(colors, texts).alias("found"))
     return reduce(DataFrame.unionByName, [xml, web, rest]).select("path", "line", F.explode("found").alias("f")).select("path", "line", "f.type", "f.value")
 
@@ -127,11 +190,24 @@ def rule_hits(rows: DataFrame, marks: tuple = MOCKUP_MARKS) -> DataFrame:
 # ---- mock-ups: fixed values, the names by which unfinished code is known -----------------------------------------
 COMMENT_MARKS = ("TODO", "FIXME", "MOCK", "DUMMY", "STUB", "TEMP", "HACK", "PLACEHOLDER")
 STUB_CALLS = ("Placeholder", "TODO", "throw UnimplementedError", "throw NotImplementedError", "throw UnsupportedOperationException", "throw new NotImplementedError", "throw new UnsupportedOperationException")
-NULL_HANDLERS, LOGGERS = ("onPressed", "onTap"), ("print", "debugPrint", "log", "println", "Log.d", "Log.e", "Log.v", "Log.i", "Log.a", "Log.w")
-FAKE_NAMES, REAL_NAMES, DECLARATIONS = ("mock", "dummy", "fake", "sample", "stub"), ("mockup",), ("final", "const", "var", "val", "let", "object", "class")
-FAKE_HOSTS = ("via.placeholder.com", "picsum.photos", "placehold.co", "dummyimage.com", "placeholder.com")
-FAKE_TEXTS = ("lorem ipsum", "john doe", "jane doe", "test@test.com", "user@example.com")
-SAMPLE_SOURCE, SLOW_CALLS = "@tools:sample/", ("Future.delayed", "Thread.sleep", "delay")
+NULL_HANDLERS = ("onPressed", "onTap")
+# fixed values: handlers that are set with a colon, with = and a block, with = and a function, and by a call; and those that count where they only log
+NAMED_HANDLERS = ("onPressed", "onTap", "onLongPress", "onDoubleTap", "onChanged", "onSubmitted", "onSaved", "onSelected", "onTapDown", "onTapUp")
+BLOCK_HANDLERS = (
+    "onClick", "onValueChange", "onCheckedChange", "onItemClick", "onDismissRequest", "onRefresh", "onSearch", "onBack", "onEdit", "onDelete", "onSave", "onSelect", "onLongClick", "onMenuClick",
+    "onCurrencyClick", "onLanguageClick", "onCardClick", "onItemSelect",
+)
+WEB_HANDLERS = ("onClick", "onChange", "onSubmit", "onSelect", "onPress", "onBlur", "onFocus")
+LISTENERS = ("setOnClickListener", "setOnItemClickListener", "setOnCheckedChangeListener", "setOnLongClickListener", "setOnTouchListener")
+LOGGING_HANDLERS = ("onPressed:", "onTap:", "onChanged:", "onSubmitted:", "onClick=", "onValueChange=", "onCheckedChange=", "setOnClickListener", "onClick=>", "onChange=>", "onSubmit=>", "onPress=>")
+LOGGERS = ("print", "debugPrint", "log", "println", "Log.d", "Log.e", "Log.v", "Log.i", "Log.a", "Log.w", "Toast.makeText", "System.out.print", "console.log", "console.debug", "console.warn", "console.error")
+# fixed values: beginnings of invented names, what they may not go on as, and what declares a name
+FAKE_NAMES, FAKE_TYPES, REAL_NAMES = ("mock", "dummy", "fake", "sample", "stub", "temp"), ("Mock", "Dummy", "Fake", "Stub", "Sample"), ("mockup", "tempdb")
+VARIABLE_WORDS, COLLECTIONS, TYPE_WORDS = ("final", "const", "var", "val", "let"), ("list", "map", "arraylist", "set", "array"), ("object", "class")
+FAKE_HOSTS = ("via.placeholder.com", "picsum.photos", "placehold.co", "dummyimage.com", "avatar.iran.liara.run", "placeholder.com")
+FAKE_TEXTS = ("lorem ipsum", "john doe", "jane doe", "test@test.com", "user@example.com", "123456789", "1234567890", "+123456789", "+1234567890", "اسم تجريبي", "نص تجريبي", "عنوان تجريبي", "بيانات وهمية")
+SAMPLE_NAMES, SAMPLE_SOURCE, SAMPLE_LAYOUTS, SAMPLE_WORDS = ("tools:text", "tools:src", "tools:srccompat", "tools:listitem"), "@tools:sample/", "@layout/", ("dummy", "mock", "sample", "placeholder")
+SLOW_CALLS = ("Future.delayed", "Thread.sleep", "delay")
 TIMER_WORDS = ("timer", "countdown", "cooldown", "resend", "periodic", "dowhile", "while")
 CATEGORIES = ("comment", "callback", "widget", "data", "async", "input")
 TEST_FOLDERS, TEST_ENDINGS = ("test", "tests", "androidTest"), ("test", "spec")
@@ -152,18 +228,42 @@ def _marked(text: Column) -> Column:
     return F.exists(firsts, lambda w: F.upper(w).isin(*COMMENT_MARKS))
 
 
+def _without_bodies(text: Column, logs: bool) -> Column:
+    """A line in which what does nothing reads {}: parameters, wrappers and constants are struck out, and calls that only log where these count."""
+    bare = F.replace(F.regexp_replace(_tight(text), r"=>(?:null|true|false)\b", "{}"), F.lit("(null)"), F.lit("{}"))
+    if logs:
+        bare = F.regexp_replace(bare, rf"\b{_one_of(LOGGERS)}\([^()]*\)(?:\.show\(\))?;?", "")
+    # a function in a block has a sign of its own
+    bare = F.regexp_replace(bare, r"=\{(?:\([\w?, ]*\)=>|function\([^()]*\))", "=>{")
+    bare = F.regexp_replace(bare, r"\basync\b\s*|@Override\s*|public void \w+\([^()]*\)|new [\w.]+\([^()]*\)", "")
+    return F.regexp_replace(bare, r"\([\w?, ]*\)(?:=>)?|[\w?,-]+->", "")
+
+
 def _idle(text: Column) -> Column:
-    """A handler with an empty body: what only logs is struck out, parameters too, and a handler that then reads {} does nothing."""
-    bare = F.regexp_replace(_tight(text), rf"\b{_one_of(LOGGERS)}\([^()]*\);?", "")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"\basync\b\s*", ""), r"\([\w?,]*\)(=>)?|[\w?,-]+->", "")
-    return bare.rlike(r"\b(on[A-Z]\w*[:=]|setOn[A-Z]\w*Listener)\{*\{\}")
+    """A known handler that does nothing, or that only logs."""
+    empty = lambda logs: F.regexp_extract_all(_without_bodies(text, logs), F.lit(r"(\w+(?::|=>|=)?)\(?\{*\{\}"), F.lit(1))
+    known = [*(f"{h}:" for h in NAMED_HANDLERS), *(f"{h}=" for h in BLOCK_HANDLERS), *(f"{h}=>" for h in WEB_HANDLERS), *LISTENERS]
+    return F.arrays_overlap(empty(False), F.array(*map(F.lit, known))) | F.arrays_overlap(empty(True), F.array(*map(F.lit, LOGGING_HANDLERS)))
+
+
+def _nulled(text: Column) -> Column:
+    """A handler that is set to null."""
+    return F.arrays_overlap(F.regexp_extract_all(_tight(text), F.lit(r"(\w+):null\b"), F.lit(1)), F.array(*map(F.lit, NULL_HANDLERS)))
 
 
 def _invented(text: Column) -> Column:
-    """A declared name that begins as invented data does."""
-    names = F.regexp_extract_all(text, F.lit(rf"\b{_one_of(DECLARATIONS)}\s+(?:[\w<>?,]+\s+)?(\w+)"), F.lit(1))
+    """A variable that is given a value under a name that begins as invented data does, or a type that is named so."""
+    tight = F.lower(_tight(text))
+    names = F.concat(*[F.regexp_extract_all(tight, F.lit(form), F.lit(1)) for form in (rf"\b{_one_of(VARIABLE_WORDS)} (\w+)[:=]", rf"\b{_one_of(COLLECTIONS)}<[\w?, ]+>(\w+)[:=]")])
+    types = F.regexp_extract_all(text, F.lit(rf"\b{_one_of(TYPE_WORDS)}\s+(\w+)"), F.lit(1))
     begins = lambda n, words: reduce(lambda a, b: a | b, [F.startswith(n, F.lit(w)) for w in words])
-    return F.exists(names, lambda n: begins(F.lower(n), FAKE_NAMES) & ~begins(F.lower(n), REAL_NAMES))
+    return F.exists(names, lambda n: begins(n, FAKE_NAMES) & ~begins(n, REAL_NAMES)) | F.exists(types, lambda n: begins(n, FAKE_TYPES) & ~begins(F.lower(n), REAL_NAMES))
+
+
+def _sampled(text: Column) -> Column:
+    """A layout attribute for the designer that shows sample data, or a layout named as such."""
+    shown = lambda v: F.startswith(v, F.lit(SAMPLE_SOURCE)) | (F.startswith(v, F.lit(SAMPLE_LAYOUTS)) & _holds(v, SAMPLE_WORDS))
+    return F.size(_set_to(F.lower(text), SAMPLE_NAMES, "=", shown)) > 0
 
 
 def _quoted(text: Column) -> Column:
@@ -175,10 +275,10 @@ def _quoted(text: Column) -> Column:
 MOCKUP_RULES = (
     ("mockup_todo_comment", "comment", "info", _marked, True),
     ("mockup_empty_callback", "callback", "warning", _idle, True),
-    ("mockup_null_callback", "callback", "info", lambda t: _holds(_tight(t), [f"{h}:null" for h in NULL_HANDLERS]), True),
+    ("mockup_null_callback", "callback", "info", _nulled, True),
     ("mockup_stub_widget", "widget", "warning", lambda t: _holds(_tight(t), [f"{c}(" for c in STUB_CALLS]), True),
     ("mockup_fake_data", "data", "warning", _invented, False),
-    ("mockup_fake_data", "data", "info", lambda t: _holds(F.lower(t), FAKE_HOSTS) | _holds(t, [SAMPLE_SOURCE]) | _quoted(t), False),
+    ("mockup_fake_data", "data", "info", lambda t: _holds(F.lower(t), FAKE_HOSTS) | _sampled(t) | _quoted(t), False),
 )
 
 
@@ -319,7 +419,7 @@ def tree_signatures(nodes: DataFrame, ordered: bool = True) -> DataFrame:
             here = here.withColumn("inner", F.lit(None).cast("string")).withColumn("sub", F.lit(None).cast("long"))
         signature = F.when(F.col("inner").isNull(), F.col("name")).otherwise(F.concat("name", F.lit("("), "inner", F.lit(")")))
         # written, so that a level's plan does not hold those below it again
-        below = _cut(here.select("path", "node_id", "parent_id", "ord", "depth", signature.alias("signature"), (F.coalesce("sub", F.lit(0)) + 1).alias("size")))
+        below = written(here.select("path", "node_id", "parent_id", "ord", "depth", signature.alias("signature"), (F.coalesce("sub", F.lit(0)) + 1).alias("size")))
         done = below if done is None else done.unionByName(below)
     return done.drop("parent_id", "ord")
 
@@ -347,13 +447,13 @@ def deepest_paths(nodes: DataFrame, most: int = 5, dialect: str = "rs") -> DataF
     sign = F.lit(" > " if dialect == "rs" else " -> ")
     place = F.struct((-F.col("depth")).alias("d"), F.col("ord"), F.col("node_id"))
     best = nodes.groupBy(*keys).agg((F.max("depth") + 1).alias("depth"), F.min_by(F.struct("parent_id", "name", "line"), place).alias("n")).where(F.col("depth") > most)
-    climb = _cut(best.select(*keys, "depth", F.col("n.name").alias("deepest"), F.col("n.line").alias("deepest_line"), F.col("n.parent_id").alias("up")))
-    above = _cut(nodes.join(climb.select("path").distinct(), "path", "left_semi").select("path", F.col("node_id").alias("up"), F.col("parent_id").alias("next"), F.col("name").alias("upper")))
+    climb = written(best.select(*keys, "depth", F.col("n.name").alias("deepest"), F.col("n.line").alias("deepest_line"), F.col("n.parent_id").alias("up")))
+    above = written(nodes.join(climb.select("path").distinct(), "path", "left_semi").select("path", F.col("node_id").alias("up"), F.col("parent_id").alias("next"), F.col("name").alias("upper")))
     steps = climb.agg(F.max("depth")).first()[0] or 1
     for step in range(1, steps):
         climb = climb.join(above, ["path", "up"], "left").select(*keys, "depth", F.coalesce(F.concat("upper", sign, "deepest"), "deepest").alias("deepest"), "deepest_line", F.col("next").alias("up"))
         if step % 8 == 0:
-            climb = _cut(climb)
+            climb = written(climb)
     return climb.select(*keys, "depth", "deepest", "deepest_line")
 
 
@@ -408,7 +508,7 @@ def unused_assets(assets: DataFrame, files: DataFrame) -> DataFrame:
 
 # fixed values: endings of assets and of the code that may name them, in the second dialect
 ASSET_ENDINGS, NAMING_CODE = ("png", "jpg", "jpeg", "svg", "webp", "gif", "json", "riv", "ttf", "otf", "mp3", "wav", "flac"), ("dart", "ts", "tsx", "js", "jsx", "kt", "java")
-_GRAM, _STEM = 4, 5
+_STEM = 5
 
 
 def declared_paths(files: DataFrame) -> DataFrame:
@@ -433,18 +533,13 @@ def declared_assets(assets: DataFrame, files: DataFrame) -> DataFrame:
 def unnamed_assets(assets: DataFrame, files: DataFrame) -> DataFrame:
     """The second dialect's unused assets (path, size): no code holds the file's name, or its stem if that has 5 characters or more.
 
-    Text that holds the path or the name holds the stem as well, so one key is asked for each asset.  A substring has no key to
-    join on, but its first four characters are one: code meets the keys that begin with one of its own runs of four, and
-    the match is confirmed in the code.
+    Text that holds the path or the name holds the stem as well, so one key is asked for each asset; the keys meet the code by an automaton.
     """
     name = F.element_at(F.split("path", "/"), -1)
     bare = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
     keys = assets.select("path", "size", F.when(F.char_length(bare) >= _STEM, bare).otherwise(name).alias("key"))
-    asked = keys.select("key", F.substring("key", 1, _GRAM).alias("gram")).distinct()
     code = files.where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*NAMING_CODE) & F.col("path").rlike("^(lib|src)/"))
-    lines = code.select(F.explode(F.split("content", "\n")).alias("text")).distinct()
-    grams = lines.select("text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("text") - (_GRAM - 1), F.lit(1))), lambda k: F.substring(F.col("text"), k, F.lit(_GRAM))))).alias("gram"))
-    used = grams.join(asked, "gram").where(F.contains("text", F.col("key"))).select("key").distinct()
+    used = keys_within(code.select(F.col("content").alias("text")), keys)
     return keys.join(used, "key", "left_anti").select("path", "size")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.paths import dirname, extension, normalized, posix
+from lodestrata.operators.substrings import pairs_within
 
 # fixed values: suffixes that may complete a specifier, in the order they are tried
 SUFFIXES = (".ts", ".tsx", ".js", ".jsx", ".mts", ".cts", ".mjs", ".cjs", ".dart", ".kt", ".java")
@@ -95,11 +96,10 @@ def propagate_usage(usages: DataFrame, resolved: DataFrame) -> DataFrame:
     return direct.unionByName(via.select("kind", "name", "def_path", "used_in")).where("used_in is not null").distinct()
 
 
-def loose_targets(imports: DataFrame, files: DataFrame, bound: int = 200_000) -> DataFrame:
+def loose_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
     """(path, spec, target) by the loose rule: the file's path ends with the specifier, or the specifier holds the file's stem.
 
-    Distinct specifiers are met with distinct stems only.  A substring has no key to join on, so the stems are sent to all
-    specifiers; they must be at most ``bound`` (counted first).
+    Distinct specifiers meet distinct stems only: ends of paths by equality, stems inside specifiers by an automaton.
     """
     from lodestrata.functions.paths import stem
 
@@ -107,9 +107,7 @@ def loose_targets(imports: DataFrame, files: DataFrame, bound: int = 200_000) ->
     known = files.select(F.col("path").alias("target"), stem(F.col("path")).alias("stem"))
     parts = F.split("target", "/")
     tails = known.select("target", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, -n, n), "/"))).alias("spec"))
-    stems = known.select("stem").where("stem != ''").distinct()
-    if stems.count() > bound:
-        raise ValueError(f"more than {bound} file stems; use resolve_imports")
-    held = specs.join(F.broadcast(stems), F.contains(F.col("spec"), F.col("stem"))).join(known, "stem").select("spec", "target")
+    stems = known.select(F.col("stem").alias("key")).where("key != ''")
+    held = pairs_within(specs.select(F.col("spec").alias("text")), stems).join(known, F.col("key") == F.col("stem")).select(F.col("text").alias("spec"), "target")
     pairs = tails.join(specs, "spec", "left_semi").select("spec", "target").unionByName(held).distinct()
     return imports.select("path", "spec").distinct().join(pairs, "spec").where("path != target").select("path", "spec", "target")

@@ -28,8 +28,10 @@ def _pages(spark, sf_dir):
 _XMLISH = "(SELECT page_id || '.xml' AS path, replace(html, '<a href=', '<a android:text=') AS content FROM pages)"
 
 
-@query(f"""SELECT path, line, 'hardcoded_text' AS type, trim(regexp_extract(trim(text), 'android:(?:text|hint|contentDescription)\\s*=\\s*["'']([^"''@?{{]+)["'']', 1)) AS value FROM {lines_sql(_XMLISH)}
-    WHERE NOT starts_with(trim(text), '<!--') AND length(value) > 1 AND regexp_matches(value, '\\pL')""")
+@query(f"""WITH l AS (SELECT path, line, string_split_regex(trim(text), '["'']') AS p FROM {lines_sql(_XMLISH)} WHERE NOT starts_with(trim(text), '<!--')),
+    v AS (SELECT path, line, list_filter(range(2, len(p)), lambda k: p[k] <> '' AND NOT (contains(p[k], '@') OR contains(p[k], '?') OR contains(p[k], '{{')) AND ends_with(rtrim(p[k - 1]), '=')
+      AND (ends_with(rtrim(rtrim(p[k - 1])[:-2]), 'android:text') OR ends_with(rtrim(rtrim(p[k - 1])[:-2]), 'android:hint') OR ends_with(rtrim(rtrim(p[k - 1])[:-2]), 'android:contentDescription'))) AS hit, p FROM l)
+    SELECT path, line, 'hardcoded_text' AS type, trim(p[hit[1]]) AS value FROM v WHERE len(hit) > 0 AND length(trim(p[hit[1]])) > 1 AND regexp_matches(p[hit[1]], '\\pL')""")
 def hardcoded_values(spark, sf_dir):
     f = _pages(spark, sf_dir).select(F.concat(F.col("page_id").cast("string"), F.lit(".xml")).alias("path"), F.replace("content", F.lit("<a href="), F.lit("<a android:text=")).alias("content"))
     return A.hardcoded_values(L.lines(f))
