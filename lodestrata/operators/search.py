@@ -177,9 +177,12 @@ KIND_ALIASES = {"ext": "extension", "type": "typedef", "vars": "variable", "call
 NAMED_KINDS = ("class", "function", "enum", "mixin", "extension", "extension_type", "typedef", "variable", "constructor", "property", "annotation")
 
 
-def tool_search(symbols: DataFrame, files: DataFrame, query: str, kind: str | None = None, mode: str = "both", k: int = 50, direct: bool = False) -> DataFrame:
+def tool_search(symbols: DataFrame, files: DataFrame, query: str, kind: str | None = None, mode: str = "both", k: int = 50, direct: bool = False, docs: DataFrame | None = None) -> DataFrame:
     """(name, type, path, line) of definitions, calls (mode ``definitions``, ``calls`` or ``both``) and files whose name contains a
-    query, in any case; with ``direct``, or where nothing is found, definitions and calls by pattern from the lines."""
+    query, in any case; with ``direct``, or where nothing is found, definitions and calls by pattern from the lines.
+
+    ``docs``: the documents of the ranked search (as ``tables.search_docs`` makes them, ids path:kind:name:line); what is found is then ordered by their score first, before the limit.
+    """
     from lodestrata.operators import lines as L
 
     q, want = query.lower(), KIND_ALIASES.get(kind, kind)
@@ -199,11 +202,18 @@ def tool_search(symbols: DataFrame, files: DataFrame, query: str, kind: str | No
     found = reduce(DataFrame.unionByName, parts) if parts else None
     if direct or found is None or found.isEmpty():
         rows = L.lines(files)
-        defined = L.direct_definitions(rows, query, k).where(F.col("kind") == want if want in NAMED_KINDS else F.lit(True)).select("name", F.concat("kind", F.lit("_definition")).alias("type"), "path", "line")
+        defined = L.direct_definitions(rows, query, k, want if want in NAMED_KINDS else None).select("name", F.concat("kind", F.lit("_definition")).alias("type"), "path", "line")
         called = L.direct_calls(rows, query, k).select("name", F.lit("function_call").alias("type"), "path", "line")
         found = {"definitions": defined, "calls": called}.get(mode, defined.unionByName(called))
+    elif docs is not None:
+        # one score for a name of a kind at a line; calls and files have no document
+        place = docs.select("id", "path", "kind", F.element_at(F.split("id", ":"), -1).cast("int").alias("line"))
+        scores = scored(docs, query, "ts", overlap=False).join(place, "id").groupBy("path", "kind", "line", F.col("name").alias("bare")).agg(F.max("score").alias("score"))
+        found = found.withColumn("bare", F.regexp_replace("name", r"^(.*\.|@)", "")).withColumn("kind", F.regexp_replace("type", "_definition$", ""))
+        found = found.join(scores, ["path", "kind", "line", "bare"], "left").drop("bare", "kind")
+    score = [F.desc(F.coalesce("score", F.lit(0.0)))] if "score" in found.columns else []
     begins = F.startswith(F.lower("name"), F.lit(q))
-    return found.orderBy(F.desc(begins), F.lower("name"), "name", "type", "path", "line").limit(k)
+    return found.orderBy(*score, F.desc(begins), F.lower("name"), "name", "type", "path", "line").limit(k).select("name", "type", "path", "line")
 
 
 def rerank(symbols: DataFrame, query: str, k: int = 150) -> DataFrame:
