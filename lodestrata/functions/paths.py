@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,16 +64,43 @@ def excluded(c: Column, globs: list[str]) -> Column:
     return found
 
 
-def fnv1a64(data: bytes) -> str:
-    h = _FNV_START
+def _hashed(data: bytes, h: int = _FNV_START) -> str:
     for b in data:
         h = ((h ^ b) * _FNV_STEP) & 0xFFFFFFFFFFFFFFFF
     return f"{h:016x}"
 
 
+def fnv1a64(data: bytes) -> str:
+    return _hashed(data)
+
+
+#: Texts from which on a byte of all of them is hashed at once.
+_TOGETHER = 16
+
+
+def fnv1a64_all(texts: list[bytes]) -> list[str]:
+    """Hashes of texts: byte by byte for all texts at once, longest first; the longest few, which go on alone, one by one."""
+    order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
+    sizes = np.array([len(texts[k]) for k in order], np.int64)
+    data = np.frombuffer(b"".join(texts[k] for k in order), np.uint8)
+    starts, h = np.cumsum(sizes) - sizes, np.full(len(texts), _FNV_START, np.uint64)
+    together = int(sizes[_TOGETHER - 1]) if len(sizes) >= _TOGETHER else 0
+    ends = np.searchsorted(-sizes, -np.arange(together), "left")  # how many texts are longer than each place
+    with np.errstate(over="ignore"):
+        for at, n in enumerate(ends.tolist()):
+            h[:n] = (h[:n] ^ data[starts[:n] + at]) * np.uint64(_FNV_STEP)
+    out = [""] * len(texts)
+    for place, k in enumerate(order):
+        out[k] = _hashed(texts[k][together:], int(h[place]))
+    return out
+
+
 @F.pandas_udf(T.StringType())
 def fnv1a64_udf(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else fnv1a64(t.encode()))
+    known = text.notna()
+    out = pd.Series([None] * len(text), index=text.index, dtype=object)
+    out[known] = fnv1a64_all([t.encode() for t in text[known]])
+    return out
 
 
 def content_hash(c: Column, dialect: str = "ts") -> Column:

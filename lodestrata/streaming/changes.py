@@ -1,6 +1,7 @@
 """Change streams: file events, throttle and debounce per key, incremental maintenance, event routing.
 
-Each has a batch form over a finished table of events and a streaming form with the same results.
+The throttle, both debounces and the maintenance have a batch form over a finished table of events and a streaming form with the same
+results; the routing of runtime events and the single flight are batch only.
 """
 
 from __future__ import annotations
@@ -123,6 +124,58 @@ def debounced_changes(events: DataFrame, keys: list[str], ms: int = DEBOUNCE_MS,
     return rows.where(gone | quiet).select(*keys, F.when(gone, F.col("t")).otherwise(F.col("t") + ms).alias("at"), "op")
 
 
+class Debounce(StatefulProcessor):
+    """Holds the events of each key until the watermark shows that nothing can come between them and the end of their quiet time.
+
+    An event is decided when its timer fires, ``ms`` after it: everything up to then has arrived, so out-of-order events within the watermark's delay
+    change nothing.  Only undecided events are held.
+    """
+
+    def __init__(self, ms: int = DEBOUNCE_MS):
+        self.ms = ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "t long, removed boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            for t, removed in zip(batch["t"].tolist(), batch["removed"].tolist()):
+                self.held.appendValue((int(t), bool(removed)))
+                self.handle.registerTimer(int(t) + self.ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        over = expiredTimerInfo.getExpiryTimeInMs()
+        events = sorted(self.held.get()) if self.held.exists() else []  # of equal times the removal is last
+        out, rest = [], []
+        for k, (t, removed) in enumerate(events):
+            if t + self.ms > over:
+                rest.append((t, removed))
+            elif removed:
+                out.append((t, "Removed"))
+            elif k + 1 == len(events) or events[k + 1][0] - t >= self.ms:
+                out.append((t + self.ms, "Modified"))
+        if rest:
+            self.held.put(rest)
+        else:
+            self.held.clear()
+        return iter([pd.DataFrame({"key": [key[0]] * len(out), "at": [t for t, _ in out], "op": [op for _, op in out]})] if out else ())
+
+    def close(self) -> None:
+        pass
+
+
+def debounced_changes_stream(events: DataFrame, key: str, delay: str, ms: int = DEBOUNCE_MS, ts: str = "ts", op: str = "op") -> DataFrame:
+    """(key, at, op): the streaming form of ``debounced_changes``; events may come late by ``delay``.  Needs the RocksDB state store.
+
+    Times of runs are in ms; a key's rows come when the watermark has passed them.  Any op but ``Removed`` is a change and is named ``Modified``.
+    """
+    rows = events.withColumn(ts, F.col(ts).cast("timestamp")).where(F.col(ts).isNotNull()).withWatermark(ts, delay)
+    rows = rows.select(F.col(key).cast("string").alias("key"), ts, F.unix_millis(ts).alias("t"), (F.col(op) == "Removed").alias("removed"))
+    return rows.groupBy("key").transformWithStateInPandas(Debounce(ms), "key string, at long, op string", "append", "eventTime")
+
+
 def single_flight(requests: DataFrame, run_ms: int, ts: str = "ts") -> list[tuple[int, int]]:
     """Begin and end (epoch ms) of runs of a job that takes run_ms: requests during a run cause one more run after it.
 
