@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.operators import audit, edits, graph, l10n, lines, resolve, search, spans
+from lodestrata.operators import audit, components, edits, graph, l10n, lexical, lines, resolve, search, spans
 from lodestrata.parse import tables
 from lodestrata.sources import files as sources
 from lodestrata.sources import packages as package_lists
@@ -85,11 +85,11 @@ class Corpus:
     def direct_search(self, query: str, k: int = 50) -> DataFrame:
         return lines.direct_definitions(lines.lines(sources.direct_search_files(self.files), self.dialect), query, k)
 
-    def search_text(self, query: str, regex: bool = False, case_sensitive: bool = False, k: int = 100) -> DataFrame:
-        return lines.search_text(self.lines, query, regex, case_sensitive, k, per_match=self.dialect == "ts")
+    def search_text(self, query: str, regex: bool = False, case_sensitive: bool = False, k: int = 100, comments: bool = True, strings: bool = True) -> DataFrame:
+        return lines.search_text(self.lines, query, regex, case_sensitive, k, self.dialect == "ts", comments, strings)
 
     def tool_search(self, query: str, kind: str | None = None, mode: str = "both", direct: bool = False, k: int = 50) -> DataFrame:
-        return search.tool_search(self.symbols, self.files, query, kind, mode, k, direct)
+        return search.tool_search(self.symbols, self.files, query, kind, mode, k, direct, None if direct else tables.search_docs(self.symbols))
 
     def find_references(self, symbol: str) -> DataFrame:
         if self.dialect == "rs":
@@ -151,8 +151,10 @@ class Corpus:
     def detailed_graph(self, focus: str | None = None, depth: int = 1) -> tuple[DataFrame, DataFrame]:
         s = self.symbols
         functions = tables.of_kind(s, "function").select("path", "name", "line", F.col("parent").alias("parent_class"))
-        calls = tables.of_kind(s, "call").select("path", "name", "line", F.col("parent").alias("caller_class"), "caller_function")
-        nodes, edges = graph.symbol_graph(self.files.select("path"), tables.of_kind(s, "class"), functions, self.imports, calls)
+        calls = tables.of_kind(s, "call").select("path", "name", "receiver", F.col("parent").alias("caller_class"), "caller_function")
+        others = s.where("kind in ('mixin', 'enum')").select("name", "kind")
+        nodes, edges = graph.symbol_graph(self.files.select("path"), tables.of_kind(s, "class"), functions, self.imports)
+        edges = edges.unionByName(graph.call_edges(calls, functions, tables.of_kind(s, "class"), others)).unionByName(graph.usage_edges(self.usages))
         if focus is None:
             return nodes, edges
         seeds = nodes.where(F.col("path") == focus).select(F.col("id").alias("node"))
@@ -195,6 +197,18 @@ class Corpus:
         seeds = self.files.sparkSession.createDataFrame([(c,) for c in changed], "node string")
         return graph.bfs(self.import_edges, seeds, most, backwards=True)
 
+    def import_components(self) -> DataFrame:
+        """(node, component): files that import each other in circles share a component, its least file."""
+        return components.strong_components(self.import_edges)
+
+    def import_risk(self) -> DataFrame:
+        """(node, risk) of every file by how many others depend on it."""
+        reverse = self.import_edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        return components.risk_of(reverse, self.files.select(F.col("path").alias("node")))
+
+    def indent_tree(self, path: str | None = None) -> DataFrame:
+        return lexical.indent_tree(self.lines.where(F.col("path") == path) if path else self.lines)
+
     def circular_dependencies(self) -> DataFrame:
         return graph.cycle_list(self.import_edges, self.dialect)
 

@@ -11,6 +11,7 @@ from lodestrata.operators import resolve as R
 from lodestrata.parse import tables as P
 from lodestrata.plans.adapters import lines_sql, query, table
 from lodestrata.sources import packages as Pk
+from lodestrata.sources.shared import written
 
 # the files: an import, a class with a field, a method and, for even sizes, a release, and a function
 _RELEASE = "  void dispose() {\n    c%s.dispose();\n  }\n"
@@ -35,7 +36,8 @@ _SOURCES = f"""(SELECT {_PATH} AS path, 'import ''p' || (p_partkey % 7) || '.dar
 
 
 def _symbols(spark, sf_dir):
-    return P.parsed(_sources(spark, sf_dir))
+    """Parsed once: the queries' branches read the written table."""
+    return written(P.parsed(_sources(spark, sf_dir)), "parsed")
 
 
 def _classes(s):

@@ -65,4 +65,9 @@ def test_every_query_runs(spark, files, dialect):
     assert c.quick_search("repo").first()["usage_count"] >= 0 and c.users_of("User", "class").count() >= 1
     assert c.graph_stats().first()["most_imported"] == "lib/data/repo.dart"
     assert c.runtime_errors(spark.createDataFrame([("s", 1, "Error", "m")], "stream string, ts int, kind string, message string")).count() == 1
+    assert {r["node"]: r["component"] for r in c.import_components().collect()}["lib/domain/user.dart"] == "lib/data/repo.dart"
+    assert {r["node"]: r["risk"] for r in c.import_risk().collect()}["lib/data/repo.dart"] == "medium"
+    assert {r["line"]: r["parent_line"] for r in c.indent_tree("lib/main.dart").collect()} == {1: None, 2: None, 3: 2, 4: None}
+    assert c.search_text("todo", comments=False).count() == 0 and c.search_text("Text", comments=False, strings=False).count() >= 1
+    assert c.tool_search("Home").first()["name"] == "Home" and ("method:Home.onTap", "func:load") in {(a, b) for a, b, t in every if t == "calls"} and any(t == "uses_class" for *_, t in every)
     assert files.where(F.col("path") == "x").count() == 0
