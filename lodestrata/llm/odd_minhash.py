@@ -10,11 +10,13 @@ A document is the set of its distinct four-word shingles; two link at a Jaccard
 3. Odd sketch.  The samples are folded into ``BITS`` bits, each sample flipping one, so samples that two sets share cancel
    out in the XOR of their sketches.  Its population count estimates the number of differing samples, and so the similarity, best
    where it is high; ``estimate`` gives it.  Candidates with a count beyond ``CUT`` are left out: at a similarity of 0.8 the count is 84 on average with a deviation of
-   11, so a linked pair is left out with a chance below 1e-8, and a pair at 0.5 nearly always.
+   11, so a linked pair is left out with a chance below 1e-8, and a pair at 0.5 nearly always.  The shingles themselves are folded in the same way: where the
+   XOR of two such sketches has more than (a + b) / 9 bits, sets of a and b shingles surely differ in more of them than a link allows.
 4. The full sets of what is left are compared, and that alone decides.
 
-Which pairs are tried: first each member of a bucket against its most central member (a star, linear in the bucket), then, of buckets that
-still hold several classes, the members outside the main class against the others.  Buckets of more than ``HOT`` members would make too many of
+Which pairs are tried: first each class against the most central member of its ``STARS`` most common buckets; then, for as long as such rounds join many,
+members outside the main class of a bucket against one member of it and one of the others, drawn by hash, in ``DRAWS`` of their buckets each; then those against
+all others of their bucket, each pair in the least bucket that both have.  Buckets of more than ``HOT`` members would make too many of
 these pairs; their members meet by single shingles instead, by a prefix filter, which is exact: ordered by how few of these members hold
 them, linked sets of n shingles have one in common among the first n - ceil(4n/5) + 1.  A passage that very many documents share comes last in that order, so it
 brings only those together that consist of it.  There is no cap on buckets, partners or candidates.
@@ -28,6 +30,8 @@ its text and share the id; ties go to the least doc_id; other columns are ignore
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -44,7 +48,9 @@ BANDS, SHARED = SAMPLES // ROWS, 6
 BITS, CUT = 512, 150
 #: Members from which on a bucket of several classes is looked up by shingles; ids that may be broadcast, and the share that makes a key common.
 HOT, BROADCAST_IDS, COMMON = 64, 1 << 20, 1 << 16
-ODD = [f"k{i}" for i in range(BITS // 64)]
+#: Buckets of a class in the first round, rounds of drawn members at most, buckets of a member in each, and keys of a node that tell where a pair is made.
+STARS, ROUNDS, DRAWS, KEYS = 4, 3, 2, 64
+ODD, FOLDED = [f"k{i}" for i in range(BITS // 64)], [f"s{i}" for i in range(BITS // 64)]
 
 _rng = np.random.default_rng(0x0DD)
 _XOR = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32)
@@ -74,12 +80,20 @@ def bands_of(samples: np.ndarray) -> np.ndarray:
     return K.mix(h).view(np.int64)
 
 
+def _parities(bit: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
+    odd = np.bincount((bit & K.U(BITS - 1)).astype(np.int64) + owner * BITS, minlength=owners * BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).reshape(owners, -1)
+
+
 def odd_sketches(samples: np.ndarray) -> np.ndarray:
     """Each sample flips one of BITS bits."""
-    bit = K.mix(samples.astype(K.U) + (np.arange(SAMPLES, dtype=K.U) << K.U(32))) & K.U(BITS - 1)
-    at = bit.astype(np.int64) + np.arange(len(samples))[:, None] * BITS
-    odd = np.bincount(at.ravel(), minlength=len(samples) * BITS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).reshape(len(samples), -1)
+    bit = K.mix(samples.astype(K.U) + (np.arange(SAMPLES, dtype=K.U) << K.U(32)))
+    return _parities(bit.ravel(), np.repeat(np.arange(len(samples)), SAMPLES), len(samples))
+
+
+def folded(sets: list[np.ndarray]) -> np.ndarray:
+    """Each shingle flips one of BITS bits."""
+    return _parities(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(t) for t in sets]), len(sets))
 
 
 def estimate(differing_bits) -> np.ndarray:
@@ -90,7 +104,7 @@ def estimate(differing_bits) -> np.ndarray:
 
 def members(docs: DataFrame) -> DataFrame:
     """doc_id, n (set size), sid (digest of the set), bands and odd sketch; the latter two only where a task meets the set for the first time."""
-    names = ["doc_id", "n", "sid", "bands", *ODD]
+    names = ["doc_id", "n", "sid", "bands", *ODD, *FOLDED]
 
     def run(batches):
         seen: set[bytes] = set()
@@ -105,18 +119,19 @@ def members(docs: DataFrame) -> DataFrame:
                         fresh.append(k)
                         if len(seen) < 1 << 20:
                             seen.add(sid)
-                columns = [pa.nulls(len(sets), pa.list_(pa.int64()))] + [pa.nulls(len(sets), pa.int64())] * len(ODD)
+                columns = [pa.nulls(len(sets), pa.list_(pa.int64()))] + [pa.nulls(len(sets), pa.int64())] * (2 * len(ODD))
                 if fresh:
-                    s = samples_of([sets[k] for k in fresh])
+                    own = [sets[k] for k in fresh]
+                    s = samples_of(own)
                     where = np.full(len(sets), -1)
                     where[fresh] = np.arange(len(fresh))
                     take = pa.array(where, mask=where < 0)
                     bands = pa.ListArray.from_arrays(pa.array(np.arange(len(fresh) + 1, dtype=np.int32) * BANDS), pa.array(bands_of(s).ravel()))
-                    columns = [bands.take(take), *[pa.array(c).take(take) for c in odd_sketches(s).T]]
+                    columns = [bands.take(take), *[pa.array(c).take(take) for side in (odd_sketches(s), folded(own)) for c in side.T]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(t) for t in sets], pa.int64()), pa.array(sids, pa.binary()), *columns], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, sid binary, bands array<long>, " + ", ".join(f"{c} long" for c in ODD))
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, sid binary, bands array<long>, " + ", ".join(f"{c} long" for c in (*ODD, *FOLDED)))
 
 
 def with_holders(rows: DataFrame, key: str) -> DataFrame:
@@ -164,13 +179,14 @@ def confirmed(pairs: DataFrame, blobs: DataFrame, salt_rows: int = 4096) -> Data
 
 
 def _near(a: str, b: str):
-    """Sizes and odd sketches do not exclude a link; the columns of either side begin with its letter."""
-    bits = sum((F.bit_count(F.col(f"{a}_{k}").bitwiseXOR(F.col(f"{b}_{k}"))) for k in ODD[1:]), F.bit_count(F.col(f"{a}_k0").bitwiseXOR(F.col(f"{b}_k0"))))
-    return (F.col(f"{a}_n") * NUM <= F.col(f"{b}_n") * DEN) & (F.col(f"{b}_n") * NUM <= F.col(f"{a}_n") * DEN) & (bits <= CUT)
+    """Sizes and sketches do not exclude a link; the columns of either side begin with its letter."""
+    apart = lambda keys: reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}_{k}").bitwiseXOR(F.col(f"{b}_{k}"))) for k in keys])
+    n, m = F.col(f"{a}_n"), F.col(f"{b}_n")
+    return (n * NUM <= m * DEN) & (m * NUM <= n * DEN) & (apart(FOLDED) * (NUM + DEN) <= (n + m) * (DEN - NUM)) & (apart(ODD) <= CUT)
 
 
 def _side(rows: DataFrame, letter: str, *more: str) -> DataFrame:
-    return rows.select(F.col("node").alias(letter), *[F.col(c).alias(f"{letter}_{c}") for c in ("n", *ODD, *more)])
+    return rows.select(F.col("node").alias(letter), *[F.col(c).alias(f"{letter}_{c}") for c in ("n", *ODD, *FOLDED, *more)])
 
 
 def candidates(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -193,13 +209,27 @@ def mixed(entries: DataFrame, label: DataFrame) -> DataFrame:
     return rows.join(main.where("some > 1").drop("some"), "key")
 
 
+def drawn(rows: DataFrame, turn: int) -> DataFrame:
+    """(u, v) of ``mixed`` rows: members outside a key's main class with one member of that class and one of the others, drawn by hash, in some keys of each."""
+    one = lambda some: some.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)), "node")).getField("node").alias("u"))
+    some = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("key", F.lit(turn)), "key"))
+    out = rows.where("class != main").withColumn("some", some).where(F.col("some") <= DRAWS)
+    heads = one(rows.where("class = main")).unionByName(one(rows.where("class != main")))
+    return out.select("key", F.col("node").alias("v")).join(heads, "key").where("u != v").select("u", "v").distinct()
+
+
 def unlike(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of different classes that meet under a key of ``mixed`` rows and that no sketch excludes."""
-    full = rows.join(nodes.select("node", "n", *ODD), "node")
-    u, v = (_side(x, c, "key", "class", "main") for x, c in ((full.where("class != main"), "u"), (full, "v")))
+    """Pairs of different classes that meet under a key of ``mixed`` rows and that no sketch excludes, made under the least key that both have.
+
+    Of a node with more than KEYS keys the first KEYS tell this, so its pairs may be made several times.
+    """
+    keys = rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("key")), 1, KEYS).alias("keys"))
+    full = rows.join(nodes.select("node", "n", *ODD, *FOLDED).join(keys, "node"), "node")
+    u, v = (_side(x, c, "key", "class", "main", "keys") for x, c in ((full.where("class != main"), "u"), (full, "v")))
     # two outsiders meet twice: keep one order
     apart = (F.col("u_class") != F.col("v_class")) & ((F.col("v_class") == F.col("v_main")) | (F.col("u") < F.col("v")))
-    met = u.join(v, (F.col("u_key") == F.col("v_key")) & apart & _near("u", "v"))
+    first = F.coalesce(F.array_min(F.array_intersect("u_keys", "v_keys")), F.col("u_key")) >= F.col("u_key")
+    met = u.join(v, (F.col("u_key") == F.col("v_key")) & apart & _near("u", "v") & first)
     return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
@@ -224,8 +254,8 @@ def linked_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     mine = Window.partitionBy("node")
     looked = with_holders(banded, "key").withColumn("shared", F.count("*").over(mine)).where(F.col("shared") >= SHARED)
     looked = looked.withColumn("central", F.sum(F.log2("holders")).over(mine)).withColumn("rank", F.row_number().over(mine.orderBy("holders", "key")))
-    looked = looked.where(F.col("rank") <= F.col("shared") - SHARED + 1)
-    entries = written(looked.select("key", "node", F.struct((F.col("central") * 1000).cast("long").alias("by"), F.col("node")).alias("central")), "entries")
+    looked = looked.withColumn("common", F.col("rank") > F.col("shared") - STARS).withColumn("kept", F.col("rank") <= F.col("shared") - SHARED + 1).where("common or kept")
+    entries = written(looked.select("key", "node", "common", "kept", F.struct((F.col("central") * 1000).cast("long").alias("by"), F.col("node")).alias("central")), "entries")
     dropped(banded)
     nodes = written(classes.drop("bands").join(entries.select("node").distinct(), "node", "left_semi"), "involved")
     blobs = written(set_blobs(docs, nodes), "sets")
@@ -234,13 +264,19 @@ def linked_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
         dropped(every)
 
     label = nodes.select("node", F.col("node").alias("class"))
-    heads = entries.groupBy("key").agg(F.max("central").getField("node").alias("u"))
-    stars = entries.select("key", F.col("node").alias("v")).join(heads, "key").where("u != v").select("u", "v").distinct()
-    stars = written(candidates(stars, nodes), "stars")
-    links = written(confirmed(stars, blobs), "links-star")
-    label = _merged(label, links)
-    dropped(stars, links)
-    met = written(mixed(entries, label), "mixed")
+    common = entries.where("common")
+    heads = common.groupBy("key").agg(F.max("central").getField("node").alias("u"))
+    stars = common.select("key", F.col("node").alias("v")).join(heads, "key").where("u != v").select("u", "v").distinct()
+    label, _, _ = _joined(label, stars, nodes, blobs)
+    kept = entries.where("kept")
+    met = written(mixed(kept, label), "mixed")
+    for turn in range(ROUNDS):
+        label, asked, linked = _joined(label, drawn(met, turn), nodes, blobs)
+        if linked:
+            met, before = written(mixed(kept, label), "mixed"), met
+            dropped(before)
+        if 10 * linked < asked or not asked:
+            break
     pairs = [unlike(met.where(F.col("members") <= HOT), nodes)]
     hot = written(met.where(F.col("members") > HOT).select("node").distinct(), "hot")
     if not hot.isEmpty():
@@ -255,10 +291,23 @@ def linked_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return label
 
 
+def _joined(label: DataFrame, pairs: DataFrame, nodes: DataFrame, blobs: DataFrame) -> tuple[DataFrame, int, int]:
+    """The label after the links among the pairs (u, v), and how many v were asked and found a link."""
+    pairs = written(pairs, "asked")
+    near = written(candidates(pairs, nodes), "near")
+    links = written(confirmed(near, blobs), "links")
+    asked, linked = (x.select("v").distinct().count() for x in (pairs, links))
+    if linked:
+        label, before = _merged(label, links), label
+        dropped(before)
+    dropped(pairs, near, links)
+    return label, asked, linked
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links) and kept (whether that is the row's own) of every row."""
     rows = written(members(docs), "members")
-    first = [F.first(c, ignorenulls=True).alias(c) for c in ("bands", *ODD)]
+    first = [F.first(c, ignorenulls=True).alias(c) for c in ("bands", *ODD, *FOLDED)]
     classes = rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), *first)
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     label = linked_classes(docs, classes)
