@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from lodestrata.llm.token_count import encoder, tokenizer_path
 #: Code points from which on a text is split, UTF-8 bytes of a batch, and tokens of a group beyond which its pairs are made of distinct ids.
 PART_CHARS, BATCH_BYTES, LARGE = 64 << 10, 256 << 10, 64
 #: A pair of at least this share of all rows is known to every task; and distinct pairs that a task counts before it sends them on.
-COMMON, TASK_PAIRS = 1 << 16, 1 << 21
+COMMON, TASK_PAIRS = 1 << 16, 1 << 20
 _loaded: dict = {}
 
 
@@ -49,12 +50,9 @@ class Tokenizers:
     """
 
     def __init__(self, a: str, b: str):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
-        self.a = Tokenizer.from_file(a)
-        self.a.encode_special_tokens = True
-        shape = json.loads(self.a.to_str())
+        self.path = a
+        with open(a, encoding="utf-8") as f:
+            shape = json.load(f)
         first = shape["pre_tokenizer"] or {}
         self.b, splits = encoder(b)
         plain = first.get("type") == "ByteLevel" and first.get("use_regex", False) and not first.get("add_prefix_space", False) and shape["normalizer"] is None
@@ -62,28 +60,35 @@ class Tokenizers:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         chars = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in set(printable))}
         decoded = lambda piece: bytes(chars[c] for c in piece) if all(c in chars for c in piece) else piece.encode()
-        a_bytes = [b""] * self.a.get_vocab_size()
-        for piece, i in self.a.get_vocab().items():
+        vocab = shape["model"]["vocab"] | {x["content"]: x["id"] for x in shape["added_tokens"]}
+        a_bytes = [b""] * (max(vocab.values()) + 1)
+        for piece, i in vocab.items():
             a_bytes[i] = decoded(piece)
         byte = lambda i: bytes([int(self.b.id_to_piece(i)[3:5], 16)])
         b_bytes = [byte(i) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
         self.spelling = Spelling(a_bytes), Spelling(b_bytes)
-        self.ranked = self._ranked(shape["model"], decoded) if plain else None
+        self.ranked = self._ranked(shape["model"], a_bytes) if plain else None
+
+    @cached_property
+    def a(self):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
+        out = Tokenizer.from_file(self.path)
+        out.encode_special_tokens = True
+        return out
 
     @staticmethod
-    def _ranked(model: dict, decoded):
+    def _ranked(model: dict, a_bytes: list[bytes]):
         import public_tokenizers
         import tiktoken
 
-        ranks = {decoded(x): i for x, i in model["vocab"].items() if len(decoded(x)) == 1}
-        if sorted(ranks.values()) != list(range(256)) or any(model.get(k) for k in ("dropout", "byte_fallback", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")):
+        n = len(model["merges"]) + 256
+        if sorted(a_bytes[:256]) != [bytes([b]) for b in range(256)] or any(model.get(k) for k in ("dropout", "byte_fallback", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")):
             return None
-        for k, merge in enumerate(model["merges"]):
-            piece = "".join(merge if isinstance(merge, list) else merge.split(" "))
-            if model["vocab"][piece] != 256 + k:
-                return None
-            ranks[decoded(piece)] = 256 + k
-        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        if any(model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) != 256 + k for k, m in enumerate(model["merges"])):
+            return None
+        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={x: i for i, x in enumerate(a_bytes[:n])}, special_tokens={})
 
     def parts(self, text: str) -> list[str]:
         if len(text) <= PART_CHARS or not self.splits:
@@ -191,13 +196,30 @@ def pairs(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray
     return texts[at], keys[at], np.add.reduceat(links, at) if len(at) else links
 
 
-def _lists(rows: list[np.ndarray], kind) -> pa.Array:
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in rows]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else [], kind))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else [], pa.int32()))
+
 
+def _bytes(lists: pa.ListArray) -> pa.Array:
+    """The values of each list as bytes."""
+    offsets = (lists.offsets.to_numpy() * 4).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(lists.values.to_numpy(), np.int32))])
 
-def alignments(docs: DataFrame, a: str | None = None, b: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """row (a number of its own), key, a_ids, b_ids, and a_sizes, b_sizes: how many A and B tokens each group has; no shuffle."""
+
+def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a packed column and, for each row and at the end, how many stand before it."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32, len(column) + 1 + column.offset)[column.offset :] // 4
+    values = np.frombuffer(data, np.int32, int(at[-1])) if data is not None and at[-1] else np.zeros(0, np.int32)
+    return values[int(at[0]) : int(at[-1])], (at - at[0]).astype(np.int64)
+
+
+def alignments(docs: DataFrame, a: str | None = None, b: str | None = None, key: str = "doc_id", text: str = "text", packed: bool = False) -> DataFrame:
+    """row (a number of its own), key, a_ids, b_ids, and a_sizes, b_sizes: how many A and B tokens each group has; no shuffle.
+
+    The four are arrays of int or, packed, their bytes (32 bits each).
+    """
     a, b = a or tokenizer_path("byte_bpe_50k.json"), b or tokenizer_path("piece_bpe_32k.model")
     names = ["row", "key", "a_ids", "b_ids", "a_sizes", "b_sizes"]
 
@@ -220,24 +242,28 @@ def alignments(docs: DataFrame, a: str | None = None, b: str | None = None, key:
                     whole = np.frombuffer(b" " + x.encode(), np.uint8)
                     if not x or not all(spelling.gives(side[k], whole) for spelling, side in zip(t.spelling, ids)):
                         ids[0][k] = ids[1][k] = none
-                lists = [_lists(side, pa.int32()) for side in ids]
+                lists = [_lists(side) for side in ids]
                 ends = [np.cumsum(spelling.sizes[np.asarray(x.values)]) for spelling, x in zip(t.spelling, lists)]
                 # texts begin at ends of both, so they are cut as one
                 sizes = groups(*ends)
                 first = np.searchsorted(np.cumsum(sizes[0]) - sizes[0], lists[0].offsets.to_numpy()).astype(np.int32)
-                both = [pa.ListArray.from_arrays(pa.array(first), pa.array(x, pa.int32())) for x in sizes]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + e - s)), batch.column(0).slice(s, e - s), *lists, *both], names)
+                lists += [pa.ListArray.from_arrays(pa.array(first), pa.array(x, pa.int32())) for x in sizes]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + e - s)), batch.column(0).slice(s, e - s), *[_bytes(x) if packed else x for x in lists]], names)
                 row += e - s
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"row long, key {kind}, a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>")
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"row long, key {kind}, " + ", ".join(f"{c} {'binary' if packed else 'array<int>'}" for c in names[2:]))
 
 
-def _linked(batch, start: int = 0):
-    """(text, pair, links) of the rows of a batch; its columns from ``start`` on are a_ids, b_ids, a_sizes, b_sizes."""
-    column = lambda k: batch.column(start + k).flatten().to_numpy(zero_copy_only=False)
-    owner = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(start + 2).offsets.to_numpy()))
-    return pairs(column(0), column(1), column(2).astype(np.int64), column(3).astype(np.int64), owner)
+def _columns(batch, start: int = 0) -> list:
+    """(numbers, offsets) of a_ids, b_ids, a_sizes, b_sizes, which stand in the columns from ``start`` on."""
+    return [_values(batch.column(start + k)) for k in range(4)]
+
+
+def _linked(columns: list):
+    """(text, pair, links) of packed columns."""
+    (a, _), (b, _), (a_sizes, at), (b_sizes, _) = columns
+    return pairs(a, b, a_sizes.astype(np.int64), b_sizes.astype(np.int64), np.repeat(np.arange(len(at) - 1), np.diff(at)))
 
 
 def _small(batches, rows: int = 128):
@@ -247,7 +273,7 @@ def _small(batches, rows: int = 128):
 
 
 def link_counts(aligned: DataFrame) -> DataFrame:
-    """pair, n: in how many texts the ids of the pair (A id shifted by 32 bits, plus B id) are linked."""
+    """pair, n of packed alignments: in how many texts the ids of the pair (A id shifted by 32 bits, plus B id) are linked."""
 
     def run(batches):
         held, size = [], 0
@@ -257,7 +283,7 @@ def link_counts(aligned: DataFrame) -> DataFrame:
             return key, np.bincount(where, np.concatenate([n for _, n in parts]), len(key)).astype(np.int64)
 
         for batch in _small(batches):
-            _, key, _ = _linked(batch)
+            _, key, _ = _linked(_columns(batch))
             key, n = np.unique(key, return_counts=True)
             held.append((key, n))
             size += len(key)
@@ -274,10 +300,10 @@ def link_counts(aligned: DataFrame) -> DataFrame:
     return parts.groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def link_support(aligned: DataFrame, counts: DataFrame) -> DataFrame:
+def link_support(aligned: DataFrame, counts: DataFrame, told=None, told_kinds: tuple = ()) -> DataFrame:
     """row, key, n_best, count_sum: how many of a text's links have the highest count of their A id, and the sum of counts over its links.
 
-    Both arguments must be written tables.
+    ``told`` makes further columns, (name, type) in ``told_kinds``, of the packed columns in the same pass.  Both arguments must be written tables, the alignments packed.
     """
     a_of = F.shiftright("pair", 32)
     tops = counts.groupBy(a_of.alias("a")).agg(F.max("n").alias("top")).toPandas()  # at most A's vocabulary
@@ -286,12 +312,14 @@ def link_support(aligned: DataFrame, counts: DataFrame) -> DataFrame:
     rows = int(counts.agg(F.sum("n")).first()[0] or 0)
     common = counts.where(F.col("n") * COMMON >= rows).toPandas().sort_values("pair")  # at most COMMON pairs
     pair, n = common["pair"].to_numpy(np.int64), common["n"].to_numpy(np.int64)
-    names = ["row", "key", "n_best", "count_sum", "rare"]
+    extra = [name for name, _ in told_kinds]
+    names = ["row", "key", *extra, "n_best", "count_sum", "rare"]
     rare_kind = pa.list_(pa.struct([("pair", pa.int64()), ("links", pa.int64())]))
 
     def run(batches):
         for batch in _small(batches):
-            text, key, links = _linked(batch, 2)
+            columns = _columns(batch, 2)
+            text, key, links = _linked(columns)
             at = np.minimum(np.searchsorted(pair, key), max(0, len(pair) - 1))
             known = pair[at] == key if len(pair) else np.zeros(len(key), bool)
             count = n[at[known]]
@@ -300,17 +328,17 @@ def link_support(aligned: DataFrame, counts: DataFrame) -> DataFrame:
             np.add.at(exact, text[known], count * links[known])
             offsets = np.concatenate(([0], np.cumsum(np.bincount(text[~known], minlength=batch.num_rows)))).astype(np.int32)
             rare = pa.StructArray.from_arrays([pa.array(key[~known]), pa.array(links[~known])], ["pair", "links"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total(links[known] * (count == top[key[known] >> 32]))), pa.array(exact), pa.ListArray.from_arrays(pa.array(offsets), rare).cast(rare_kind)], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(told(columns) if told else ()), pa.array(total(links[known] * (count == top[key[known] >> 32]))), pa.array(exact), pa.ListArray.from_arrays(pa.array(offsets), rare).cast(rare_kind)], names)
 
     kind = aligned.schema["key"].dataType.simpleString()
-    held = written(aligned.select("row", "key", "a_ids", "b_ids", "a_sizes", "b_sizes").mapInArrow(run, f"row long, key {kind}, n_best long, count_sum long, rare array<struct<pair: long, links: long>>"), "links-held")
+    held = written(aligned.select("row", "key", "a_ids", "b_ids", "a_sizes", "b_sizes").mapInArrow(run, f"row long, key {kind}, {''.join(f'{c} {k}, ' for c, k in told_kinds)}n_best long, count_sum long, rare array<struct<pair: long, links: long>>"), "links-held")
     tops = counts.groupBy(a_of.alias("a")).agg(F.max("n").alias("top"))
     # rare pairs have less than 1 / COMMON of all rows each, so no key of this join is large
     few = counts.where(F.col("n") * COMMON < rows).join(F.broadcast(tops), a_of == F.col("a")).select("pair", "n", (F.col("n") == F.col("top")).cast("long").alias("best"))
     single = held.select("row", F.explode("rare").alias("r")).select("row", "r.pair", "r.links")
     more = single.join(few, "pair").groupBy("row").agg(F.sum(F.col("n") * F.col("links")).alias("sum"), F.sum(F.col("best") * F.col("links")).alias("best"))
     out = held.join(more, "row", "left")
-    return out.select("row", "key", (F.col("n_best") + F.coalesce("best", F.lit(0))).alias("n_best"), (F.col("count_sum") + F.coalesce("sum", F.lit(0))).alias("count_sum"))
+    return out.select("row", "key", *extra, (F.col("n_best") + F.coalesce("best", F.lit(0))).alias("n_best"), (F.col("count_sum") + F.coalesce("sum", F.lit(0))).alias("count_sum"))
 
 
 def spelled(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray, texts: np.ndarray) -> list[bytes]:
@@ -334,18 +362,16 @@ def spelled(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarr
 
 def alignment_report(docs: DataFrame, a: str | None = None, b: str | None = None, key: str = "doc_id") -> DataFrame:
     """key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row."""
-    aligned = written(alignments(docs, a, b, key), "alignments")
+    aligned = written(alignments(docs, a, b, key, packed=True), "alignments")
     counts = written(link_counts(aligned), "link-counts")
-    support = link_support(aligned, counts)
 
-    def digests(batches):
-        for batch in _small(batches):
-            ids, offsets = ([f(batch.column(k)) for k in (1, 2, 3, 4)] for f in (lambda x: x.flatten().to_numpy(zero_copy_only=False).astype(np.int64), lambda x: x.offsets.to_numpy().astype(np.int64)))
-            out = [hashlib.sha256(x).hexdigest() if x else "" for x in spelled(*ids, offsets[0] - offsets[0][0] + offsets[1] - offsets[1][0])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row", "groups_sha256"])
-
-    links = F.aggregate(F.zip_with("a_sizes", "b_sizes", lambda x, y: x.cast("long") * y), F.lit(0).cast("long"), lambda s, x: s + x)
-    sizes = aligned.select("row", *[F.size(c).cast("long").alias(n) for n, c in (("n_a", "a_ids"), ("n_b", "b_ids"), ("n_groups", "a_sizes"))], links.alias("n_links"))
-    spelt = aligned.select("row", "a_ids", "b_ids", "a_sizes", "b_sizes").mapInArrow(digests, "row long, groups_sha256 string")
-    out = support.join(sizes, "row").join(spelt, "row")
+    def described(columns):
+        ids = [x.astype(np.int64) for x, _ in columns]
+        spelt = [hashlib.sha256(x).hexdigest() if x else "" for x in spelled(*ids, columns[0][1] + columns[1][1])]
+        at_a, at_b, at = columns[0][1], columns[1][1], columns[2][1]
+        links = np.concatenate(([0], np.cumsum(ids[2] * ids[3])))
+        return [*(pa.array(np.diff(x)) for x in (at_a, at_b, at, links[at])), pa.array(spelt, pa.string())]
+
+    kinds = (("n_a", "long"), ("n_b", "long"), ("n_groups", "long"), ("n_links", "long"), ("groups_sha256", "string"))
+    out = link_support(aligned, counts, described, kinds)
     return out.select(F.col("key").alias(key), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
