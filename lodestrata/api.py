@@ -169,6 +169,10 @@ class Corpus:
     def usages(self) -> DataFrame:
         return tables.usages(self.symbols, self.files)
 
+    def usage_places(self, name: str) -> DataFrame:
+        """(name, used_in, line, times, class, function): where a name is used, and in what."""
+        return tables.usage_places(self.symbols, self.files, self.spans, self.dialect).where(F.col("name") == name)
+
     def users_of(self, name: str, kind: str, parent: str | None = None) -> DataFrame:
         return tables.users_of(self.symbols, self.usages, name, kind, parent)
 

@@ -105,6 +105,26 @@ def usages(symbols: DataFrame, files: DataFrame) -> DataFrame:
     return hit.groupBy("kind", "name", "def_path", "used_in").agg(F.sum("times").alias("times"))
 
 
+def usage_places(symbols: DataFrame, files: DataFrame, spans: DataFrame, dialect: str = "rs") -> DataFrame:
+    """(name, used_in, line, times, class, function) of every line that has a defined name as a whole word, other than a definition of it, with the class and the
+    innermost function or method around it.
+
+    spans: as ``symbol_spans`` gives them.  Uses meet names, not definitions, so a name that many files define makes no pairs.
+    """
+    from lodestrata.operators.lines import lines
+    from lodestrata.operators.spans import class_at, node_at
+
+    words = lines(files).select(F.col("path").alias("used_in"), "line", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z_$][\w$]*"), F.lit(0))).alias("name"))
+    words = words.groupBy("used_in", "line", "name").agg(F.count("*").alias("times"))
+    named = _named(symbols)
+    own = named.select(F.col("def_path").alias("used_in"), F.col("def_line").alias("line"), "name").distinct()
+    hit = words.join(named.select("name").distinct(), "name", "left_semi").join(own, ["used_in", "line", "name"], "left_anti")
+    cursors = hit.select(F.col("used_in").alias("path"), F.col("line").alias("at")).distinct()
+    inside = node_at(spans.where(F.col("kind").isin("function", "method")), cursors, dialect).select(F.col("path").alias("used_in"), F.col("at").alias("line"), F.col("name").alias("function"))
+    classes = class_at(spans.where("kind = 'class'").select("path", "name", "line", "line_end"), cursors).select(F.col("path").alias("used_in"), F.col("at").alias("line"), "class")
+    return hit.join(classes, ["used_in", "line"], "left").join(inside, ["used_in", "line"], "left").select("name", "used_in", "line", "times", "class", "function")
+
+
 def usage_counts(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """(kind, name, def_path, usage_count): how many files have the name on another line than the definition's.
 

@@ -18,11 +18,12 @@ from lodestrata.operators import l10n as T
 from lodestrata.operators import lexical as X
 from lodestrata.operators import lines as L
 from lodestrata.operators import substrings as U
-from lodestrata.operators.resolve import loose_targets
+from lodestrata.operators.resolve import loose_targets, resolve_calls
 from lodestrata.operators.stored_index import StoredIndex
 from lodestrata.parse import tables as P
 from lodestrata.plans.adapters import query, table
 from lodestrata.plans.search_queries import _DOCS, _bm25_sql, _docs, _top
+from lodestrata.plans.source_queries import _LONG, _PATH, _sources, _symbols
 from lodestrata.sources.shared import shared_dir, written
 
 # ---- a graph of orders: each leads to the customer's next one, an urgent one to the one after it too, and a pending one back by three
@@ -170,6 +171,43 @@ def inherited_calls(spark, sf_dir):
     return G.call_edges(P.of_kind(s, "call").select("path", "name", "receiver", F.col("parent").alias("caller_class"), "caller_function"), functions, classes)
 
 
+def _file(k: str) -> str:
+    return f"'lib/k' || {k} || '.dart'"
+
+
+@query(f"""WITH RECURSIVE up AS (SELECT p_partkey AS k, p_partkey AS a, 0 AS d FROM part UNION ALL SELECT k, a // 2, d + 1 FROM up WHERE a >= 2),
+    owner AS (SELECT k, arg_min(a, d) AS o FROM up JOIN part ON p_partkey = a WHERE p_size % 3 = 0 GROUP BY k),
+    c AS (SELECT p.p_partkey AS k, {_file('p.p_partkey')} AS path, mine.o AS mine, p.p_partkey // 3 AS third, its.o AS its FROM part p LEFT JOIN owner mine ON mine.k = p.p_partkey LEFT JOIN owner its ON its.k = p.p_partkey // 3)
+    SELECT path, 1 AS line, path || ':free' || k AS target, 'same_file' AS how FROM c
+    UNION ALL SELECT path, 2, {_file('mine')} || ':Part' || mine || '.run', CASE WHEN mine IS NOT NULL THEN 'method' END FROM c
+    UNION ALL SELECT path, 3, coalesce({_file('its')} || ':Part' || its || '.run', {_file('third')} || ':Part' || third), CASE WHEN its IS NULL THEN 'class' ELSE 'method' END FROM c
+    UNION ALL SELECT path, 4, {_file('k // 4')} || ':Part' || k // 4, 'class' FROM c
+    UNION ALL SELECT path, 5, {_file('mine')} || ':Part' || mine || '.run', CASE WHEN mine IS NOT NULL THEN 'method' END FROM c
+    UNION ALL SELECT path, 6, {_file('k - 1')} || ':free' || k - 1, 'import' FROM c WHERE k >= 1
+    UNION ALL SELECT path, 7, {_file('k // 5')} || ':Part' || k // 5, 'constructor' FROM c UNION ALL SELECT path, 8, {_file('k - 2')} || ':free' || k - 2, 'unique' FROM c WHERE k >= 2""")
+def call_strategies(spark, sf_dir):
+    """A call of each kind in the class of every part, by the strategy that resolves it."""
+    k, text = F.col("k"), lambda c: F.floor(c).cast("string")
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_size").withColumn("path", F.concat(F.lit("lib/k"), text(k), F.lit(".dart")))
+    named = lambda prefix, c: F.concat(F.lit(prefix), text(c))
+    none = F.lit(None).cast("string")
+    forms = [(named("free", k), none), (F.lit("run"), F.lit("this")), (F.lit("run"), named("part", k / 3)), (F.lit("make"), named("Part", k / 4)), (F.lit("run"), none), (F.when(k >= 1, named("free", k - 1)), none), (named("Part", k / 5), none), (F.when(k >= 2, named("free", k - 2)), none)]
+    calls = p.select("path", named("Part", k).alias("caller_class"), F.posexplode(F.array(*[F.struct(n.alias("name"), r.alias("receiver")) for n, r in forms])).alias("line", "c"))
+    calls = calls.select("path", (F.col("line") + 1).alias("line"), "c.name", "c.receiver", "caller_class").where("name is not null")
+    classes = p.select("path", named("Part", k).alias("name"), F.when(k >= 2, named("Part", k / 2)).alias("extends_class"), F.lit(None).cast("array<string>").alias("mixins"), F.lit(None).cast("array<string>").alias("implements"))
+    functions = p.select("path", named("free", k).alias("name"), none.alias("parent_class")).unionByName(p.where("p_size % 3 = 0").select("path", F.lit("run").alias("name"), named("Part", k).alias("parent_class")))
+    imported = p.where("k >= 1").select("path", F.concat(F.lit("lib/k"), text(k - 1), F.lit(".dart")).alias("target"))
+    return resolve_calls(calls, functions, classes.select("path", "name"), G.hierarchy(classes), imported).select("path", "line", "target", "how")
+
+
+@query(f"""WITH p AS (SELECT {_PATH} AS path, p_partkey AS k, p_size AS n, {_LONG} AS long FROM part)
+    SELECT 'helper' || n AS name, path AS used_in, 5 AS line, 1 AS times, 'Part' || k AS class, 'run' || n AS function FROM p
+    UNION ALL SELECT unnest(['c' || n, 'dispose']), path, 9, 1, 'Part' || k, 'dispose' FROM p WHERE long""")
+def usage_places(spark, sf_dir):
+    s, f = _symbols(spark, sf_dir), _sources(spark, sf_dir)
+    return P.usage_places(s, f, P.symbol_spans(s))
+
+
 @query("""SELECT 'Part' || p_partkey AS name, 'class' AS kind, 'lib/k' || p_partkey || '.dart' AS path, 1 AS line, 8 + CASE WHEN p_size % 3 = 0 THEN 2 ELSE 0 END AS line_end FROM part
     UNION ALL SELECT 'go', 'method', 'lib/k' || p_partkey || '.dart', 2, 8 FROM part""".replace("8 + CASE", "9 + CASE"))
 def code_block_ends(spark, sf_dir):

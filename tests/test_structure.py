@@ -436,3 +436,33 @@ def test_batches_of_translations(spark):
     assert {r["key"]: r["applied"] for r in report.collect()} == {"hi": True, "bye": True, "hi2": False, "bad key": False, "empty": False}
     with pytest.raises(ValueError, match="nothing was changed"):
         l10n.batch_applied(t, updates, t.limit(1))
+
+
+@pytest.mark.parametrize("dialect", ["ts", "rs"])
+def test_cycle_list_equals_a_depth_first_search(spark, dialect):
+    rng = random.Random(9)
+    pairs = sorted({(f"n{rng.randrange(12):02d}", f"n{rng.randrange(12):02d}") for _ in range(26)})
+    out, seen, found = collections.defaultdict(list), set(), []
+    for a, b in pairs:
+        if dialect == "rs" or a != b:
+            out[a].append(b)
+
+    def visit(node, path):
+        seen.add(node)
+        for x in out[node]:
+            if x in path:
+                found.append([*path[path.index(x) :], x])
+            elif x not in seen:
+                visit(x, [*path, x])
+
+    for a in sorted(out):
+        if a not in seen:
+            visit(a, [a])
+    if dialect == "ts":
+        turned = {}
+        for c in found:
+            k = c.index(min(c[:-1]))
+            turned.setdefault(tuple(c[k:-1] + c[:k]), c)
+        found = sorted(turned.values(), key=len)
+    got = [(r["cycle"], r["nodes"]) for r in graph.cycle_list(spark.createDataFrame(pairs, "src string, dst string"), dialect).orderBy("cycle").collect()]
+    assert got == list(enumerate(found)) and len(found) > 3
