@@ -16,8 +16,8 @@ A document is the set of its distinct four-word shingles; two link at a Jaccard
 
 Which pairs are tried: first each class against the most central member of its ``STARS`` most common buckets; then, for as long as such rounds join many,
 members outside the main class of a bucket against one member of it and one of the others, drawn by hash, in ``DRAWS`` of their buckets each; then those against
-all others of their bucket, each pair in the least bucket that both have.  Buckets of more than ``HOT`` members would make too many of
-these pairs; their members meet by single shingles instead, by a prefix filter, which is exact: ordered by how few of these members hold
+all others of their bucket, each pair in the least bucket that both have.  Buckets with more than ``PAIRS`` of
+these pairs would grow as a product; their members meet by single shingles instead, by a prefix filter, which is exact: ordered by how few of these members hold
 them, linked sets of n shingles have one in common among the first n - ceil(4n/5) + 1.  A passage that very many documents share comes last in that order, so it
 brings only those together that consist of it.  There is no cap on buckets, partners or candidates.
 
@@ -46,8 +46,8 @@ NUM, DEN, WIDTH = 4, 5, 4
 SAMPLES, ROWS = 256, 4
 BANDS, SHARED = SAMPLES // ROWS, 6
 BITS, CUT = 512, 150
-#: Members from which on a bucket of several classes is looked up by shingles; ids that may be broadcast, and the share that makes a key common.
-HOT, BROADCAST_IDS, COMMON = 64, 1 << 20, 1 << 16
+#: Pairs of members outside the main class with others beyond which a bucket is looked up by shingles; ids that may be broadcast, and the share that makes a key common.
+PAIRS, BROADCAST_IDS, COMMON = 1 << 14, 1 << 20, 1 << 16
 #: Buckets of a class in the first round, rounds of drawn members at most, buckets of a member in each, and keys of a node that tell where a pair is made.
 STARS, ROUNDS, DRAWS, KEYS = 4, 3, 2, 64
 ODD, FOLDED = [f"k{i}" for i in range(BITS // 64)], [f"s{i}" for i in range(BITS // 64)]
@@ -203,10 +203,10 @@ def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def mixed(entries: DataFrame, label: DataFrame) -> DataFrame:
-    """Entries (key, node), with their class, of keys under which several classes meet, with the largest class (main) and the members of the key."""
+    """Entries (key, node), with their class, of keys under which several classes meet, with the largest class (main) and how many pairs of a member outside it and any other the key has."""
     rows = entries.select("key", "node").join(label, "node")
-    main = rows.groupBy("key", "class").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "class")).getField("class").alias("main"), F.count("*").alias("some"), F.sum("k").alias("members"))
-    return rows.join(main.where("some > 1").drop("some"), "key")
+    main = rows.groupBy("key", "class").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "class")).alias("top"), F.count("*").alias("some"), F.sum("k").alias("members")).where("some > 1")
+    return rows.join(main.select("key", F.col("top.class").alias("main"), ((F.col("members") - F.col("top.k")) * F.col("members")).alias("pairs")), "key")
 
 
 def drawn(rows: DataFrame, turn: int) -> DataFrame:
@@ -277,8 +277,8 @@ def linked_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
             dropped(before)
         if 10 * linked < asked or not asked:
             break
-    pairs = [unlike(met.where(F.col("members") <= HOT), nodes)]
-    hot = written(met.where(F.col("members") > HOT).select("node").distinct(), "hot")
+    pairs = [unlike(met.where(F.col("pairs") <= PAIRS), nodes)]
+    hot = written(met.where(F.col("pairs") > PAIRS).select("node").distinct(), "hot")
     if not hot.isEmpty():
         by_shingle = written(prefix_entries(blobs, hot), "prefixes")
         pairs.append(unlike(mixed(by_shingle, label), nodes))

@@ -238,9 +238,9 @@ def _near_texts(seed, groups, words, spread):
     return texts
 
 
-@pytest.mark.parametrize(("hot", "seed"), [(64, 1), (2, 2), (2, 3)])
-def test_odd_sketch_classes_equal_brute_force(spark, monkeypatch, odd, hot, seed):
-    monkeypatch.setattr(odd_minhash, "HOT", hot)
+@pytest.mark.parametrize(("most", "seed"), [(1 << 14, 1), (1, 2), (1, 3)])
+def test_odd_sketch_classes_equal_brute_force(spark, monkeypatch, odd, most, seed):
+    monkeypatch.setattr(odd_minhash, "PAIRS", most)
     rows = list(enumerate(_near_texts(seed, 150, 4000, 45)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(odd.select("doc_id", "text"))
     got = odd_minhash.near_duplicates(docs)
@@ -251,7 +251,7 @@ def test_odd_sketch_classes_equal_brute_force(spark, monkeypatch, odd, hot, seed
 
 def test_a_template_in_every_document(spark, monkeypatch):
     """Most of each document is the same passage, so every band's buckets are large; few of them link."""
-    monkeypatch.setattr(odd_minhash, "HOT", 4)
+    monkeypatch.setattr(odd_minhash, "PAIRS", 4)
     rng = random.Random(9)
     passage = " ".join(f"p{k}" for k in range(70))
     rows = [(k, f"{passage} " + " ".join(f"v{rng.randrange(10 ** 6)}" for _ in range(rng.choice([2, 12, 30])))) for k in range(150)]
