@@ -479,8 +479,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     again = written(many.groupBy("doc_id", "_text").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("_text").alias("_of")), "again")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_of"))
     some = gone.count()
-    left = docs.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit("")))).join(F.broadcast(gone) if some <= BROADCAST_IDS else gone, same, "left_anti")
-    if again.isEmpty():
-        return left.select(*docs.columns)
-    twice = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "_text"])
-    return left.join(again, same, "left_anti").unionByName(twice).select(*docs.columns)
+    # the row is one column, so that none of its names meets those of the join
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"))
+    left = rows.join(F.broadcast(gone) if some <= BROADCAST_IDS else gone, same, "left_anti")
+    if not again.isEmpty():
+        twice = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "_text"])
+        left = left.join(again, same, "left_anti").unionByName(twice)
+    return left.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -5,7 +5,9 @@ is an instance as a whole, and so is each identifier-like token or spaced group
 none.  The last one, two and three words in front of instances are lexical patterns, and a graph joins
 patterns with the values of the instances that stand behind them.  Scores pass between both sides for a few rounds: a
 pattern is as trustworthy as its instances, an instance as the patterns that name it (of patterns that end in the same word, the best one).  Patterns of
-high confidence and support then yield the identifiers behind them that no form has caught.  Long
+high confidence and support then yield the identifiers behind them that no form has caught, but only where the pattern's words tell something: of all
+places in the corpus where these words stand, at least the share ``LEAST_RATE`` must have an instance behind them, or else a common word in front of a few
+entities would make identifiers of any number behind it.  Long
 hexadecimal keys seed the kind ``secret``, which has no base form.
 
 Spans are half-open ranges of code points.  The forms are written so that Java's matcher needs no
@@ -44,6 +46,8 @@ _GROUP = rf"[0-9]++(?:[.-][0-9]++)*+(?![._@/+-]*+{_TOKEN.replace('._@/+-', '_@')
 SPACED = rf"(?<!{_TOKEN})[+(]{{0,2}}+{_GROUP}(?:(?:\)[\x20-]?|\x20\(?){_GROUP})++"
 #: Words of a pattern at most, rounds of scoring, and what a pattern needs to be believed.
 CONTEXT_WORDS, ROUNDS, LEAST_SEEDS, CONFIDENCE = 3, 3, 3, 0.7
+#: Of the places where a pattern's words stand, the least share with an instance behind them.
+LEAST_RATE = 0.1
 #: Least length of what is no base entity, and characters in front of an instance that hold its context.
 LEAST_LENGTH, CONTEXT_CHARS = 6, 48
 SECRET_LENGTH = 32
@@ -209,10 +213,44 @@ def _small(side: DataFrame) -> DataFrame:
     return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
 
 
-def trusted_patterns(scan: DataFrame) -> DataFrame:
-    """pattern, kind, confidence of the patterns that the graph of patterns and instances supports."""
+def occurrences(docs: DataFrame, contexts: DataFrame) -> DataFrame:
+    """context, places: how often the words of contexts (whole words, each with a space behind it) stand in all texts.
+
+    Only places of the contexts' last words are made rows of one to CONTEXT_WORDS words; they are counted partially before the shuffle.
+    """
+    words = F.split(F.regexp_replace(F.lower("text"), r"\s+", " "), " ")
+    ahead = [F.concat(F.array_repeat(F.lit(""), k), F.col("words")) for k in range(CONTEXT_WORDS)]
+    rows = docs.where("text is not null").select(words.alias("words")).select(F.explode(F.arrays_zip(*[a.alias(f"w{k}") for k, a in enumerate(ahead)])).alias("w")).select("w.*").where("w0 is not null and w0 != ''")
+    ends = contexts.select(F.element_at(F.split(F.rtrim("context"), " "), -1).alias("w0")).distinct()
+    rows = rows.join(_small(written(ends, "last-words")), "w0", "left_semi")
+    grams, said = [], F.lit("")
+    for k in range(CONTEXT_WORDS):
+        said = F.concat(F.col(f"w{k}"), F.lit(" "), said)
+        grams.append(F.when(F.col(f"w{k}") != "", said))
+    grams = rows.select(F.explode(F.array_compact(F.array(*grams))).alias("context")).groupBy("context").agg(F.count("*").alias("places"))
+    return grams.join(_small(contexts), "context", "left_semi")
+
+
+def telling(trust: DataFrame, times: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the patterns (pattern, ...) whose words are followed by an instance often enough; ``times``: pattern, times.
+
+    A pattern that ends within a word, as at a quote, stands right in front of its values and needs no such test.
+    """
+    context = F.regexp_replace("pattern", r"^\S+ ", "")
+    trust = written(trust.join(times, "pattern").withColumn("context", context), "trusted")
+    whole = trust.where("context like '% '")
+    if whole.isEmpty():
+        return trust.drop("times", "context")
+    known = written(occurrences(docs, written(whole.select("context").distinct(), "contexts")), "occurrences")
+    rated = trust.join(_small(known), "context", "left").where(f"context not like '% ' or places is null or times >= {LEAST_RATE} * places")
+    return rated.drop("times", "context", "places")
+
+
+def trusted_patterns(scan: DataFrame, docs: DataFrame) -> DataFrame:
+    """pattern, kind, confidence of the patterns that the graph of patterns and instances supports and whose words tell something."""
     rows = scan.where(F.size("candidates") > 0).select(F.explode("candidates").alias("c")).select(F.explode("c.patterns").alias("pattern"), "c.v", "c.seed")
-    edges = written(rows.groupBy("pattern", "v").agg(F.max("seed").alias("seed")), "pattern-instances")
+    edges = written(rows.groupBy("pattern", "v").agg(F.max("seed").alias("seed"), F.count("*").alias("times")), "pattern-instances")
+    times = edges.groupBy("pattern").agg(F.sum("times").alias("times"))
     # only patterns that seeds induce can gain confidence
     induced = edges.where("seed is not null").groupBy("pattern").agg(F.count("*").alias("seeds"), F.mode("seed", deterministic=True).alias("kind")).where(F.col("seeds") >= LEAST_SEEDS)
     # patterns of the same last word tell the same of a value, so the best of them counts
@@ -226,24 +264,24 @@ def trusted_patterns(scan: DataFrame) -> DataFrame:
         named = edges.join(_small(trust.select("pattern", "confidence")), "pattern").groupBy("v", "root").agg(F.max(F.col("seed").isNotNull()).alias("sure"), F.max("confidence").alias("confidence"))
         named = named.groupBy("v").agg(F.max("sure").alias("sure"), (1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("named"))
         score = named.select("v", F.when(F.col("sure"), 1.0).otherwise(F.col("named")).alias("score"))
-    return trust.where(F.col("confidence") >= CONFIDENCE).select("pattern", "kind", "confidence")
+    return telling(trust.where(F.col("confidence") >= CONFIDENCE).select("pattern", "kind", "confidence"), times, docs)
 
 
-def found_spans(scan: DataFrame) -> DataFrame:
+def found_spans(scan: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id, digest, found: what trusted patterns yield beyond the base spans."""
     rows = scan.where(F.size("candidates") > 0).select("doc_id", "digest", F.explode("candidates").alias("c")).where("not c.base")
     rows = rows.select("doc_id", "digest", "c.s", "c.e", F.explode("c.patterns").alias("pattern"))
     # the kind is that of the most trusted pattern, of equal ones the longest
     by = F.struct(F.round("confidence", 9), F.char_length("pattern"), "pattern")
-    got = rows.join(_small(trusted_patterns(scan)), "pattern").groupBy("doc_id", "digest", "s", "e").agg(F.max_by("kind", by).alias("kind"))
+    got = rows.join(_small(trusted_patterns(scan, docs)), "pattern").groupBy("doc_id", "digest", "s", "e").agg(F.max_by("kind", by).alias("kind"))
     span = F.struct(F.col("s"), F.lit(len(KINDS)).alias("k"), F.when(F.col("kind") == "secret", "secret").otherwise(F.concat(F.lit("ctx_"), F.col("kind"))).alias("kind"), F.col("e"))
     spans = got.groupBy("doc_id", "digest").agg(F.collect_set(span).alias("all"))
     return spans.select("doc_id", "digest", F.array_sort(outer(F.col("all"))).alias("found"))
 
 
-def _with_found(rows: DataFrame, scan: DataFrame) -> DataFrame:
+def _with_found(rows: DataFrame, scan: DataFrame, docs: DataFrame) -> DataFrame:
     """rows (doc_id, digest, ...) with their found spans; few found rows are sent to all, many are shuffled."""
-    found = written(found_spans(scan).withColumnsRenamed({"doc_id": "f_id", "digest": "f_digest"}), "found-spans")
+    found = written(found_spans(scan, docs).withColumnsRenamed({"doc_id": "f_id", "digest": "f_digest"}), "found-spans")
     side = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
     on = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("digest") == F.col("f_digest"))
     nothing = F.array().cast("array<struct<s:int,k:int,kind:string,e:int>>")
@@ -253,7 +291,7 @@ def _with_found(rows: DataFrame, scan: DataFrame) -> DataFrame:
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256, spans (base and found), n_found of every row."""
     scan = written(scanned(docs), "scanned")
-    rows = _with_found(scan.drop("candidates"), scan)
+    rows = _with_found(scan.drop("candidates"), scan, docs)
     return rows.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.array_sort(F.concat("base", "found"))).alias("spans"), F.size("found").cast("long").alias("n_found"))
 
 
@@ -263,7 +301,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("row"), "doc_id", text.alias("whole"), F.xxhash64(text).alias("digest"), blocks(text).alias("parts"))
     rows = rows.select("row", "doc_id", "digest", "parts", F.concat(*[_tagged(base_spans(F.col("whole"), F.col("parts"), k), k) for k in KINDS]).alias("base"))
-    rows = _with_found(rows, scan).select("row", "parts", F.array_sort(F.concat("base", "found")).alias("spans"))
+    rows = _with_found(rows, scan, docs).select("row", "parts", F.array_sort(F.concat("base", "found")).alias("spans"))
     text, parts = F.col("row.text"), F.col("parts")
     # of spans that overlap the first one gives the name; what is left of the text runs from the furthest end so far
     ends = running(F.col("spans"), lambda x: x["e"], lambda a, b: F.greatest(a, b), F.lit(0))

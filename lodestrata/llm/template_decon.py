@@ -29,6 +29,8 @@ tables give no matches.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -280,7 +282,7 @@ def _window_hashes(rows: DataFrame, widths: list[int], short: bool) -> DataFrame
 
 
 def _by_join(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """contaminated_spans() by an equi-join of window hashes, with ``_text`` (a hash of the text); for any size of the benchmark."""
+    """contaminated_spans() by an equi-join of window hashes, with ``_text`` (the text's SHA-256); for any size of the benchmark."""
     schema, names = _schemas(docs, benchmark)
     items = written(_items(benchmark).withColumn("key", F.monotonically_increasing_id()), "items")
     texts = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("key"))
@@ -298,12 +300,12 @@ def _by_join(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     if len(made) >= 512:
                         made.clear()
                     made[i, t] = Block([(i, t)])
-                rows += [(batch.column(0)[k].as_py(), i, *r[2:], batch.column(4)[k].as_py()) for r in _spans(made[i, t], buf[offs[k] : offs[k + 1]], np.array([0, offs[k + 1] - offs[k]]))]
+                rows += [(batch.column(0)[k].as_py(), i, *r[2:], hashlib.sha256(buf[offs[k] : offs[k + 1]].tobytes()).hexdigest()) for r in _spans(made[i, t], buf[offs[k] : offs[k + 1]], np.array([0, offs[k + 1] - offs[k]]))]
             if rows:
                 plain = _batch([r[:-1] for r in rows], batch.schema.field(0).type, batch.schema.field(2).type, names)
-                yield pa.RecordBatch.from_arrays([*plain.columns, pa.array([r[-1] for r in rows], pa.int64())], [*names, "_text"])
+                yield pa.RecordBatch.from_arrays([*plain.columns, pa.array([r[-1] for r in rows], pa.string())], [*names, "_text"])
 
-    return pairs.select("doc_id", "text", "item_id", "item_text", "key").mapInArrow(run, f"{schema}, _text long")
+    return pairs.select("doc_id", "text", "item_id", "item_text").mapInArrow(run, f"{schema}, _text string")
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -330,8 +332,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows, with all their columns, in which no run of a benchmark item is confirmed."""
     at, block = docs.columns.index("text"), whole(benchmark)
     if block is None:
-        found = _by_join(docs, benchmark).select(F.col("_text")).distinct()
-        return docs.withColumn("_text", F.xxhash64("text")).join(found, "_text", "left_anti").select(*docs.columns)
+        found = _by_join(docs, benchmark).select("_text").distinct()
+        rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("row"), F.sha2("text", 256).alias("_text"))
+        return rows.join(found, "_text", "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
     def run(batches):
         for batch in batches:

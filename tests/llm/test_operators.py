@@ -191,6 +191,27 @@ def test_whole_base_entities_seed_patterns(spark):
     assert out[40]["n_found"] == 0 and out[10]["n_card"] == 1 and out[20]["spans"] == "phone:19:36"
 
 
+def test_common_words_tell_nothing(spark):
+    """Entities behind a word that stands before everything make no identifiers of other numbers behind it; a telling word does."""
+    cards = ["4111111111111111", "5555555555554444", "4012888888881881", "3530111333300000"]
+    rows = [(i, f"the {c} was noted and the man saw the house near the old mill of the town") for i, c in enumerate(cards)]
+    rows += [(10 + i, "the cat and the dog ran over the hill to the sea and the sun set") for i in range(20)]
+    rows += [(20 + i, f"pay by visacard {c} please") for i, c in enumerate(cards)]
+    rows += [(40, "the 4111111111111112 was a number"), (41, "pay by visacard 4111111111111113 please"), (42, "visacard 1234567890123456 once more")]
+    out = {r["doc_id"]: r["spans"] for r in pii_bootstrap.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[40] == "" and out[0] == "card:4:20"
+    assert out[41] == "ctx_card:16:32" and out[42] == "ctx_card:9:25"
+
+
+def test_occurrences_of_contexts(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["the", "a", "of", "Card", "at", "|"]) for _ in range(rng.randrange(30))).replace(" of", "\n of") for _ in range(40)] + [None, ""]
+    contexts = ["the ", "of the ", "card at the ", "| ", "never "]
+    got = {r["context"]: r["places"] for r in pii_bootstrap.occurrences(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(c,) for c in contexts], "context string")).collect()}
+    want = collections.Counter(c for t in texts for w in [re.sub(r"\s+", " ", (t or "").lower()).split(" ")] for i in range(len(w)) for c in contexts if (n := c.split()) == w[max(0, i - len(n) + 1) : i + 1])
+    assert got == want
+
+
 def test_redaction_keeps_columns(spark, odd, none):
     out = pii_bootstrap.redacted(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
@@ -456,6 +477,23 @@ def test_one_of_each_loses_no_text(spark, odd):
     assert sorted(r["doc_id"] or 0 for r in parity_join.one_of_each(odd).collect()) == [0, 1, 2, 3, 4, 5, 7, 8]
 
 
+def test_stages_keep_columns_of_any_name(spark, sf, monkeypatch):
+    """Columns named as the joins' own are handed on untouched."""
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    names = ["_text", "_id", "_of", "class", "key", "item", "h", "row", "sid", "node", "n"]
+    rows = [(1, a), (2, a), (3, b), (3, b), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.concat(F.lit(f"{n} of "), F.col("doc_id").cast("string")).alias(n) for n in names])
+    once = parity_join.one_of_each(df)
+    assert once.columns == df.columns and collections.Counter(map(tuple, once.collect())) == collections.Counter(map(tuple, df.where("doc_id in (1, 4)").union(df.where("doc_id = 3").limit(1)).collect()))
+    bench = spark.createDataFrame([(900, "What is the name of the longest river")], "item_id long, text string")
+    some = df.union(df.where("doc_id = 4").withColumn("doc_id", F.lit(5).cast("long")).withColumn("text", F.lit("and What is the name of the longest river and more")))
+    for size in (template_decon.BLOCK_WINDOWS, 1):
+        monkeypatch.setattr(template_decon, "BLOCK_WINDOWS", size)
+        left = template_decon.decontaminated(some, bench)
+        assert left.columns == df.columns and collections.Counter(map(tuple, left.collect())) == collections.Counter(map(tuple, df.collect()))
+    assert collections.Counter(map(tuple, pii_bootstrap.redacted(df).collect())) == collections.Counter(map(tuple, df.collect()))
+
+
 def test_parity_sketch_bounds_the_difference():
     np = parity_join.np
     rng = np.random.default_rng(1)
