@@ -24,6 +24,7 @@ from lodestrata.parse import tables as P
 from lodestrata.plans.adapters import query, table
 from lodestrata.plans.search_queries import _DOCS, _bm25_sql, _docs, _top
 from lodestrata.plans.source_queries import _LONG, _PATH, _sources, _symbols
+from lodestrata.sources import packages as Pk
 from lodestrata.sources.shared import shared_dir, written
 
 # ---- a graph of orders: each leads to the customer's next one, an urgent one to the one after it too, and a pending one back by three
@@ -304,3 +305,15 @@ def undeclared_placeholders(spark, sf_dir):
     SELECT key, value, CASE WHEN c % 2 = 0 THEN 'about ' || key END AS description, CASE WHEN c % 2 = 0 THEN 'a' END AS placeholders, string_agg(locale, ',' ORDER BY locale) AS locales FROM gaps GROUP BY key, value, c""")
 def missing_entries(spark, sf_dir):
     return T.missing_entries(_locale_files(spark, sf_dir))
+
+
+# ---- package lists
+@query("SELECT 'pkg_' || p_partkey AS name, '1.' || p_size || '.0' AS version, 'hosted' AS source, 'transitive' AS dependency_type FROM part WHERE p_size % 3 = 1 AND p_partkey % 2 = 0")
+def package_filter(spark, sf_dir):
+    """Transitive packages of one source, of a lock file for each part."""
+    kind = F.element_at(F.array(*map(F.lit, ("direct main", "transitive", "direct dev"))), (F.col("p_size") % 3 + 1).cast("int"))
+    source = F.when(F.col("p_partkey") % 2 == 0, "hosted").otherwise("git")
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    content = F.concat(F.lit("packages:\n  pkg_"), key, F.lit(':\n    dependency: "'), kind, F.lit('"\n    source: '), source, F.lit('\n    version: "1.'), size, F.lit('.0"\nsdks:\n  dart: "3"\n'))
+    files = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), key, F.lit("/pubspec.lock")).alias("path"), content.alias("content"))
+    return Pk.packages_where(Pk.pubspec_lock(files), "transitive", "hosted")

@@ -9,6 +9,8 @@ from lodestrata.functions.paths import CODE_EXTENSIONS, excluded, extension
 
 SKIPPED_FOLDERS = ("node_modules", "build", "target")
 LOCALE_DEPTH = 8
+# fixed values: further folders that hold no locale files of the project
+NO_LOCALES = ("ios", "android", "macos", "windows", "linux", "Pods", "out", "dist")
 
 
 def _hidden(path: Column) -> Column:
@@ -37,7 +39,9 @@ def _quoted(s: str) -> str:
 
 
 def locale_files(spark: SparkSession, root: str) -> DataFrame:
-    return scan(spark, root, (), glob="*.arb").where(F.size(F.split("path", "/")) <= LOCALE_DEPTH)
+    """Locale files below a root, to a depth, outside hidden, build and platform folders."""
+    parts = F.split("path", "/")
+    return scan(spark, root, (), glob="*.arb").where((F.size(parts) <= LOCALE_DEPTH) & ~F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*map(F.lit, NO_LOCALES))))
 
 
 def project_mode(paths: DataFrame, dialect: str = "rs") -> str:

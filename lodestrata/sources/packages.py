@@ -84,6 +84,19 @@ def read_package_uri(config: DataFrame, files: DataFrame, uri: str) -> DataFrame
     return files.join(F.broadcast(config.where(F.col("name") == name).select(F.concat(root, F.lit("/" + rest)).alias("path"))), "path", "left_semi")
 
 
+def packages_where(packages: DataFrame, dependency_type: str | None = None, source: str | None = None) -> DataFrame:
+    """Packages of a type of dependency and a source, where these are named."""
+    for column, want in (("dependency_type", dependency_type), ("source", source)):
+        packages = packages.where(F.col(column) == want) if want else packages
+    return packages
+
+
+def read_package_source(config: DataFrame, files: DataFrame, uri: str, start: int = 1, count: int = 100) -> DataFrame:
+    """(path, line, text): lines of the file that a package: URI names, from ``start`` on."""
+    rows = lines(read_package_uri(config, files, uri))
+    return rows.where(F.col("line").between(max(1, start), max(1, start) + count - 1)).orderBy("line")
+
+
 def manifest_warnings(packages: DataFrame) -> DataFrame:
     """(name, warning) of dependencies without a version bound."""
     return packages.where("version is null or version in ('any', '*', 'latest')").select("name", F.lit("unbounded version").alias("warning"))

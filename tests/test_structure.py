@@ -466,3 +466,15 @@ def test_cycle_list_equals_a_depth_first_search(spark, dialect):
         found = sorted(turned.values(), key=len)
     got = [(r["cycle"], r["nodes"]) for r in graph.cycle_list(spark.createDataFrame(pairs, "src string, dst string"), dialect).orderBy("cycle").collect()]
     assert got == list(enumerate(found)) and len(found) > 3
+
+
+def test_package_filters_and_slices(spark):
+    from lodestrata.sources import packages
+
+    p = spark.createDataFrame([("a", "1", "hosted", "direct main"), ("b", "1", "git", "direct main"), ("c", "1", "hosted", "transitive")], "name string, version string, source string, dependency_type string")
+    names = lambda *how: sorted(r["name"] for r in packages.packages_where(p, *how).collect())
+    assert names() == ["a", "b", "c"] and names("direct main") == ["a", "b"] and names(None, "hosted") == ["a", "c"] and names("direct main", "hosted") == ["a"]
+    config = spark.createDataFrame([("http", "/cache/http/lib/")], "name string, root string")
+    files = spark.createDataFrame([("/cache/http/lib/src/a.dart", "one\ntwo\nthree\nfour\n"), ("/cache/other/lib/src/a.dart", "no")], "path string, content string")
+    got = packages.read_package_source(config, files, "package:http/src/a.dart", 2, 2)
+    assert [(r["line"], r["text"]) for r in got.collect()] == [(2, "two"), (3, "three")]
