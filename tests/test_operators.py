@@ -265,7 +265,7 @@ def test_edits(spark):
 
 # ---- sources
 def test_file_scan(spark, tmp_path):
-    for p, c in (("lib/a.dart", "class A {}"), ("lib/x.g.dart", "gen"), ("build/b.dart", "no"), (".git/c.dart", "no"), ("l10n/app_en.arb", "{}"), ("ios/l10n/app_de.arb", "{}"), ("node_modules/x/app_fr.arb", "{}"), ("lib/out/app_it.arb", "{}"), ("pubspec.yaml", "name: x"), ("readme.md", "# x")):
+    for p, c in (("lib/a.dart", "class A {}"), ("lib/x.g.dart", "gen"), ("build/b.dart", "no"), (".git/c.dart", "no"), ("l10n/app_en.arb", "{}"), ("ios/l10n/app_de.arb", "{}"), ("node_modules/x/app_fr.arb", "{}"), ("out/app_it.arb", "{}"), ("pubspec.yaml", "name: x"), ("readme.md", "# x")):
         f = tmp_path / "proj" / p
         f.parent.mkdir(parents=True, exist_ok=True)
         f.write_text(c)
