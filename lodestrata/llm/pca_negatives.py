@@ -11,9 +11,9 @@ A vector's components are quantised to whole numbers; a score is the inner produ
 
 The first pass finds each anchor's positives: its best rows of the same label.  The second finds for each of them the best
 rows of other labels within a window of scores given as shares of the positive's score.  Rows lie in blocks in the order of their labels, anchors in
-blocks of their own; every block of anchors is sent to each of a number of bins and meets the blocks of rows there, so a task
-holds one block of each, whatever the number of rows or the share of one label.  A task keeps the best of each anchor over all its
-blocks, and their scores raise the bar for its next blocks.
+blocks of their own; every block of anchors is sent to each of a number of bins, at most one for each block of rows, and meets the blocks of rows there by
+a shuffle, so no process holds all anchors, whatever the number of rows or the share of one label.  A task takes one block of anchors after the
+other through the blocks of its bin and keeps the best of each anchor; their scores raise the bar for its next blocks.
 
 Defined results: rows with a null id, label or vector, or with a null or non-finite component, take no part; ids, where several rows
 have one, are not told apart, and each row counts by itself ("other" rows are those of another id); missing components of a shorter
@@ -96,8 +96,8 @@ def moments(blocks: DataFrame, width: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total.ravel())], ["i", "j", "x"])
 
     out = np.zeros((width, width))
-    for r in blocks.select("q").mapInArrow(run, "i long, j long, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect():
-        out[r["i"], r["j"]] = r["x"]
+    sums = blocks.select("q").mapInArrow(run, "i long, j long, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).toArrow()
+    out[sums["i"].to_numpy(), sums["j"].to_numpy()] = sums["x"].to_numpy()
     return out
 
 
@@ -255,11 +255,14 @@ def _side(batch, k: int, prefix: str, axes, ends) -> Side:
 
 
 def _met(anchors: DataFrame, blocks: DataFrame, bins: int, same: bool) -> DataFrame:
-    """Blocks of anchors (columns a_) and of rows (x_) that meet; with ``same`` only where their labels overlap."""
+    """Blocks of anchors (columns a_) and of rows (x_) that meet; with ``same`` only where their labels overlap.
+
+    By a shuffle on the bin in any case: the written anchors look small enough for a broadcast, which would hold them once for each bin.
+    """
     left = anchors.select(*[F.col(c).alias(f"a_{c}") for c in anchors.columns], F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     right = blocks.select(*[F.col(c).alias(f"x_{c}") for c in blocks.columns], F.pmod(F.hash("block"), F.lit(bins)).alias("bin"))
     overlap = (F.col("a_lo") <= F.col("x_hi")) & (F.col("x_lo") <= F.col("a_hi"))
-    met = right.join(left, "bin")
+    met = left.repartition(bins, "bin").hint("merge").join(right.repartition(bins, "bin"), "bin")
     return met.where(overlap) if same else met
 
 
@@ -343,13 +346,13 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, positives_each: int = 5,
     # like labels lie together, whatever their share
     blocks = written(_packed(taken.repartitionByRange(F.col("label"), F.col("id")).sortWithinPartitions("label", "id"), width, scale), "vectors")
     axes = rotation(moments(blocks, width))
-    bins = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bins = max(1, min(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), blocks.count()))
     anchors = written(_anchor_blocks(taken.where(is_anchor), width, scale), "anchors")
     found = written(positives(anchors, blocks, axes, bins, positives_each), "positives")
     scores = found.groupBy("block").agg(F.collect_list(F.struct("place", "rank", "positive_score")).alias("scores"))
-    asked = anchors.join(scores, "block")
+    asked = anchors.join(scores.hint("merge"), "block")
     got = written(negatives(asked, blocks, axes, bins, negatives_each, positives_each, low, high), "negatives")
-    out = got.withColumn("rank", F.col("slot") + 1).join(found, ["block", "place", "rank"])
+    out = got.withColumn("rank", F.col("slot") + 1).join(found.hint("merge"), ["block", "place", "rank"])
     out = written(out.select("anchor_id", "positive_id", F.col("negative_rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score"), "hard-negatives")
     dropped(blocks, anchors, found, got)
     return out

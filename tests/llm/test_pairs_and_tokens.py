@@ -147,6 +147,16 @@ def test_negatives_equal_brute_force(spark, monkeypatch, ties):
     assert collections.Counter(map(tuple, got.collect())) == _plain_negatives(rows, 10)
 
 
+def test_anchors_meet_rows_by_a_shuffle(spark):
+    """Written blocks look small enough for a broadcast, which would hold the anchors once for each bin in the driver."""
+    rows = spark.createDataFrame([(k, k % 3, [float(k), 1.0]) for k in range(100)], "id long, label long, vector array<double>")
+    blocks = pca_negatives.written(pca_negatives._packed(rows, 2, 1.0), "vectors")
+    for same in (True, False):
+        met = pca_negatives._met(blocks, blocks, 4, same)
+        assert met.count() == blocks.count() ** 2
+        assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+
+
 def test_negatives_of_odd_rows(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(0, 1, [0.5, 0.5]), (10, 1, [0.5, 0.4]), (10, 1, [0.5, 0.4]), (3, 2, [0.3, 0.3]), (4, 2, [0.3, 0.3]), (5, 2, [0.4, 0.2]), (6, 2, [0.3]), (7, None, [0.3, 0.3]), (8, 2, None), (9, 2, [0.3, None]), (11, 2, [nan, 0.3]), (12, 2, [inf, 0.3]), (None, 2, [0.3, 0.3]), (20, 9, [-0.5, -0.5]), (13, 2, [])]
