@@ -114,8 +114,7 @@ def usage_counts(spark, sf_dir):
 
 @query(f"SELECT {_PATH.replace('p_partkey', 'a.p_partkey')} AS def_path, {_PATH.replace('p_partkey', 'b.p_partkey')} AS used_in, CASE WHEN a.p_partkey = b.p_partkey THEN 1 ELSE 2 END AS times FROM part a JOIN part b ON a.p_size = 7 AND b.p_size = 7")
 def element_users(spark, sf_dir):
-    s = _symbols(spark, sf_dir)
-    return P.users_of(s, P.usages(s, _sources(spark, sf_dir)), "helper7", "function")
+    return P.users_in(_symbols(spark, sf_dir), _sources(spark, sf_dir), "helper7", "function")
 
 
 @query(f"""WITH RECURSIVE {TRADE}, reach AS (SELECT 'NATION_5' AS node, 0 AS hops UNION SELECT e.src, r.hops + 1 FROM reach r JOIN trade e ON e.dst = r.node WHERE r.hops < 4)

@@ -9,7 +9,7 @@ from lodestrata.operators import graph as G
 from lodestrata.operators import lines as L
 from lodestrata.operators import resolve as R
 from lodestrata.parse import tables as P
-from lodestrata.plans.adapters import lines_sql, query, table
+from lodestrata.plans.adapters import lines_sql, query, spread, table
 from lodestrata.sources import packages as Pk
 from lodestrata.sources.shared import written
 
@@ -25,7 +25,8 @@ def _sources(spark, sf_dir):
     )
     release = F.when(F.col("p_size") % 2 == 0, F.format_string(_RELEASE, size)).otherwise("")
     content = F.concat(head, release, F.format_string("}\nvoid helper%s() {\n  return;\n}\n", size))
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("lib/p"), k, F.lit(".dart")).alias("path"), content.alias("content"))
+    parts = spread(spark, table(spark, sf_dir, "part").select("p_partkey", "p_size"))
+    return parts.select(F.concat(F.lit("lib/p"), k, F.lit(".dart")).alias("path"), content.alias("content"))
 
 
 _PATH, _LONG = "'lib/p' || p_partkey || '.dart'", "p_size % 2 = 0"

@@ -446,3 +446,24 @@ def test_reports_by_mode(spark):
     assert [audit.diagnostics_report(none, code).first()["success"] for code in (0, 1, None)] == [True, False, False]
     delay = spark.createDataFrame([("lib/pages/a.dart", 1, "await Future.delayed(x);"), ("lib/a.dart", 1, "await Future.delayed(x);")], "path string, line int, text string")
     assert rows(audit.mockups(delay, True), "path") == [("lib/pages/a.dart",)]
+
+
+def test_users_of_one_element_are_its_usages(spark):
+    """Counted by file before they meet: the same rows as from all pairs, with several definitions in a file, and no broadcast of definitions or uses."""
+    from lodestrata.parse import tables
+
+    files = [("a.dart", "void foo() { foo(); }\nclass A { void foo() {} }\n"), ("b.dart", "foo() {}\nvoid go() { foo(); foo(); }\n// foo\n"), ("c.dart", "void go() { foo(1); food(); }\n"), ("d.dart", "class Foo { void foo() {} }\n")]
+    f = spark.createDataFrame(files, "path string, content string")
+    s = tables.parsed(f).cache()
+    for name, kind, parent in (("foo", "function", None), ("foo", "function", "A"), ("Foo", "class", None), ("go", "function", None), ("none", "function", None)):
+        want = sorted(map(tuple, tables.users_of(s, tables.usages(s, f), name, kind, parent).collect()))
+        got = tables.users_in(s, f, name, kind, parent)
+        assert sorted(map(tuple, got.collect())) == want
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_of_a_small_table_are_parsed_by_many_tasks(spark):
+    from lodestrata.plans import source_queries, structure_queries
+
+    for made in (source_queries._sources, structure_queries._class_files):
+        assert made(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
