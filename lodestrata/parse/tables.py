@@ -137,7 +137,8 @@ def usage_counts(symbols: DataFrame, files: DataFrame) -> DataFrame:
     own = words.groupBy("path", "name").agg(F.count("*").alias("n"), F.min("line").alias("first"))
     total = own.groupBy("name").agg(F.count("*").alias("files"))
     named = _named(symbols).groupBy("kind", "name", "def_path").agg(F.min("def_line").alias("def_line"))
-    j = named.join(total, "name", "left").join(own.withColumnRenamed("path", "def_path"), ["def_path", "name"], "left")
+    # texts of a small table look small enough for a broadcast, however many words they have: never through the driver
+    j = named.join(total.hint("merge"), "name", "left").join(own.withColumnRenamed("path", "def_path").hint("merge"), ["def_path", "name"], "left")
     alone = F.coalesce((F.col("n") == 1) & (F.col("first") == F.col("def_line")), F.lit(False)).cast("long")
     return j.select("kind", "name", "def_path", (F.coalesce("files", F.lit(0)) - alone).alias("usage_count"))
 

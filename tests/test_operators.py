@@ -462,6 +462,15 @@ def test_users_of_one_element_are_its_usages(spark):
         assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_usage_counts_never_broadcast(spark):
+    from lodestrata.parse import tables
+
+    f = spark.createDataFrame([("a.dart", "void foo() {}\n"), ("b.dart", "void go() { foo(); }\n")], "path string, content string")
+    counts = tables.usage_counts(tables.parsed(f).cache(), f)
+    assert sorted(map(tuple, counts.collect())) == [("function", "foo", "a.dart", 1), ("function", "go", "b.dart", 0)]
+    assert "Broadcast" not in counts._jdf.queryExecution().executedPlan().toString()
+
+
 def test_files_of_a_small_table_are_parsed_by_many_tasks(spark):
     from lodestrata.plans import source_queries, structure_queries
 
