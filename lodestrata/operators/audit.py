@@ -472,7 +472,7 @@ def leaking_fields(properties: DataFrame, functions: DataFrame, files: DataFrame
     fields = properties.where("parent is not null").where(_holds(either, [t.lower() for t in HELD_TYPES]) | _holds(F.lower("name"), HELD_NAMES)).select("path", "parent", "name", F.coalesce("type", F.lit("Controller")).alias("type"))
     able = functions.where(F.col("name").isin(*RELEASES) & F.col("parent").isNotNull()).select("path", "parent", F.lit(True).alias("able")).distinct()
     done = files.select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(rf"\b(\w+)\s*\.\s*{_one_of(RELEASES)}\s*\("), F.lit(1)))).alias("name"), F.lit(True).alias("done"))
-    j = fields.join(able, ["path", "parent"], "left").join(done, ["path", "name"], "left")
+    j = fields.join(able.hint("merge"), ["path", "parent"], "left").join(done.hint("merge"), ["path", "name"], "left")
     return j.where("able is null or done is null").select("path", "parent", "name", "type", F.col("able").isNotNull().alias("has_release"))
 
 

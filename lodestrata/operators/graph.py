@@ -153,8 +153,8 @@ def ancestors(parents: DataFrame, most: int = 64) -> DataFrame:
     step = written(parents.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct())
     out = step
     for depth in range(2, most + 1):
-        up = step.join(parents.select(F.col("child").alias("ancestor"), "parent"), "ancestor").select("node", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
-        last, step = step, written(up.join(out.select("node", "ancestor"), ["node", "ancestor"], "left_anti").where("node != ancestor"))
+        up = step.join(parents.select(F.col("child").alias("ancestor"), "parent").hint("merge"), "ancestor").select("node", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
+        last, step = step, written(up.join(out.select("node", "ancestor").hint("merge"), ["node", "ancestor"], "left_anti").where("node != ancestor"))
         if step.isEmpty():
             break
         out, before = written(out.unionByName(step)), out
@@ -214,7 +214,7 @@ def symbol_graph(files: DataFrame, classes: DataFrame, functions: DataFrame, imp
     made = calls.where("caller_function is not null").withColumn("src", caller)
     mine = own.where("parent_class is not null").select(F.col("parent_class").alias("caller_class"), "name", F.col("id").alias("m")).distinct()
     free = own.where("parent_class is null").select("name", F.col("id").alias("f")).distinct()
-    made = made.join(mine, ["caller_class", "name"], "left").join(free, "name", "left").withColumn("dst", F.coalesce("m", "f"))
+    made = made.join(mine.hint("merge"), ["caller_class", "name"], "left").join(free.hint("merge"), "name", "left").withColumn("dst", F.coalesce("m", "f"))
     edges.append(made.where("dst is not null and dst != src").select("src", "dst", F.lit("calls").alias("type")))
     return nodes, reduce(DataFrame.unionByName, edges)
 

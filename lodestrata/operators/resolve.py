@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.paths import dirname, extension, normalized, posix
 from lodestrata.operators.substrings import pairs_within
+from lodestrata.sources.shared import written
 
 # fixed values: suffixes that may complete a specifier, in the order they are tried
 SUFFIXES = (".ts", ".tsx", ".js", ".jsx", ".mts", ".cts", ".mjs", ".cjs", ".dart", ".kt", ".java")
@@ -42,12 +43,12 @@ def resolve_imports(imports: DataFrame, files: DataFrame, package: str | None =
     rows = asked.withColumn("base", base).withColumn("tail", F.when(dotted, F.replace(s, F.lit("."), F.lit("/"))))
     index = files.select(F.col("path").alias("target"), posix(F.col("path")).alias("key"))
     tried = rows.where("base is not null").select("path", "spec", F.posexplode(F.array(*options)).alias("ord", "key")).where("key is not null")
-    direct = tried.join(index, "key").groupBy("path", "spec").agg(F.min_by("target", F.struct("ord", "target")).alias("target"))
+    direct = tried.join(index.hint("merge"), "key").groupBy("path", "spec").agg(F.min_by("target", F.struct("ord", "target")).alias("target"))
     # qualified names: the file's own trailing path parts are the key, so this is an equi-join too
     parts = F.split(F.regexp_replace("key", r"\.(kt|java)$", ""), "/")
     tails = index.where(extension(F.col("key")).isin("kt", "java")).select("target", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, -n, n), "/"))).alias("tail"))
     qualified = rows.where("tail is not null").join(tails, "tail").groupBy("path", "spec").agg(F.min("target").alias("target"))
-    return imports.join(direct.unionByName(qualified).groupBy("path", "spec").agg(F.min("target").alias("target")), ["path", "spec"], "left")
+    return imports.join(direct.unionByName(qualified).groupBy("path", "spec").agg(F.min("target").alias("target")).hint("merge"), ["path", "spec"], "left")
 
 
 def first_definition(names: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -64,7 +65,8 @@ def resolve_calls(calls: DataFrame, functions: DataFrame, classes: DataFrame, an
     file; class as constructor; the only function of that name anywhere.  functions: path, name, parent_class; classes:
     path, name; ancestry: node, ancestor, depth (a class is its own ancestor at 0); imported: path, target.
     """
-    call = calls.withColumn("call", F.monotonically_increasing_id())
+    # written, so every branch reads the same numbers; joined by shuffles, as rows made of a small table look small enough for a broadcast
+    call = written(calls.withColumn("call", F.monotonically_increasing_id()), "calls")
     own = functions.where("parent_class is not null").select(F.col("parent_class").alias("c"), F.col("name").alias("m"), F.concat("path", F.lit(":"), "parent_class", F.lit("."), "name").alias("q"))
     free = functions.where("parent_class is null").select(F.col("path").alias("fp"), F.col("name").alias("fn"), F.concat("path", F.lit(":"), "name").alias("q")).distinct()
     made = classes.groupBy("name").agg(F.min("path").alias("cp")).select(F.col("name").alias("cn"), F.concat("cp", F.lit(":"), "name").alias("q"))
@@ -72,16 +74,17 @@ def resolve_calls(calls: DataFrame, functions: DataFrame, classes: DataFrame, an
     bare = F.regexp_replace("receiver", r"^[_$]+", "")
     typed = F.when(F.col("receiver").isin("this", "super"), F.array("caller_class")).when(F.col("receiver").isNotNull(), F.array_distinct(F.array("receiver", bare, F.concat(F.upper(F.substring(bare, 1, 1)), F.substring(bare, 2, 1 << 20))))).otherwise(F.array("caller_class"))
     starts = call.select("call", F.col("name").alias("m"), "receiver", F.posexplode(typed).alias("form", "start")).where("start is not null")
-    method = starts.join(line, "start").join(own, ["c", "m"]).where("not (receiver <=> 'super' and depth = 0)").groupBy("call").agg(F.min(F.struct("form", "depth", "q")).alias("b")).select("call", F.col("b.q").alias("q_method"))
-    kind = starts.where("receiver is not null and receiver not in ('this', 'super')").join(made.withColumnRenamed("cn", "start"), "start").groupBy("call").agg(F.min(F.struct("form", "q")).alias("b")).select("call", F.col("b.q").alias("q_class"))
+    method = starts.join(line.hint("merge"), "start").join(own.hint("merge"), ["c", "m"]).where("not (receiver <=> 'super' and depth = 0)").groupBy("call").agg(F.min(F.struct("form", "depth", "q")).alias("b")).select("call", F.col("b.q").alias("q_method"))
+    kind = starts.where("receiver is not null and receiver not in ('this', 'super')").join(made.withColumnRenamed("cn", "start").hint("merge"), "start").groupBy("call").agg(F.min(F.struct("form", "q")).alias("b")).select("call", F.col("b.q").alias("q_class"))
     plain = call.where("receiver is null")
-    same = plain.join(free, (plain["path"] == free["fp"]) & (plain["name"] == free["fn"])).groupBy("call").agg(F.min("q").alias("q_same"))
-    through = plain.join(imported.select(F.col("path").alias("ip"), F.col("target").alias("fp")), F.col("path") == F.col("ip")).join(free, "fp").where("name = fn").groupBy("call").agg(F.min("q").alias("q_import"))
-    ctor = plain.join(made, plain["name"] == made["cn"]).groupBy("call").agg(F.min("q").alias("q_ctor"))
+    same = plain.join(free.hint("merge"), (plain["path"] == free["fp"]) & (plain["name"] == free["fn"])).groupBy("call").agg(F.min("q").alias("q_same"))
+    # by file and name at once: a file that all others import has its calls dealt by their names
+    through = plain.join(imported.select(F.col("path").alias("ip"), F.col("target").alias("fp")).hint("merge"), F.col("path") == F.col("ip")).withColumnRenamed("name", "fn").join(free.hint("merge"), ["fp", "fn"]).groupBy("call").agg(F.min("q").alias("q_import"))
+    ctor = plain.join(made.hint("merge"), plain["name"] == made["cn"]).groupBy("call").agg(F.min("q").alias("q_ctor"))
     only = free.groupBy("fn").agg(F.count("*").alias("n"), F.min("q").alias("q_only")).where("n = 1")
-    alone = plain.join(only, plain["name"] == only["fn"]).select("call", "q_only")
+    alone = plain.join(only.hint("merge"), plain["name"] == only["fn"]).select("call", "q_only")
     for part in (method, kind, same, through, ctor, alone):
-        call = call.join(part, "call", "left")
+        call = call.join(part.hint("merge"), "call", "left")
     with_receiver = F.coalesce("q_method", F.when(~F.col("receiver").isin("this", "super"), F.col("q_class")))
     target = F.when(F.col("receiver").isNotNull(), with_receiver).otherwise(F.coalesce("q_same", "q_method", "q_import", "q_ctor", "q_only"))
     how = F.when(F.col("receiver").isNotNull(), F.when(F.col("q_method").isNotNull(), "method").when(with_receiver.isNotNull(), "class"))

@@ -476,3 +476,19 @@ def test_files_of_a_small_table_are_parsed_by_many_tasks(spark):
 
     for made in (source_queries._sources, structure_queries._class_files):
         assert made(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_calls_and_imports_resolve_without_a_broadcast(spark):
+    """Rows made of a small table look small enough for a broadcast, which the driver would hold."""
+    from lodestrata.operators import resolve
+
+    calls = spark.createDataFrame([("a", 1, "f", None, "A"), ("b", 1, "f", None, None), ("b", 2, "g", "this", "A")], "path string, line int, name string, receiver string, caller_class string")
+    functions = spark.createDataFrame([("a", "f", None), ("c", "g", "A")], "path string, name string, parent_class string")
+    classes, own = spark.createDataFrame([("c", "A")], "path string, name string"), spark.createDataFrame([("A", "A", 0)], "node string, ancestor string, depth int")
+    imported = spark.createDataFrame([("b", "a")], "path string, target string")
+    got = resolve.resolve_calls(calls, functions, classes, own, imported)
+    assert sorted((r["path"], r["line"], r["target"], r["how"]) for r in got.collect()) == [("a", 1, "a:f", "same_file"), ("b", 1, "a:f", "import"), ("b", 2, "c:A.g", "method")]
+    files = spark.createDataFrame([("lib/a.dart",)], "path string")
+    found = resolve.resolve_imports(spark.createDataFrame([("lib/b.dart", "a.dart")], "path string, spec string"), files)
+    assert found.first()["target"] == "lib/a.dart"
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
