@@ -177,9 +177,9 @@ KIND_ALIASES = {"ext": "extension", "type": "typedef", "vars": "variable", "call
 NAMED_KINDS = ("class", "function", "enum", "mixin", "extension", "extension_type", "typedef", "variable", "constructor", "property", "annotation")
 
 
-def tool_search(symbols: DataFrame, files: DataFrame, query: str, kind: str | None = None, mode: str = "both", k: int = 50, direct: bool = False, docs: DataFrame | None = None) -> DataFrame:
+def tool_search(symbols: DataFrame, files: DataFrame, query: str, kind: str | None = None, mode: str = "both", k: int | None = 50, direct: bool = False, docs: DataFrame | None = None) -> DataFrame:
     """(name, type, path, line) of definitions, calls (mode ``definitions``, ``calls`` or ``both``) and files whose name contains a
-    query, in any case; with ``direct``, or where nothing is found, definitions and calls by pattern from the lines.
+    query, in any case; with ``direct``, or where nothing is found, definitions and calls by pattern from the lines.  Without ``k`` all of them.
 
     ``docs``: the documents of the ranked search (as ``tables.search_docs`` makes them, ids path:kind:name:line); what is found is then ordered by their score first, before the limit.
     """
@@ -213,7 +213,8 @@ def tool_search(symbols: DataFrame, files: DataFrame, query: str, kind: str | No
         found = found.join(scores, ["path", "kind", "line", "bare"], "left").drop("bare", "kind")
     score = [F.desc(F.coalesce("score", F.lit(0.0)))] if "score" in found.columns else []
     begins = F.startswith(F.lower("name"), F.lit(q))
-    return found.orderBy(*score, F.desc(begins), F.lower("name"), "name", "type", "path", "line").limit(k).select("name", "type", "path", "line")
+    ordered = found.orderBy(*score, F.desc(begins), F.lower("name"), "name", "type", "path", "line").select("name", "type", "path", "line")
+    return ordered if k is None else ordered.limit(k)
 
 
 def rerank(symbols: DataFrame, query: str, k: int = 150) -> DataFrame:

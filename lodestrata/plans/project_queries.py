@@ -126,7 +126,10 @@ _RUNS = f"SELECT 'run7' AS name, 'function_definition' AS type, {_PATH} AS path,
 
 
 def _found(spark, sf_dir, *how, **more):
-    return Q.tool_search(_symbols(spark, sf_dir), _sources(spark, sf_dir), *how, k=1_000_000, **more).select("name", "type", "path", "line")
+    """All that is found, as the SQL has no limit.  A direct search reads the lines alone, so its symbols are not parsed."""
+    files = _sources(spark, sf_dir)
+    symbols = P.parsed(files) if more.get("direct") else _symbols(spark, sf_dir)
+    return Q.tool_search(symbols, files, *how, k=None, **more).select("name", "type", "path", "line")
 
 
 @query(f"""SELECT 'helper7' AS name, 'function_definition' AS type, {_PATH} AS path, CASE WHEN {_LONG} THEN 12 ELSE 9 END AS line FROM part WHERE p_size = 7 UNION ALL SELECT 'helper7', 'function_call', {_PATH}, 5 FROM part WHERE p_size = 7""")

@@ -492,3 +492,16 @@ def test_calls_and_imports_resolve_without_a_broadcast(spark):
     found = resolve.resolve_imports(spark.createDataFrame([("lib/b.dart", "a.dart")], "path string, spec string"), files)
     assert found.first()["target"] == "lib/a.dart"
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tool_search_without_a_limit(spark):
+    """All hits where no limit is given, from symbols and from lines."""
+    from lodestrata.operators import search
+    from lodestrata.parse import tables
+
+    f = spark.createDataFrame([(f"p{i}.dart", f"class Part{i} {{\n}}\nvoid go() {{ part{i}(); }}\n") for i in range(60)], "path string, content string")
+    s = tables.parsed(f)
+    for direct in (False, True):
+        assert search.tool_search(s, f, "part", "class", "definitions", direct=direct, k=None).count() == 60
+        assert search.tool_search(s, f, "part", "class", "definitions", direct=direct).count() == 50
+    assert search.tool_search(s, f, "part", None, "calls", direct=True, k=None).count() == 60
