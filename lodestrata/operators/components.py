@@ -170,10 +170,44 @@ def reached_by(edges: DataFrame, k: int = 17) -> DataFrame:
     return ids.groupBy("node").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.count("*").alias("n"))
 
 
+def counted_reach(edges: DataFrame, k: int = 17) -> DataFrame:
+    """(node, n): how many nodes reach a node, itself among them, at most k; nodes that no edge enters are left out.
+
+    By doubling: a row has the nodes nearer than d hops and those at exactly d.  A node at up to 2d hops lies within d hops of one at exactly d, so a
+    step asks these alone.  A node that k or more reach is full and asks no more; the others have fewer than k levels, so log2(k) steps are
+    enough and a row never holds k nodes.
+    """
+    kind = edges.schema["src"].dataType.simpleString()
+    none = F.array().cast(f"array<{kind}>")
+    first = Window.partitionBy("dst").orderBy("src")
+    # k - 1 others make a node full, so of a hub's edges no more are kept
+    steps = edges.where("src != dst").select("src", "dst").distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") < k)
+
+    def bounded(df: DataFrame) -> DataFrame:
+        full = F.col("full") | (F.size("near") + F.size("far") >= k)
+        return df.select("node", full.alias("full"), F.when(full, none).otherwise(F.col("near")).alias("near"), F.when(full, none).otherwise(F.col("far")).alias("far"))
+
+    rows = steps.groupBy(F.col("dst").alias("node")).agg(F.collect_list("src").alias("far"))
+    rows = written(bounded(rows.select("node", F.lit(False).alias("full"), F.array("node").alias("near"), "far")), "reach")
+    d = 1
+    while d < k - 1 and not rows.where("size(far) > 0").isEmpty():
+        asked = rows.where("size(far) > 0").select(F.col("node").alias("for"), F.explode("far").alias("node"))
+        told = asked.join(rows, "node", "left").select(
+            F.col("for").alias("node"), F.coalesce("full", F.lit(False)).alias("full"), F.coalesce("near", F.array("node")).alias("near"), F.coalesce("far", none).alias("far")
+        )
+        own = rows.where("size(far) > 0").select("node", "full", "near", none.alias("far"))
+        met = own.unionByName(told).groupBy("node").agg(F.bool_or("full").alias("full"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.array_distinct(F.flatten(F.collect_list("far"))).alias("far"))
+        further = bounded(met.withColumn("far", F.array_except("far", "near"))).unionByName(rows.where("size(far) = 0"))
+        rows, before = written(further, "reach"), rows
+        dropped(before)
+        d *= 2
+    return rows.select("node", F.when(F.col("full"), k).otherwise(F.size("near") + F.size("far")).cast("long").alias("n"))
+
+
 def risk_of(edges: DataFrame, nodes: DataFrame, levels: tuple = ((15, "critical"), (5, "high"), (0, "medium")), none: str = "low") -> DataFrame:
     """(node, risk) of the nodes by how many others reach them, without the pairs of the closure: one more id than the highest level asks for is enough."""
     n = F.coalesce(F.col("n"), F.lit(1)) - 1
     risk = F.lit(none)
     for least, name in sorted(levels):
         risk = F.when(n > least, name).otherwise(risk)
-    return nodes.select("node").join(reached_by(edges, max(l for l, _ in levels) + 2).select("node", "n"), "node", "left").select("node", risk.alias("risk"))
+    return nodes.select("node").join(counted_reach(edges, max(l for l, _ in levels) + 2), "node", "left").select("node", risk.alias("risk"))

@@ -114,6 +114,32 @@ def test_bounded_reach_and_risk(spark):
     assert counts == {v: len(reach(v)) - 1 for v in [*(x for x in nodes if x < 10), 999]}
 
 
+@pytest.mark.parametrize("k", [2, 5, 17])
+def test_counted_reach_needs_few_steps(spark, monkeypatch, k):
+    """As many as reach a node, up to k, by log2(k) written steps: not one for each hop."""
+    rng = random.Random(k)
+    pairs = [(rng.randrange(80), rng.randrange(80)) for _ in range(90)] + [(x, x + 1) for x in range(100, 140)] + [(x, 300) for x in range(200, 240)] + [(300, 301), (300, 300)]
+    back = collections.defaultdict(set)
+    for a, b in pairs:
+        back[b].add(a)
+    want = {}
+    for v in {b for a, b in pairs if a != b}:
+        seen, todo = {v}, [v]
+        while todo:
+            for x in back[todo.pop()] - seen:
+                seen.add(x)
+                todo.append(x)
+        want[v] = min(k, len(seen))
+    steps = []
+    real = components.written
+    monkeypatch.setattr(components, "written", lambda df, name="step": steps.append(name) or real(df, name))
+    got = {r["node"]: r["n"] for r in components.counted_reach(edges_of(spark, pairs), k).collect()}
+    assert got == want and len(steps) <= 1 + k.bit_length()
+    steps.clear()
+    asked = spark.createDataFrame([(v,) for v in want], "node long")
+    assert components.risk_of(edges_of(spark, pairs), asked).count() == len(want) and len(steps) <= 5
+
+
 def test_all_flows(spark):
     pairs = [("main", "a"), ("main", "b"), ("a", "c"), ("b", "c"), ("c", "a"), ("c", "save"), ("b", "save"), ("save", "save"), ("tap", "b"), ("save", "b")]
     calls = spark.createDataFrame(pairs, "src string, dst string")
