@@ -35,7 +35,8 @@ def parsed(files: DataFrame) -> DataFrame:
                 for r in parse(path or "", text or ""):
                     if (hidden := r.pop("hidden", None)) is not None:
                         r["is_private"] = hidden
-                    rows.append({"path": path, **r})
+                    r["path"] = path
+                    rows.append(r)
                 if len(rows) > 20_000:
                     yield _batch(rows, kinds)
                     rows = []
@@ -45,7 +46,8 @@ def parsed(files: DataFrame) -> DataFrame:
 
 
 def _batch(rows: list[dict], kinds: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) for c, t in kinds.items()], list(kinds))
+    known = set().union(*rows)
+    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) if c in known else pa.nulls(len(rows), t) for c, t in kinds.items()], list(kinds))
 
 
 def of_kind(symbols: DataFrame, kind: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Parser facts on small sources."""
 
+import re
+
 from lodestrata.parse import tables
 from lodestrata.parse.languages import parse
 from lodestrata.parse.source import blanked
@@ -115,3 +117,27 @@ def test_tables(spark):
     assert {(r["kind"], r["name"]) for r in tables.symbol_spans(s).collect()} == {("class", "A"), ("method", "f"), ("function", "g"), ("class", "K")}
     assert [r["name"] for r in tables.quick_outline(s.where("path = 'a.dart'")).collect()] == ["A", "g"]
     assert tables.search_docs(s).count() == 4
+
+
+def test_dart_declarations_use_patterns_compiled_once(monkeypatch):
+    """No pattern is put together or looked up again for each declaration."""
+    from lodestrata.parse import languages, source
+
+    t = "import 'p1.dart' show A, B;\n@immutable\nclass Part extends State<Base> with M {\n  final C c1 = C();\n  Part(this.x);\n  int get size => 1;\n  void run() {\n    helper();\n  }\n}\nvoid helper() {\n  return;\n}\nenum E { a, b }\nmixin M on N {}\n"
+    want = parse("a.dart", t)
+
+    def never(*_):
+        raise AssertionError("a pattern by its text")
+
+    class Quiet:
+        match = search = sub = split = staticmethod(never)
+
+        def __getattr__(self, name):
+            return getattr(re, name)
+
+    enum = languages.enum_values
+    monkeypatch.setattr(languages, "enum_values", lambda body: ["a", "b"])
+    assert enum(" a, b ") == ["a", "b"]
+    for module in (languages, source):
+        monkeypatch.setattr(module, "re", Quiet())
+    assert parse("a.dart", t) == want and {"class", "import", "function", "property", "constructor", "call", "enum", "mixin", "annotation"} == {r["kind"] for r in want}
