@@ -67,6 +67,26 @@ def test_components_equal_two_passes(spark, seed):
     assert components.strong_components(edges_of(spark, pairs).limit(0)).collect() == []
 
 
+def test_small_parts_are_settled_without_rounds(spark, monkeypatch):
+    """Many small parts with branches take no rounds over the edges; a part that is too large for one row still does, with the same result."""
+    rng = random.Random(9)
+    pairs = []
+    for part in range(60):
+        ids = rng.sample(range(part * 1000, part * 1000 + 1000), 12)
+        pairs += list(zip(ids, ids[1:])) + [(ids[k], ids[k + 2]) for k in range(0, 10, 3)] + [(ids[k], ids[k - 3]) for k in range(3, 12, 4)]
+    want = plain_components(pairs)
+    steps = []
+    real = components.written
+    monkeypatch.setattr(components, "written", lambda df, name="step": steps.append(name) or real(df, name))
+    got = {r["node"]: r["component"] for r in components.strong_components(edges_of(spark, pairs)).collect()}
+    assert got == want and "both-ways" not in steps and steps.count("tagged") == 1
+    monkeypatch.setattr(components, "SMALL", 15)
+    pairs += [(a, b) for a in range(100_000, 100_006) for b in range(100_000, 100_006) if a != b]
+    named = spark.createDataFrame([(f"n{a:06}", f"n{b:06}") for a, b in pairs], "src string, dst string")
+    got = {int(r["node"][1:]): int(r["component"][1:]) for r in components.strong_components(named).collect()}
+    assert got == plain_components(pairs) and steps.count("tagged") > 2
+
+
 def test_long_rings_and_chains_take_few_steps(spark, monkeypatch):
     """10,000 nodes in any order: the number of written steps and of jobs stays low."""
     rng = random.Random(4)
