@@ -207,8 +207,9 @@ def strong_components(edges: DataFrame) -> DataFrame:
     while left:
         tagged = written(_tagged(e, _degrees(e)), "tagged")
         dropped(e)
-        before, inner = left, int(tagged.agg(F.count_if("src_inner")).first()[0])
-        if not parted and 2 * inner < before:
+        inner, alive = tagged.agg(F.count_if("src_inner"), F.count_if(~F.col("dead"))).first()
+        before = left
+        if alive and not parted and 2 * inner < before:
             small, e = _small_components(tagged.where("not dead").select("src", "dst"), SMALL)
             settled.append(small)
             dropped(tagged)
