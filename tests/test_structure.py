@@ -264,6 +264,16 @@ def test_places_of_matches(spark, monkeypatch, block):
         assert sorted(map(tuple, some.collect())) == sorted(x for x in want if (c or x[3] != "comment") and (s or x[3] != "string"))
 
 
+def test_a_line_is_cut_into_tokens_once(spark):
+    """For all states at once, with the states that a walk from each of them gives."""
+    texts = ["a 'b' /* c", "*/ d `e", "r'f", 'g " h', "' i", "/ j // k", "` l", "r' m", ""] + ["'" * 3 + " n", '"' * 3 + " o", "r" + "'" * 3]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    each = [lexical._ended(lexical.state_after(F.col("text"), F.lit(s))).alias(f"s{s}") for s in range(lexical.OVER)]
+    for got, *want in rows.select(lexical.line_map(F.col("text")), *each).collect():
+        assert got == want
+    assert str(lexical.line_map(F.col("text"))).count("regexp_extract_all") == 1
+
+
 def test_block_ends(spark):
     files = built_files(7, 30, 300)
     rows = lines.lines(spark.createDataFrame(files, "path string, content string"), "ts")
