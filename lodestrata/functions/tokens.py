@@ -22,8 +22,10 @@ def _text(c) -> Column:
 
 
 def ascii_tokens(c) -> Column:
-    split = F.regexp_replace(F.regexp_replace(_text(c), "([a-z])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    return F.transform(F.filter(F.split(split, "[^a-zA-Z0-9]+"), lambda t: F.char_length(t) > 1), F.lower)
+    # a capital after a small letter, or after a capital and before a small letter, begins a token; only capitals are looked at, in one pass.
+    # The runs are extracted, not split at what separates them: tasks of one JVM that split texts hold each other up
+    split = F.regexp_replace(_text(c), "[A-Z](?:(?<=[a-z][A-Z])|(?<=[A-Z]{2})(?=[a-z]))", " $0")
+    return F.transform(F.regexp_extract_all(split, F.lit("[a-zA-Z0-9]{2,}"), F.lit(0)), F.lower)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -49,22 +49,39 @@ def _present(docs: DataFrame) -> list[str]:
     return [c for c in FIELDS if c in docs.columns]
 
 
+def _length(d: Dialect, sizes: dict[str, Column]) -> Column:
+    return _total([n * F.lit(d.weights[c]) for c, n in sizes.items()])
+
+
+def _occurrences(docs: DataFrame, dialect: str, *kept: str) -> DataFrame:
+    """(kept columns, dl, term, w) for each token of each document: the document's length and the weight of the token's field.  Fields are tokenised once."""
+    d, fields = DIALECTS[dialect], _present(docs)
+    rows = docs.select(*kept, *[d.tokens(c).alias(f"_{c}") for c in fields])
+    sizes = {c: F.size(f"_{c}") for c in fields}
+    rows = rows.select(*kept, _length(d, sizes).alias("dl"), *[n.alias(f"n_{c}") for c, n in sizes.items()], F.posexplode(F.concat(*[f"_{c}" for c in fields])).alias("pos", "term"))
+    weight = F.lit(d.weights[fields[-1]])
+    for i in range(len(fields) - 2, -1, -1):
+        weight = F.when(F.col("pos") < _total([F.col(f"n_{c}") for c in fields[: i + 1]]), d.weights[fields[i]]).otherwise(weight)
+    return rows.select(*kept, "dl", "term", weight.alias("w"))
+
+
 def weighted_terms(docs: DataFrame, dialect: str = "ts") -> DataFrame:
     """(id, term, tf): weighted frequencies of all terms."""
-    d = DIALECTS[dialect]
-    weighted = F.flatten(F.array(*[_pairs(d, c) for c in _present(docs)]))
-    return docs.select("id", F.explode(weighted).alias("x")).groupBy("id", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("tf"))
+    return _occurrences(docs, dialect, "id").groupBy("id", "term").agg(F.sum("w").alias("tf"))
+
 
+def full_postings(docs: DataFrame, dialect: str = "ts") -> DataFrame:
+    """(term, id, tf, dl, name): weighted frequencies of all terms with the length and the name of their documents.
 
-def _pairs(d: Dialect, c: str) -> Column:
-    weight = F.lit(d.weights[c])
-    return F.transform(d.tokens(c), lambda t: F.struct(t.alias("term"), weight.alias("w")))
+    Documents are dealt by id before they are taken apart, so all rows of one are counted where it is and only the result is shuffled again.
+    """
+    return _occurrences(docs.repartition("id"), dialect, "id", "name").groupBy("id", "name", "dl", "term").agg(F.sum("w").alias("tf")).select("term", "id", "tf", "dl", "name")
 
 
 def doc_lengths(docs: DataFrame, dialect: str = "ts") -> DataFrame:
     """(id, dl): weighted number of tokens; row-local."""
     d = DIALECTS[dialect]
-    return docs.select("id", _total([F.size(d.tokens(c)) * F.lit(d.weights[c]) for c in _present(docs)]).alias("dl"))
+    return docs.select("id", _length(d, {c: F.size(d.tokens(c)) for c in _present(docs)}).alias("dl"))
 
 
 def idf(n, df) -> Column:
@@ -133,7 +150,7 @@ def indexed(docs: DataFrame, dialect: str = "ts") -> tuple[DataFrame, DataFrame]
     Write the postings sorted or bucketed by term, so that a search reads the files of its terms only.
     """
     d = DIALECTS[dialect]
-    dl = _total([F.size(d.tokens(c)) * F.lit(d.weights[c]) for c in _present(docs)])
+    dl = _length(d, {c: F.size(d.tokens(c)) for c in _present(docs)})
     return weighted_terms(docs, dialect).select("term", "id", "tf"), docs.select("id", "name", dl.alias("dl"))
 
 

@@ -1,6 +1,7 @@
 """Operators on small literal tables, with the cases that FIXTURES.md lists."""
 
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -29,6 +30,13 @@ def test_tokenizers(spark):
     assert tokens.query_tokens("snake_case", "rs") == ["snake_case", "snake", "case"]
 
 
+def test_ascii_tokens_equal_query_tokens(spark):
+    rng = random.Random(18)
+    texts = ["".join(rng.choices("aabcABCC019 _-.\u00e9\u212a\u0130\n", k=rng.randint(0, 40))) for _ in range(3000)] + ["A" * 20000 + "b" * 20000 + "1" * 20000]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tokens.ascii_tokens("t").alias("a")).collect()
+    assert len(got) == len(texts) and all(list(dict.fromkeys(r["a"])) == tokens.query_tokens(r["t"]) for r in got)
+
+
 def test_paths(spark):
     df = spark.createDataFrame([("lib/a/../b/./c.dart",), ("../x",), ("a\\b\\C.KT",)], "p string")
     got = df.select(paths.normalized(F.col("p")).alias("n"), paths.extension(paths.posix(F.col("p"))).alias("e"), paths.stem(paths.posix(F.col("p"))).alias("s")).collect()

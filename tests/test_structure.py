@@ -419,6 +419,28 @@ def test_stored_index_follows_updates(spark, tmp_path, dialect):
     assert all(close(compare(q)) for q in ("login", "save quiver", "lock tanstor redeck"))
 
 
+def test_stored_index_takes_texts_apart_once(spark, tmp_path):
+    """An upsert evaluates each text once, and documents without terms still count."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(text):
+        seen.add(1)
+        return text
+
+    rows = [(1, "goHome", "see the tree the"), (2, "x", None), (3, None, ""), (4, "loginForm", "tree")]
+    docs = spark.createDataFrame(rows, "id long, name string, comments string")
+    index = StoredIndex(spark, str(tmp_path / "index"), buckets=16)
+    index.upsert(docs.withColumn("comments", F.udf(passed, "string")("comments")))
+    assert seen.value == 4
+    length = {r["id"]: (r["name"], round(r["dl"], 6)) for r in index._table(1, "documents").collect()}
+    assert length == {1: ("goHome", 9.2), 2: ("x", 0.0), 3: (None, 0.0), 4: ("loginForm", 8.3)}
+    got = {(r["term"], r["id"]): (round(r["tf"], 6), round(r["dl"], 6), r["name"]) for r in index.postings(["the", "tree", "login"]).collect()}
+    assert got == {("the", 1): (0.6, 9.2, "goHome"), ("tree", 1): (0.3, 9.2, "goHome"), ("tree", 4): (0.3, 8.3, "loginForm"), ("login", 4): (4.0, 8.3, "loginForm")}
+    index.upsert(docs.where("id = 2"))
+    assert index.version()["n"] == 4 and abs(index.version()["total"] - 17.5) < 1e-6
+    assert [tuple(r) for r in index.search("tree", 5).collect()] == [tuple(r) for r in S.search(docs, "tree", "ts", 5).collect()]
+
+
 # ---- owners, tool search, streams
 def test_calls_reach_their_owners(spark):
     classes = spark.createDataFrame([("Base", None, None, None), ("Mid", "Base", ["Mix"], None), ("Leaf", "Mid<int>", None, ["Face"]), ("Loop", "Loop2", None, None), ("Loop2", "Loop", None, None)], "name string, extends_class string, mixins array<string>, implements array<string>")
