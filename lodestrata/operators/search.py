@@ -74,8 +74,10 @@ def full_postings(docs: DataFrame, dialect: str = "ts") -> DataFrame:
     """(term, id, tf, dl, name): weighted frequencies of all terms with the length and the name of their documents.
 
     Documents are dealt by id before they are taken apart, so all rows of one are counted where it is and only the result is shuffled again.
+    The number of shuffle partitions deals them: texts are small beside their terms, so parts joined by their size would need much memory.
     """
-    return _occurrences(docs.repartition("id"), dialect, "id", "name").groupBy("id", "name", "dl", "term").agg(F.sum("w").alias("tf")).select("term", "id", "tf", "dl", "name")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _occurrences(docs.repartition(parts, "id"), dialect, "id", "name").groupBy("id", "name", "dl", "term").agg(F.sum("w").alias("tf")).select("term", "id", "tf", "dl", "name")
 
 
 def doc_lengths(docs: DataFrame, dialect: str = "ts") -> DataFrame:
