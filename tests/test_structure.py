@@ -302,6 +302,48 @@ def test_block_ends(spark):
     assert near == {k: v if v is not None and v <= k[1] + 3 else None for k, v in want.items()}
 
 
+def test_brace_ends_shuffles_lines_once(spark):
+    """The files are made, their lines lexed and their blocks ended behind one shuffle, whatever is asked."""
+    from lodestrata.plans import structure_queries
+
+    plan = structure_queries.brace_ends(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_block_ends_of_all_lines_and_of_some(spark, monkeypatch):
+    """Without symbols all lines are asked for; lines that no file has are not answered, and those given up early have no end."""
+    files = built_files(7, 10, 200) + [("deep.ts", "\n".join(["{"] * 300 + ["x"] * 40 + ["}"] * 150)), ("plain.ts", "\n".join(["x"] * 500))]
+    rows = lines.lines(spark.createDataFrame(files, "path string, content string"), "ts")
+    answers = lambda symbols, *most: {(r["path"], r["line"]): r["line_end"] for r in lexical.block_ends(symbols, rows, *most).collect()}
+    whole = answers(None)
+    assert len(whole) == rows.count() and whole["deep.ts", 300] == 341 and whole["deep.ts", 1] is None and whole["plain.ts", 1] is None
+    some = [(p, n) for p, n in whole if n % 7 == 3]
+    asked = spark.createDataFrame([*some, some[0], ("deep.ts", 9999), ("none.ts", 1), (None, 1), ("deep.ts", None)], "path string, line int")
+    assert answers(asked) == {k: whole[k] for k in some}
+    for give_up in (4096, 0):
+        monkeypatch.setattr(lexical, "_GIVE_UP", give_up)
+        found = list(lexical._ends(iter([_line_batch(files)]), 50))
+        near = {(r["path"], r["line"]): r["line_end"] for b in found for r in b.to_pylist()}
+        assert near == {k: v if v is not None and v <= k[1] + 52 else None for k, v in whole.items()}
+
+
+def _line_batch(files):
+    import pyarrow as pa
+
+    own = [(p, k, lexical._BOTH, t, k) for p, text in files for k, t in enumerate(text.split("\n"), 1)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*own)], ["path", "line", "kind", "text", "place"])
+
+
+def test_plain_lexer_is_the_column_one(spark):
+    rng = random.Random(9)
+    texts = ["", "r'\\'", "x/", "// {", "/", "a / b;", "\u0001'x'", ";\u0001", "ür'\\'"] + ["".join(rng.choice(["/", "*", "'", '"', "`", "\\", "r", "x", " ", "{", "}", ";", "//", "/*", "*/", "'''"]) for _ in range(rng.randrange(1, 25))) for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    code = [lexical.code_of(F.col("text"), F.lit(s)).alias(f"c{s}") for s in range(lexical.OVER)]
+    after = [lexical._ended(lexical.state_after(F.col("text"), F.lit(s))).alias(f"s{s}") for s in range(lexical.OVER)]
+    for r in rows.select("text", *code, *after).collect():
+        assert [lexical._lexed(r["text"], s) for s in range(lexical.OVER)] == [(r[f"c{s}"], r[f"s{s}"]) for s in range(lexical.OVER)]
+
+
 @pytest.mark.parametrize("fan", [64, 3])
 def test_nearest_smaller(spark, monkeypatch, fan):
     monkeypatch.setattr(lexical, "FAN", fan)
