@@ -8,9 +8,12 @@ and ``search_index`` reads: the rows of the query's terms and the table of lengt
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,14 +73,60 @@ def weighted_terms(docs: DataFrame, dialect: str = "ts") -> DataFrame:
     return _occurrences(docs, dialect, "id").groupBy("id", "term").agg(F.sum("w").alias("tf"))
 
 
-def full_postings(docs: DataFrame, dialect: str = "ts") -> DataFrame:
-    """(term, id, tf, dl, name): weighted frequencies of all terms with the length and the name of their documents.
+#: Terms of a batch of rows that posting_blocks() gives out.
+_BLOCK_TERMS = 1 << 17
 
-    Documents are dealt by id before they are taken apart, so all rows of one are counted where it is and only the result is shuffled again.
-    The number of shuffle partitions deals them: texts are small beside their terms, so parts joined by their size would need much memory.
+
+def posting_blocks(docs: DataFrame, dialect: str, bucket: Callable[[Column], Column]) -> DataFrame:
+    """(id, name, dl, bucket, terms, tfs): the distinct terms of each document with their weighted frequencies, in one row for each bucket that it has terms of.
+
+    ``bucket`` gives a term's bucket.  Terms are joined by spaces, which no token has.  Documents are counted where they are read, one at a time, and their
+    id, name and length go once with all terms of a bucket, so a shuffle of these rows is small beside one of single terms.  Few partitions are dealt out first.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _occurrences(docs.repartition(parts, "id"), dialect, "id", "name").groupBy("id", "name", "dl", "term").agg(F.sum("w").alias("tf")).select("term", "id", "tf", "dl", "name")
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if 2 * docs.rdd.getNumPartitions() < cores:
+        docs = docs.repartition(cores, "id")
+    d, fields = DIALECTS[dialect], _present(docs)
+    rows = docs.select("id", "name", *[d.tokens(c).alias(f"_{c}") for c in fields])
+    length = _length(d, {c: F.size(f"_{c}") for c in fields}).cast("double")
+    rows = rows.select("id", "name", length.alias("dl"), *[f"_{c}" for c in fields], *[F.transform(f"_{c}", bucket).alias(f"b_{c}") for c in fields])
+    weights = [d.weights[c] for c in fields]
+    own = docs.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(lambda batches: _blocks(batches, weights), f"id {own}, name string, dl double, bucket int, terms string, tfs array<double>")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], weights: list[float]) -> Iterator[pa.RecordBatch]:
+    """posting_blocks() of rows (id, name, dl, tokens of each field, their buckets)."""
+    lists = lambda column, k: column.values.slice(at := column.offsets[k].as_py(), column.offsets[k + 1].as_py() - at).to_numpy(zero_copy_only=False).tolist()
+    for batch in batches:
+        row, bucket, terms, tfs, ends = [], [], [], [], [0]
+
+        def out() -> pa.RecordBatch:
+            own = [batch.column(k).take(pa.array(row, pa.int64())) for k in range(3)]  # noqa: B023
+            weighted = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tfs, pa.float64()))  # noqa: B023
+            return pa.RecordBatch.from_arrays([*own, pa.array(bucket, pa.int32()), pa.array(terms, pa.string()), weighted], ["id", "name", "dl", "bucket", "terms", "tfs"])  # noqa: B023
+
+        for r in range(batch.num_rows):
+            tf: dict[str, float] = {}
+            of: dict[str, int] = {}
+            for k, weight in enumerate(weights):
+                found = lists(batch.column(3 + k), r)
+                of.update(zip(found, lists(batch.column(3 + len(weights) + k), r)))
+                for term, n in Counter(found).items():
+                    tf[term] = tf.get(term, 0.0) + n * weight
+            parts: dict[int, list[str]] = {}
+            for term, part in of.items():
+                parts.setdefault(part, []).append(term)
+            for part, held in parts.items():
+                row.append(r)
+                bucket.append(part)
+                terms.append(" ".join(held))
+                tfs.extend([tf[t] for t in held])
+                ends.append(len(tfs))
+            if len(tfs) >= _BLOCK_TERMS:
+                yield out()
+                row, bucket, terms, tfs, ends = [], [], [], [], [0]
+        yield out()
 
 
 def doc_lengths(docs: DataFrame, dialect: str = "ts") -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import re
 import uuid
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -328,8 +329,6 @@ def test_block_ends_of_all_lines_and_of_some(spark, monkeypatch):
 
 
 def _line_batch(files):
-    import pyarrow as pa
-
     own = [(p, k, lexical._BOTH, t, k) for p, text in files for k, t in enumerate(text.split("\n"), 1)]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*own)], ["path", "line", "kind", "text", "place"])
 
@@ -483,6 +482,43 @@ def test_stored_index_takes_texts_apart_once(spark, tmp_path):
     assert [tuple(r) for r in index.search("tree", 5).collect()] == [tuple(r) for r in S.search(docs, "tree", "ts", 5).collect()]
 
 
+def _shuffled(spark):
+    """Bytes that all stages so far wrote for shuffles."""
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_stored_index_is_compacted_without_a_shuffle_of_postings(spark, tmp_path, monkeypatch):
+    """Whatever the size of a bucket, its postings are merged where they are, each bucket by a task of its own."""
+    docs = spark.createDataFrame([(i, f"n{i}", " ".join(f"w{(i * 7 + k) % 501}" for k in range(60))) for i in range(2000)], "id long, name string, comments string")
+    index = StoredIndex(spark, str(tmp_path / "index"), buckets=4)
+    index.upsert(docs)
+    index.upsert(docs.where("id % 3 = 0"))
+    spark.conf.set("spark.sql.maxSinglePartitionBytes", "1k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before, wrote = _shuffled(spark), []
+        held = index._write_postings
+        monkeypatch.setattr(index, "_write_postings", lambda s, rows: (wrote.append(_shuffled(spark)), held(s, rows), wrote.append(_shuffled(spark)))[1])
+        index.compacted()
+        assert wrote[1] == wrote[0] >= before and spark.conf.get("spark.sql.maxSinglePartitionBytes") == "1k"
+    finally:
+        for k in ("spark.sql.maxSinglePartitionBytes", "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(k)
+    files = [f for f in (tmp_path / "index/segments/3/postings").glob("bucket=*/*.parquet")]
+    assert len(files) == len({f.parent for f in files}) == 4
+    assert [tuple(r) for r in index.search("w17 w30", 20).collect()] == [tuple(r) for r in S.search(docs, "w17 w30", "ts", 20).collect()]
+
+
+def test_posting_blocks_hold_each_term_once(spark, monkeypatch):
+    monkeypatch.setattr(S, "_BLOCK_TERMS", 3)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["a", None, "c"]), pa.array([5.0, 0.0, 2.0]), pa.array([["go"], [], []]), pa.array([["x1", "go", "x1"], [], ["y1"]]), pa.array([[0], [], []], pa.list_(pa.int32())), pa.array([[1, 0, 1], [], [1]], pa.list_(pa.int32()))], list("abcdefg"))
+    for b in (batch, batch.slice(0, 3)):
+        got = [r for out in S._blocks(iter([b]), [4.0, 0.5]) for r in out.to_pylist()]
+        assert got == [{"id": 1, "name": "a", "dl": 5.0, "bucket": 0, "terms": "go", "tfs": [4.5]}, {"id": 1, "name": "a", "dl": 5.0, "bucket": 1, "terms": "x1", "tfs": [1.0]}, {"id": 3, "name": "c", "dl": 2.0, "bucket": 1, "terms": "y1", "tfs": [0.5]}]
+
+
 # ---- owners, tool search, streams
 def test_calls_reach_their_owners(spark):
     classes = spark.createDataFrame([("Base", None, None, None), ("Mid", "Base", ["Mix"], None), ("Leaf", "Mid<int>", None, ["Face"]), ("Loop", "Loop2", None, None), ("Loop2", "Loop", None, None)], "name string, extends_class string, mixins array<string>, implements array<string>")
