@@ -154,11 +154,20 @@ def users_of(symbols: DataFrame, found: DataFrame, name: str, kind: str, parent:
     return found.where((F.col("kind") == kind) & (F.col("name") == name)).join(places, "def_path", "left_semi").select("def_path", "used_in", "times")
 
 
+#: Blocks of definitions that meet the uses one after the other.
+_BLOCKS = 64
+
+
+def naming(files: DataFrame, name: str) -> DataFrame:
+    """Files that hold a name anywhere: only these can define or use it, so only these need be parsed for it."""
+    return files.select("path", "content").where(F.contains("content", F.lit(name)))
+
+
 def users_in(symbols: DataFrame, files: DataFrame, name: str, kind: str, parent: str | None = None) -> DataFrame:
     """users_of() of one element, straight from the files: (def_path, used_in, times).
 
     Definitions and uses are counted by file before they meet, so their pairs, which are the result, are neither shuffled nor aggregated; the uses are dealt out, as
-    all have one name.
+    all have one name, and the definitions in blocks, so that a file that the result is written to repeats few paths near each other and stays small.
     """
     from lodestrata.operators.lines import lines
 
@@ -169,15 +178,16 @@ def users_in(symbols: DataFrame, files: DataFrame, name: str, kind: str, parent:
     # the definitions' lines in the files that hold the element, as usages() takes them
     places = _named(mine).join(held.select(F.col("path").alias("def_path")).distinct().hint("merge"), "def_path", "left_semi")
     # a file without the name anywhere has no line with it
-    near = files.select("path", "content").where(F.contains("content", F.lit(name)))
+    near = naming(files, name)
     words = lines(near).select(F.col("path").alias("used_in"), "line", F.size(F.filter(F.regexp_extract_all("text", F.lit(r"[A-Za-z_$][\w$]*"), F.lit(0)), lambda w: w == name)).alias("times")).where("times > 0")
     uses = words.groupBy("used_in").agg(F.sum("times").alias("all_times"))
     own = places.join(words.select(F.col("used_in").alias("def_path"), F.col("line").alias("def_line"), "times").hint("merge"), ["def_path", "def_line"], "left")
     defined = own.groupBy("def_path").agg(F.countDistinct("def_line").alias("n"), F.coalesce(F.sum("times"), F.lit(0)).alias("own"))
-    left = uses.withColumn("deal", F.pmod(F.hash("used_in"), F.lit(parts)))
-    right = defined.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = uses.withColumn("deal", F.pmod(F.hash("used_in"), F.lit(parts))).withColumn("block", dealt(_BLOCKS))
+    right = defined.withColumn("deal", dealt(parts)).withColumn("block", F.pmod(F.hash("def_path"), F.lit(_BLOCKS)))
     times = F.col("n") * F.col("all_times") - F.when(F.col("used_in") == F.col("def_path"), F.col("own")).otherwise(0)
-    return left.hint("merge").join(right, "deal").select("def_path", "used_in", times.alias("times")).where("times > 0")
+    return left.hint("merge").join(right, ["deal", "block"]).select("def_path", "used_in", times.alias("times")).where("times > 0")
 
 
 def global_stats(symbols: DataFrame, files: DataFrame, dialect: str = "rs") -> DataFrame:

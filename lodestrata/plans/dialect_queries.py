@@ -14,6 +14,7 @@ from lodestrata.plans.adapters import TRADE, query, table, trade_edges
 from lodestrata.plans.source_queries import _LONG, _PATH, _calls, _classes, _functions, _imports, _sources, _symbols
 from lodestrata.sources import files as Fs
 from lodestrata.sources import packages as Pk
+from lodestrata.sources.shared import written
 from lodestrata.streaming import changes as C
 
 
@@ -114,7 +115,10 @@ def usage_counts(spark, sf_dir):
 
 @query(f"SELECT {_PATH.replace('p_partkey', 'a.p_partkey')} AS def_path, {_PATH.replace('p_partkey', 'b.p_partkey')} AS used_in, CASE WHEN a.p_partkey = b.p_partkey THEN 1 ELSE 2 END AS times FROM part a JOIN part b ON a.p_size = 7 AND b.p_size = 7")
 def element_users(spark, sf_dir):
-    return P.users_in(_symbols(spark, sf_dir), _sources(spark, sf_dir), "helper7", "function")
+    """Only files that hold the name are parsed, and of their symbols only those of that name are written."""
+    files, name = _sources(spark, sf_dir), "helper7"
+    found = P.parsed(P.naming(files, name)).where(F.col("name") == name)
+    return P.users_in(written(found, "named"), files, name, "function")
 
 
 @query(f"""WITH RECURSIVE {TRADE}, reach AS (SELECT 'NATION_5' AS node, 0 AS hops UNION SELECT e.src, r.hops + 1 FROM reach r JOIN trade e ON e.dst = r.node WHERE r.hops < 4)

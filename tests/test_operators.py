@@ -470,6 +470,21 @@ def test_users_of_one_element_are_its_usages(spark):
         assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_element_users_writes_only_what_has_the_name(spark, monkeypatch):
+    """Symbols of other names are neither parsed nor written, and a written result repeats few paths near each other."""
+    from lodestrata.parse import tables
+    from lodestrata.plans import dialect_queries
+
+    kept = []
+    monkeypatch.setattr(dialect_queries, "written", lambda df, name: kept.append(df.cache()) or kept[-1])
+    dialect_queries.element_users(spark, "/root/testdata/sf0.01")
+    assert kept and {r["name"] for r in kept[0].select("name").distinct().collect()} == {"helper7"}
+    files = spark.range(2000).selectExpr("concat('f', id, '.dart') path", "'void foo() {}\\nvoid go() { foo(); }\\n' content")
+    s = spark.range(2000).selectExpr("concat('f', id, '.dart') path", "'function' kind", "'foo' name", "1 line", "cast(null as string) parent")
+    got = [r["def_path"] for r in tables.users_in(s, files, "foo", "function").limit(1000).collect()]
+    assert len(set(got)) < 100
+
+
 def test_usage_counts_never_broadcast(spark):
     from lodestrata.parse import tables
 
